@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lexiprobe.llm import exact_dedup, mixing
+from lexiprobe.llm import byte_bpe, exact_dedup, mixing, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2,
         "op3_mixing": mixing.op3,
+        "op4_substring_dedup": substring_dedup.op4,
+        "op10_byte_bpe": byte_bpe.op10,
     }
 
 

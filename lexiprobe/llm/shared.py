@@ -35,7 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """The planner's size of ``df`` (file sizes for scans), clamped to 1 PB; costs no job."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(size.toString()), 1 << 50)
+    return min(int(str(size)), 1 << 50)
 
 
 def buckets_for(df: DataFrame, each: int, least: int = 8) -> int:
