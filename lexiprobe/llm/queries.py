@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiprobe.llm import byte_bpe, exact_dedup, mixing, substring_dedup
+from lexiprobe.llm import byte_bpe, exact_dedup, line_dedup, mixing, substring_dedup
 
 
 def queries() -> dict:
@@ -10,9 +10,10 @@ def queries() -> dict:
         "op2_exact_dedup": exact_dedup.op2,
         "op3_mixing": mixing.op3,
         "op4_substring_dedup": substring_dedup.op4,
+        "op8_line_dedup": line_dedup.op8,
         "op10_byte_bpe": byte_bpe.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_mixing": mixing.OP3_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
