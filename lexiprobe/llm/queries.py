@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lexiprobe.llm import byte_bpe, exact_dedup, line_dedup, mixing, substring_dedup
+from lexiprobe.llm import byte_bpe, exact_dedup, line_dedup, mixing, pii, quality, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1,
         "op2_exact_dedup": exact_dedup.op2,
         "op3_mixing": mixing.op3,
         "op4_substring_dedup": substring_dedup.op4,
+        "op7_quality": quality.op7,
         "op8_line_dedup": line_dedup.op8,
+        "op9_pii": pii.op9,
         "op10_byte_bpe": byte_bpe.op10,
     }
 
