@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiprobe.llm import ann, byte_bpe, exact_dedup, line_dedup, mixing, pii, quality, substring_dedup, toxicity
+from lexiprobe.llm import ann, byte_bpe, exact_dedup, jaccard, line_dedup, mixing, pii, quality, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3,
         "op4_substring_dedup": substring_dedup.op4,
         "op5_ann": ann.op5,
+        "op6_jaccard": jaccard.op6,
         "op7_quality": quality.op7,
         "op8_line_dedup": line_dedup.op8,
         "op9_pii": pii.op9,
