@@ -89,7 +89,7 @@ def _split_words(pattern: str, buckets: int, block_chars: int):
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             lens = np.fromiter(map(len, docs), np.int64, len(docs))
-            yield _row(blk % 1_000_003, 0, blk, K.pack_all(K.pack_ids(ids), K.pack(lens), K.pack(rank[seq]), len(number).to_bytes(8, "little")))
+            yield _row(blk % 1_000_003, 0, blk, K.pack_all(K.pack_ids(ids), K.pack(lens), K.pack_ranks(rank[seq]), len(number).to_bytes(8, "little")))
             texts = list(number)
             raw = [texts[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
             bucket = np.fromiter((zlib.crc32(w) for w in raw), np.int64, len(raw)) % buckets
@@ -176,7 +176,7 @@ def _assemble(table: pa.Table) -> pa.Table:
             number.append(np.cumsum(K.unpack(parts[0]).astype(np.int64)))
             counts.append(K.unpack(parts[1]).astype(np.int64))
             ids.append(K.unpack(parts[2]).astype(np.uint32))
-    doc_ids, lens, seq = K.unpack_ids(docs[0]), K.unpack(docs[1]).astype(np.int64), K.unpack(docs[2]).astype(np.int64)
+    doc_ids, lens, seq = K.unpack_ids(docs[0]), K.unpack(docs[1]).astype(np.int64), K.unpack_ranks(docs[2])
     words = int.from_bytes(docs[3], "little")
     at, many = np.zeros(words, np.int64), np.zeros(words, np.int64)
     if number:

@@ -154,3 +154,35 @@ def unpack_ids(blob: bytes) -> list:
     null = unpack(a).astype(bool)
     ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(b, max_output_size=8 * len(null)), np.int64) if len(null) else np.zeros(0, np.int64)
     return [None if z else x for x, z in zip(ids.tolist(), null.tolist(), strict=True)]
+
+
+def pack_ranks(ranks: np.ndarray) -> bytes:
+    """Numbers of which small ones are frequent, near their entropy: numbers under 128 as themselves, others as a
+    class of their first four bits (entropy-coded by the compressor) and their remaining bits, packed by class."""
+    r = np.ascontiguousarray(ranks).astype(np.int64)
+    big = r >= 128
+    log = np.zeros(len(r), np.int64)
+    log[big] = np.frexp(r[big].astype(float))[1] - 1
+    symbol = np.where(big, 128 + (log - 7) * 8 + ((r >> np.maximum(log - 3, 0)) & 7), r)
+    if len(r) and int(symbol.max()) > 255:
+        return b"\x00" + pack(r)
+    parts = []
+    for e in range(7, 23):
+        own = r[log == e] if big.any() else r[:0]
+        bits = ((own[:, None] >> np.arange(e - 3)) & 1).astype(np.uint8)
+        parts.append(np.packbits(bits).tobytes())
+    return b"\x01" + pack_all(len(r).to_bytes(8, "little"), zstandard.ZstdCompressor(level=3).compress(symbol.astype(np.uint8).tobytes()), *parts)
+
+
+def unpack_ranks(blob: bytes) -> np.ndarray:
+    if blob[:1] == b"\x00":
+        return unpack(blob[1:]).astype(np.int64)
+    n, symbols, *parts = unpack_all(blob[1:])
+    n = int.from_bytes(n, "little")
+    s = np.frombuffer(zstandard.ZstdDecompressor().decompress(symbols, max_output_size=max(1, n)), np.uint8).astype(np.int64)
+    out = s.copy()
+    for e, raw in zip(range(7, 23), parts, strict=True):
+        own = np.flatnonzero((s >= 128 + (e - 7) * 8) & (s < 136 + (e - 7) * 8))
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8))[: len(own) * (e - 3)].reshape(len(own), e - 3).astype(np.int64)
+        out[own] = ((8 + (s[own] & 7)) << (e - 3)) + (bits << np.arange(e - 3)).sum(1)
+    return out
