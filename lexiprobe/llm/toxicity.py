@@ -102,28 +102,43 @@ class BlockMaxIndex:
         self.top = np.zeros(len(idf) * max(1, self.blocks))
         np.maximum.at(self.top, cell, self.weight)
         self.top = self.top.reshape(len(idf), -1)
+        self.dense: dict = {}
 
     def vector(self, counts: tuple) -> tuple[np.ndarray, np.ndarray]:
         t = np.array([c[0] for c in counts], np.int64)
         w = (1 + np.log(np.array([c[1] for c in counts], float))) * self.idf[t]
         return t, w / math.sqrt(float(w @ w)) if len(w) else w
 
+    def _block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The block's terms and its examples' weights of them, made when first visited."""
+        if b not in self.dense:
+            s, e = self.start[: -1].reshape(len(self.idf), -1)[:, b], self.start[1:].reshape(len(self.idf), -1)[:, b]
+            terms = np.flatnonzero(e > s)
+            weights = np.zeros((BLOCK, len(terms)))
+            for i, t in enumerate(terms.tolist()):
+                weights[self.ex[s[t] : e[t]] - b * BLOCK, i] = self.weight[s[t] : e[t]]
+            self.dense[b] = terms, weights
+        return self.dense[b]
+
     def nearest(self, counts: tuple, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the k nearest, ties to the smaller place; only those with a cosine over 0."""
         terms, q = self.vector(counts)
+        wide = np.zeros(len(self.idf))
+        wide[terms] = q
         bound = q @ self.top[terms]
-        best: list[tuple[float, int]] = []
+        score, place = np.zeros(0), np.zeros(0, np.int64)
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0]):
+            if bound[b] <= 0 or (len(score) == k and bound[b] < score[-1]):
                 break
-            score = np.zeros(BLOCK)
-            for t, x in zip(terms.tolist(), q.tolist(), strict=True):
-                s, e = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                if e > s:
-                    score[self.ex[s:e] - b * BLOCK] += x * self.weight[s:e]
-            own = [(float(score[i]), b * BLOCK + i) for i in np.flatnonzero(score > 0).tolist() if b * BLOCK + i != without]
-            best = sorted([*best, *own], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            own, weights = self._block(b)
+            s = weights @ wide[own]
+            new = np.flatnonzero(s > (score[-1] - 1e-12 if len(score) == k else 0.0))
+            new = new[b * BLOCK + new != without]
+            if len(new):
+                score, place = np.concatenate([score, s[new]]), np.concatenate([place, b * BLOCK + new])
+                best = np.lexsort((place, -score))[:k]
+                score, place = score[best], place[best]
+        return list(zip(score.tolist(), place.tolist(), strict=True))
 
 
 def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +163,7 @@ class ToxicityModel:
     def __init__(self, vocabulary: list[tuple[str, int]], examples: list[tuple], sizes: dict[int, int]):
         self.prior = sizes.get(1, 0) / max(1, sum(sizes.values())) if sizes else 0.5
         y = np.array([e[1] for e in examples], float)
+        self.order_ids = [e[0] for e in examples]
         own = np.array([(y == 0).sum(), (y == 1).sum()], float)
         #: rows of the table that a sampled row of class 0 or 1 stands for
         self.share = np.array([sizes.get(c, 0) / own[c] if own[c] else 0.0 for c in (0, 1)])
@@ -159,11 +175,26 @@ class ToxicityModel:
         empty = np.array([not c for c in counts], bool)
         self.blank = float((y * w)[empty].sum() + self.prior) / float(w[empty].sum() + 1) if len(y) else self.prior
         self.steps = None
-        if len(y) and w.sum() > 0:
-            place = {i: p for p, i in enumerate(self.index.ids)}
-            raw = np.array([self.raw(c, place[e[0]])[0] for c, e in zip(counts, examples, strict=True)])
-            self.steps = _monotone(raw, y, w)
-        self.vectors.words = {}
+        self.counts = counts
+
+    def calibrate(self, spark: SparkSession) -> None:
+        """Learns the map from votes to probabilities from each example's vote without it, worked out by the executors."""
+        examples, self.counts = self.counts, []
+        y, ids = self.index.labels, self.index.ids
+        w = self.share[y.astype(int)] if len(y) else np.zeros(0)
+        if not len(y) or w.sum() <= 0:
+            return
+        place = {i: p for p, i in enumerate(ids)}
+        own: dict[tuple, list[int]] = {}
+        for i, c in zip(self.order_ids, examples, strict=True):
+            own.setdefault(c, []).append(place[i])
+        rows = [(p, [t for t, _ in c], [n for _, n in c]) for c, places in own.items() if c for p in places]
+        raw = np.full(len(y), self.raw(())[0])
+        if rows:
+            table = spark.createDataFrame(rows, "place long, terms array<long>, times array<long>").repartition(spark.sparkContext.defaultParallelism * 2, "place")
+            for r in table.mapInArrow(_left_out(self), "place long, vote double").collect():
+                raw[r["place"]] = r["vote"]
+        self.steps = _monotone(raw, y, w)
 
     def raw(self, counts: tuple, without: int = -1) -> tuple[float, list]:
         """The vote of the nearest: closeness to the fourth power, one row of the blank rate beside."""
@@ -183,6 +214,18 @@ class ToxicityModel:
         return min(1.0, max(0.0, raw)), [{"doc_id": self.index.ids[p], "similarity": c, "label": int(self.index.labels[p])} for c, p in near]
 
 
+def _left_out(model: ToxicityModel):
+    def run(batches):
+        for batch in batches:
+            votes = [
+                model.raw(tuple(zip(t, n, strict=True)), p)[0]
+                for p, t, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], ["place", "vote"])
+
+    return run
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
     """Learns from at most 2 * ``per_class`` labelled documents, whose texts' vectors come to the driver."""
     sample, sizes = labelled_sample(docs, labels, label, per_class)
@@ -198,7 +241,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     vocabulary = sorted((r["term"], r["n"]) for r in picked)
     slim = sample.mapInArrow(_only_terms({t for t, _ in vocabulary}), "doc_id long, y int, text string")
     examples = sorted(((r["doc_id"], r["y"], r["text"]) for r in slim.collect()), key=lambda r: (r[0], r[1], r[2]))
-    return ToxicityModel(vocabulary, list({e[0]: e for e in examples}.values()), sizes)
+    model = ToxicityModel(vocabulary, list({e[0]: e for e in examples}.values()), sizes)
+    model.calibrate(docs.sparkSession)
+    model.vectors.words, model.index.dense = {}, {}
+    return model
 
 
 def _only_terms(vocabulary: set[str]):
