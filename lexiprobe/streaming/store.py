@@ -1,0 +1,66 @@
+"""Append-and-resume stores: chunks with checksums, refusal of conflicts, leases, and a streaming append."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiprobe.operators.joins import Refused
+
+
+def row_checksum(columns: list[str]):
+    """sha256 of the columns as compact JSON with sorted names."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def missing(expected: DataFrame, present: DataFrame, key: list[str]) -> DataFrame:
+    """What is still to do."""
+    return expected.join(present, key, "left_anti")
+
+
+def merge_chunk(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Rows to append: keys that ``old`` lacks, once. A key that holds other values, in ``old`` or twice in ``new``, is refused."""
+    values = [c for c in new.columns if c not in key]
+    rows = new.withColumn("__sum", row_checksum(values))
+    twice = rows.groupBy(*key).agg(F.countDistinct("__sum").alias("n")).filter("n > 1").limit(3).collect()
+    known = old.select(*key, row_checksum(values).alias("__known"))
+    clash = rows.join(known, key).filter("__sum <> __known").select(*key).limit(3).collect()
+    if twice or clash:
+        raise Refused(f"rows conflict: {[tuple(r)[: len(key)] for r in twice or clash]}")
+    return rows.drop("__sum").dropDuplicates(key).join(old, key, "left_anti")
+
+
+def stream_append(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: list[str], max_files: int | None = None) -> None:
+    """Appends all files of ``source`` not yet taken to ``target`` (parquet), each key once; safe to run again."""
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        rows = rows.dropDuplicates(key)
+        if there:
+            rows = rows.join(spark.read.schema(schema).parquet(target), key, "left_anti")
+        rows.write.mode("append").parquet(target)
+
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    reader.parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def same_manifest(old: DataFrame, new: DataFrame) -> None:
+    """A manifest may be written again only as it is."""
+    if old.exceptAll(new).limit(1).count() or new.exceptAll(old).limit(1).count():
+        raise Refused("the manifest differs from the one that is there")
+
+
+def lease_states(beats: DataFrame, holder: str, at: str, now, stale_after: float = 600.0, released: str | None = None) -> DataFrame:
+    """holder, last_beat, state (held, stale or released) at time ``now`` (epoch seconds, a column)."""
+    last = beats.groupBy(holder).agg(F.max(at).alias("last_beat"), *([F.max_by(released, at).alias("__released")] if released else []))
+    state = F.when(now - F.col("last_beat") >= stale_after, "stale").otherwise("held")
+    if released:
+        state = F.when(F.col("__released"), "released").otherwise(state)
+    return last.select(holder, "last_beat", state.alias("state"))
+
+
+def may_acquire(states: DataFrame, holder: str, me: str) -> bool:
+    return not states.filter((F.col(holder) != me) & (F.col("state") == "held")).limit(1).count()
