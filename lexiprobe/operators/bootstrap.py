@@ -80,4 +80,5 @@ def bca_interval(boot: DataFrame, jack: DataFrame, observed: DataFrame, by: list
 
     rest = jack.select(*by, "stat", F.lit(False).alias("is_all")).unionByName(observed.select(*by, "stat", F.lit(True).alias("is_all")))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boot.select(*by).schema.fields) + ", observed double, lo double, hi double"
-    return boot.select(*by, "stat").groupBy(*by).cogroup(rest.groupBy(*by)).applyInPandas(one, schema)
+    rest = rest.toDF(*rest.columns)  # fresh column ids: all three may come from one table
+    return boot.select(*by, "stat").toDF(*by, "stat").groupBy(*by).cogroup(rest.groupBy(*by)).applyInPandas(one, schema)

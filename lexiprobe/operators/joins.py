@@ -80,7 +80,7 @@ def innermost(points: DataFrame, scopes: DataFrame, key: str, pos: str, point_id
 
 def shift_spans(s: Column, e: Column, edits: Column) -> Column:
     """A span moved by edits (array of struct s, e, repl): the edit's own span is renamed, others move by the growth of the edits before, partial overlap gives null."""
-    before = F.aggregate(edits, F.lit(0), lambda a, x: a + F.when(x["e"] <= s, F.length(x["repl"]) - (x["e"] - x["s"])).otherwise(0))
+    before = F.aggregate(edits, F.lit(0).cast("long"), lambda a, x: a + F.when(x["e"] <= s, (F.length(x["repl"]) - (x["e"] - x["s"])).cast("long")).otherwise(F.lit(0).cast("long")))
     own = F.filter(edits, lambda x: (x["s"] == s) & (x["e"] == e))
     clash = F.exists(edits, lambda x: (x["s"] < e) & (s < x["e"]) & ~((x["s"] == s) & (x["e"] == e)))
     width = F.when(F.size(own) > 0, F.length(F.element_at(own, 1)["repl"])).otherwise(e - s)
