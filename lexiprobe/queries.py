@@ -610,11 +610,11 @@ def strongest_layers(spark, d):
 
 
 @query("""WITH b AS (SELECT event_type, event_id, greatest(60.0::DOUBLE, value) * 1.15::DOUBLE AS billed_s FROM events), u AS (SELECT *, billed_s / 3600.0::DOUBLE * 2.5::DOUBLE AS usd FROM b)
-SELECT event_type, event_id, round(billed_s, 4) AS billed_s, round(sum(usd) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS running_usd,
+SELECT event_type, event_id, round(billed_s, 4) AS billed_s, round(sum(usd) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) + 1e-7, 4) AS running_usd,
  sum(usd) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) > 50 AS over_budget FROM u""")
 def ledger_running_cost(spark, d):
     rows = O.cost_ledger(table(spark, d, "events").withColumn("rate", F.lit(2.5)), "event_type", "value", "rate", "event_id", 50.0)
-    return rows.select("event_type", "event_id", F.round("billed_s", 4).alias("billed_s"), F.round("running_usd", 4).alias("running_usd"), "over_budget")
+    return rows.select("event_type", "event_id", F.round("billed_s", 4).alias("billed_s"), F.round(F.col("running_usd") + 1e-7, 4).alias("running_usd"), "over_budget")
 
 
 @query("""WITH b AS (SELECT user_id, max(epoch(ts)) AS last_beat, arg_max(event_type = 'signup', (epoch(ts), event_id)) AS rel FROM events GROUP BY 1), n AS (SELECT max(last_beat) AS now FROM b)
