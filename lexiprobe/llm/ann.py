@@ -6,7 +6,7 @@ their nearest centroids; queries visit the lists of their nearest centroids, as
 the recall asked for. Within a list,
 columns are read in blocks: after each block a hypothesis test on the partial distance (its expected
 share of the whole is the share of dimensions seen, with a deviation that falls with their number)
-abandons the candidates that will hardly come under the k-th best. What is left is scored exactly on
+abandons the candidates that will hardly come under the k-th best, that of the nearest list at first. What is left is scored exactly on
 the original vectors. A list that holds many of the vectors, or is visited by many of the queries, is
 cut into chunks of both, so that no task holds more than one chunk of either.
 """
@@ -107,41 +107,94 @@ def _assign(space: Space, data: bool, k: int):
     return run
 
 
+def _survivors(space: Space, x: np.ndarray, q: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) places that no test abandons: turned vectors against turned queries, block by block of columns.
+
+    ``limit`` is each query's squared distance to beat. As long as many pairs are alive their partial
+    distances come from matrix products; then only the pairs left are read on.
+    """
+    near = limit[:, None]
+    part = np.zeros((len(q), len(x)))
+    alive = np.ones(part.shape, bool)
+    done = 0
+    while done < space.padded and alive.mean() > 0.2:
+        a, b = x[:, done : done + BLOCK], q[:, done : done + BLOCK]
+        part += (b * b).sum(1)[:, None] + (a * a).sum(1) - 2 * (b @ a.T)
+        done += BLOCK
+        alive &= part <= near * _share(done, space.padded) + 1e-9 * space.norm**2
+    i, j = np.nonzero(alive)
+    rest = part[i, j]
+    while done < space.padded and len(i):
+        rest = rest + ((x[j, done : done + BLOCK] - q[i, done : done + BLOCK]) ** 2).sum(1)
+        done += BLOCK
+        stay = rest <= limit[i] * _share(done, space.padded) + 1e-9 * space.norm**2
+        i, j, rest = i[stay], j[stay], rest[stay]
+    return i, j
+
+
+def _share(seen: int, of: int) -> float:
+    """Most that a partial distance should be of the one to beat, given how many dimensions it has seen."""
+    return 1 + 1e-9 if seen >= of else (seen / of) * (1 + SLACK / seen**0.5) ** 2
+
+
 def _scan_list(space: Space, k: int):
+    """One chunk of a list and the queries that visit it: query_id, vec_id, score of the best k that beat the query's floor."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: list[list[np.ndarray]] = [[], [], []]
         if left.num_rows and right.num_rows:
             ids = left.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], _matrix(left.column("v"), space.width)[order]
-            qids, q = right.column("query_id").to_numpy(), _matrix(right.column("q"), space.width)
-            tx, tq = space.turned(x, True), space.turned(q, False)
-            blocks = [np.ascontiguousarray(tx[:, s : s + BLOCK]) for s in range(0, space.padded, BLOCK)]
-            seen = np.arange(1, len(blocks) + 1) * BLOCK
-            share = (seen / space.padded) * (1 + SLACK / np.sqrt(seen)) ** 2  # most that a partial distance should be of the k-th best
-            head = min(len(ids), 4 * k)
-            for i, qid in enumerate(qids.tolist()):
-                whole = ((tx[:head] - tq[i]) ** 2).sum(1)
-                limit = np.partition(whole, k)[k] if head > k else np.inf  # one more than k: the query's own row may be among them
-                alive, part = np.arange(head, len(ids)), np.zeros(len(ids) - head)
-                for b, block in enumerate(blocks):
-                    if not len(alive):
-                        break
-                    part = part + ((block[alive] - tq[i, b * BLOCK : (b + 1) * BLOCK]) ** 2).sum(1)
-                    stay = part <= limit * (share[b] if b < len(blocks) - 1 else 1.0) * (1 + 1e-9) + 1e-9 * space.norm**2
-                    alive, part = alive[stay], part[stay]
-                rows = np.concatenate([np.arange(head), alive])
-                rows = rows[ids[rows] != qid]
-                score = (x[rows] * q[i]).sum(1)
-                best = np.lexsort((ids[rows], -score))[:k]
-                out[0].extend([qid] * len(best))
-                out[1].extend(ids[rows][best].tolist())
-                out[2].extend(score[best].tolist())
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+            tx = space.turned(x, True)
+            all_q, all_ids, floor = _matrix(right.column("q"), space.width), right.column("query_id").to_numpy(), right.column("floor").to_numpy()
+            step = max(1, (1 << 19) // len(x))  # queries at a time: half a million pairs
+            for s in range(0, len(all_q), step):
+                q, qids, least = all_q[s : s + step], all_ids[s : s + step], floor[s : s + step]
+                tq = space.turned(q, False)
+                base = space.norm**2 + (q * q).sum(1)
+                limit = base - 2 * least  # of the distance that a score at the floor has
+                head = min(len(x), 4 * k)
+                if head > k:  # one more than k: the query's own row may be among them
+                    score = q @ x[:head].T
+                    limit = np.minimum(limit, base - 2 * -np.partition(-score, k, axis=1)[:, k])
+                i, j = _survivors(space, tx, tq, limit * (1 + 1e-9) + 1e-9)
+                own = ids[j] != qids[i]
+                i, j = i[own], j[own]
+                score = (x[j] * q[i]).sum(1)
+                best = np.lexsort((ids[j], -score, i))
+                i, j, score = i[best], j[best], score[best]
+                first = np.searchsorted(i, i)
+                keep = (np.arange(len(i)) - first < k) & (score >= least[i] - 1e-12)
+                for o, v in zip(out, (qids[i[keep]], ids[j[keep]], score[keep]), strict=True):
+                    o.append(v)
+        cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
+        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(float))})
 
     return run
 
 
+def _scan(data: DataFrame, asked: DataFrame, space: Space, k: int) -> DataFrame:
+    """All lists' chunks with the queries (query_id, q, list, floor) that visit them."""
+    # at most MAX_LISTS rows each
+    sizes = data.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK_VECTORS).cast("long").alias("parts"))
+    sizes = F.broadcast(sizes.join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("long").alias("asks")), "list"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = data.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).withColumn("ask", every("asks"))
+    right = asked.join(sizes, "list").withColumn("ask", F.pmod(F.xxhash64("query_id"), F.col("asks"))).withColumn("part", every("parts"))
+    return (
+        left.select("list", "part", "ask", "vec_id", "v").groupBy("list", "part", "ask")
+        .cogroup(right.select("list", "part", "ask", "query_id", "q", "floor").groupBy("list", "part", "ask"))
+        .applyInArrow(_scan_list(space, k), "query_id long, vec_id long, score double")
+    )
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """query_id, near: the best k (s: negative score, vec_id), nearest first."""
+    one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return one.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("near"))
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose id is divisible by ``every``.
 
@@ -166,20 +219,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None
     schema = "vec_id long, v array<double>, lists array<long>"
     data = cut(rows.mapInArrow(_assign(space, True, 1), schema).select("vec_id", "v", F.col("lists")[0].alias("list")))
     asked = rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0).mapInArrow(_assign(space, False, probes), schema)
-    asked = cut(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("lists").alias("list")))
-    # at most MAX_LISTS rows each
-    sizes = data.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK_VECTORS).cast("int").alias("parts"))
-    sizes = sizes.join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("asks")), "list")
-    sizes = F.broadcast(sizes)
-    left = data.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("long")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
-    right = asked.join(sizes, "list").withColumn("ask", F.pmod(F.xxhash64("query_id"), F.col("asks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))))
-    found = (
-        left.select("list", "part", "ask", "vec_id", "v").groupBy("list", "part", "ask")
-        .cogroup(right.select("list", "part", "ask", "query_id", "q").groupBy("list", "part", "ask"))
-        .applyInArrow(_scan_list(space, k), "query_id long, vec_id long, score double")
-    )
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    lists_of = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("near"))
+    asked = cut(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.posexplode("lists").alias("at", "list")))
+    # the nearest list first: its k-th best is the floor that the other lists' candidates must reach
+    first = cut(_scan(data, asked.filter("at = 0").withColumn("floor", F.lit(float("-inf"))), space, k))
+    floors = _best(first, k).select("query_id", F.when(F.size("near") >= k, -F.col("near")[k - 1]["s"]).alias("floor"))
+    rest = asked.filter("at > 0").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    lists_of = _best(first.unionByName(_scan(data, rest, space, k)), k)
     out = lists_of.select("query_id", F.posexplode("near").alias("at", "n"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), (-F.col("n.s")).alias("score"))
 

@@ -234,7 +234,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
         return ToxicityModel([], [], {})
     counts = sample.select("text", "y").mapInArrow(_count_terms, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a"))
     a, b, p = F.col("a"), F.col("n") - F.col("a"), F.lit(n1 / n)
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
+    safe = lambda x: F.log(F.greatest(F.lit(1e-12), x.cast("double")))
+    part = lambda x, e: F.when(x > 0, x * (safe(x) - safe(e))).otherwise(0.0)
     # two-sided cells inside and outside of the documents with the term
     ratio = 2 * (part(a, F.col("n") * p) + part(b, F.col("n") * (1 - p)) + part(n1 - a, (n - F.col("n")) * p) + part(n - n1 - b, (n - F.col("n")) * (1 - p)))
     picked = counts.withColumn("ratio", ratio).filter((F.col("ratio") >= MIN_RATIO) & (a > F.col("n") * p)).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
