@@ -95,6 +95,8 @@ def _split_words(pattern: str, buckets: int, block_chars: int):
             bucket = np.fromiter((zlib.crc32(w) for w in raw), np.int64, len(raw)) % buckets
             by = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+            if not len(cuts):  # empty texts only
+                return
             for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=True):
                 own = by[s:e]
                 some = [raw[i] for i in own.tolist()]

@@ -101,7 +101,7 @@ class BlockMaxIndex:
         self.start = np.searchsorted(cell, np.arange(len(idf) * max(1, self.blocks) + 1))
         self.top = np.zeros(len(idf) * max(1, self.blocks))
         np.maximum.at(self.top, cell, self.weight)
-        self.top = self.top.reshape(len(idf), -1)
+        self.top = self.top.reshape(len(idf), max(1, self.blocks))
         self.dense: dict = {}
 
     def vector(self, counts: tuple) -> tuple[np.ndarray, np.ndarray]:
