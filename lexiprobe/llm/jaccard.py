@@ -5,10 +5,10 @@
    by (count class, hash), the same order everywhere; of those with equal sets one goes on (a class).
 2. Two sets over the threshold share a shingle of their prefixes. Shingles that occur once cannot be
    shared, so most sets end here; the others enter the groups of their prefix's shingles.
-3. A group never forms all its pairs. Its most central class is tested against the rest, then, in
-   rounds, a few members of the group's main component against the classes not yet linked to it;
-   what is still apart (other component, lengths and positions that allow the threshold) is tested
-   in full, so no link between components is lost.
+3. A group never forms all its pairs. Its most central class is tested against the rest. What is not
+   linked to it then probes the classes of other labels around, in chunks of both, with an inverted
+   index of the prefixes in each; once linked to a label it leaves out that label's other classes, as
+   one link joins two components as well as many. No link between components is lost.
 4. A test puts the candidates of a probe into a trie of the sets in descending order of counts, where
    near copies share their beginnings, and walks it once: candidates share partial overlaps, and
    subtrees end where what remains cannot reach the overlap needed. Candidates come in chunks.
@@ -32,8 +32,8 @@ from lexiprobe.llm.shared import buckets_for, cut
 
 #: Input bytes for a block of documents and for a bucket of shingles.
 BLOCK_BYTES = BUCKET_BYTES = 4 << 20
-#: Candidates of a trie; rounds in which a few of a main component are tried first, and how many.
-CHUNK, ROUNDS, TRIES = 512, 2, 8
+#: Sets of a trie, and of either side of a chunk of probes.
+CHUNK = 512
 _FOLD = np.uint64(24)  # occurrences are counted by a hash's upper 40 bits: any function of the shingle gives a valid order
 
 
@@ -225,52 +225,77 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(_walk(percent), "u binary, v binary")
 
 
+def _probe_chunk(percent: int):
+    """cogroup of one chunk of a group's classes (x) and one of its classes outside of the main label (y): links (u, v).
+
+    Only classes that share a prefix shingle are walked to, lengths and positions permitting, in small
+    batches; once a class is linked to a label, that label's other classes are left out for it.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        u, v = [], []
+        if left.num_rows and right.num_rows:
+            read = lambda t: list(zip(*(t.column(c).to_pylist() for c in ("key", "label", "main", "n", "first")), (np.frombuffer(g, "<u8") for g in t.column("grams").to_pylist()), strict=True))
+            xs, ys = read(left), read(right)
+            upto = lambda n: n - (-(-percent * n // 100)) + 1
+            tokens = np.concatenate([x[5][x[4] : upto(x[3])] for x in xs])
+            lens = np.array([max(0, upto(x[3]) - x[4]) for x in xs])
+            owner, place = np.repeat(np.arange(len(xs)), lens), np.concatenate([np.arange(x[4], upto(x[3])) for x in xs])
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner, place = tokens[order], owner[order], place[order]
+            sizes = np.array([x[3] for x in xs])
+            for key, label, main, n, first, grams in ys:
+                own = grams[first : upto(n)]
+                lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+                at = np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
+                o, pos = owner[at], np.repeat(np.arange(first, upto(n)), hi - lo)
+                # the pair's first shared shingle must leave room for the overlap needed
+                room = np.minimum(n - pos, sizes[o] - place[at])
+                near = np.unique(o[(100 + percent) * room >= percent * (n + sizes[o])])
+                todo = [i for i in near.tolist() if xs[i][1] != label and (xs[i][1] == main or xs[i][0] < key)]
+                linked: set = set()
+                while todo:
+                    batch, todo = todo[:32], todo[32:]
+                    for i in trie_overlaps(grams, [xs[j][5] for j in batch], percent):
+                        x = xs[batch[i]]
+                        if x[1] not in linked:
+                            linked.add(x[1])
+                            u.append(key)
+                            v.append(x[0])
+                    todo = [j for j in todo if xs[j][1] not in linked]
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    return run
+
+
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links among ``sets`` (key, n, first, grams), enough that no component is torn."""
     tokens = sets.select("key", "n", "first", "grams").mapInArrow(_prefixes(percent), "token long, key binary, n int, pos int")
     groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    tokens = tokens.join(groups, "token")
+    tokens = tokens.select("token", "key", "n").join(groups, "token")
     central = tokens.groupBy("key").agg(F.sum("members").alias("central"))
-    tokens = cut(tokens.join(central, "key").select("token", "key", "n", "pos", "central"))
-    sets = cut(sets.select("key", "n", "grams").join(tokens.select("key").distinct(), "key", "left_semi"))
-    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    best = lambda *by: F.max_by(F.struct("key", "n", "label"), F.struct(*by))
-
-    links = tested = None
-    labels = tokens.select("key", F.col("key").alias("label")).distinct()
-    for turn in range(ROUNDS + 1):
-        rows = tokens.join(labels, "key")
-        if turn == 0:  # one hub a group
-            hubs = rows.groupBy("token").agg(best("central", "key").alias("hub"))
-        else:  # some members of the label that most of the group has
-            main = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-            salt = F.pmod(F.xxhash64(F.lit(turn), "key"), F.lit(TRIES))
-            hubs = rows.join(main, "token").filter("label = main").groupBy("token", salt.alias("salt")).agg(best(F.xxhash64(F.lit(-turn), F.col("key")), "key").alias("hub")).drop("salt")
-        pairs = rows.join(hubs, "token").filter((F.col("label") != F.col("hub.label")) & fits(F.col("n"), F.col("hub.n")))
-        pairs = pairs.select(F.col("hub.key").alias("a"), F.col("key").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        new = cut(verified(pairs, sets, percent))
-        links = new if links is None else links.unionByName(new)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        # a linked class takes the label of what it links to: labels name classes it is connected with
-        step = new.join(labels.select(F.col("key").alias("u"), F.col("label").alias("up")), "u").groupBy(F.col("v").alias("key")).agg(F.min("up").alias("up"))
-        labels = cut(labels.join(step, "key", "left").select("key", F.coalesce("up", "label").alias("label")))
-    rows = cut(tokens.join(labels, "key"))
-    main = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    apart = rows.join(main.filter("labels > 1"), "token")
-    y, x = apart.filter("label <> main").alias("y"), apart.alias("x")
-    both = y.join(x, F.col("y.token") == F.col("x.token"))
-    # each once where both are outside of the main label; the first shared place bounds the overlap
-    once = (F.col("x.label") == F.col("x.main")) | (F.col("y.key") < F.col("x.key"))
-    room = F.least(F.col("y.n") - F.col("y.pos"), F.col("x.n") - F.col("x.pos"))
-    # a pair's first shared shingle leaves this room; later shared ones leave less, so the pair's largest room decides
-    both = both.filter((F.col("y.label") != F.col("x.label")) & once & fits(F.col("y.n"), F.col("x.n")))
-    pairs = both.groupBy(F.col("y.key").alias("a"), F.col("x.key").alias("b")).agg(F.max(room).alias("room"), F.max(F.col("y.n") + F.col("x.n")).alias("sum"))
-    pairs = pairs.filter((100 + percent) * F.col("room") >= percent * F.col("sum")).select("a", "b")
-    pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    return links.unionByName(verified(cut(pairs), sets, percent))
+    tokens = tokens.join(central, "key").select("token", "key", "n", "central")
+    # the hub of a token's group, and everything that shares the token: a star, never the group's pairs
+    hubs = tokens.groupBy("token").agg(F.max_by(F.struct("key", "n"), F.struct("central", "key")).alias("hub"))
+    stars = cut(tokens.join(hubs, "token").select(F.col("hub.key").alias("a"), F.col("key").alias("b"), F.col("hub.n").alias("an"), F.col("n").alias("bn")).distinct())
+    members = stars.select(F.col("b").alias("key"))
+    sets = cut(sets.join(members.unionByName(stars.select(F.col("a").alias("key"))).distinct(), "key", "left_semi"))
+    fits = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
+    links = cut(verified(stars.filter(F.col("a") != F.col("b")).filter(fits).select("a", "b"), sets, percent))
+    # labels name a class that is known to be connected; groups are what shares shingles, however far around
+    labels = links.groupBy(F.col("v").alias("key")).agg(F.min("u").alias("label"))
+    whole = connected_components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("key"), F.col("root").alias("whole"))
+    rows = sets.join(labels, "key", "left").join(whole, "key", "left").withColumn("label", F.coalesce("label", "key")).withColumn("whole", F.coalesce("whole", "key"))
+    rows = cut(rows.select("key", "n", "first", "grams", "label", "whole"))
+    main = rows.groupBy("whole", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("whole").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("nx"), F.max("c").alias("nm"))
+    main = main.filter("nx > nm").select("whole", "main", F.ceil(F.col("nx") / CHUNK).cast("long").alias("cx"), F.ceil((F.col("nx") - F.col("nm")) / CHUNK).cast("long").alias("cy"))
+    rows = rows.join(main, "whole")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keep = ["whole", "x", "y", "key", "label", "main", "n", "first", "grams"]
+    x = rows.withColumn("x", F.pmod(F.xxhash64("key"), F.col("cx"))).withColumn("y", every("cy")).select(*keep)
+    y = rows.filter("label <> main").withColumn("y", F.pmod(F.xxhash64("key", F.lit(1)), F.col("cy"))).withColumn("x", every("cx")).select(*keep)
+    apart = x.groupBy("whole", "x", "y").cogroup(y.toDF(*keep).groupBy("whole", "x", "y")).applyInArrow(_probe_chunk(percent), "u binary, v binary")
+    return links.unionByName(apart)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, buckets: int | None = None) -> DataFrame:
