@@ -22,7 +22,7 @@ def join_tokens(tokens: Column) -> Column:
         depth = F.when(t == "INDENT", a["depth"] + 1).when(t == "DEDENT", F.greatest(F.lit(0), a["depth"] - 1)).otherwise(a["depth"])
         return F.struct(depth.alias("depth"), F.when(mark, none).otherwise(F.concat(a["line"], F.array(t))).alias("line"), F.when(mark, flushed(a)).otherwise(a["lines"]).alias("lines"))
 
-    return F.trim(F.array_join(F.aggregate(tokens, start, step, flushed), "\n"))
+    return F.regexp_replace(F.array_join(F.aggregate(tokens, start, step, flushed), "\n"), r"^\s+|\s+$", "")
 
 
 def join_brace_tokens(tokens: Column, php: bool = False) -> Column:
@@ -32,7 +32,7 @@ def join_brace_tokens(tokens: Column, php: bool = False) -> Column:
         text = F.regexp_replace(text, pattern, to)
     if php:
         text = F.regexp_replace(F.regexp_replace(text, r"\$\s+(?=\w)", r"\$"), r"\s*(->|::)\s*", "$1")
-    return F.trim(text)
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def problem_id(text: Column) -> Column:
