@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+    return {
+        "op2_exact_dedup": exact_dedup.OP2_SQL,
+        "op3_mixing": mixing.OP3_SQL,
+        "op4_substring_dedup": substring_dedup.OP4_SQL,
+        "op6_jaccard": jaccard.OP6_SQL,
+        "op8_line_dedup": line_dedup.OP8_SQL,
+    }

@@ -227,6 +227,18 @@ def substring_dedup(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_c
     return row.select("doc_id", n_words.cast("long").alias("n_words"), F.col("cut.n_removed").alias("n_removed"), F.coalesce("cut.kept", "plain").alias("kept"), "paths")
 
 
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+v AS (SELECT doc_id, p, word, count(*) OVER o AS n, string_agg(word, ' ') OVER o AS win FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS nth FROM v WHERE n = 20),
+l AS (SELECT v.doc_id, v.p, v.word, max(CASE WHEN f.nth > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY v.doc_id ORDER BY v.p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM v LEFT JOIN f ON v.doc_id = f.doc_id AND v.p = f.p),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone = 1) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM l GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
