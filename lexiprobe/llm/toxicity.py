@@ -26,7 +26,7 @@ from lexiprobe.llm.labelled import held_out, labelled_sample
 PER_CLASS = 8_000
 #: Terms of the vocabulary, at most, and the likelihood ratio that each must reach.
 MAX_TERMS, MIN_RATIO = 4_096, 25.0
-NEIGHBOURS, BLOCK = 25, 64
+NEIGHBOURS, BLOCK, GROUP = 25, 128, 8
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = range(4, 9)
 
@@ -126,20 +126,29 @@ class BlockMaxIndex:
         wide = np.zeros(len(self.idf))
         wide[terms] = q
         bound = q @ self.top[terms]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         score, place = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(score) == k and bound[b] < score[-1]):
-                break
-            own, weights = self._block(b)
-            s = weights @ wide[own]
-            new = np.flatnonzero(s > (score[-1] - 1e-12 if len(score) == k else 0.0))
-            new = new[b * BLOCK + new != without]
-            if len(new):
-                score, place = np.concatenate([score, s[new]]), np.concatenate([place, b * BLOCK + new])
-                best = np.lexsort((place, -score))[:k]
-                score, place = score[best], place[best]
+        for at in range(0, len(order), GROUP):  # a few blocks at a time: their bounds fall
+            some = order[at : at + GROUP]
+            if len(score) == k:
+                some = some[bound[some] >= score[-1]]
+                if not len(some):
+                    break
+            s = np.concatenate([self._score_block(b, wide) for b in some.tolist()])
+            p = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            new = np.flatnonzero((s > (score[-1] - 1e-12 if len(score) == k else 0.0)) & (p != without))
+            if len(new) > 4 * k:  # ties at the cut stay in
+                new = new[s[new] >= np.partition(s[new], len(new) - k)[len(new) - k]]
+            score, place = np.concatenate([score, s[new]]), np.concatenate([place, p[new]])
+            best = np.lexsort((place, -score))[:k]
+            score, place = score[best], place[best]
         return list(zip(score.tolist(), place.tolist(), strict=True))
 
+    def _score_block(self, b: int, wide: np.ndarray) -> np.ndarray:
+        terms, weights = self._block(b)
+        return weights @ wide[terms]
+
 
 def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: increasing steps (first x, value), each smoothed by one row at the mean."""
@@ -189,9 +198,10 @@ class ToxicityModel:
         for i, c in zip(self.order_ids, examples, strict=True):
             own.setdefault(c, []).append(place[i])
         rows = [(p, [t for t, _ in c], [n for _, n in c]) for c, places in own.items() if c for p in places]
+        rows = pa.table({"place": pa.array([r[0] for r in rows], pa.int64()), "terms": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "times": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
         raw = np.full(len(y), self.raw(())[0])
-        if rows:
-            table = spark.createDataFrame(rows, "place long, terms array<long>, times array<long>").repartition(spark.sparkContext.defaultParallelism * 2, "place")
+        if rows.num_rows:
+            table = spark.createDataFrame(rows).repartition(spark.sparkContext.defaultParallelism * 2, "place")
             for r in table.mapInArrow(_left_out(self), "place long, vote double").collect():
                 raw[r["place"]] = r["vote"]
         self.steps = _monotone(raw, y, w)
