@@ -1,12 +1,12 @@
 """Operator 1, toxicity by the nearest labelled examples.
 
-Terms are words and word beginnings; those that a likelihood-ratio test ties to the label on a
-bounded sample of labelled documents make the vocabulary. Examples are TF-IDF vectors over it, kept
-in an inverted index whose postings are cut into blocks of examples with each block's largest weight.
-A text's exact nearest examples by cosine are found by visiting blocks in the order of their upper
-bounds until no block can beat the k-th best. Votes are weighted by closeness, and a monotone map
-learned from the examples themselves, each left out in turn, makes the votes probabilities. The
-index is bounded by the sample; texts are scored where they are read, without any shuffle.
+Terms are words and word beginnings, all that the bounded sample of labelled documents holds, weighted
+by document frequency alone. Examples are TF-IDF vectors of their whole texts in an inverted index: a
+text's cosines with all of them are added up from the postings of its terms, those of the commonest
+terms as one matrix product, and what comes near the k-th best is worked out again in double
+precision, so the nearest are exact. Votes are weighted by closeness, and a monotone map learned from
+the examples themselves, each left out in turn, makes the votes probabilities. The index is bounded
+by the sample; texts are scored where they are read, without any shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,8 @@ from lexiprobe.llm.labelled import held_out, labelled_sample
 
 #: Labelled rows of each class that are learned from, at most.
 PER_CLASS = 8_000
-#: Terms of the vocabulary, at most, and the likelihood ratio that each must reach.
-MAX_TERMS, MIN_RATIO = 4_096, 25.0
-NEIGHBOURS, BLOCK, GROUP = 25, 128, 8
+#: Terms of more than a COMMON-th of the examples are kept as a matrix; texts are scored BATCH at a time.
+NEIGHBOURS, COMMON, BATCH = 25, 16, 64
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = range(4, 9)
 
@@ -36,118 +36,133 @@ def terms_of(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in _PREFIXES if n <= len(word))]
 
 
-def _count_terms(batches):
-    """Documents and toxic documents of each term, summed up within a task (flushed when large)."""
-    n, toxic = Counter(), Counter()
-
-    def flush():
-        keys = list(n)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array([toxic[k] for k in keys], pa.int64())], ["term", "n", "toxic"])
-
-    for batch in batches:
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {t for w in set(_WORD.findall((text or "").lower())) for t in terms_of(w)}
-            n.update(own)
-            if y:
-                toxic.update(own)
-            if len(n) > 400_000:
-                yield flush()
-                n.clear()
-                toxic.clear()
-    if n:
-        yield flush()
-
-
 class Vectors:
-    """Term counts of a text over a vocabulary; words seen are remembered (up to a bound)."""
+    """Term counts of a text over a vocabulary, as rows (term, times) in the order of terms; words seen are remembered (up to a bound)."""
 
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary, self.words = vocabulary, {}
 
-    def counts(self, text: str) -> tuple:
-        found = _WORD.findall(text.lower())
-        out: Counter = Counter()
-        for w in set(found):
+    def counts(self, text: str) -> np.ndarray:
+        return self.of_words(Counter(_WORD.findall(text.lower())))
+
+    def of_words(self, found: dict[str, int], grow: bool = False) -> np.ndarray:
+        """With ``grow``, terms not in the vocabulary are added."""
+        terms, times = [], []
+        for w, c in found.items():
             own = self.words.get(w)
             if own is None:
-                if len(self.words) > 300_000:
+                if len(self.words) > 100_000:
                     self.words.clear()
-                own = self.words[w] = tuple(self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary)
-            if own:
-                times = found.count(w)
-                for t in own:
-                    out[t] += times
-        return tuple(sorted(out.items()))
+                known = self.vocabulary
+                own = [known.setdefault(t, len(known)) for t in terms_of(w)] if grow else [known[t] for t in terms_of(w) if t in known]
+                self.words[w] = own
+            terms += own
+            times += [c] * len(own)
+        terms, at = np.unique(np.array(terms, np.int64), return_inverse=True)
+        return np.stack([terms, np.bincount(at, np.array(times, float), len(terms)).astype(np.int64)], 1).astype(np.int32)
+
+
+def _pairs(counts) -> np.ndarray:
+    return np.asarray(counts, np.int32).reshape(-1, 2)
 
 
-class BlockMaxIndex:
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    size = end - start
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+class ExactIndex:
     """Exact k nearest examples by cosine of TF-IDF vectors."""
 
-    def __init__(self, examples: list[tuple], ids: list, labels: np.ndarray, idf: np.ndarray):
-        # like examples stand together, which makes the blocks' bounds tight
-        order = sorted(range(len(examples)), key=lambda i: (examples[i], i))
-        self.ids, self.labels, self.idf = [ids[i] for i in order], labels[order], idf
-        self.blocks = -(-len(order) // BLOCK)
-        ex, term, weight = [], [], []
-        for place, i in enumerate(order):
-            t, w = self.vector(examples[i])
-            ex.append(np.full(len(t), place))
-            term.append(t)
-            weight.append(w)
-        ex, term, weight = (np.concatenate(x) if x else np.zeros(0) for x in (ex, term, weight))
-        by = np.lexsort((ex, term))
-        self.ex, term, self.weight = ex[by].astype(np.int64), term[by].astype(np.int64), weight[by]
-        cell = term * max(1, self.blocks) + self.ex // BLOCK
-        self.start = np.searchsorted(cell, np.arange(len(idf) * max(1, self.blocks) + 1))
-        self.top = np.zeros(len(idf) * max(1, self.blocks))
-        np.maximum.at(self.top, cell, self.weight)
-        self.top = self.top.reshape(len(idf), max(1, self.blocks))
-        self.dense: dict = {}
-
-    def vector(self, counts: tuple) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array([c[0] for c in counts], np.int64)
-        w = (1 + np.log(np.array([c[1] for c in counts], float))) * self.idf[t]
-        return t, w / math.sqrt(float(w @ w)) if len(w) else w
-
-    def _block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """The block's terms and its examples' weights of them, made when first visited."""
-        if b not in self.dense:
-            s, e = self.start[: -1].reshape(len(self.idf), -1)[:, b], self.start[1:].reshape(len(self.idf), -1)[:, b]
-            terms = np.flatnonzero(e > s)
-            weights = np.zeros((BLOCK, len(terms)))
-            for i, t in enumerate(terms.tolist()):
-                weights[self.ex[s[t] : e[t]] - b * BLOCK, i] = self.weight[s[t] : e[t]]
-            self.dense[b] = terms, weights
-        return self.dense[b]
-
-    def nearest(self, counts: tuple, k: int, without: int = -1) -> list[tuple[float, int]]:
+    def __init__(self, examples: list, ids: list, labels: np.ndarray, idf: np.ndarray):
+        examples = [_pairs(e) for e in examples]
+        self.ids, self.labels, self.idf = ids, labels, np.asarray(idf, float)
+        self.row = np.concatenate([[0], np.cumsum([len(e) for e in examples])]).astype(np.int64)
+        pairs = np.concatenate(examples) if examples else _pairs([])
+        self.term, self.times = pairs[:, 0].copy(), pairs[:, 1].copy()
+        self.norm = np.array([math.sqrt(float(w @ w)) or 1.0 for w in (self._weights(e[:, 0], e[:, 1]) for e in examples)])
+        self.ready = False
+
+    def __getstate__(self):
+        made = ("dense", "at", "start", "ex", "weight", "wide")  # by each worker, when first asked
+        return {k: v for k, v in self.__dict__.items() if k not in made} | {"ready": False}
+
+    def _weights(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return (1 + np.log(times)) * self.idf[terms]
+
+    def _make(self) -> None:
+        n, size = len(self.ids), len(self.idf)
+        df = np.bincount(self.term, minlength=size)
+        common = np.flatnonzero(df * COMMON > n)
+        self.at = np.full(size, -1, np.int32)
+        self.at[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n), np.float32)
+        rare, ex, weight = [], [], []
+        for i in range(n):
+            t = self.term[self.row[i] : self.row[i + 1]]
+            w = (self._weights(t, self.times[self.row[i] : self.row[i + 1]]) / self.norm[i]).astype(np.float32)
+            at = self.at[t]
+            self.dense[at[at >= 0], i] = w[at >= 0]
+            rare.append(t[at < 0])
+            weight.append(w[at < 0])
+            ex.append(np.full(len(rare[-1]), i, np.int32))
+        rare, ex, weight = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rare, ex, weight))
+        by = np.argsort(rare, kind="stable")
+        self.ex, self.weight = ex[by], weight[by]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(rare, minlength=size))]).astype(np.int64)
+        self.wide = np.zeros(size)
+        self.ready = True
+
+    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
+        counts = _pairs(counts)
+        w = self._weights(counts[:, 0], counts[:, 1])
+        return counts[:, 0], w / math.sqrt(float(w @ w)) if len(w) else w
+
+    def example(self, place: int) -> np.ndarray:
+        at = slice(self.row[place], self.row[place + 1])
+        return np.stack([self.term[at], self.times[at]], 1)
+
+    def nearest(self, counts, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the k nearest, ties to the smaller place; only those with a cosine over 0."""
-        terms, q = self.vector(counts)
-        wide = np.zeros(len(self.idf))
-        wide[terms] = q
-        bound = q @ self.top[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        score, place = np.zeros(0), np.zeros(0, np.int64)
-        for at in range(0, len(order), GROUP):  # a few blocks at a time: their bounds fall
-            some = order[at : at + GROUP]
-            if len(score) == k:
-                some = some[bound[some] >= score[-1]]
-                if not len(some):
-                    break
-            s = np.concatenate([self._score_block(b, wide) for b in some.tolist()])
-            p = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            new = np.flatnonzero((s > (score[-1] - 1e-12 if len(score) == k else 0.0)) & (p != without))
-            if len(new) > 4 * k:  # ties at the cut stay in
-                new = new[s[new] >= np.partition(s[new], len(new) - k)[len(new) - k]]
-            score, place = np.concatenate([score, s[new]]), np.concatenate([place, p[new]])
-            best = np.lexsort((place, -score))[:k]
-            score, place = score[best], place[best]
-        return list(zip(score.tolist(), place.tolist(), strict=True))
-
-    def _score_block(self, b: int, wide: np.ndarray) -> np.ndarray:
-        terms, weights = self._block(b)
-        return weights @ wide[terms]
+        return self.nearest_of([counts], k, [without])[0]
+
+    def nearest_of(self, many: list, k: int, without: list[int]) -> list[list[tuple[float, int]]]:
+        if not self.ready:
+            self._make()
+        vectors, n = [self.vector(c) for c in many], len(self.ids)
+        q = np.zeros((len(many), len(self.dense)), np.float32)
+        for i, (t, w) in enumerate(vectors):
+            at = self.at[t]
+            q[i, at[at >= 0]] = w[at >= 0]
+        near = q @ self.dense
+        # vectors are of length 1: no single-precision sum is off by more
+        slack = 2 * (len(self.dense) + 64) * 2.0**-24
+        return [self._best(t, w, near[i], min(k, n), without[i], slack) if len(t) and n else [] for i, (t, w) in enumerate(vectors)]
+
+    def _best(self, t: np.ndarray, w: np.ndarray, near: np.ndarray, k: int, without: int, slack: float) -> list[tuple[float, int]]:
+        rare = self.at[t] < 0
+        s, e = self.start[t[rare]], self.start[t[rare] + 1]
+        flat = _ranges(s, e)
+        score = near + np.bincount(self.ex[flat], self.weight[flat] * np.repeat(w[rare], e - s), len(near))
+        if without >= 0:
+            score[without] = -1.0
+        place = np.flatnonzero(score >= max(np.partition(score, len(score) - k)[len(score) - k] - 2 * slack, 0.0))
+        s, e = self.row[place], self.row[place + 1]
+        place, s, e = place[e > s], s[e > s], e[e > s]
+        if not len(place):
+            return []
+        self.wide[t] = w
+        flat = _ranges(s, e)
+        terms = self.term[flat]
+        shared = self.wide[terms] * self._weights(terms, self.times[flat])
+        self.wide[t] = 0.0
+        exact = np.round(np.add.reduceat(shared, np.cumsum(e - s) - (e - s)) / self.norm[place], 14)
+        best = np.lexsort((place, -exact))[:k]
+        return [(c, p) for c, p in zip(exact[best].tolist(), place[best].tolist(), strict=True) if c > 0]
+
+
+BlockMaxIndex = ExactIndex  # its former name
 
 
 def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,128 +184,112 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 class ToxicityModel:
     """What is learned: vocabulary, index of examples, calibration. Bounded by the sample."""
 
-    def __init__(self, vocabulary: list[tuple[str, int]], examples: list[tuple], sizes: dict[int, int]):
+    def __init__(self, ids: list[int], y: list[int], words: Iterable[dict[str, int]], sizes: dict[int, int]):
         self.prior = sizes.get(1, 0) / max(1, sum(sizes.values())) if sizes else 0.5
-        y = np.array([e[1] for e in examples], float)
-        self.order_ids = [e[0] for e in examples]
+        y = np.array(y, float)
         own = np.array([(y == 0).sum(), (y == 1).sum()], float)
         #: rows of the table that a sampled row of class 0 or 1 stands for
         self.share = np.array([sizes.get(c, 0) / own[c] if own[c] else 0.0 for c in (0, 1)])
-        self.vectors = Vectors({t: i for i, (t, _) in enumerate(vocabulary)})
-        idf = np.array([math.log((1 + len(y)) / (1 + n)) + 1 for _, n in vocabulary])
-        counts = [self.vectors.counts(e[2] or "") for e in examples]
-        self.index = BlockMaxIndex(counts, [e[0] for e in examples], y, idf)
+        self.vectors = Vectors({})
+        counts = [self.vectors.of_words(w, grow=True) for w in words]
+        self.vectors.words = {}
+        df = np.bincount(np.concatenate([c[:, 0] for c in counts]) if counts else np.zeros(0, np.int64), minlength=len(self.vectors.vocabulary))
+        self.index = ExactIndex(counts, ids, y, np.log((1 + len(y)) / (1 + df)) + 1)
         w = self.share[y.astype(int)] if len(y) else np.zeros(0)
-        empty = np.array([not c for c in counts], bool)
+        empty = np.array([not len(c) for c in counts], bool)
         self.blank = float((y * w)[empty].sum() + self.prior) / float(w[empty].sum() + 1) if len(y) else self.prior
         self.steps = None
-        self.counts = counts
 
     def calibrate(self, spark: SparkSession) -> None:
         """Learns the map from votes to probabilities from each example's vote without it, worked out by the executors."""
-        examples, self.counts = self.counts, []
-        y, ids = self.index.labels, self.index.ids
+        y = self.index.labels
         w = self.share[y.astype(int)] if len(y) else np.zeros(0)
         if not len(y) or w.sum() <= 0:
             return
-        place = {i: p for p, i in enumerate(ids)}
-        own: dict[tuple, list[int]] = {}
-        for i, c in zip(self.order_ids, examples, strict=True):
-            own.setdefault(c, []).append(place[i])
-        rows = [(p, [t for t, _ in c], [n for _, n in c]) for c, places in own.items() if c for p in places]
-        rows = pa.table({"place": pa.array([r[0] for r in rows], pa.int64()), "terms": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "times": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
-        raw = np.full(len(y), self.raw(())[0])
-        if rows.num_rows:
-            table = spark.createDataFrame(rows).repartition(spark.sparkContext.defaultParallelism * 2, "place")
-            for r in table.mapInArrow(_left_out(self), "place long, vote double").collect():
-                raw[r["place"]] = r["vote"]
+        raw = np.zeros(len(y))
+        sent = spark.sparkContext.broadcast(self)
+        table = spark.createDataFrame(pa.table({"place": pa.array(range(len(y)), pa.int64())})).repartition(spark.sparkContext.defaultParallelism * 2, "place")
+        for r in table.mapInArrow(_left_out(sent), "place long, vote double").collect():
+            raw[r["place"]] = r["vote"]
+        sent.destroy()
         self.steps = _monotone(raw, y, w)
 
-    def raw(self, counts: tuple, without: int = -1) -> tuple[float, list]:
-        """The vote of the nearest: closeness to the fourth power, one row of the blank rate beside."""
-        near = self.index.nearest(counts, NEIGHBOURS, without) if counts else []
-        for_it = all_ = 0.0
-        for cos, place in near:
-            y = int(self.index.labels[place])
-            v = cos**4 * self.share[y] / max(1e-9, float(self.share.max()))
-            for_it += v * y
-            all_ += v
-        return (for_it + 0.25 * self.blank) / (all_ + 0.25), near[:3]
-
-    def score(self, counts: tuple) -> tuple[float, list]:
-        raw, near = self.raw(counts)
-        if self.steps is not None and len(self.steps[0]):
-            raw = float(self.steps[1][max(0, int(np.searchsorted(self.steps[0], raw + 1e-12)) - 1)])
-        return min(1.0, max(0.0, raw)), [{"doc_id": self.index.ids[p], "similarity": c, "label": int(self.index.labels[p])} for c, p in near]
-
-
-def _left_out(model: ToxicityModel):
+    def raw(self, many: list[np.ndarray], without: list[int]) -> list[tuple[float, list]]:
+        """The vote of the nearest, of each: closeness to the fourth power, one row of the blank rate beside."""
+        out = []
+        for near in self.index.nearest_of(many, NEIGHBOURS, without):
+            for_it = all_ = 0.0
+            for cos, place in near:
+                y = int(self.index.labels[place])
+                v = cos**4 * self.share[y] / max(1e-9, float(self.share.max()))
+                for_it += v * y
+                all_ += v
+            out.append(((for_it + 0.25 * self.blank) / (all_ + 0.25), near[:3]))
+        return out
+
+    def score(self, many: list[np.ndarray]) -> list[tuple[float, list]]:
+        out = []
+        for raw, near in self.raw(many, [-1] * len(many)):
+            if self.steps is not None and len(self.steps[0]):
+                raw = float(self.steps[1][max(0, int(np.searchsorted(self.steps[0], raw + 1e-12)) - 1)])
+            out.append((min(1.0, max(0.0, raw)), [{"doc_id": self.index.ids[p], "similarity": c, "label": int(self.index.labels[p])} for c, p in near]))
+        return out
+
+
+def _left_out(sent):
     def run(batches):
+        model = sent.value
         for batch in batches:
-            votes = [
-                model.raw(tuple(zip(t, n, strict=True)), p)[0]
-                for p, t, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], ["place", "vote"])
+            for at in range(0, batch.num_rows, BATCH):
+                places = batch.column(0).slice(at, BATCH)
+                p = places.to_pylist()
+                votes = [v for v, _ in model.raw([model.index.example(i) for i in p], p)]
+                yield pa.RecordBatch.from_arrays([places, pa.array(votes, pa.float64())], ["place", "vote"])
 
     return run
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
-    """Learns from at most 2 * ``per_class`` labelled documents, whose texts' vectors come to the driver."""
+    """Learns from at most 2 * ``per_class`` labelled documents, whose words' counts come to the driver."""
     sample, sizes = labelled_sample(docs, labels, label, per_class)
-    n1, n = min(per_class, sizes.get(1, 0)), sum(min(per_class, sizes.get(c, 0)) for c in (0, 1))
-    if not n:
-        return ToxicityModel([], [], {})
-    counts = sample.select("text", "y").mapInArrow(_count_terms, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a"))
-    a, b, p = F.col("a"), F.col("n") - F.col("a"), F.lit(n1 / n)
-    safe = lambda x: F.log(F.greatest(F.lit(1e-12), x.cast("double")))
-    part = lambda x, e: F.when(x > 0, x * (safe(x) - safe(e))).otherwise(0.0)
-    # two-sided cells inside and outside of the documents with the term
-    ratio = 2 * (part(a, F.col("n") * p) + part(b, F.col("n") * (1 - p)) + part(n1 - a, (n - F.col("n")) * p) + part(n - n1 - b, (n - F.col("n")) * (1 - p)))
-    picked = counts.withColumn("ratio", ratio).filter((F.col("ratio") >= MIN_RATIO) & (a > F.col("n") * p)).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
-    vocabulary = sorted((r["term"], r["n"]) for r in picked)
-    slim = sample.mapInArrow(_only_terms({t for t, _ in vocabulary}), "doc_id long, y int, text string")
-    examples = sorted(((r["doc_id"], r["y"], r["text"]) for r in slim.collect()), key=lambda r: (r[0], r[1], r[2]))
-    model = ToxicityModel(vocabulary, list({e[0]: e for e in examples}.values()), sizes)
+    if not sum(sizes.get(c, 0) for c in (0, 1)):
+        return ToxicityModel([], [], [], {})
+    found = sample.mapInArrow(_word_counts, "doc_id long, y int, words array<string>, times array<int>").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    words = lambda i: dict(zip(found["words"][i].as_py(), found["times"][i].as_py(), strict=True))
+    places: dict[int, list[int]] = {}
+    for i, doc_id in enumerate(found["doc_id"].to_pylist()):
+        places.setdefault(doc_id, []).append(i)
+    # of repeated ids one text counts, the last in the order of word counts
+    chosen = [max(at, key=lambda i: list(words(i).items())) if len(at) > 1 else at[0] for at in places.values()]
+    model = ToxicityModel(list(places), [found["y"][i].as_py() for i in chosen], map(words, chosen), sizes)
     model.calibrate(docs.sparkSession)
-    model.vectors.words, model.index.dense = {}, {}
     return model
 
 
-def _only_terms(vocabulary: set[str]):
-    """Texts reduced to the words that have a term in the vocabulary, so that examples stay small on the driver."""
-
-    def run(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            text = [" ".join(w for w in _WORD.findall((t or "").lower()) if any(x in vocabulary for x in terms_of(w))) for t in table.column("text").to_pylist()]
-            for b in pa.table({"doc_id": table.column("doc_id"), "y": table.column("y").cast(pa.int32()), "text": pa.array(text, pa.string())}).to_batches():
-                yield b
-
-    return run
+def _word_counts(batches):
+    """Each example's distinct words, sorted, and how often it holds each."""
+    for batch in batches:
+        of = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        found = [sorted(Counter(_WORD.findall((t or "").lower())).items()) for t in of["text"].to_pylist()]
+        words, times = pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([of["doc_id"], of["y"].cast(pa.int32()), words, times], ["doc_id", "y", "words", "times"])
 
 
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
 
-def _score(model: ToxicityModel):
+def _score(sent):
     def run(batches):
-        known: dict = {}
+        model = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                scores, evidence = [], []
-                for text in part.column(2).to_pylist():
-                    counts = model.vectors.counts(text or "")
-                    if counts not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        known[counts] = model.score(counts)
-                    s, near = known[counts]
-                    scores.append(s)
-                    evidence.append(near)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE)], ["doc_id", "held_out", "score", "evidence"])
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                texts = [t or "" for t in part.column(2).to_pylist()]
+                own = list(dict.fromkeys(texts))
+                known = dict(zip(own, model.score([model.vectors.counts(t) for t in own]), strict=True))
+                scores, evidence = pa.array([known[t][0] for t in texts], pa.float64()), pa.array([known[t][1] for t in texts], _EVIDENCE)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), scores, evidence], ["doc_id", "held_out", "score", "evidence"])
 
     return run
 
@@ -298,7 +297,7 @@ def _score(model: ToxicityModel):
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted, evidence (the three nearest examples), for every row of ``docs``.
 
-    Only text is looked at. A text without any vocabulary term, null and empty ones too, gets the
+    Only text is looked at. A text without any term of the examples, null and empty ones too, gets the
     calibrated rate of such examples; without labels all get 0.5. Null and repeated ids are scored
     alone and never learned from if null. An empty table gives no rows; other columns are ignored
     whatever their names.
@@ -306,7 +305,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = fit_toxicity(docs, labels, label, per_class)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    out = rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>")
+    out = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 

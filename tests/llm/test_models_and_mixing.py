@@ -47,6 +47,15 @@ def test_toxicity_looks_at_text_alone(spark):
     assert a == b  # labels of held-out rows change nothing
 
 
+def test_toxicity_learns_from_a_few_examples(spark):
+    """All terms count: a handful of toxic examples, which no test of significance would tell from chance, still rank a text."""
+    docs = [(i, f"plain words {i} a pleasant day with text {i % 7}") for i in range(60)] + [(100 + i, f"{w} grumpfish nitwort") for i, w in enumerate(("you", "utter", "such", "silly", "what"))]
+    labels = [(i, 1, int(i >= 100)) for i, _ in docs]
+    out = {r["doc_id"]: r for r in toxicity.score_toxicity(frame(spark, [*docs, (500, "grumpfish nitwort"), (501, "a pleasant day")]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert out[500]["score"] > out[501]["score"] and out[500]["evidence"][0]["label"] == 1
+    assert out[501]["evidence"][0]["label"] == 0  # clean terms are in the index too
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(2)
     examples = [tuple(sorted((int(t), int(rng.integers(1, 4))) for t in rng.choice(40, rng.integers(0, 9), replace=False))) for _ in range(500)]
