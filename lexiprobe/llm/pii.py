@@ -163,9 +163,9 @@ def find_pii(
 ) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base entities), base_sha256, spans (all), n_added, for every row of ``docs``.
 
-    A pattern needs ``min_seeds`` different seeds of its kind; as is usual in bootstrapping, a run takes
-    the ``patterns_per_run`` best supported ones (ties by text), which bounds what is broadcast. Patterns count
-    with ``confidence`` or more, instances with ``accept`` or more. Null text counts as empty; rows
+    A pattern needs ``min_seeds`` different seeds of its kind; all such patterns are rated. A run over the texts
+    counts about ``patterns_per_run`` of them, which bounds what is broadcast, and there are as many runs as it
+    takes. Patterns count with ``confidence`` or more, instances with ``accept`` or more. Null text counts as empty; rows
     with null or repeated ids are judged alone; an empty table gives no rows; other columns are
     ignored whatever their names. Equal entities in many documents count once as seeds.
     """
@@ -176,13 +176,18 @@ def find_pii(
     # one score an edge: seeds are certain; what is unseen starts at nothing
     edges = cut(edges.withColumn("score", F.col("seed").cast("double")))
     by_pattern = edges.groupBy("kind", "pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum(F.col("n") * F.col("seed").cast("int")).alias("sure"), F.sum("n").alias("all"))
-    best = by_pattern.filter((F.col("seeds") >= min_seeds) & (F.col("sure") >= 0.5 * F.col("all")))
-    best = best.orderBy(F.desc("seeds"), "kind", "pattern").limit(patterns_per_run).select("pattern").distinct().collect()
+    best = cut(by_pattern.filter(F.col("seeds") >= min_seeds).select("pattern").distinct())
+    n = best.count()
     added = None
-    if best:
-        names = sorted(r["pattern"] for r in best)
-        times = docs.select("text").mapInArrow(_occurrences(names), "pattern string, times long").groupBy("pattern").agg(F.sum("times").alias("times"))
-        graph = cut(edges.join(F.broadcast(times), "pattern"))
+    if n:
+        runs, times = -(-n // patterns_per_run), None
+        for run in range(runs):
+            names = sorted(r["pattern"] for r in best.filter(F.pmod(F.xxhash64("pattern"), F.lit(runs)) == run).collect())
+            if names:
+                found = docs.select("text").mapInArrow(_occurrences(names), "pattern string, times long").groupBy("pattern").agg(F.sum("times").alias("times"))
+                found = cut(found) if runs > 1 else found
+                times = found if times is None else times.unionByName(found)
+        graph = cut(edges.join(F.broadcast(times) if n <= patterns_per_run else times, "pattern"))
         for _ in range(rounds):
             rated = graph.groupBy("kind", "pattern").agg(F.sum(F.col("score") * F.col("n")).alias("sure"), F.max("times").alias("times"))
             rated = rated.select("kind", "pattern", F.least(F.lit(1.0), F.col("sure") / F.col("times")).alias("conf"))

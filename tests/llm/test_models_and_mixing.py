@@ -210,6 +210,14 @@ def test_common_words_make_no_pattern(spark):
     assert sum(r["n_added"] for r in pii.find_pii(frame(spark, rows)).collect()) == 0
 
 
+def test_patterns_beyond_a_run_are_rated(spark):
+    """A frequent pattern of low confidence pushes no rarer, confident one out."""
+    rows = [(i, f"it is the one u{i}@host.org " + "and it is the one thing " * 20) for i in range(12)] + [(50 + i, f"reach mail: v{i}@host.org end") for i in range(5)] + [(100, "reach mail: v5x(at)host(dot)org bye")]
+    want = pii.find_pii(frame(spark, rows)).sort("doc_id").collect()
+    assert sum(r["n_added"] for r in want) == 1
+    assert pii.find_pii(frame(spark, rows), patterns_per_run=1).sort("doc_id").collect() == want
+
+
 def test_held_out_is_crc32(spark):
     got = {r["id"]: r["h"] for r in spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50)}
