@@ -116,3 +116,8 @@ def coverage(a: DataFrame, b: DataFrame, key: list[str], by: str) -> DataFrame:
 def require(rows: DataFrame, condition: Column, message: str) -> DataFrame:
     """``rows``, failing at the first one where ``condition`` does not hold."""
     return rows.filter(F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
+def small_side(side: DataFrame, most: int = 10_000) -> DataFrame:
+    """``side`` marked for broadcast if it has at most ``most`` rows; beyond, it is left to a shuffle join. No row is dropped."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiprobe.functions.text import ngram_documents, word_ngrams
+from lexiprobe.operators.joins import small_side
 from lexiprobe.operators.metrics import macro_f1
 from lexiprobe.operators.splits import hash_split
 
@@ -20,7 +21,7 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
     """Adds weight n / (classes * n of the class)."""
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
     n, k = sizes.agg(F.sum("__c"), F.count(F.lit(1))).first()
-    return rows.join(F.broadcast(sizes.limit(10_000)), label).withColumn("weight", F.lit(float(n or 0)) / (F.lit(float(k or 1)) * F.col("__c"))).drop("__c")
+    return rows.join(small_side(sizes), label).withColumn("weight", F.lit(float(n or 0)) / (F.lit(float(k or 1)) * F.col("__c"))).drop("__c")
 
 
 def fit_logistic(train: DataFrame, features: str = "features", label: str = "y", c: float = 1.0, balanced: bool = True, max_iter: int = 200):

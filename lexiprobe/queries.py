@@ -541,9 +541,11 @@ def class_mean_direction(spark, d):
 
 @query(f"WITH {_LONG} SELECT vec_id, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 7) AS cosine FROM e JOIN m USING (label, i) GROUP BY vec_id")
 def cosine_to_class_mean(spark, d):
+    from lexiprobe.operators.joins import small_side
+
     rows = table(spark, d, "embeddings")
     means = V.mean_vector(rows, ["label"], "embedding").withColumnRenamed("embedding", "mean")
-    return rows.join(F.broadcast(means.limit(10_000)), "label").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("mean")), 7).alias("cosine"))
+    return rows.join(small_side(means), "label").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("mean")), 7).alias("cosine"))
 
 
 @query(f"WITH {_LONG}, s AS (SELECT vec_id, label, sum(x * m) AS p FROM e JOIN (SELECT i, m FROM m WHERE label = 0) z USING (i) GROUP BY 1, 2) SELECT label, round(min(p), 7) AS low, round(avg(p), 7) AS mean, round(max(p), 7) AS high FROM s GROUP BY label")

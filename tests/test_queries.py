@@ -63,3 +63,14 @@ def test_import_without_the_optional_part(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'macro_f1_cluster_ci' in e.queries() and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_no_label_is_dropped(spark, tmp_path):
+    """More labels than are broadcast: every row stays."""
+    from lexiprobe.operators.models import balanced_weights
+
+    n = 10_050
+    rows = spark.range(n).selectExpr("id AS vec_id", "CAST(id AS INT) AS label", "array_repeat(CAST(1.0 AS FLOAT), 64) AS embedding")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert Q.queries()["cosine_to_class_mean"](spark, str(tmp_path)).count() == n
+    assert balanced_weights(rows, "label").count() == n
