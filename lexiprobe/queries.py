@@ -704,8 +704,8 @@ def lr_probe_by_seed(spark, d):
 def tfidf_surface_baseline(spark, d):
     from lexiprobe.operators.models import surface_baseline
 
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumn("masked", F.substring_index("text", "\n", 1))
-    return surface_baseline(rows, "doc_id", "masked", "quality", "source", 0)
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return surface_baseline(rows, "doc_id", "text", "quality", "source", 0)
 
 
 @query()

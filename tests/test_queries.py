@@ -74,3 +74,25 @@ def test_no_label_is_dropped(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
     assert Q.queries()["cosine_to_class_mean"](spark, str(tmp_path)).count() == n
     assert balanced_weights(rows, "label").count() == n
+
+
+def test_surface_baseline_reads_whole_texts(spark, tmp_path):
+    """The features are those of a plain version over all lines, and what only later lines tell is learned."""
+    import math
+    from collections import Counter
+
+    from lexiprobe.operators.models import tfidf
+
+    texts = [(i, f"same first line\n{'zuq zuq' if i % 2 else 'bam bam'}", f"s{i}") for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    found = Q.queries()["tfidf_surface_baseline"](spark, str(tmp_path)).collect()
+    assert found and all(r["ngram_f1"] == 1.0 > r["majority_f1"] for r in found)
+    grams = lambda t: Counter(w[i : i + n] for w in (f" {x} " for x in t.split()) for n in (2, 3, 4) for i in range(len(w) - n + 1))
+    plain_ = {i: grams(t) for i, t, _ in texts}
+    df = Counter(g for c in plain_.values() for g in c)
+    for r in tfidf(docs, "doc_id", "text", docs).select("doc_id", "features").collect():
+        w = [c * (math.log(81 / (1 + df[g])) + 1) for g, c in plain_[r["doc_id"]].items()]
+        norm = math.sqrt(sum(x * x for x in w))
+        assert sorted(r["features"].values.tolist()) == pytest.approx(sorted(x / norm for x in w))
