@@ -1,12 +1,12 @@
 """Operator 1, toxicity by the nearest labelled examples.
 
-Terms are words and word beginnings, all that the bounded sample of labelled documents holds, weighted
-by document frequency alone. Examples are TF-IDF vectors of their whole texts in an inverted index: a
-text's cosines with all of them are added up from the postings of its terms, those of the commonest
-terms as one matrix product, and what comes near the k-th best is worked out again in double
-precision, so the nearest are exact. Votes are weighted by closeness, and a monotone map learned from
-the examples themselves, each left out in turn, makes the votes probabilities. The index is bounded
-by the sample; texts are scored where they are read, without any shuffle.
+Terms are the words of the bounded sample of labelled documents, all of them. A term weighs its inverse
+document frequency times its contrast, the difference of its two classes' inverse document frequencies
+(shrunk by a few rows at the common rate): plain inverse document frequency lets topic words decide.
+Examples are TF-IDF vectors of their whole texts in a block-max inverted index, which finds the nearest
+by cosine exactly. Votes are weighted by closeness, and a monotone map learned from the examples
+themselves, each left out in turn, makes the votes probabilities. The index is bounded by the sample;
+texts are scored where they are read, without any shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -25,45 +24,17 @@ from lexiprobe.llm.labelled import held_out, labelled_sample
 
 #: Labelled rows of each class that are learned from, at most.
 PER_CLASS = 8_000
-#: Terms of more than a COMMON-th of the examples are kept as a matrix; texts are scored BATCH at a time.
-NEIGHBOURS, COMMON, BATCH = 25, 16, 64
+#: Examples of a block; terms of more than a COMMON-th of the examples are kept as a matrix; texts are scored BATCH at a time.
+NEIGHBOURS, BLOCK, COMMON, BATCH = 25, 512, 16, 64
+#: Rows at the common rate that a term's class frequencies are shrunk by.
+SHRINK = 10.0
+#: Weight of the rate of texts without any known term beside the neighbours' votes.
+_LITTLE = 0.05
 _WORD = re.compile(r"[^\W\d_]+")
-_PREFIXES = range(4, 9)
 
 
-def terms_of(word: str) -> list[str]:
-    """A lower-cased word and its beginnings of 4 to 8 letters."""
-    return [f"={word}", *(f"^{word[:n]}" for n in _PREFIXES if n <= len(word))]
-
-
-class Vectors:
-    """Term counts of a text over a vocabulary, as rows (term, times) in the order of terms; words seen are remembered (up to a bound)."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.words = vocabulary, {}
-
-    def counts(self, text: str) -> np.ndarray:
-        return self.of_words(Counter(_WORD.findall(text.lower())))
-
-    def of_words(self, found: dict[str, int], grow: bool = False) -> np.ndarray:
-        """With ``grow``, terms not in the vocabulary are added."""
-        terms, times = [], []
-        for w, c in found.items():
-            own = self.words.get(w)
-            if own is None:
-                if len(self.words) > 100_000:
-                    self.words.clear()
-                known = self.vocabulary
-                own = [known.setdefault(t, len(known)) for t in terms_of(w)] if grow else [known[t] for t in terms_of(w) if t in known]
-                self.words[w] = own
-            terms += own
-            times += [c] * len(own)
-        terms, at = np.unique(np.array(terms, np.int64), return_inverse=True)
-        return np.stack([terms, np.bincount(at, np.array(times, float), len(terms)).astype(np.int64)], 1).astype(np.int32)
-
-
-def _pairs(counts) -> np.ndarray:
-    return np.asarray(counts, np.int32).reshape(-1, 2)
+def word_counts(text: str) -> Counter:
+    return Counter(_WORD.findall(text.lower()))
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -72,97 +43,135 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-class ExactIndex:
-    """Exact k nearest examples by cosine of TF-IDF vectors."""
+class BlockMaxIndex:
+    """Exact k nearest examples by cosine.
 
-    def __init__(self, examples: list, ids: list, labels: np.ndarray, idf: np.ndarray):
-        examples = [_pairs(e) for e in examples]
-        self.ids, self.labels, self.idf = ids, labels, np.asarray(idf, float)
-        self.row = np.concatenate([[0], np.cumsum([len(e) for e in examples])]).astype(np.int64)
-        pairs = np.concatenate(examples) if examples else _pairs([])
-        self.term, self.times = pairs[:, 0].copy(), pairs[:, 1].copy()
-        self.norm = np.array([math.sqrt(float(w @ w)) or 1.0 for w in (self._weights(e[:, 0], e[:, 1]) for e in examples)])
+    Examples stand in blocks of BLOCK, in the order of their heaviest terms, so that a block's examples
+    are alike. Terms of more than a COMMON-th of the examples are a matrix, one product for a batch of
+    queries. The others are inverted lists, cut by block; an entry (term, block) has its largest weight
+    beside. A block's bound is the largest common part in it and its terms' largest weights; the blocks
+    of the highest bounds are scored first, the rest only where its bound reaches the k-th best so far.
+    """
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, weight: np.ndarray):
+        """Example i has the distinct terms term[row[i]:row[i + 1]], in order, as often as ``times`` says."""
+        self.row, self.term, self.weight = row.astype(np.int64), term.astype(np.int32), np.asarray(weight, float)
+        n = len(row) - 1
+        self.impact = (1 + np.log(times)) * self.weight[term]
+        of = np.repeat(np.arange(n), np.diff(self.row))
+        norm = np.sqrt(np.bincount(of, self.impact**2, n))
+        self.impact /= np.where(norm > 0, norm, 1.0)[of]
         self.ready = False
 
-    def __getstate__(self):
-        made = ("dense", "at", "start", "ex", "weight", "wide")  # by each worker, when first asked
-        return {k: v for k, v in self.__dict__.items() if k not in made} | {"ready": False}
+    def __len__(self) -> int:
+        return len(self.row) - 1
 
-    def _weights(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
-        return (1 + np.log(times)) * self.idf[terms]
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in ("row", "term", "weight", "impact")} | {"ready": False}
 
     def _make(self) -> None:
-        n, size = len(self.ids), len(self.idf)
+        """What each worker builds when first asked."""
+        n, size = len(self), len(self.weight)
+        of = np.repeat(np.arange(n), np.diff(self.row))
+        full = np.diff(self.row) > 0
+        heaviest = np.full(n, -1.0)
+        by = np.lexsort((self.term, -self.impact, of))
+        heaviest[full] = self.term[by[self.row[:-1][full]]]
+        strength = np.zeros(n)
+        strength[full] = self.impact[by[self.row[:-1][full]]]
+        self.order = np.lexsort((-strength, heaviest)).astype(np.int32)  # place in the blocks to example
+        self.at = np.empty(n, np.int32)
+        self.at[self.order] = np.arange(n, dtype=np.int32)
+        self.blocks = max(1, -(-n // BLOCK))
         df = np.bincount(self.term, minlength=size)
         common = np.flatnonzero(df * COMMON > n)
-        self.at = np.full(size, -1, np.int32)
-        self.at[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), n), np.float32)
-        rare, ex, weight = [], [], []
-        for i in range(n):
-            t = self.term[self.row[i] : self.row[i + 1]]
-            w = (self._weights(t, self.times[self.row[i] : self.row[i + 1]]) / self.norm[i]).astype(np.float32)
-            at = self.at[t]
-            self.dense[at[at >= 0], i] = w[at >= 0]
-            rare.append(t[at < 0])
-            weight.append(w[at < 0])
-            ex.append(np.full(len(rare[-1]), i, np.int32))
-        rare, ex, weight = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rare, ex, weight))
-        by = np.argsort(rare, kind="stable")
-        self.ex, self.weight = ex[by], weight[by]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(rare, minlength=size))]).astype(np.int64)
-        self.wide = np.zeros(size)
+        self.wide = np.full(size, -1, np.int32)
+        self.wide[common] = np.arange(len(common), dtype=np.int32)
+        self.dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        is_wide = self.wide[self.term] >= 0
+        self.dense[self.wide[self.term[is_wide]], self.at[of[is_wide]]] = self.impact[is_wide]
+        t, e, w = self.term[~is_wide], self.at[of[~is_wide]], self.impact[~is_wide]
+        by = np.lexsort((e, t))
+        t, self.e, self.w = t[by], e[by].astype(np.int64), w[by]
+        # entries (term, block): where their part of the list begins, and their largest weight
+        key = t.astype(np.int64) * self.blocks + self.e // BLOCK
+        self.head = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block = (key[self.head] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.w, self.head) if len(self.head) else np.zeros(0)
+        self.entry = np.searchsorted(t[self.head], np.arange(size + 1))
+        self.head = np.append(self.head, len(t))
         self.ready = True
 
-    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
-        counts = _pairs(counts)
-        w = self._weights(counts[:, 0], counts[:, 1])
-        return counts[:, 0], w / math.sqrt(float(w @ w)) if len(w) else w
-
-    def example(self, place: int) -> np.ndarray:
-        at = slice(self.row[place], self.row[place + 1])
-        return np.stack([self.term[at], self.times[at]], 1)
+    def vector(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(times)) * self.weight[terms]
+        norm = math.sqrt(float(w @ w))
+        return w / norm if norm else w
 
-    def nearest(self, counts, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, place) of the k nearest, ties to the smaller place; only those with a cosine over 0."""
-        return self.nearest_of([counts], k, [without])[0]
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.row[i], self.row[i + 1])
+        return self.term[at], self.impact[at]
 
-    def nearest_of(self, many: list, k: int, without: list[int]) -> list[list[tuple[float, int]]]:
+    def nearest(self, many: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """(cosine, example) of the ``k`` nearest of each unit vector (terms, weights), ties to the smaller example; only those over 0."""
         if not self.ready:
             self._make()
-        vectors, n = [self.vector(c) for c in many], len(self.ids)
+        n = len(self)
+        if not n:
+            return [[] for _ in many]
         q = np.zeros((len(many), len(self.dense)), np.float32)
-        for i, (t, w) in enumerate(vectors):
-            at = self.at[t]
+        for i, (t, w) in enumerate(many):
+            at = self.wide[t]
             q[i, at[at >= 0]] = w[at >= 0]
-        near = q @ self.dense
-        # vectors are of length 1: no single-precision sum is off by more
+        common = q @ self.dense
+        top = common.reshape(len(many), self.blocks, BLOCK).max(2)
+        # vectors are of length 1 at most: no single-precision sum is off by more
         slack = 2 * (len(self.dense) + 64) * 2.0**-24
-        return [self._best(t, w, near[i], min(k, n), without[i], slack) if len(t) and n else [] for i, (t, w) in enumerate(vectors)]
-
-    def _best(self, t: np.ndarray, w: np.ndarray, near: np.ndarray, k: int, without: int, slack: float) -> list[tuple[float, int]]:
-        rare = self.at[t] < 0
-        s, e = self.start[t[rare]], self.start[t[rare] + 1]
-        flat = _ranges(s, e)
-        score = near + np.bincount(self.ex[flat], self.weight[flat] * np.repeat(w[rare], e - s), len(near))
-        if without >= 0:
-            score[without] = -1.0
-        place = np.flatnonzero(score >= max(np.partition(score, len(score) - k)[len(score) - k] - 2 * slack, 0.0))
-        s, e = self.row[place], self.row[place + 1]
-        place, s, e = place[e > s], s[e > s], e[e > s]
-        if not len(place):
-            return []
-        self.wide[t] = w
-        flat = _ranges(s, e)
-        terms = self.term[flat]
-        shared = self.wide[terms] * self._weights(terms, self.times[flat])
-        self.wide[t] = 0.0
-        exact = np.round(np.add.reduceat(shared, np.cumsum(e - s) - (e - s)) / self.norm[place], 14)
-        best = np.lexsort((place, -exact))[:k]
-        return [(c, p) for c, p in zip(exact[best].tolist(), place[best].tolist(), strict=True) if c > 0]
+        return [self._best(*many[i], common[i], top[i], min(k, n), -1 if without is None else without[i], slack) for i in range(len(many))]
 
-
-BlockMaxIndex = ExactIndex  # its former name
+    def _best(self, t, w, near, top, k, without, slack) -> list[tuple[float, int]]:
+        if not len(t):
+            return []
+        rare = self.wide[t] < 0
+        s, e = self.entry[t[rare]], self.entry[t[rare] + 1]
+        entry, weight = _ranges(s, e), np.repeat(w[rare], e - s)
+        block = self.block[entry]
+        bound = top + np.bincount(block, weight * self.most[entry], self.blocks) + slack
+        left = -1 if without < 0 else int(self.at[without])
+        score = np.full(self.blocks * BLOCK, -1.0)
+
+        def scan(some: np.ndarray, kth: float) -> float:
+            """Scores the examples of some blocks; the k-th best of all so far."""
+            mine = np.zeros(self.blocks, bool)
+            mine[some] = True
+            on = mine[block]
+            a, b = self.head[entry[on]], self.head[entry[on] + 1]
+            flat = _ranges(a, b)
+            got = np.bincount(self.e[flat], self.w[flat] * np.repeat(weight[on], b - a), len(score)) + near
+            score.reshape(self.blocks, BLOCK)[some] = got.reshape(self.blocks, BLOCK)[some]
+            if left >= 0:
+                score[left] = -1.0
+            have = score[score > kth]
+            return float(np.partition(have, len(have) - k)[len(have) - k]) if len(have) >= k else kth
+
+        # the blocks of the highest bounds give the k-th best to beat, then all that may beat it
+        order = np.argsort(-bound, kind="stable")
+        first = order[: 1 + 2 * k // BLOCK]
+        kth = scan(first, 0.0)
+        rest = order[len(first) :]
+        rest = rest[bound[rest] > max(kth - slack, 0.0)]
+        if len(rest):
+            kth = scan(rest, max(kth - slack, 0.0))
+        own = self.order[np.flatnonzero(score[: len(self)] > max(kth - 2 * slack, 0.0))].astype(np.int64)
+        s, e = self.row[own], self.row[own + 1]
+        if not len(own):
+            return []
+        # these few again, in double precision
+        terms = self.term[flat := _ranges(s, e)]
+        hit = np.searchsorted(t, terms).clip(0, len(t) - 1)
+        shared = np.where(t[hit] == terms, w[hit], 0.0) * self.impact[flat]
+        exact = np.round(np.add.reduceat(shared, np.cumsum(e - s) - (e - s)), 14)
+        best = np.lexsort((own, -exact))[:k]
+        return [(c, p) for c, p in zip(exact[best].tolist(), own[best].tolist(), strict=True) if c > 0]
 
 
 def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,57 +191,79 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 
 
 class ToxicityModel:
-    """What is learned: vocabulary, index of examples, calibration. Bounded by the sample."""
+    """What is learned: terms and their weights, the index of examples, the map to probabilities. Bounded by the sample."""
 
-    def __init__(self, ids: list[int], y: list[int], words: Iterable[dict[str, int]], sizes: dict[int, int]):
-        self.prior = sizes.get(1, 0) / max(1, sum(sizes.values())) if sizes else 0.5
-        y = np.array(y, float)
-        own = np.array([(y == 0).sum(), (y == 1).sum()], float)
+    def __init__(self, ids: list[int], y: np.ndarray, row: np.ndarray, words: pa.Array, times: np.ndarray, sizes: dict[int, int]):
+        """Example i of class y[i] holds the distinct words words[row[i]:row[i + 1]] as often as ``times`` says."""
+        self.ids, self.labels = ids, np.asarray(y, np.int64)
+        self.prior = sizes.get(1, 0) / sum(sizes.values()) if sum(sizes.values()) else 0.5
+        n = np.bincount(self.labels, minlength=2).astype(float)
         #: rows of the table that a sampled row of class 0 or 1 stands for
-        self.share = np.array([sizes.get(c, 0) / own[c] if own[c] else 0.0 for c in (0, 1)])
-        self.vectors = Vectors({})
-        counts = [self.vectors.of_words(w, grow=True) for w in words]
-        self.vectors.words = {}
-        df = np.bincount(np.concatenate([c[:, 0] for c in counts]) if counts else np.zeros(0, np.int64), minlength=len(self.vectors.vocabulary))
-        self.index = ExactIndex(counts, ids, y, np.log((1 + len(y)) / (1 + df)) + 1)
-        w = self.share[y.astype(int)] if len(y) else np.zeros(0)
-        empty = np.array([not len(c) for c in counts], bool)
-        self.blank = float((y * w)[empty].sum() + self.prior) / float(w[empty].sum() + 1) if len(y) else self.prior
+        self.share = np.array([sizes.get(c, 0) / n[c] if n[c] else 0.0 for c in (0, 1)])
+        coded = words.dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        self.words = coded.dictionary if len(coded) else pa.array([], pa.string())
+        term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(coded) else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(ids)), np.diff(row))
+        by = np.lexsort((term, of))
+        term, times = term[by], np.asarray(times)[by]
+        df = [np.bincount(term[self.labels[of] == c], minlength=len(self.words)) for c in (0, 1)]
+        # both classes as large as in the table
+        rows, found = float(self.share @ n), df[0] * self.share[0] + df[1] * self.share[1]
+        add = SHRINK * self.share * n / rows if rows else np.zeros(2)
+        contrast = np.zeros(len(self.words))
+        if n.all():
+            contrast = np.abs(np.log((df[1] + add[1]) / (n[1] + add[1])) - np.log((df[0] + add[0]) / (n[0] + add[0])))
+        self.index = BlockMaxIndex(np.asarray(row), term, times, np.log((1 + rows) / np.maximum(found, 1e-9)).clip(0) * contrast)
+        w, empty = self.share[self.labels], np.diff(row) == 0
+        self.blank = float((self.labels * w)[empty].sum() + self.prior) / float(w[empty].sum() + 1)
         self.steps = None
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms, in order, and their weights, as a vector of length 1."""
+        if "known" not in self.__dict__:  # built by each worker
+            self.known = dict(zip(self.words.to_pylist(), range(len(self.words)), strict=True))
+        got, known = word_counts(text), self.known
+        pairs = [(known[w], c) for w, c in got.items() if w in known]
+        pairs = np.array(pairs, np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        return pairs[:, 0], self.index.vector(pairs[:, 0], pairs[:, 1])
+
     def calibrate(self, spark: SparkSession) -> None:
         """Learns the map from votes to probabilities from each example's vote without it, worked out by the executors."""
-        y = self.index.labels
-        w = self.share[y.astype(int)] if len(y) else np.zeros(0)
-        if not len(y) or w.sum() <= 0:
+        w = self.share[self.labels]
+        if not w.sum() > 0:
             return
-        raw = np.zeros(len(y))
+        raw = np.zeros(len(w))
         sent = spark.sparkContext.broadcast(self)
-        table = spark.createDataFrame(pa.table({"place": pa.array(range(len(y)), pa.int64())})).repartition(spark.sparkContext.defaultParallelism * 2, "place")
+        table = spark.createDataFrame(pa.table({"place": pa.array(range(len(w)), pa.int64())})).repartition(spark.sparkContext.defaultParallelism * 2, "place")
         for r in table.mapInArrow(_left_out(sent), "place long, vote double").collect():
             raw[r["place"]] = r["vote"]
         sent.destroy()
-        self.steps = _monotone(raw, y, w)
+        self.steps = _monotone(raw, self.labels.astype(float), w)
 
-    def raw(self, many: list[np.ndarray], without: list[int]) -> list[tuple[float, list]]:
-        """The vote of the nearest, of each: closeness to the fourth power, one row of the blank rate beside."""
-        out = []
-        for near in self.index.nearest_of(many, NEIGHBOURS, without):
+    def votes(self, many: list[tuple], without: list[int] | None = None) -> list[tuple[float, list]]:
+        """The vote of the nearest, of each: closeness squared, and a little of the blank rate beside."""
+        out, most = [], max(1e-9, float(self.share.max()))
+        for near in self.index.nearest(many, NEIGHBOURS, without):
             for_it = all_ = 0.0
             for cos, place in near:
-                y = int(self.index.labels[place])
-                v = cos**4 * self.share[y] / max(1e-9, float(self.share.max()))
+                y = int(self.labels[place])
+                v = cos * cos * self.share[y] / most
                 for_it += v * y
                 all_ += v
-            out.append(((for_it + 0.25 * self.blank) / (all_ + 0.25), near[:3]))
+            out.append(((for_it + _LITTLE * self.blank) / (all_ + _LITTLE), near[:3]))
         return out
 
-    def score(self, many: list[np.ndarray]) -> list[tuple[float, list]]:
+    def score(self, texts: list[str]) -> list[tuple[float, list]]:
         out = []
-        for raw, near in self.raw(many, [-1] * len(many)):
+        for raw, near in self.votes([self.vector(t) for t in texts]):
             if self.steps is not None and len(self.steps[0]):
                 raw = float(self.steps[1][max(0, int(np.searchsorted(self.steps[0], raw + 1e-12)) - 1)])
-            out.append((min(1.0, max(0.0, raw)), [{"doc_id": self.index.ids[p], "similarity": c, "label": int(self.index.labels[p])} for c, p in near]))
+            out.append((min(1.0, max(0.0, raw)), [{"doc_id": self.ids[p], "similarity": c, "label": int(self.labels[p])} for c, p in near]))
         return out
 
 
@@ -243,7 +274,7 @@ def _left_out(sent):
             for at in range(0, batch.num_rows, BATCH):
                 places = batch.column(0).slice(at, BATCH)
                 p = places.to_pylist()
-                votes = [v for v, _ in model.raw([model.index.example(i) for i in p], p)]
+                votes = [v for v, _ in model.votes([model.index.example(i) for i in p], p)]
                 yield pa.RecordBatch.from_arrays([places, pa.array(votes, pa.float64())], ["place", "vote"])
 
     return run
@@ -252,26 +283,28 @@ def _left_out(sent):
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
     """Learns from at most 2 * ``per_class`` labelled documents, whose words' counts come to the driver."""
     sample, sizes = labelled_sample(docs, labels, label, per_class)
-    if not sum(sizes.get(c, 0) for c in (0, 1)):
-        return ToxicityModel([], [], [], {})
-    found = sample.mapInArrow(_word_counts, "doc_id long, y int, words array<string>, times array<int>").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    words = lambda i: dict(zip(found["words"][i].as_py(), found["times"][i].as_py(), strict=True))
-    places: dict[int, list[int]] = {}
-    for i, doc_id in enumerate(found["doc_id"].to_pylist()):
-        places.setdefault(doc_id, []).append(i)
-    # of repeated ids one text counts, the last in the order of word counts
-    chosen = [max(at, key=lambda i: list(words(i).items())) if len(at) > 1 else at[0] for at in places.values()]
-    model = ToxicityModel(list(places), [found["y"][i].as_py() for i in chosen], map(words, chosen), sizes)
+    found = sample.mapInArrow(_examples, "doc_id long, y int, words array<string>, times array<int>").toArrow()
+    # of repeated ids one text counts, the last in the order of its words and counts
+    key = found.column("doc_id").to_pylist()
+    same: dict[int, list[int]] = {}
+    for i, doc_id in enumerate(key):
+        same.setdefault(doc_id, []).append(i)
+    text = lambda i: (found["words"][i].as_py(), found["times"][i].as_py())
+    chosen = [max(at, key=text) if len(at) > 1 else at[0] for _, at in sorted(same.items())]
+    found = found.take(pa.array(chosen, pa.int64()))
+    words = found.column("words").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.string()))
+    row = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]).astype(np.int64)
+    times = found.column("times").combine_chunks().flatten().to_numpy(zero_copy_only=False) if found.num_rows else np.zeros(0, np.int64)
+    model = ToxicityModel(found.column("doc_id").to_pylist(), np.array(found.column("y").to_pylist(), np.int64), row, words.flatten(), times, sizes)
     model.calibrate(docs.sparkSession)
     return model
 
 
-def _word_counts(batches):
+def _examples(batches):
     """Each example's distinct words, sorted, and how often it holds each."""
     for batch in batches:
         of = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        found = [sorted(Counter(_WORD.findall((t or "").lower())).items()) for t in of["text"].to_pylist()]
+        found = [sorted(word_counts(t or "").items()) for t in of["text"].to_pylist()]
         words, times = pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([of["doc_id"], of["y"].cast(pa.int32()), words, times], ["doc_id", "y", "words", "times"])
 
@@ -287,7 +320,7 @@ def _score(sent):
                 part = batch.slice(at, BATCH)
                 texts = [t or "" for t in part.column(2).to_pylist()]
                 own = list(dict.fromkeys(texts))
-                known = dict(zip(own, model.score([model.vectors.counts(t) for t in own]), strict=True))
+                known = dict(zip(own, model.score(own), strict=True))
                 scores, evidence = pa.array([known[t][0] for t in texts], pa.float64()), pa.array([known[t][1] for t in texts], _EVIDENCE)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), scores, evidence], ["doc_id", "held_out", "score", "evidence"])
 

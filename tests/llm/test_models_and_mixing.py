@@ -56,20 +56,83 @@ def test_toxicity_learns_from_a_few_examples(spark):
     assert out[501]["evidence"][0]["label"] == 0  # clean terms are in the index too
 
 
-def test_nearest_examples_are_exact():
+def brute_nearest(index, q, k):
+    """Cosines of the query with every example, one by one, to the k nearest."""
+    wide = dict(zip(*(x.tolist() for x in q), strict=True))
+    found = []
+    for i in range(len(index)):
+        c = sum(w * wide.get(t, 0.0) for t, w in zip(*(x.tolist() for x in index.example(i)), strict=True))
+        if c > 1e-15:
+            found.append((-round(c, 12), i))
+    return sorted(found)[:k]
+
+
+@pytest.mark.parametrize("common", [2, 16, 10**9])
+def test_nearest_examples_are_exact(monkeypatch, common):
+    monkeypatch.setattr(toxicity, "BLOCK", 32)
+    monkeypatch.setattr(toxicity, "COMMON", common)
     rng = np.random.default_rng(2)
-    examples = [tuple(sorted((int(t), int(rng.integers(1, 4))) for t in rng.choice(40, rng.integers(0, 9), replace=False))) for _ in range(500)]
-    index = toxicity.BlockMaxIndex(examples, list(range(500)), rng.integers(0, 2, 500).astype(float), rng.uniform(1, 3, 40))
-    dense = np.zeros((500, 40))
-    for i, e in enumerate(examples):
-        t, w = index.vector(e)
-        dense[i, t] = w
-    for q in examples[:60]:
-        t, w = index.vector(q)
-        wide = np.zeros(40)
-        wide[t] = w
-        want = np.sort((dense @ wide)[dense @ wide > 0])[::-1][:25]
-        assert np.allclose([s for s, _ in index.nearest(q, 25)], want)
+    rows = [np.sort(rng.choice(40, rng.integers(0, 9), replace=False)) for _ in range(500)]
+    row, term = np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.concatenate(rows).astype(np.int64)
+    weight = rng.uniform(0, 3, 40)
+    weight[3] = 0.0
+    index = toxicity.BlockMaxIndex(row, term, rng.integers(1, 4, len(term)), weight)
+    queries = [index.example(i) for i in range(60)] + [(np.zeros(0, np.int64), np.zeros(0))]
+    for q, got in zip(queries, index.nearest(queries, 25), strict=True):
+        want = brute_nearest(index, q, 25)
+        assert np.allclose([c for c, _ in got], [-c for c, _ in want]) and len(got) == len(want)
+    for i, got in enumerate(index.nearest(queries[:60], 25, list(range(60)))):
+        assert i not in [p for _, p in got]
+
+
+def plain_scores(docs, labels):
+    """All of op1 again without its index: dense vectors, sorted cosines, votes, pooled steps."""
+    kept = {i: t or "" for i, t in docs if i is not None and zlib.crc32(str(i).encode()) % 5}
+    y = {i: t for i, t in labels if i in kept and t in (0, 1)}
+    ids = sorted(y)
+    words = lambda t: Counter(toxicity._WORD.findall((t or "").lower()))
+    seen = {i: words(kept[i]) for i in ids}
+    n = [sum(y[i] == c for i in ids) for c in (0, 1)]
+    df = [Counter(w for i in ids if y[i] == c for w in seen[i]) for c in (0, 1)]
+    add = [toxicity.SHRINK * c / len(ids) for c in n]
+    contrast = lambda w: abs(math.log((df[1][w] + add[1]) / (n[1] + add[1])) - math.log((df[0][w] + add[0]) / (n[0] + add[0])))
+    weight = {w: max(0.0, math.log((1 + len(ids)) / (df[0][w] + df[1][w]))) * contrast(w) for w in set(df[0]) | set(df[1])}
+
+    def vector(found):
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in found.items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / norm for w, x in v.items()}
+
+    example = {i: vector(seen[i]) for i in ids}
+    blank = (sum(y[i] for i in ids if not seen[i]) + n[1] / len(ids)) / (sum(1 for i in ids if not seen[i]) + 1)
+
+    def vote(v, without=None):
+        near = sorted((-round(sum(x * example[i].get(w, 0.0) for w, x in v.items()), 12), i) for i in ids if i != without)[: toxicity.NEIGHBOURS]
+        near = [(-c, i) for c, i in near if c < 0]
+        return (sum(c * c * y[i] for c, i in near) + toxicity._LITTLE * blank) / (sum(c * c for c, _ in near) + toxicity._LITTLE)
+
+    steps = [[vote(example[i], i), y[i], 1] for i in ids]
+    steps.sort()
+    x, value = toxicity._monotone(np.array([round(s[0], 9) for s in steps]), np.array([float(s[1]) for s in steps]), np.ones(len(steps)))
+    at = lambda v: float(value[max(0, int(np.searchsorted(x, v + 1e-8)) - 1)])
+    return [at(vote(vector(words(t)))) for _, t in docs]
+
+
+def test_toxicity_end_to_end_against_a_plain_version(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"word{i}" for i in range(80)] + ["naïve", "Été", "x" * 300]
+    docs, labels = [], []
+    for i in range(150):
+        text = " ".join(rng.choice(vocabulary, rng.integers(3, 30)))
+        bad = i % 6 == 0
+        docs.append((i, text + (" Nitwit, grumpfish!" if bad and i % 12 else " nitwit" if bad else "")))
+        labels.append((i, int(bad)))
+    docs += [(200, None), (201, ""), (202, "entirely unknown"), (203, "grumpfish " * 40_000), (None, "nitwit")]
+    table = spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id long, quality int, toxic int")
+    got = {(r["doc_id"], i): r["score"] for i, r in enumerate(toxicity.score_toxicity(frame(spark, docs, 1), table).collect())}
+    want = plain_scores(docs, labels)
+    assert np.allclose([got[(d[0], i)] for i, d in enumerate(docs)], want, atol=1e-6)
+    assert want[153] > 0.5 > want[150]
 
 
 def test_quality_separates_and_keeps(spark):
