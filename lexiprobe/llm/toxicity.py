@@ -1,8 +1,8 @@
 """Operator 1, toxicity by the nearest labelled examples.
 
 Terms are the words of the bounded sample of labelled documents, all of them. A term weighs its inverse
-document frequency times its contrast, the difference of its two classes' inverse document frequencies
-(shrunk by a few rows at the common rate): plain inverse document frequency lets topic words decide.
+document frequency times its contrast, by how much its frequencies in the two classes differ beyond
+sampling error: plain inverse document frequency lets topic words decide.
 Examples are TF-IDF vectors of their whole texts in a block-max inverted index, which finds the nearest
 by cosine exactly. Votes are weighted by closeness, and a monotone map learned from the examples
 themselves, each left out in turn, makes the votes probabilities. The index is bounded by the sample;
@@ -175,7 +175,7 @@ class BlockMaxIndex:
 
 
 def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: increasing steps (first x, value), each smoothed by one row at the mean."""
+    """Pool adjacent violators: increasing steps, each smoothed by one row at the mean, as the corners (x, value) of a line."""
     mean = float((y * w).sum() / w.sum())
     steps: list[list[float]] = []
     for i in np.argsort(x, kind="stable"):
@@ -187,7 +187,8 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
         while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
             last = steps.pop()
             steps[-1] = [steps[-1][0], steps[-1][1] + last[1], steps[-1][2] + last[2], last[3]]
-    return np.array([s[0] for s in steps]), np.array([(s[1] + mean * w.mean()) / (s[2] + w.mean()) for s in steps])
+    value = [(s[1] + mean * w.mean()) / (s[2] + w.mean()) for s in steps]
+    return np.array([x for s in steps for x in (s[0], s[3])]), np.repeat(np.maximum.accumulate(value), 2)
 
 
 class ToxicityModel:
@@ -207,18 +208,34 @@ class ToxicityModel:
         of = np.repeat(np.arange(len(ids)), np.diff(row))
         by = np.lexsort((term, of))
         term, times = term[by], np.asarray(times)[by]
-        df = [np.bincount(term[self.labels[of] == c], minlength=len(self.words)) for c in (0, 1)]
-        # both classes as large as in the table
-        rows, found = float(self.share @ n), df[0] * self.share[0] + df[1] * self.share[1]
-        add = SHRINK * self.share * n / rows if rows else np.zeros(2)
-        contrast = np.zeros(len(self.words))
-        if n.all():
-            contrast = np.abs(np.log((df[1] + add[1]) / (n[1] + add[1])) - np.log((df[0] + add[0]) / (n[0] + add[0])))
-        self.index = BlockMaxIndex(np.asarray(row), term, times, np.log((1 + rows) / np.maximum(found, 1e-9)).clip(0) * contrast)
+        df = [np.bincount(term[self.labels[of] == c], minlength=len(self.words)).astype(float) for c in (0, 1)]
+        weight = self._weights(df, n)
+        # terms that weigh nothing need no place in the index
+        on = weight[term] > 0
+        new = np.cumsum(weight > 0) - 1
+        row = np.concatenate([[0], np.cumsum(np.bincount(of[on], minlength=len(ids)))])
+        self.words = self.words.filter(pa.array(weight > 0))
+        self.index = BlockMaxIndex(row, new[term[on]], times[on], weight[weight > 0])
         w, empty = self.share[self.labels], np.diff(row) == 0
         self.blank = float((self.labels * w)[empty].sum() + self.prior) / float(w[empty].sum() + 1)
         self.steps = None
 
+    def _weights(self, df: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+        """Inverse document frequency in the table times the contrast of the classes.
+
+        A class's frequency of a term is its share of all the class's (document, term) pairs, so that long
+        documents of one class favour no term. What sampling alone may make of a difference, one standard
+        error, is taken off; what is left of topic words is little or nothing.
+        """
+        if not n.all():
+            return np.zeros(len(df[0]))
+        rows, found = float(self.share @ n), df[0] * self.share[0] + df[1] * self.share[1]
+        pairs = np.array([df[0].sum(), df[1].sum()])
+        add = SHRINK * pairs / max(1.0, pairs.sum())
+        a, b = df[0] + add[0], df[1] + add[1]
+        contrast = np.abs(np.log(b / (pairs[1] + add[1])) - np.log(a / (pairs[0] + add[0]))) - np.sqrt(1 / a + 1 / b)
+        return np.log((1 + rows) / np.maximum(found, 1e-9)).clip(0) * contrast.clip(0)
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "known"}
 
@@ -262,7 +279,7 @@ class ToxicityModel:
         out = []
         for raw, near in self.votes([self.vector(t) for t in texts]):
             if self.steps is not None and len(self.steps[0]):
-                raw = float(self.steps[1][max(0, int(np.searchsorted(self.steps[0], raw + 1e-12)) - 1)])
+                raw = float(np.interp(raw, *self.steps))
             out.append((min(1.0, max(0.0, raw)), [{"doc_id": self.ids[p], "similarity": c, "label": int(self.labels[p])} for c, p in near]))
         return out
 

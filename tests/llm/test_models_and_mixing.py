@@ -94,9 +94,13 @@ def plain_scores(docs, labels):
     seen = {i: words(kept[i]) for i in ids}
     n = [sum(y[i] == c for i in ids) for c in (0, 1)]
     df = [Counter(w for i in ids if y[i] == c for w in seen[i]) for c in (0, 1)]
-    add = [toxicity.SHRINK * c / len(ids) for c in n]
-    contrast = lambda w: abs(math.log((df[1][w] + add[1]) / (n[1] + add[1])) - math.log((df[0][w] + add[0]) / (n[0] + add[0])))
-    weight = {w: max(0.0, math.log((1 + len(ids)) / (df[0][w] + df[1][w]))) * contrast(w) for w in set(df[0]) | set(df[1])}
+    pairs = [sum(f.values()) for f in df]
+    add = [toxicity.SHRINK * p / sum(pairs) for p in pairs]
+    weight = {}
+    for w in set(df[0]) | set(df[1]):
+        share = [math.log((df[c][w] + add[c]) / (pairs[c] + add[c])) for c in (0, 1)]
+        contrast = abs(share[1] - share[0]) - math.sqrt(sum(1 / (df[c][w] + add[c]) for c in (0, 1)))
+        weight[w] = max(0.0, math.log((1 + len(ids)) / (df[0][w] + df[1][w]))) * max(0.0, contrast)
 
     def vector(found):
         v = {w: (1 + math.log(c)) * weight[w] for w, c in found.items() if w in weight}
@@ -111,11 +115,24 @@ def plain_scores(docs, labels):
         near = [(-c, i) for c, i in near if c < 0]
         return (sum(c * c * y[i] for c, i in near) + toxicity._LITTLE * blank) / (sum(c * c for c, _ in near) + toxicity._LITTLE)
 
-    steps = [[vote(example[i], i), y[i], 1] for i in ids]
-    steps.sort()
-    x, value = toxicity._monotone(np.array([round(s[0], 9) for s in steps]), np.array([float(s[1]) for s in steps]), np.ones(len(steps)))
-    at = lambda v: float(value[max(0, int(np.searchsorted(x, v + 1e-8)) - 1)])
-    return [at(vote(vector(words(t)))) for _, t in docs]
+    own = [vote(example[i], i) for i in ids]
+    corners = toxicity._monotone(np.array(own), np.array([float(y[i]) for i in ids]), np.ones(len(ids)))
+    return [float(np.interp(vote(vector(words(t))), *corners)) for _, t in docs]
+
+
+def test_monotone_map_against_all_averages():
+    """Pooling gives at each x the largest, over starts, of the smallest, over ends, mean between them."""
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        x, y = rng.permutation(30).astype(float), rng.integers(0, 2, 30).astype(float)
+        corners = toxicity._monotone(x, y, np.ones(30))
+        z, mean = y[np.argsort(x)], y.mean()
+        for i in range(30):
+            runs = [[(z[s : e + 1].mean(), e + 1 - s) for e in range(i, 30)] for s in range(i + 1)]
+            want = max(min(v for v, _ in r) for r in runs)
+            n = max(k for r in runs for v, k in r if abs(v - want) < 1e-12)
+            assert abs(np.interp(i, *corners) - (want * n + mean) / (n + 1)) < 0.05
+        assert (np.diff(corners[1]) >= 0).all()
 
 
 def test_toxicity_end_to_end_against_a_plain_version(spark):
