@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: the checkpoint folder, cut points, sizes."""
+"""What the operators of this subpackage share: the checkpoint folder, cut points, sizes, joins with hot keys."""
 
 from __future__ import annotations
 
@@ -9,12 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"
+#: Text of a block and of a bucket: UNIT bytes, and more where a block's row to a bucket would stand for less
+#: than ROW_BYTES of text, up to TOP (about 2 GB of a Python worker's memory).
+UNIT, TOP, ROW_BYTES = 8 << 20, 256 << 20, 32 << 10
+#: A key of more than a HOT-th of all rows is hot, so that there are fewer than HOT of them.
+HOT = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder all machines share: spark.checkpoint.dir; a temporary one only where it is unset and Spark runs on this machine alone."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         place = "file://" + tempfile.mkdtemp(prefix="lexiprobe-")
         spark.conf.set("spark.checkpoint.dir", place)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -32,15 +39,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The planner's size of ``df`` (file sizes for scans), clamped to 1 PB; costs no job."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size)), 1 << 50)
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """The bytes of a column's texts, and a few for each row, counted."""
+    return int(df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16)).first()[0] or 0)
 
 
-def buckets_for(df: DataFrame, each: int, least: int = 8) -> int:
-    """How many buckets of about ``each`` bytes ``df`` fills; grows with the input without bound below 2**20."""
-    return max(least, min(1 << 20, -(-input_bytes(df) // each)))
+def deal(total: int) -> tuple[int, int]:
+    """(text bytes of a block, number of buckets) for ``total`` bytes of text.
+
+    There are as many buckets as blocks, and each block sends a row to each bucket: blocks grow with the
+    root of the input, so that rows grow in proportion to it as long as blocks are below TOP.
+    """
+    each = min(TOP, max(UNIT, int((total * ROW_BYTES) ** 0.5)))
+    return each, max(8, -(-total // each))
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``groups``, of which there is one row a key, whose ``size`` is the key's share of ``total`` rows.
+
+    Hot keys meet their rows through a broadcast table of fewer than HOT rows, so that none fills a task; the rest by shuffle.
+    """
+    hot = F.col(size) > total // HOT
+    few = F.broadcast(groups.filter(hot))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(groups.filter(~hot), key))
 
 
 def uniform(*parts: Column | str | int) -> Column:
