@@ -2,18 +2,22 @@
 
 New data is digested (SHA-256 of the normalised text), sort-merge anti-joined with the index and
 what is new is appended. The index holds one row per distinct text, so its buckets have no hot key;
-copies are collapsed by partial aggregation before any shuffle by digest, and the only join that
-sees every row can be split by AQE.
+copies are collapsed by partial aggregation before any shuffle by digest, and in the only join that
+sees every row the texts with the most copies meet their group through a small broadcast table.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiprobe.llm.shared import WHITE, cut, fresh_path
+from lexiprobe.llm.shared import WHITE, cut, fresh_path, spread_join
+
+#: Digests of a bucket of a fresh index (about 100 bytes each), and Spark's bound of buckets.
+BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 100_000
 
 
 def text_sha256(text: Column) -> Column:
@@ -24,21 +28,34 @@ def text_sha256(text: Column) -> Column:
 class DigestIndex:
     """A bucketed, sorted parquet table at ``path``: digest, keep_id, batch. Opening an existing path resumes it.
 
-    ``buckets`` belongs to the path and must not change between sessions. Appending is idempotent: a
-    batch that was appended already adds no digest again.
+    The number of buckets belongs to the path and is noted beside it when the index is made: ``buckets``, or
+    enough for ``rows`` digests (name those of all batches to come). Appending is idempotent: a batch that
+    was appended already adds no digest again.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, rows: int = 64 * BUCKET_ROWS):
+        note = f"{path.rstrip('/')}-buckets"
+        try:
+            known = int(spark.read.text(note).first()[0])
+        except AnalysisException:  # no such path: a new index
+            known = buckets or max(8, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
+            spark.createDataFrame([(str(known),)], "value string").coalesce(1).write.text(note)
+        if buckets not in (None, known):
+            raise ValueError(f"the index at {path} has {known} buckets, not {buckets}")
+        self.spark, self.path, self.buckets = spark, path, known
         self.table = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest STRING, keep_id BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {known} BUCKETS LOCATION '{path}'"
         )
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def forget(self) -> None:
+        """Takes the table's name out of the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def append_new(self, groups: DataFrame, batch: str) -> None:
         """Add the digests of ``groups`` (digest, keep_id) that the index does not hold."""
         new = groups.join(self.read().hint("merge"), "digest", "left_anti")
@@ -66,16 +83,18 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str =
     An empty table gives no rows. Other columns of ``docs`` are ignored whatever their names.
     """
     spark = docs.sparkSession
-    if index is None:
-        index = DigestIndex(spark, fresh_path(spark, "digest-index"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_sha256(F.col(text_col)).alias("digest"))
     rows = cut(rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("times")))
-    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
-    index.append_new(groups.select("digest", "keep_id"), batch)
-    groups = groups.drop("keep_id").join(index.read().hint("merge"), "digest")
+    n = rows.count()
+    own = DigestIndex(spark, fresh_path(spark, "digest-index"), rows=n) if index is None else index
+    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"), F.count(F.lit(1)).alias("members"))
+    own.append_new(groups.select("digest", "keep_id"), batch)
+    groups = cut(groups.drop("keep_id").join(own.read().hint("merge"), "digest"))
+    if index is None:
+        own.forget()
     mine = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("batch") == batch)
     return (
-        rows.join(groups, "digest")
+        spread_join(rows, groups, "digest", "members", n)
         .select("doc_id", "keep_id", "group_size", mine.alias("mine"), "digest", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
         .select("doc_id", "keep_id", "group_size", (F.col("mine") & (F.col("nth") == 1)).alias("kept"), F.col("digest").alias("text_sha256"))
     )
