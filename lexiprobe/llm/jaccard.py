@@ -5,14 +5,16 @@
    by (count class, hash), the same order everywhere; of those with equal sets one goes on (a class).
 2. Two sets over the threshold share a shingle of their prefixes. Shingles that occur once cannot be
    shared, so most sets end here; the others enter the groups of their prefix's shingles.
-3. A group never forms all its pairs. Its most central class is tested against the rest. What is not
-   linked to it then probes the classes of other labels around, in chunks of both, with an inverted
-   index of the prefixes in each; once linked to a label it leaves out that label's other classes, as
-   one link joins two components as well as many. No link between components is lost.
+3. A group never forms all its pairs. Its most central class is tested against the rest (a star), and
+   components of these links name what is known to be joined. Only groups of several components go on:
+   their classes meet in chunks, and a pair of two components is a candidate if lengths, positions and
+   the parities of its sets' hashes, which bound how far the sets differ, leave room for the overlap.
+   The best candidate of a class in each other component is tested first, and all that are left after
+   the components were joined by what that found are tested then: no link between components is lost.
 4. A test puts the candidates of a probe into a trie of the sets in descending order of counts, where
    near copies share their beginnings, and walks it once: candidates share partial overlaps, and
    subtrees end where what remains cannot reach the overlap needed. Candidates come in chunks.
-5. Components of the links give every document the smallest id it reaches.
+5. The components give every document the smallest id it reaches.
 
 Shingles are 64-bit hashes; sets are told apart by 128-bit digests of theirs.
 """
@@ -28,12 +30,12 @@ from pyspark.sql import functions as F
 
 from lexiprobe.llm import kernels as K
 from lexiprobe.llm.components import connected_components
-from lexiprobe.llm.shared import buckets_for, cut
+from lexiprobe.llm.shared import cut, deal, spread_join, text_bytes
 
-#: Input bytes for a block of documents and for a bucket of shingles.
-BLOCK_BYTES = BUCKET_BYTES = 4 << 20
-#: Sets of a trie, and of either side of a chunk of probes.
-CHUNK = 512
+#: Sets of a trie, and classes of either side of a chunk of a group.
+CHUNK, MEMBERS = 512, 2_048
+#: Bits of a set's parities: about twice its size, within these bounds.
+LEAST_BITS, MOST_BITS = 256, 4_096
 _FOLD = np.uint64(24)  # occurrences are counted by a hash's upper 40 bits: any function of the shingle gives a valid order
 
 
@@ -78,7 +80,7 @@ def _entries(k: int, buckets: int):
         shingles, counts = _distinct(*_block_sets(table, k))
         to, payload = [], []
         cuts = _cuts(shingles, buckets)
-        for b in range(buckets):
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
             s, e = int(cuts[b]), int(cuts[b + 1])
             if e > s:
                 to.append(b)
@@ -215,9 +217,9 @@ def _walk(percent: int):
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) among ``pairs`` (a, b) of keys of ``sets`` (key, n, grams)."""
-    pairs = pairs.distinct()
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    pairs = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b")
+    pairs = cut(pairs.distinct())
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int"))
+    pairs = spread_join(pairs, sizes, "a", "c", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b")
     rows = pairs.join(sets.select(F.col("key").alias("b"), "grams"), "b").select("a", "chunk", "b", "grams")
     probes = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("binary").alias("b"))
     probes = probes.join(sets.select(F.col("key").alias("a"), "grams"), "a").select("a", "chunk", "b", "grams")
@@ -225,77 +227,200 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(_walk(percent), "u binary, v binary")
 
 
-def _probe_chunk(percent: int):
-    """cogroup of one chunk of a group's classes (x) and one of its classes outside of the main label (y): links (u, v).
+def parities(hashes: np.ndarray) -> bytes:
+    """Bit i says whether an odd number of the hashes end in i. Sets differ in at least as many members as their parities in bits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _signed(batches):
+    """mapInArrow: (key, grams) to (key, sig)."""
+    for batch in batches:
+        sig = [parities(np.frombuffer(g, "<u8")) for g in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary())], ["key", "sig"])
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits the rows of two matrices of parities differ; the wider one is folded to the width of the other."""
+    while a.shape[1] > b.shape[1]:
+        a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+    while b.shape[1] > a.shape[1]:
+        b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
+_MEET = ["token", "x", "y", "side", "key", "label", "main", "n", "pos", "sig"]
+
+
+def _pairs_of(part: dict, percent: int, one: bool) -> tuple[list, list]:
+    """Candidates of one chunk of a group's classes (side 0) with one of those outside its main component (side 1;
+    where that has no rows of its own, the chunk holds the whole group)."""
+    label = {}
+    labels = np.array([label.setdefault(x, len(label)) for x in part["label"]])
+    side, n, pos = np.array(part["side"]), np.array(part["n"]), np.array(part["pos"])
+    main = label.get(part["main"][0], -1)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left[labels[left] != main]
+    widths = np.array([len(s) for s in part["sig"]])
+    packed: dict = {}
+    place = np.zeros(len(widths), np.int64)
+    for w in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == w)
+        place[own] = np.arange(len(own))
+        packed[w] = np.frombuffer(b"".join(part["sig"][i] for i in own.tolist()), np.uint8).reshape(len(own), w).view(np.uint64)
+    key = part["key"]
+    rank = np.empty(len(key), np.int64)
+    rank[sorted(range(len(key)), key=key.__getitem__)] = np.arange(len(key))
+    u, v = [], []
+    step = max(1, (1 << 18) // max(1, len(left)))
+    for s in range(0, len(right), step):
+        y = right[s : s + step]
+        # the pair's first shared shingle must leave room for the overlap needed; a pair of two outside the main component is met once
+        room = np.minimum((n - pos)[y][:, None], (n - pos)[left])
+        ok = (labels[y][:, None] != labels[left]) & ((100 + percent) * room >= percent * (n[y][:, None] + n[left]))
+        ok &= (labels[left] == main) | (rank[y][:, None] > rank[left])
+        i, j = np.nonzero(ok)
+        i, j = y[i], left[j]
+        bound = np.zeros(len(i), np.int64)
+        for wi in packed:
+            for wj in packed:
+                at = np.flatnonzero((widths[i] == wi) & (widths[j] == wj))
+                if len(at):
+                    bound[at] = (n[i[at]] + n[j[at]] - _differ(packed[wi][place[i[at]]], packed[wj][place[j[at]]])) // 2
+        fit = (100 + percent) * bound >= percent * (n[i] + n[j])
+        i, j, bound = i[fit], j[fit], bound[fit]
+        if one and len(i):
+            order = np.lexsort((rank[j], -bound, labels[j], i))
+            i, j = i[order], j[order]
+            first = np.concatenate([[True], (i[1:] != i[:-1]) | (labels[j][1:] != labels[j][:-1])])
+            i, j = i[first], j[first]
+        u += [key[a] for a in j.tolist()]
+        v += [key[a] for a in i.tolist()]
+    return u, v
+
+
+def _meet(percent: int, one: bool):
+    """mapInArrow over rows sorted by (token, x, y): each chunk's candidates (a, b)."""
 
-    Only classes that share a prefix shingle are walked to, lengths and positions permitting, in small
-    batches; once a class is linked to a label, that label's other classes are left out for it.
-    """
+    def run(batches):
+        part: dict = {c: [] for c in _MEET}
+        at = None
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        u, v = [], []
-        if left.num_rows and right.num_rows:
-            read = lambda t: list(zip(*(t.column(c).to_pylist() for c in ("key", "label", "main", "n", "first")), (np.frombuffer(g, "<u8") for g in t.column("grams").to_pylist()), strict=True))
-            xs, ys = read(left), read(right)
-            upto = lambda n: n - (-(-percent * n // 100)) + 1
-            tokens = np.concatenate([x[5][x[4] : upto(x[3])] for x in xs])
-            lens = np.array([max(0, upto(x[3]) - x[4]) for x in xs])
-            owner, place = np.repeat(np.arange(len(xs)), lens), np.concatenate([np.arange(x[4], upto(x[3])) for x in xs])
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner, place = tokens[order], owner[order], place[order]
-            sizes = np.array([x[3] for x in xs])
-            for key, label, main, n, first, grams in ys:
-                own = grams[first : upto(n)]
-                lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
-                at = np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
-                o, pos = owner[at], np.repeat(np.arange(first, upto(n)), hi - lo)
-                # the pair's first shared shingle must leave room for the overlap needed
-                room = np.minimum(n - pos, sizes[o] - place[at])
-                near = np.unique(o[(100 + percent) * room >= percent * (n + sizes[o])])
-                todo = [i for i in near.tolist() if xs[i][1] != label and (xs[i][1] == main or xs[i][0] < key)]
-                linked: set = set()
-                while todo:
-                    batch, todo = todo[:32], todo[32:]
-                    for i in trie_overlaps(grams, [xs[j][5] for j in batch], percent):
-                        x = xs[batch[i]]
-                        if x[1] not in linked:
-                            linked.add(x[1])
-                            u.append(key)
-                            v.append(x[0])
-                    todo = [j for j in todo if xs[j][1] not in linked]
-        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+        def flush():
+            u, v = _pairs_of(part, percent, one) if len(part["key"]) > 1 else ([], [])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            cols = {c: batch.column(i).to_pylist() for i, c in enumerate(_MEET)}
+            places = list(zip(cols["token"], cols["x"], cols["y"], strict=True))
+            s = 0
+            while s < len(places):
+                e = s
+                while e < len(places) and places[e] == places[s]:
+                    e += 1
+                if places[s] != at:
+                    if at is not None:
+                        yield from flush()
+                    at, part = places[s], {c: [] for c in _MEET}
+                for c in _MEET:
+                    part[c] += cols[c][s:e]
+                s = e
+        if at is not None:
+            yield from flush()
 
     return run
 
 
-def class_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links among ``sets`` (key, n, first, grams), enough that no component is torn."""
-    tokens = sets.select("key", "n", "first", "grams").mapInArrow(_prefixes(percent), "token long, key binary, n int, pos int")
+def _candidates(members: DataFrame, sigs: DataFrame, labels: DataFrame | None, percent: int, one: bool, total: int) -> DataFrame:
+    """Pairs (a, b) of classes of two components that share a prefix shingle and whose bounds leave room for a link.
+
+    ``members``: token, key, n, pos; ``labels``: key, label of the classes in a component with others.
+    """
+    rows = members.withColumn("label", F.col("key")) if labels is None else members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    counts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
+    groups = counts.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("nx"), F.max("c").alias("nm")).filter("nx > nm")
+    # without components nothing may be left out of the right side
+    main = F.lit(b"") if labels is None else F.col("main")
+    sizes = groups.select("token", main.alias("main"), "nx", F.ceil(F.col("nx") / MEMBERS).cast("int").alias("cx"), F.ceil((F.col("nx") if labels is None else F.col("nx") - F.col("nm")) / MEMBERS).cast("int").alias("cy"))
+    rows = cut(spread_join(rows, cut(sizes), "token", "nx", total)).join(sigs, "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = rows.withColumn("x", F.pmod(F.xxhash64("key"), F.col("cx")).cast("int")).withColumn("y", every("cy")).withColumn("side", F.lit(0)).select(*_MEET)
+    y = rows.filter((F.col("label") != F.col("main")) & (F.col("cx") > 1))
+    y = y.withColumn("y", F.pmod(F.xxhash64("key", F.lit(1)), F.col("cy")).cast("int")).withColumn("x", every("cx")).withColumn("side", F.lit(1)).select(*_MEET)
+    return x.unionByName(y).repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_meet(percent, one), "a binary, b binary")
+
+
+def _members(sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """token, key, n, pos, members of the prefix shingles that several sets share; and how many rows there were before."""
+    tokens = cut(sets.select("key", "n", "first", "grams").mapInArrow(_prefixes(percent), "token long, key binary, n int, pos int"))
+    total = tokens.count()
     groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    tokens = tokens.select("token", "key", "n").join(groups, "token")
-    central = tokens.groupBy("key").agg(F.sum("members").alias("central"))
-    tokens = tokens.join(central, "key").select("token", "key", "n", "central")
+    return cut(spread_join(tokens, cut(groups), "token", "members", total)), total
+
+
+def class_roots(sets: DataFrame, percent: int) -> DataFrame:
+    """u, root: the smallest key in its component, for every class of ``sets`` (key, n, first, grams) that is not its own."""
+    members, total = _members(sets, percent)
+    central = members.groupBy("key").agg(F.sum("members").alias("central"))
+    rows = members.join(central, "key").select("token", "key", "n", "central")
     # the hub of a token's group, and everything that shares the token: a star, never the group's pairs
-    hubs = tokens.groupBy("token").agg(F.max_by(F.struct("key", "n"), F.struct("central", "key")).alias("hub"))
-    stars = cut(tokens.join(hubs, "token").select(F.col("hub.key").alias("a"), F.col("key").alias("b"), F.col("hub.n").alias("an"), F.col("n").alias("bn")).distinct())
-    members = stars.select(F.col("b").alias("key"))
-    sets = cut(sets.join(members.unionByName(stars.select(F.col("a").alias("key"))).distinct(), "key", "left_semi"))
+    hubs = rows.groupBy("token").agg(F.max_by(F.struct("key", "n"), F.struct("central", "key")).alias("hub"), F.count(F.lit(1)).alias("members"))
+    stars = spread_join(rows, cut(hubs), "token", "members", total).select(F.col("hub.key").alias("a"), F.col("key").alias("b"), F.col("hub.n").alias("an"), F.col("n").alias("bn"))
     fits = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
-    links = cut(verified(stars.filter(F.col("a") != F.col("b")).filter(fits).select("a", "b"), sets, percent))
-    # labels name a class that is known to be connected; groups are what shares shingles, however far around
-    labels = links.groupBy(F.col("v").alias("key")).agg(F.min("u").alias("label"))
-    whole = connected_components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("key"), F.col("root").alias("whole"))
-    rows = sets.join(labels, "key", "left").join(whole, "key", "left").withColumn("label", F.coalesce("label", "key")).withColumn("whole", F.coalesce("whole", "key"))
-    rows = cut(rows.select("key", "n", "first", "grams", "label", "whole"))
-    main = rows.groupBy("whole", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("whole").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("nx"), F.max("c").alias("nm"))
-    main = main.filter("nx > nm").select("whole", "main", F.ceil(F.col("nx") / CHUNK).cast("long").alias("cx"), F.ceil((F.col("nx") - F.col("nm")) / CHUNK).cast("long").alias("cy"))
-    rows = rows.join(main, "whole")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    keep = ["whole", "x", "y", "key", "label", "main", "n", "first", "grams"]
-    x = rows.withColumn("x", F.pmod(F.xxhash64("key"), F.col("cx"))).withColumn("y", every("cy")).select(*keep)
-    y = rows.filter("label <> main").withColumn("y", F.pmod(F.xxhash64("key", F.lit(1)), F.col("cy"))).withColumn("x", every("cx")).select(*keep)
-    apart = x.groupBy("whole", "x", "y").cogroup(y.toDF(*keep).groupBy("whole", "x", "y")).applyInArrow(_probe_chunk(percent), "u binary, v binary")
-    return links.unionByName(apart)
+    sets = cut(sets.join(members.select("key").distinct(), "key", "left_semi").select("key", "grams"))
+    roots = connected_components(verified(stars.filter(F.col("a") != F.col("b")).filter(fits).select("a", "b"), sets, percent))
+    members = members.select("token", "key", "n", "pos")
+    sigs = cut(sets.mapInArrow(_signed, "key binary, sig binary"))
+    for one in (True, False):
+        labels = roots.select(F.col("u").alias("key"), F.col("root").alias("label"))
+        pairs = cut(_candidates(members, sigs, labels, percent, one, total).distinct())
+        if pairs.isEmpty():
+            break
+        found = verified(pairs, sets, percent)
+        for end in ("u", "v"):
+            found = found.join(labels.withColumnRenamed("key", end), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+        joined = cut(connected_components(found.select("u", "v")).withColumnRenamed("root", "top"))
+        moved = roots.join(joined.withColumnRenamed("u", "root"), "root", "left").select("u", F.coalesce("top", "root").alias("root"))
+        roots = cut(moved.unionByName(joined.select("u", F.col("top").alias("root"))))
+    return roots
+
+
+def class_links(sets: DataFrame, percent: int) -> DataFrame:
+    """All links (u, v) of two classes, once each: no component stands for its links here."""
+    members, total = _members(sets, percent)
+    sets = cut(sets.join(members.select("key").distinct(), "key", "left_semi").select("key", "grams"))
+    sigs = cut(sets.mapInArrow(_signed, "key binary, sig binary"))
+    return verified(_candidates(members.select("token", "key", "n", "pos"), sigs, None, percent, False, total), sets, percent)
+
+
+def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, blocks: int | None, buckets: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, digest, ...) and the sets of the classes that may link (key, n, first, grams)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    dealt = deal(text_bytes(docs))[1] if not (blocks and buckets) else 0
+    n_blocks, n_buckets = blocks or dealt, buckets or dealt
+    rows = docs.withColumn("blk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)))
+    entries = rows.groupBy("blk").applyInArrow(_entries(k, n_buckets), "to long, blk long, payload binary")
+    codes = entries.groupBy("to").applyInArrow(_count, "to long, blk long, codes binary")
+    members = cut(rows.groupBy("blk").cogroup(codes.groupBy("blk")).applyInArrow(_ordered(k, percent), _MEMBER))
+    sets = members.filter("grams IS NOT NULL").groupBy(F.col("digest").alias("key")).agg(F.max("n").alias("n"), F.max("first").alias("first"), F.any_value("grams").alias("grams"))
+    return members, cut(sets)
+
+
+def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """All links, between classes of rows with equal sets: (class_a, class_b) in doc ids, and membership (doc_id, class_id, n_links).
+
+    A class is named by its smallest id, null if it has none; n_links counts the other classes that a row's
+    class links with. Null and empty texts are in no class. Rows, ids, empty tables as in :func:`jaccard_components`.
+    """
+    members, sets = _classes(docs, k, percent, id_col, text_col, blocks, buckets)
+    links = cut(class_links(sets, percent))
+    names = members.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    n = links.select(F.explode(F.array("u", "v")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n_links"))
+    names = cut(names.join(n, "digest", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))))
+    a, b = names.select(F.col("digest").alias("u"), F.col("class_id").alias("class_a")), names.select(F.col("digest").alias("v"), F.col("class_id").alias("class_b"))
+    return links.join(a, "u").join(b, "v").select("class_a", "class_b"), members.select("doc_id", "digest").join(names, "digest").select("doc_id", "class_id", "n_links")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, buckets: int | None = None) -> DataFrame:
@@ -306,20 +431,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     component unless all of it is null; rows that repeat an id are judged one by one. An empty table
     gives no rows; other columns are ignored whatever their names.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n_blocks, n_buckets = blocks or buckets_for(docs, BLOCK_BYTES), buckets or buckets_for(docs, BUCKET_BYTES)
-    rows = docs.withColumn("blk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)))
-    entries = rows.groupBy("blk").applyInArrow(_entries(k, n_buckets), "to long, blk long, payload binary")
-    codes = entries.groupBy("to").applyInArrow(_count, "to long, blk long, codes binary")
-    members = cut(rows.groupBy("blk").cogroup(codes.groupBy("blk")).applyInArrow(_ordered(k, percent), _MEMBER))
-    sets = members.filter("grams IS NOT NULL").groupBy(F.col("digest").alias("key")).agg(F.max("n").alias("n"), F.max("first").alias("first"), F.any_value("grams").alias("grams"))
-    roots = connected_components(class_links(cut(sets), percent))
-    classes = members.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    linked = cut(classes.join(roots.select(F.col("u").alias("digest"), "root"), "digest", "left").select("digest", "rep", F.coalesce("root", "digest").alias("root")))
-    tops = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = linked.join(tops, "root").select("digest", "component_id")
-    out = members.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(linked, "digest", "left")
-    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    members, sets = _classes(docs, k, percent, id_col, text_col, blocks, buckets)
+    roots = class_roots(sets, percent)
+    classes = members.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    linked = cut(classes.join(roots.select(F.col("u").alias("digest"), "root"), "digest", "left").select("digest", "rep", "copies", F.coalesce("root", "digest").alias("root")))
+    tops = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    linked = cut(spread_join(linked, cut(tops), "root", "classes", linked.count()).select("digest", "copies", "component_id"))
+    rows = members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest")
+    out = spread_join(rows.filter("digest IS NOT NULL"), linked, "digest", "copies", rows.count()).select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(rows.filter("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 OP6_SQL = r"""
