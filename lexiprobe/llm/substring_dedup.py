@@ -5,15 +5,20 @@ of documents hashes its windows and keeps its own first occurrence of every edge
 in a third of all documents costs one entry a block. The entries are dealt by hash, sorted and packed,
 into buckets; a bucket finds the earliest source coordinate (document, position) of each repeated
 edge. Repeated edges return to their block, where chains of edges whose source coordinates advance
-together, which no branch interrupts, are compacted into paths (start, edges, source). The paths are
-joined with the documents, and the words they cover are removed.
-
-Edges are compared by 64-bit hashes of their words: with n windows about n**2 / 2**65 of all pairs
-collide by chance (1 in 2,000 odds of a single one at 10**8 windows).
+together, which no branch interrupts, are compacted into paths (start, edges, source). Both ends of
+every path are then read again by their coordinates, and a path stays only if the words of its span
+and of its source are the same by a 128-bit digest of the words themselves. The words that verified
+paths cover are removed.
+
+Edges are found by 64-bit hashes of their words: with n windows about n**2 / 2**65 of all pairs collide
+by chance. Such a path fails the verification and removes nothing; a window that repeats elsewhere too
+is then missed, which takes a collision with an earlier window on top of a repetition.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,12 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiprobe.llm import kernels as K
-from lexiprobe.llm.shared import WHITE, buckets_for
+from lexiprobe.llm.shared import WHITE, cut, deal, text_bytes
 
-#: Windows in a block.
-BLOCK_WINDOWS = 1_500_000
-#: Input bytes for each bucket of hashes.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text that a window stands for, about, in the size of a block.
+WINDOW_BYTES = 6
 #: Where null ids sort: behind all others.
 NULL_ID = np.iinfo(np.int64).max
 _MOVED = "to long, kind int, blk long, payload binary"
@@ -75,7 +78,7 @@ def _later(order, first, doc, start):
     return (doc[order] != doc[first]) | (start[order] != start[first])
 
 
-def _edges(k: int, buckets: int, block_windows: int):
+def _edges(k: int, buckets: int, block_windows: int, bits: int):
     def run(batches):
         part, nth, held = TaskContext.get().partitionId(), 0, 0
         parts: list[tuple] = []
@@ -103,6 +106,8 @@ def _edges(k: int, buckets: int, block_windows: int):
             for i, j in K.pieces(offsets):
                 starts, ends, of = K.words(data, offsets[i : j + 1])
                 edge = K.rolling(K.spans_hash(data, starts, ends), k)
+                if bits < 64:
+                    edge = edge << np.uint64(64 - bits)
                 lens = np.maximum(np.diff(of) - k + 1, 0)
                 if not lens.sum():
                     continue
@@ -171,20 +176,55 @@ def _compact(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(own[cuts], pa.int64(), mask=own[cuts] == NULL_ID), "paths": lists})
 
 
-def repeated_paths(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS, buckets: int | None = None) -> DataFrame:
+def repeated_paths(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", block_windows: int | None = None, buckets: int | None = None, bits: int = 64) -> DataFrame:
     """doc_id and its compacted paths of repeated edges, for documents that have any.
 
     A path (start, edges, source_doc, source_start) says that the document's words start ..
     start + edges + k - 2 repeat those from source_start on of source_doc, where each of the path's
-    windows occurs first (smallest document, then smallest start).
+    windows occurs first (smallest document, then smallest start), as the hashes say. ``bits`` of each hash
+    count; fewer than 64 make collisions likely.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = buckets or buckets_for(docs, BUCKET_BYTES)
-    found = docs.mapInArrow(_edges(k, n, block_windows), _MOVED).groupBy("to").applyInArrow(_firsts, "blk long, payload binary")
+    each, n = (0, 0) if block_windows and buckets else deal(text_bytes(docs))
+    found = docs.mapInArrow(_edges(k, buckets or n, block_windows or each // WINDOW_BYTES, bits), _MOVED).groupBy("to").applyInArrow(_firsts, "blk long, payload binary")
     paths = found.groupBy("blk").applyInArrow(_compact, _PATHS)
     return paths.groupBy("doc_id").agg(F.flatten(F.collect_list("paths")).alias("paths"))
 
 
+def _say(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """The digest of each span (s, words) of a text's words; spans that the text does not have are left out."""
+    out = []
+    for t, own in zip(text, spans, strict=True):
+        raw = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)
+        starts, ends, _ = K.words(raw, np.array([0, len(raw)]))
+        data, said = raw.tobytes(), []
+        for span in own:
+            s, n = span["s"], span["words"]
+            if s + n <= len(starts):
+                words = b" ".join([data[a:b] for a, b in zip(starts[s : s + n].tolist(), ends[s : s + n].tolist(), strict=True)])
+                said.append({"s": s, "words": n, "said": hashlib.blake2b(words, digest_size=16).digest()})
+        out.append(said)
+    return pd.Series(out)
+
+
+def verified_paths(docs: DataFrame, paths: DataFrame, k: int) -> DataFrame:
+    """Those of ``paths`` (doc_id, paths) whose words are those of their source; ``docs`` are doc_id and text.
+
+    A source that many paths name is read once for each of its spans. Of rows that share an id any may hold a span.
+    """
+    one = paths.select("doc_id", F.explode("paths").alias("p")).withColumn("words", F.col("p.edges") + (k - 1))
+    own = one.select("doc_id", F.col("p.start").alias("s"), "words")
+    source = one.select(F.col("p.source_doc").alias("doc_id"), F.col("p.source_start").alias("s"), "words")
+    asked = own.unionByName(source).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("s", "words")).alias("spans"))
+    read = docs.join(asked.withColumnRenamed("doc_id", "__doc"), docs.doc_id.eqNullSafe(F.col("__doc")))
+    say = F.pandas_udf(_say, "array<struct<s:int,words:int,said:binary>>")
+    said = cut(read.select("doc_id", F.explode(say("text", "spans")).alias("x")).select("doc_id", "x.*").distinct())
+    a, b = said.toDF("ad", "a_s", "aw", "a_said"), said.toDF("bd", "b_s", "bw", "b_said")
+    both = one.join(a, F.col("doc_id").eqNullSafe(F.col("ad")) & (F.col("p.start") == F.col("a_s")) & (F.col("words") == F.col("aw")))
+    same = F.col("p.source_doc").eqNullSafe(F.col("bd")) & (F.col("p.source_start") == F.col("b_s")) & (F.col("words") == F.col("bw")) & (F.col("a_said") == F.col("b_said"))
+    return both.join(b, same, "left_semi").select("doc_id", "p").distinct().groupBy("doc_id").agg(F.collect_list("p").alias("paths"))
+
+
 def _remove(k: int):
     @F.pandas_udf("kept string, n_removed long")
     def remove(text: pd.Series, paths: pd.Series) -> pd.DataFrame:
@@ -219,7 +259,7 @@ def substring_dedup(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_c
     An empty table gives no rows; other columns are ignored whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    paths = repeated_paths(docs, k, **how).withColumnRenamed("doc_id", "__doc")
+    paths = verified_paths(docs, cut(repeated_paths(docs, k, **how)), k).withColumnRenamed("doc_id", "__doc")
     row = docs.join(paths, docs.doc_id.eqNullSafe(F.col("__doc")), "left").drop("__doc")
     plain = F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), WHITE, " "))
     row = row.select("doc_id", plain.alias("plain"), "paths", _remove(k)(F.when(F.col("paths").isNotNull(), F.col("text")), F.col("paths")).alias("cut"))
