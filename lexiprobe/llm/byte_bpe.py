@@ -1,8 +1,8 @@
 """Operator 10, byte-level BPE: a global distinct-word shuffle.
 
-Each block of documents (about 8 MB of text) splits its texts into pre-tokens, numbers its distinct
+Each block of documents splits its texts into pre-tokens, numbers its distinct
 ones and sends each of them once, packed by word bucket, through a shuffle; a bucket holds all
-occurrences of its words, so each distinct word of the corpus is encoded once. The ids return to the
+occurrences of its words and is read in one go, so each distinct word of the corpus is encoded once. The ids return to the
 blocks in a second shuffle and are laid out by position. A word in every document costs one entry a
 block, so no word is hot. Decoding joins the ids with the table of token bytes, whose size is that
 of the vocabulary.
@@ -21,14 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiprobe.llm import kernels as K
-from lexiprobe.llm.shared import buckets_for
-
-#: Characters of text in a block; a block is what one task holds at a time.
-BLOCK_CHARS = 8 << 20
-#: Input bytes for each word bucket.
-BUCKET_BYTES = 4 << 20
-#: Encoded words that a task remembers at once; over it, it forgets and may encode a word again.
-MEMO_WORDS = 500_000
+from lexiprobe.llm.shared import deal, text_bytes
+
 _MOVED = "to long, kind int, blk long, payload binary"
 
 
@@ -39,6 +33,12 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _public_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 @lru_cache(maxsize=4)
 def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -72,6 +72,7 @@ def _split_words(pattern: str, buckets: int, block_chars: int):
         import regex
 
         findall, crosses = regex.compile(pattern).findall, regex.compile(r" \s|\s ").search
+        apart = pattern == _public_pattern()
         part, nth = TaskContext.get().partitionId(), 0
         ids: list = []
         docs: list[np.ndarray] = []
@@ -107,9 +108,9 @@ def _split_words(pattern: str, buckets: int, block_chars: int):
             for at in range(0, batch.num_rows, 256):
                 for i, text in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256).to_pylist(), strict=True):
                     text = text or ""
-                    if crosses(text) or len(text) < 2:
+                    if not apart or crosses(text) or len(text) < 2:
                         seq = numbers(text)
-                    else:  # a space starts a pre-token, and no run of white space crosses it: the parts can be split alone
+                    else:  # by the public pattern a space starts a pre-token, and no run of white space crosses it: the parts can be split alone
                         first, *rest = text.split(" ")
                         seq = numbers(first)
                         for c in rest:
@@ -131,14 +132,18 @@ def _split_words(pattern: str, buckets: int, block_chars: int):
     return run
 
 
-def _encode_words(path: str, pattern: str, memo_words: int):
-    """mapInArrow: word rows to the words' ids (kind 1); rows of documents pass."""
+def _encode_words(path: str, pattern: str):
+    """mapInArrow over rows sorted by bucket: word rows to the words' ids (kind 1); rows of documents pass. A bucket's words are remembered to its end."""
 
     def run(batches):
         encode = _encoder(path, pattern).encode_ordinary
         memo: dict[bytes, list[int]] = {}
+        bucket = None
         for batch in batches:
-            for kind, blk, payload in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+            for to, kind, blk, payload in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if to != bucket:
+                    bucket = to
+                    memo.clear()
                 if kind == 0:
                     yield _row(0, 0, blk, payload)
                     continue
@@ -151,8 +156,6 @@ def _encode_words(path: str, pattern: str, memo_words: int):
                     at += n
                     ids = memo.get(w)
                     if ids is None:
-                        if len(memo) >= memo_words:
-                            memo.clear()
                         ids = memo[w] = encode(w.decode("utf-8", "surrogatepass"))
                     out += ids
                     counts.append(len(ids))
@@ -196,7 +199,7 @@ def _assemble(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(out, pa.binary())})
 
 
-def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, buckets: int | None = None) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int | None = None, buckets: int | None = None) -> DataFrame:
     """doc_id, n_tokens and ids (binary, little-endian unsigned 32-bit) of every row of ``docs``.
 
     Null and empty texts have no tokens. Rows are encoded alone, so null and repeated ids keep their
@@ -206,9 +209,9 @@ def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str | None = N
     default_path, default_pattern = default_vocabulary() if path is None or pattern is None else (path, pattern)
     path, pattern = path or default_path, pattern or default_pattern
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = buckets or buckets_for(docs, BUCKET_BYTES)
-    moved = docs.mapInArrow(_split_words(pattern, n, block_chars), _MOVED).repartition("to")
-    back = moved.mapInArrow(_encode_words(path, pattern, MEMO_WORDS), _MOVED)
+    each, n = (0, 0) if block_chars and buckets else deal(text_bytes(docs))
+    moved = docs.mapInArrow(_split_words(pattern, buckets or n, block_chars or each), _MOVED).repartition("to").sortWithinPartitions("to")
+    back = moved.mapInArrow(_encode_words(path, pattern), _MOVED)
     return back.groupBy("blk").applyInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
 
 
