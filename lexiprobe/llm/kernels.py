@@ -96,6 +96,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: 0 white space, 1 letters, digits, _ and all that is not ASCII, 2 other characters.
+_CLASS = np.full(256, 2, np.uint8)
+_CLASS[_WHITE] = 0
+_CLASS[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`words`: runs of letters, and every other character that is not white space alone."""
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    kind = _CLASS[data[lo:hi]]
+    edge = np.zeros(hi - lo + 1, bool)
+    edge[offsets - lo] = True
+    joined = (kind[1:] == 1) & (kind[:-1] == 1) & ~edge[1:-1] if hi > lo else np.zeros(0, bool)
+    some = kind > 0
+    starts = np.flatnonzero(some & ~np.concatenate([[False], joined])[: hi - lo]) + lo
+    ends = np.flatnonzero(some & ~np.concatenate([joined, [False]])[: hi - lo]) + lo + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """The hash of h[i:i+k] for every i with k numbers from it on."""
     n = len(h) - k + 1

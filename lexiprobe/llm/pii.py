@@ -1,10 +1,10 @@
 """Operator 9, personal data by bootstrapped contextual extraction.
 
-Exact expressions find the base entities, which are the seeds. The two words before an entity are a
-lexical pattern. Strings that look like an identifier of a kind without being one by the exact
+Exact expressions find the base entities, which are the seeds. The two tokens before an entity (words or
+single punctuation marks; the start of the text stands for missing ones) are a lexical pattern. Strings that look like an identifier of a kind without being one by the exact
 expressions are the unseen instances. Patterns and instances form a graph; Spark scores it in rounds:
 a pattern's confidence is the score of what it extracts over all of its occurrences in the corpus
-(ordinary words included), an instance's score the noisy-or of its patterns' confidences. Instances
+(ordinary tokens included), an instance's score the noisy-or of its patterns' confidences. Instances
 that end above a threshold are added as spans where a confident pattern stands before them. Edges are
 counted by partial aggregation, so a pattern in front of a third of all entities is one row a task.
 """
@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -80,15 +82,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def _before(text: str, start: int, room: int = 160) -> str | None:
-    """The two words before ``start``, A-Z lowered, or None where there are no two within ``room`` characters."""
-    lo = max(0, start - room)
-    parts = re.split(r"[\x20\x09-\x0D]+", text[lo:start])
-    if parts[-1] != "" or len(parts) < (4 if lo else 3):
-        return None
-    if parts[-3] == "":
+_TOKEN = re.compile("[0-9A-Za-z_\x80-\U0010ffff]+|[^\x20\x09-\x0D]")
+_LETTER = re.compile("[0-9A-Za-z_\x80-\U0010ffff]")
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _before(text: str, start: int) -> str | None:
+    """The two tokens before ``start``, A-Z lowered, an empty one for each that is missing; None within a token."""
+    if start and _LETTER.match(text, start - 1) and _LETTER.match(text, start):
         return None
-    return re.sub(r"[A-Z]+", lambda m: m[0].lower(), f"{parts[-3]} {parts[-2]}")
+    room = 64
+    while True:
+        lo = max(0, start - room)
+        found = _TOKEN.findall(text, lo, start)
+        if len(found) > 2 or not lo:  # the first one may be cut at lo
+            a, b = ["", "", *found][-2:]
+            return f"{a} {b}".translate(_LOWER)
+        room *= 4
 
 
 def _scan(batches):
@@ -102,11 +112,14 @@ def _scan(batches):
                 base = base_spans(text)
                 said = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
                 seen = [(KINDS[k], s, e, text[s:e].lower(), _before(text, s), True) for s, k, e in base]
+                ends = list(accumulate((e for _, _, e in base), max))
+                starts = [s for s, _, _ in base]
                 if "@" in text or "(at)" in text or "[at]" in text or _DIGIT.search(text):
                     for kind, loose in _LOOSE.items():
                         for m in loose.finditer(text):
                             s, e = m.span()
-                            if not any(a < e and s < b for a, _, b in base):
+                            over = bisect_left(starts, e)
+                            if not over or ends[over - 1] <= s:  # no base entity there
                                 p = _before(text, s)
                                 if p is not None:
                                     seen.append((kind, s, e, m[0].lower(), p, False))
@@ -128,14 +141,23 @@ _ARROW = pa.schema([
 
 
 def _pattern_hashes(patterns: list[str]) -> np.ndarray:
-    raw = [p.encode("utf-8", "surrogatepass") for p in patterns]
-    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    starts, ends, of = K.words(data, offsets)
-    return K.rolling(K.spans_hash(data, starts, ends, K.LOWER), 2)[of[:-1]]
+    raw = [t.encode("utf-8", "surrogatepass") for p in patterns for t in p.split(" ")]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    return K.rolling(K.spans_hash(data, at[:-1], at[1:], K.LOWER), 2)[::2]
+
+
+def _pairs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The hash of the two tokens before each token of some documents; two empty ones stand before each document."""
+    starts, ends, of = K.tokens(data, offsets)
+    none = K.spans_hash(data, np.zeros(1, np.int64), np.zeros(1, np.int64), K.LOWER)[0]
+    h = np.insert(K.spans_hash(data, starts, ends, K.LOWER), np.repeat(of[:-1], 2), none)
+    of = of + 2 * np.arange(len(of))
+    pair = K.rolling(h, 2)
+    return pair[np.repeat(of[1:], np.diff(of))[: len(pair)] > np.arange(len(pair)) + 2]
 
 
 def _occurrences(patterns: list[str]):
-    """mapInArrow: how often each pattern stands before any word."""
+    """mapInArrow: how often each pattern stands before any token."""
     hashes = _pattern_hashes(patterns)
     order = np.argsort(hashes)
     sorted_hashes = hashes[order]
@@ -145,11 +167,7 @@ def _occurrences(patterns: list[str]):
         for batch in batches:
             data, offsets = K.text_buffer(batch.column(0))
             for i, j in K.pieces(offsets):
-                starts, ends, of = K.words(data, offsets[i : j + 1])
-                pair = K.rolling(K.spans_hash(data, starts, ends, K.LOWER), 2)
-                first = np.arange(len(pair))
-                inside = np.repeat(of[1:], np.diff(of))[: len(pair)] > first + 2  # a third word follows in the document
-                pair = pair[inside]
+                pair = _pairs(data, offsets[i : j + 1])
                 at = np.searchsorted(sorted_hashes, pair).clip(0, len(patterns) - 1)
                 total += np.bincount(order[at[sorted_hashes[at] == pair]], minlength=len(patterns))
         found = np.flatnonzero(total)
@@ -171,7 +189,7 @@ def find_pii(
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(docs.mapInArrow(_scan, _SCHEMA))
-    seen = rows.select("rid", F.explode("seen").alias("s")).select("rid", "s.*").filter("pattern IS NOT NULL")
+    seen = rows.select("rid", F.explode("seen").alias("s")).select("rid", "s.*").filter("pattern IS NOT NULL")  # not within a token
     edges = seen.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
     # one score an edge: seeds are certain; what is unseen starts at nothing
     edges = cut(edges.withColumn("score", F.col("seed").cast("double")))
