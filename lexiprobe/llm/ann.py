@@ -198,6 +198,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose id is divisible by ``every``.
 
+    All others are returned where there are fewer than ``k``: a query whose lists hold too few goes through all.
     Vectors that are null, empty, all zero, of another than the most common length, or hold null or
     non-finite components take no part, nor do rows with a null id. Rows that repeat an id are the
     same record: none is its own neighbour, and of several with one id the best score counts. Ties
@@ -224,8 +225,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None
     first = cut(_scan(data, asked.filter("at = 0").withColumn("floor", F.lit(float("-inf"))), space, k))
     floors = _best(first, k).select("query_id", F.when(F.size("near") >= k, -F.col("near")[k - 1]["s"]).alias("floor"))
     rest = asked.filter("at > 0").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    lists_of = _best(first.unionByName(_scan(data, rest, space, k)), k)
-    out = lists_of.select("query_id", F.posexplode("near").alias("at", "n"))
+    best = cut(_best(first.unionByName(_scan(data, rest, space, k)), k))
+    # a query whose lists held too few others goes through all lists
+    others = data.agg(F.count_distinct("vec_id")).first()[0] - 1
+    enough = best.filter(F.size("near") >= min(k, others)).select("query_id")
+    short = cut(asked.filter("at = 0").select("query_id", "q").join(enough, "query_id", "left_anti"))
+    if others and not short.isEmpty():
+        every_list = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(space.centroids) - 1).cast("long")))
+        wide = short.withColumn("list", every_list).withColumn("floor", F.lit(float("-inf")))
+        best = best.join(enough, "query_id", "left_semi").unionByName(_best(_scan(data, wide, space, k), k))
+    out = best.select("query_id", F.posexplode("near").alias("at", "n"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), (-F.col("n.s")).alias("score"))
 
 
