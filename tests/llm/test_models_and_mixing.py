@@ -152,6 +152,58 @@ def test_toxicity_end_to_end_against_a_plain_version(spark):
     assert want[153] > 0.5 > want[150]
 
 
+def plain_sites(rows):
+    """(host, path) to the two posteriors, and the global rate, from (host, path, p), in plain Python."""
+    total, mean = len(rows), sum(p for _, _, p in rows) / len(rows)
+    hosts, paths = {}, {}
+    for h, t, p in rows:
+        for d, key in ((hosts, h), (paths, (h, t))):
+            y, n = d.get(key, (0.0, 0))
+            d[key] = (y + p, n + 1)
+
+    def strength(spread, squares, groups):
+        inside = mean * (1 - mean)
+        return min(1e6, max(1.0, inside / max((spread - (groups - 1) * inside) / max(total - squares / total, 1e-9), 1e-9) - 1))
+
+    k = strength(sum(n * (y / n - mean) ** 2 for y, n in hosts.values()), sum(n * n for _, n in hosts.values()), len(hosts))
+    rate = {h: (y + k * mean) / (n + k) for h, (y, n) in hosts.items()}
+    within = sum(n * (y / n - rate[h]) ** 2 for (h, _), (y, n) in paths.items())
+    k2 = strength(within, sum(n * n / hosts[h][1] for (h, _), (_, n) in paths.items()) * total / max(1, len(hosts)), len(paths) - len(hosts) + 1)
+    return {(h, t): (rate[h], (y + k2 * rate[h]) / (n + k2)) for (h, t), (y, n) in paths.items()}, mean
+
+
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_quality_of_pages_by_host_and_path(spark, monkeypatch, broadcast):
+    """Hosts and paths from URLs, as of pages, against plain Python; null, empty, long and repeated rows too."""
+    monkeypatch.setattr(quality, "BROADCAST_SITES", broadcast)
+    docs, labels = [], []
+    for i in range(240):
+        bad = i % 3 == 0
+        host, path = f"h{i % 6}.org", f"/{'abc'[i // 7 % 3]}/{i}"
+        docs.append((i, " ".join(("###$$$%%%" if bad else f"word{(i * 7 + j) % 50}") for j in range(20 + i % 9)), f"https://{host}{path}"))
+        labels.append((i, int(not bad), 0))
+    docs += [(300, None, "https://h1.org/a/x"), (301, "", None), (302, "good words " * 30_000, "https://new.org/"), (5, docs[5][1], docs[5][2]), (None, "###$$$%%%", "https://h1.org/a/x")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, url string").withColumn("host", F.lit("clash")).withColumn("evidence", F.lit("clash"))
+    host, path = F.regexp_extract("url", r"^https?://([^/]+)", 1), F.regexp_extract("url", r"^https?://[^/]+(/[^/]*)", 1)
+    host, path = F.when(F.col("url").isNotNull(), host), F.when(F.col("url").isNotNull(), path)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = [r.asDict() for r in quality.score_quality(table, known, host, path).collect()]
+    assert Counter(r["doc_id"] for r in out) == Counter(d[0] for d in docs)
+    of = {r["doc_id"]: r for r in out}
+    out = [of[d[0]] for d in docs]
+    site = lambda u: (u.split("/")[2], "/" + u.split("/")[3]) if u else (None, None)
+    y = {i: q for i, q, _ in labels if zlib.crc32(str(i).encode()) % 5}
+    rows = [(*site(d[2]), float(y[d[0]]) if d[0] in y else 1 / (1 + math.exp(-r["evidence"]))) for d, r in zip(docs, out, strict=True)]
+    posts, mean = plain_sites(rows)
+    logit = lambda p: math.log(min(1 - 1e-6, max(1e-6, p)) / (1 - min(1 - 1e-6, max(1e-6, p))))
+    for d, r in zip(docs, out, strict=True):
+        h, t = posts[site(d[2])]
+        score = 1 / (1 + math.exp(-(r["evidence"] + logit(t) - logit(mean))))
+        assert abs(r["host_rate"] - h) < 1e-9 and abs(r["path_rate"] - t) < 1e-9 and abs(r["score"] - score) < 1e-6
+        assert r["keep"] == (r["score"] >= 0.5)
+    assert sum(r["keep"] for r in out[:240]) == 160
+
+
 def test_quality_separates_and_keeps(spark):
     docs, labels = [], []
     for i in range(200):
@@ -258,6 +310,32 @@ def test_hot_lists_are_cut(spark, monkeypatch):
     assert len(out) == 20 and len({r["vec_id"] for r in out}) == 20
 
 
+def test_short_lists_are_widened(spark):
+    """One list holds fewer others than are asked for: the query goes on through all lists."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (np.eye(8)[i % 8] * 5 + rng.standard_normal(8) * 0.1).tolist()) for i in range(160)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("query_id", F.lit("clash")).withColumn("list", F.lit(0))
+    out = ann.nearest(table, k=60, probes=1).collect()
+    assert Counter(r["query_id"] for r in out) == Counter({q: 60 for q in range(0, 160, 20)})
+    every = ann.nearest(table, k=500, probes=1).collect()
+    assert Counter(r["query_id"] for r in every) == Counter({q: 159 for q in range(0, 160, 20)})
+
+
+def test_fitted_probes_reach_the_recall(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 16)).astype(np.float32)
+    out = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    found = {}
+    for r in out:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 3000, 20):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        hit += len(found[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hit / (20 * 150) >= 0.9 and all(len(v) == 20 for v in found.values())
+
+
 def test_few_candidates_all_return(spark):
     out = ann.nearest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out] == [(0, 1, 1, 1.0)]
@@ -278,6 +356,47 @@ def test_base_entities():
         assert ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in pii.base_spans(text)) == want, text
 
 
+def plain_base(text):
+    """The contract's four expressions, run plainly."""
+    import re
+
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+    tests = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    }
+    found = [(m.start(), i, f"{k}:{m.start()}:{m.end()}") for i, (k, (p, ok)) in enumerate(tests.items()) for m in re.finditer(p, text) if ok(m)]
+    return ",".join(x for _, _, x in sorted(found))
+
+
+def test_base_entities_against_the_expressions():
+    rng = np.random.default_rng(4)
+    parts = ["a.b@x.org", "@", ".", "-", " ", "+", "1", "255", "256", "0007", "4111 1111 1111 1111", "+1 (906) 555-7738", "é", "x", "10.0.0.1", "(", ")", "4111-1111-1111-1111", "%", "_", "٣", "\n", "日"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(1, 14)))
+        assert ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in pii.base_spans(text)) == plain_base(text), repr(text)
+    for text in ("a@b.c " * 3000, "1." * 5000 + "x", "a" * 20_000 + "@" + "b.c" * 10, "1 " * 9000):
+        assert ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in pii.base_spans(text)) == plain_base(text)
+
+
+def test_context_is_the_two_tokens_before():
+    assert pii._before("Reach Mail:u@x", 11) == "mail :" and pii._before("(x", 1) == " (" and pii._before("x", 0) == " "
+    assert pii._before("ab", 1) is None and pii._before("w " + "y" * 500 + " x", 503) == f"w {'y' * 500}"
+    texts = ["Reach Mail:(x y", "", "a", "é, b  c!"]
+    data, offsets = pii.K.text_buffer(pii.pa.array(texts))
+    pairs = [x for t in texts for m in pii._TOKEN.finditer(t) for x in [pii._before(t, m.start())]]
+    assert pii._pairs(data, offsets).tolist() == pii._pattern_hashes(pairs).tolist()
+
+
+def test_unseen_identifiers_behind_punctuation(spark):
+    rows = [(i, f"see (Email:u{i}@host.org) end") for i in range(12)] + [(100, "x (Email:u5x(at)host(dot)org) bye"), (100, "x (Email:u5x(at)host(dot)org) bye"), (101, "u5x(at)host(dot)org " + "word " * 30_000)]
+    out = [(r["doc_id"], r["n_added"]) for r in pii.find_pii(frame(spark, rows)).collect()]
+    assert out.count((100, 1)) == 2 and out.count((101, 0)) == 1 and sum(n for _, n in out) == 2
+
+
 def test_patterns_discover_what_is_unseen(spark):
     rows = [(i, f"reach mail: u{i}@host.org end") for i in range(12)] + [(100, "reach mail: u5x(at)host(dot)org bye"), (101, "we saw 12 u5x(at)host(dot)org bye"), (102, None), (None, "nothing 7 here"), (None, "reach mail: q@r.st")]
     out = {(r["doc_id"], r["spans"]): r["n_added"] for r in pii.find_pii(frame(spark, rows)).collect()}

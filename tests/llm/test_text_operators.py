@@ -63,6 +63,17 @@ def test_substring_dedup(docs, rows, how):
     assert got(substring_dedup.substring_dedup(docs, **how), "n_words", "n_removed", "kept") == substring_brute(rows)
 
 
+def test_substring_verification_undoes_collisions(spark, docs, rows):
+    """With 9-bit hashes nearly every window collides: what is removed must be repeated all the same."""
+    want = substring_brute(rows)
+    for i, (n, gone, kept) in got(substring_dedup.substring_dedup(docs, bits=9), "n_words", "n_removed", "kept").items():
+        words, left = WORD.findall(dict(rows)[i] or ""), kept.split()
+        brute = want[i][2].split()
+        assert n == want[i][0] and gone <= want[i][1] and len(left) == n - gone
+        it = iter(left)
+        assert all(w in it for w in brute) and Counter(left) - Counter(words) == Counter()  # keeps all that brute force keeps
+
+
 def test_substring_paths_name_their_source(spark):
     text = " ".join(f"t{i}" for i in range(40))
     paths = got(substring_dedup.repeated_paths(frame(spark, [(1, text), (2, "x y " + text)])), "paths")
@@ -134,6 +145,77 @@ def test_jaccard(docs, rows, how):
     assert got(jaccard.jaccard_components(docs, **how), "n_shingles", "component_id") == jaccard_brute(rows)
 
 
+def near_texts():
+    """Chains of edits of a few bases, so that many pairs are near the threshold and hubs miss links, and unlike texts of shared passages."""
+    rng = np.random.default_rng(9)
+    out = []
+    for b in range(3):
+        base = [f"b{b}w{i}" for i in range(60)]
+        for _ in range(25):
+            w = list(base)
+            for at in rng.choice(60, rng.integers(0, 3), replace=False):
+                w[at] = f"e{rng.integers(0, 9)}"
+            out.append(w)
+    passages = [[f"p{p}w{i}" for i in range(30)] for p in range(8)]
+    out += [sum((passages[p] for p in rng.choice(8, 4, replace=False)), []) for _ in range(40)]
+    return [(int(i), " ".join(w)) for i, w in zip(rng.permutation(len(out)) * 7 + 1, out, strict=True)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_links_between_components(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(jaccard, "CHUNK", 3)
+        monkeypatch.setattr(jaccard, "MEMBERS", 4)
+    rows = near_texts()
+    want = jaccard_brute(rows)
+    assert got(jaccard.jaccard_components(frame(spark, rows)), "n_shingles", "component_id") == want
+
+
+def test_jaccard_links_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEMBERS", 16)
+    rows = near_texts()
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets.setdefault(frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)), []).append(i)
+    name = {s: min(ids) for s, ids in sets.items()}
+    all_ = list(name)
+    want = {frozenset((name[a], name[b])) for x, a in enumerate(all_) for b in all_[:x] if 100 * len(a & b) >= 80 * len(a | b)}
+    links, of = jaccard.jaccard_links(frame(spark, rows))
+    found = [frozenset((r["class_a"], r["class_b"])) for r in links.collect()]
+    assert len(want) > 50 and Counter(found) == Counter(want)
+    for r in of.collect():
+        own = next(s for s, ids in sets.items() if r["doc_id"] in ids)
+        assert r["class_id"] == name[own] and r["n_links"] == sum(name[own] in w for w in want)
+
+
+def test_unlike_texts_of_shared_passages_send_rows_in_proportion(spark, monkeypatch):
+    sent = []
+    real = jaccard._candidates
+
+    def counted(members, *args):
+        sent.append(members.count())
+        return real(members, *args)
+
+    monkeypatch.setattr(jaccard, "_candidates", counted)
+    for n in (100, 400):
+        rng = np.random.default_rng(n)
+        rows = [(i, " ".join(f"p{p}w{j}" for p in rng.choice(60, 4, replace=False) for j in range(30))) for i in range(n)]
+        out = got(jaccard.jaccard_components(frame(spark, rows)), "component_id")
+        assert sum(c != i for i, (c,) in out.items()) <= n // 50
+    assert sent[-1] <= 6 * sent[0]
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (5, 100, 900, 3000):
+        a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for part in (0.5, 0.9, 1.0):
+            b = np.concatenate([rng.choice(a, int(size * part), replace=False), rng.integers(0, 1 << 63, size // 5, dtype=np.uint64)])
+            x, y = (np.frombuffer(jaccard.parities(s), np.uint64)[None, :] for s in (a, b))
+            assert jaccard._differ(x, y)[0] <= len(np.setxor1d(a, b))
+
+
 def test_jaccard_chains_of_near_copies(spark):
     """Links only from one to the next: the ends are joined through all between."""
     text = [f"c{i}" for i in range(80)]
@@ -165,6 +247,42 @@ def test_bpe_matches_the_library(spark, docs, rows):
         assert out[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha(t or "")), repr(t)[:80]
 
 
+def test_bpe_with_another_pattern(spark):
+    """A pattern by which blanks do not start pre-tokens: texts must not be split there."""
+    path, pattern = byte_bpe.default_vocabulary()[0], r"\w+ ?|[^\w]+"
+    import tiktoken
+
+    enc = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=byte_bpe._ranks(path), special_tokens={})
+    rows = [(1, "some words and more words, here"), (2, "a  b c")]
+    out = got(byte_bpe.bpe_encode(frame(spark, rows), pattern=pattern), "ids")
+    assert {i: np.frombuffer(x, "<u4").tolist() for i, (x,) in out.items()} == {i: enc.encode_ordinary(t) for i, t in rows}
+
+
+def test_each_word_of_a_bucket_is_encoded_once(monkeypatch):
+    import pyarrow as pa
+
+    calls = []
+
+    class Encoder:
+        def encode_ordinary(self, w):
+            calls.append(w)
+            return [len(w)]
+
+    monkeypatch.setattr(byte_bpe, "_encoder", lambda *_: Encoder())
+    row = lambda to, words: byte_bpe._row(to, 1, 0, K.pack_all(K.pack(np.arange(len(words))), K.pack(np.array([len(w) for w in words])), K.zstandard.ZstdCompressor().compress("".join(words).encode())))
+    out = list(byte_bpe._encode_words("p", "x")([row(0, ["a", "bb"]), row(0, ["bb", "ccc"]), row(1, ["d"])]))
+    assert calls == ["a", "bb", "ccc", "d"] and len(out) == 3 and isinstance(out[0], pa.RecordBatch)
+
+
+@pytest.mark.parametrize("total", [10**8, 10**10, 10**12])
+def test_rows_between_blocks_and_buckets_grow_with_the_input(total):
+    from lexiprobe.llm.shared import ROW_BYTES, UNIT, deal
+
+    each, buckets = deal(total)
+    rows = -(-total // each) * buckets
+    assert each * buckets >= total and rows <= max(8 * (total // UNIT + 8), 2 * total / ROW_BYTES)
+
+
 def test_bpe_round_trip_keeps_repeated_rows(spark):
     rows = [(1, "same"), (1, "same"), (None, "none"), (None, None)]
     out = byte_bpe.bpe_decode(byte_bpe.bpe_encode(frame(spark, rows))).select("doc_id", F.col("decoded").cast("string").alias("t")).collect()
