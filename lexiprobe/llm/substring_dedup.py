@@ -5,10 +5,10 @@ of documents hashes its windows and keeps its own first occurrence of every edge
 in a third of all documents costs one entry a block. The entries are dealt by hash, sorted and packed,
 into buckets; a bucket finds the earliest source coordinate (document, position) of each repeated
 edge. Repeated edges return to their block, where chains of edges whose source coordinates advance
-together, which no branch interrupts, are compacted into paths (start, edges, source). Both ends of
-every path are then read again by their coordinates, and a path stays only if the words of its span
-and of its source are the same by a 128-bit digest of the words themselves. The words that verified
-paths cover are removed.
+together, which no branch interrupts, are compacted into paths (start, edges, source). The sources of
+all paths are then read by their coordinates, and a path stays only if the words of its span and of its
+source are the same by a second digest, of the words themselves. The words that such paths cover are
+removed.
 
 Edges are found by 64-bit hashes of their words: with n windows about n**2 / 2**65 of all pairs collide
 by chance. Such a path fails the verification and removes nothing; a window that repeats elsewhere too
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiprobe.llm import kernels as K
-from lexiprobe.llm.shared import WHITE, cut, deal, text_bytes
+from lexiprobe.llm.shared import WHITE, cut, deal, spread_join, text_bytes
 
 #: Bytes of text that a window stands for, about, in the size of a block.
 WINDOW_BYTES = 6
@@ -191,61 +191,72 @@ def repeated_paths(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_co
     return paths.groupBy("doc_id").agg(F.flatten(F.collect_list("paths")).alias("paths"))
 
 
+def _digests(text: str | None, spans: list) -> list[int | None]:
+    """A 64-bit digest of each span (first word, words) of a text's words, joined by blanks; None where the text has no such span."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    starts, ends, _ = K.words(raw, np.array([0, len(raw)]))
+    data = raw.tobytes()
+
+    def digest(s: int, n: int) -> int | None:
+        if s + n > len(starts):
+            return None
+        words = b" ".join([data[a:b] for a, b in zip(starts[s : s + n].tolist(), ends[s : s + n].tolist(), strict=True)])
+        return int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
+
+    return [digest(s, n) for s, n in spans]
+
+
 def _say(text: pd.Series, spans: pd.Series) -> pd.Series:
-    """The digest of each span (s, words) of a text's words; spans that the text does not have are left out."""
     out = []
     for t, own in zip(text, spans, strict=True):
-        raw = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)
-        starts, ends, _ = K.words(raw, np.array([0, len(raw)]))
-        data, said = raw.tobytes(), []
-        for span in own:
-            s, n = span["s"], span["words"]
-            if s + n <= len(starts):
-                words = b" ".join([data[a:b] for a, b in zip(starts[s : s + n].tolist(), ends[s : s + n].tolist(), strict=True)])
-                said.append({"s": s, "words": n, "said": hashlib.blake2b(words, digest_size=16).digest()})
-        out.append(said)
+        said = _digests(t, [(x["s"], x["words"]) for x in own])
+        out.append([{"s": x["s"], "words": x["words"], "said": d} for x, d in zip(own, said, strict=True) if d is not None])
     return pd.Series(out)
 
 
-def verified_paths(docs: DataFrame, paths: DataFrame, k: int) -> DataFrame:
-    """Those of ``paths`` (doc_id, paths) whose words are those of their source; ``docs`` are doc_id and text.
+def sourced_paths(docs: DataFrame, paths: DataFrame, k: int) -> DataFrame:
+    """``paths`` (doc_id, paths) with the digest of each path's words as its source has them (said); ``docs`` are doc_id and text.
 
-    A source that many paths name is read once for each of its spans. Of rows that share an id any may hold a span.
+    A source span that many paths name is read once, and joined with them through a small table if they are very many.
     """
-    one = paths.select("doc_id", F.explode("paths").alias("p")).withColumn("words", F.col("p.edges") + (k - 1))
-    own = one.select("doc_id", F.col("p.start").alias("s"), "words")
-    source = one.select(F.col("p.source_doc").alias("doc_id"), F.col("p.source_start").alias("s"), "words")
-    asked = own.unionByName(source).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("s", "words")).alias("spans"))
-    read = docs.join(asked.withColumnRenamed("doc_id", "__doc"), docs.doc_id.eqNullSafe(F.col("__doc")))
-    say = F.pandas_udf(_say, "array<struct<s:int,words:int,said:binary>>")
-    said = cut(read.select("doc_id", F.explode(say("text", "spans")).alias("x")).select("doc_id", "x.*").distinct())
-    a, b = said.toDF("ad", "a_s", "aw", "a_said"), said.toDF("bd", "b_s", "bw", "b_said")
-    both = one.join(a, F.col("doc_id").eqNullSafe(F.col("ad")) & (F.col("p.start") == F.col("a_s")) & (F.col("words") == F.col("aw")))
-    same = F.col("p.source_doc").eqNullSafe(F.col("bd")) & (F.col("p.source_start") == F.col("b_s")) & (F.col("words") == F.col("bw")) & (F.col("a_said") == F.col("b_said"))
-    return both.join(b, same, "left_semi").select("doc_id", "p").distinct().groupBy("doc_id").agg(F.collect_list("p").alias("paths"))
+    words = F.col("p.edges") + (k - 1)
+    key = F.xxhash64("p.source_doc", "p.source_start", words)
+    one = cut(paths.select("doc_id", F.explode("paths").alias("p")).select("doc_id", "p", key.alias("key")))
+    asked = one.groupBy(F.col("p.source_doc").alias("__doc")).agg(F.collect_set(F.struct(F.col("p.source_start").alias("s"), words.alias("words"))).alias("spans"))
+    read = docs.join(asked, docs.doc_id.eqNullSafe(F.col("__doc")))
+    say = F.pandas_udf(_say, "array<struct<s:int,words:int,said:long>>")
+    said = read.select("doc_id", F.explode(say("text", "spans")).alias("x")).select(F.xxhash64("doc_id", "x.s", "x.words").alias("key"), F.col("x.said").alias("said"))
+    # rows that repeat an id may each have such a span: any of them will do
+    said = said.groupBy("key").agg(F.collect_set("said").alias("said"))
+    said = cut(said.join(one.groupBy("key").agg(F.count(F.lit(1)).alias("paths")), "key"))
+    both = spread_join(one, said, "key", "paths", one.count())
+    return both.groupBy("doc_id").agg(F.collect_list(F.struct("p.start", "p.edges", "p.source_doc", "p.source_start", "said")).alias("paths"))
 
 
 def _remove(k: int):
-    @F.pandas_udf("kept string, n_removed long")
+    @F.pandas_udf("kept string, n_removed long, paths array<struct<start:int,edges:int,source_doc:long,source_start:int>>")
     def remove(text: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        out, gone = [], []
+        out, gone, held = [], [], []
         for t, own in zip(text, paths, strict=True):
             if t is None or own is None:
                 out.append(None)
                 gone.append(0)
+                held.append(None)
                 continue
             raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
             starts, ends, _ = K.words(raw, np.array([0, len(raw)]))
             cover = np.zeros(len(starts) + 1, np.int64)
-            for p in own:
-                a, b = min(p["start"], len(starts)), min(p["start"] + p["edges"] + k - 1, len(starts))
-                cover[a] += 1
-                cover[b] -= 1
+            said = _digests(t, [(p["start"], p["edges"] + k - 1) for p in own])
+            true = [p for p, d in zip(own, said, strict=True) if d is not None and d in p["said"]]
+            for p in true:
+                cover[p["start"]] += 1
+                cover[p["start"] + p["edges"] + k - 1] -= 1
             keep = np.cumsum(cover[:-1]) == 0
             gone.append(int((~keep).sum()))
             data = raw.tobytes()
             out.append(b" ".join([data[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)]).decode("utf-8", "surrogatepass"))
-        return pd.DataFrame({"kept": out, "n_removed": gone})
+            held.append([{c: p[c] for c in ("start", "edges", "source_doc", "source_start")} for p in true])
+        return pd.DataFrame({"kept": out, "n_removed": gone, "paths": held})
 
     return remove
 
@@ -255,16 +266,16 @@ def substring_dedup(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_c
 
     Null and empty texts, and those of under ``k`` words, lose nothing. A null id is behind all
     others in the order of documents. Rows that share an id are one document: a window never counts
-    as repeated at its own place, and what repeats elsewhere in one such row goes from each of them.
+    as repeated at its own place, and what repeats elsewhere goes from those of them that hold it.
     An empty table gives no rows; other columns are ignored whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    paths = verified_paths(docs, cut(repeated_paths(docs, k, **how)), k).withColumnRenamed("doc_id", "__doc")
+    paths = sourced_paths(docs, repeated_paths(docs, k, **how), k).withColumnRenamed("doc_id", "__doc")
     row = docs.join(paths, docs.doc_id.eqNullSafe(F.col("__doc")), "left").drop("__doc")
     plain = F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), WHITE, " "))
-    row = row.select("doc_id", plain.alias("plain"), "paths", _remove(k)(F.when(F.col("paths").isNotNull(), F.col("text")), F.col("paths")).alias("cut"))
+    row = row.select("doc_id", plain.alias("plain"), _remove(k)(F.when(F.col("paths").isNotNull(), F.col("text")), F.col("paths")).alias("cut"))
     n_words = F.when(F.col("plain") == "", F.lit(0)).otherwise(F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1)
-    return row.select("doc_id", n_words.cast("long").alias("n_words"), F.col("cut.n_removed").alias("n_removed"), F.coalesce("cut.kept", "plain").alias("kept"), "paths")
+    return row.select("doc_id", n_words.cast("long").alias("n_words"), F.col("cut.n_removed").alias("n_removed"), F.coalesce("cut.kept", "plain").alias("kept"), F.col("cut.paths").alias("paths"))
 
 
 OP4_SQL = r"""
