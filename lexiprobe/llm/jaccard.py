@@ -33,7 +33,7 @@ from lexiprobe.llm.components import connected_components
 from lexiprobe.llm.shared import cut, deal, spread_join, text_bytes
 
 #: Sets of a trie, and classes of either side of a chunk of a group.
-CHUNK, MEMBERS = 512, 2_048
+CHUNK, MEMBERS = 512, 512
 #: Bits of a set's parities: about twice its size, within these bounds.
 LEAST_BITS, MOST_BITS = 256, 4_096
 _FOLD = np.uint64(24)  # occurrences are counted by a hash's upper 40 bits: any function of the shingle gives a valid order
