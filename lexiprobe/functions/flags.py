@@ -1,14 +1,20 @@
-"""Boolean flags of functions and the places where they occur.
+"""Boolean flags of functions, the rows that label them and the places where they occur.
 
 Python is read from its syntax tree. The other languages are read by a lexer with bracket matching
 (there is no parser for them here), which finds conditions, literal assignments, logical operands,
 comparisons with literals and returns; it is coarser than a grammar where syntax is unusual.
+
+A hit is a place where a name is used as a flag; a flag's occurrences are the sites of its hits, not
+every place of the name. One name may make several hits on one site.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from collections import deque
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -16,127 +22,196 @@ from pyspark.sql import types as T
 
 from lexiprobe.functions.text import code_mask
 
-OCCURRENCE = "function string, variable string, occurrence_type string, detection_pattern string, line int, col_offset int, s int, e int"
-_FIELDS = tuple(x.split()[0] for x in OCCURRENCE.split(", "))
+# What a hit's pattern makes its sites; other patterns assign.
+MEANS = {
+    "while_test": "loop_use", "return_bool": "return_use", "if_test": "conditional_use", "if_exp_test": "conditional_use", "assign_boolop_rhs": "conditional_use",
+    "assign_not_name_inner": "conditional_use", "annassign_bool_literal": "definition",
+}
+NO_FUNCTION = "no top-level function definition in module"
+
+_COLUMNS = (
+    ("function", "string"), ("function_line", "integer"), ("variable", "string"), ("occurrence_type", "string"), ("detection_pattern", "string"), ("line", "integer"), ("col_offset", "integer"), ("s", "integer"), ("e", "integer"),
+    ("parent_type", "string"), ("statement_type", "string"),
+)
+_FIELDS = tuple(n for n, _ in _COLUMNS)
+
+
+def _struct(columns) -> T.StructType:
+    out = T.StructType()
+    for name, kind in columns:
+        out = out.add(name, kind)
+    return out
 
 
 # --- Python -------------------------------------------------------------------------------------------
 
 
-def _own(function: ast.AST):
-    """Nodes of a function without those of functions within."""
-    stack = list(ast.iter_child_nodes(function))
-    while stack:
-        node = stack.pop()
+@dataclass
+class Hit:
+    """A name used as a flag by ``pattern``; ``node`` is the expression or statement that shows it, ``sites`` are the name's places in it."""
+
+    variable: str
+    line: int
+    pattern: str
+    node: ast.AST
+    sites: list[ast.Name] = field(default_factory=list)
+
+
+def top_functions(tree: ast.Module) -> list[ast.FunctionDef | ast.AsyncFunctionDef]:
+    return [s for s in tree.body if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef))]
+
+
+def _own(function: ast.AST) -> Iterator[ast.AST]:
+    """Nodes of a function in breadth-first order, without what is inside of functions within."""
+    queue = deque(ast.iter_child_nodes(function))
+    while queue:
+        node = queue.popleft()
         yield node
-        if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)):
-            stack.extend(ast.iter_child_nodes(node))
+        if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            queue.extend(ast.iter_child_nodes(node))
 
 
 def _literal(node) -> bool:
     return isinstance(node, ast.Constant) and isinstance(node.value, bool)  # 0 and 1 are no booleans
 
 
-def python_flags(function: ast.AST) -> list[tuple[int, str, str]]:
-    """(line, pattern, name) for each hint that a name is a flag."""
-    hits = []
-    name = lambda n: isinstance(n, ast.Name)
+def tested_names(expr: ast.expr | None, ternary: bool = True) -> set[str]:
+    """Names that an expression reads as truth values: through not, and, or, comparisons with True or False, and a ternary's test."""
+    match expr:
+        case ast.Name(id=name, ctx=ast.Load()):
+            return {name}
+        case ast.UnaryOp(op=ast.Not(), operand=inner):
+            return tested_names(inner, ternary)
+        case ast.BoolOp(values=values):
+            return set().union(*(tested_names(v, ternary) for v in values))
+        case ast.IfExp(test=test) if ternary:
+            return tested_names(test)
+        case ast.Compare(left=left, ops=ops, comparators=rest):
+            sides = zip([left, *rest[:-1]], ops, rest, strict=True)
+            return {a.id for x, op, y in sides if isinstance(op, (ast.Eq, ast.NotEq, ast.Is, ast.IsNot)) for a, b in ((x, y), (y, x)) if isinstance(a, ast.Name) and isinstance(a.ctx, ast.Load) and _literal(b)}
+    return set()
+
+
+def target_names(node: ast.expr) -> list[str]:
+    """Names that an assignment's target binds, through tuples, lists and stars."""
+    match node:
+        case ast.Name(id=name):
+            return [name]
+        case ast.Starred(value=inner):
+            return target_names(inner)
+        case ast.Tuple(elts=parts) | ast.List(elts=parts):
+            return [n for p in parts for n in target_names(p)]
+    return []
+
+
+def _places(root: ast.AST, name: str, loads: bool) -> list[ast.Name]:
+    return [n for n in ast.walk(root) if isinstance(n, ast.Name) and n.id == name and (not loads or isinstance(n.ctx, ast.Load))]
+
+
+def python_hits(function: ast.AST) -> list[Hit]:
+    """All hits of a function but those of returns, in breadth-first order."""
+    hits: list[Hit] = []
 
-    def hit(node, pattern):
-        hits.append((node.lineno, pattern, node.id))
+    def tested(pattern: str, test: ast.expr) -> None:
+        hits.extend(Hit(n, test.lineno, pattern, test, _places(test, n, True)) for n in sorted(tested_names(test)))
+
+    def bound(pattern: str, node: ast.AST, targets: list[ast.expr]) -> None:
+        for t in targets:
+            for n in target_names(t):
+                hits.append(Hit(n, node.lineno, pattern, node, [p for x in targets for p in _places(x, n, False)]))
 
     for node in _own(function):
         match node:
-            case ast.If(test=t) if name(t):
-                hit(t, "if_test")
-            case ast.While(test=t) if name(t):
-                hit(t, "while_test")
-            case ast.IfExp(test=t) if name(t):
-                hit(t, "ifexp_test")
-            case ast.Compare(left=left, ops=[ast.Eq() | ast.NotEq() | ast.Is() | ast.IsNot()], comparators=[right]):
-                if name(left) and _literal(right):
-                    hit(left, "compare_bool")
-                elif name(right) and _literal(left):
-                    hit(right, "compare_bool")
-            case ast.Assign(targets=ts, value=v):
-                for t in filter(name, ts):
-                    if _literal(v):
-                        hit(t, "assign_bool")
-                    elif isinstance(v, ast.BoolOp):
-                        hit(t, "assign_boolop")
-                    elif isinstance(v, ast.UnaryOp) and isinstance(v.op, ast.Not):
-                        hit(t, "assign_not")
-            case ast.AnnAssign(target=t, value=v) if name(t) and v is not None and _literal(v):
-                hit(t, "assign_bool")
-            case ast.Return(value=v) if v is not None and name(v):
-                hit(v, "return_name")
-        if isinstance(node, ast.BoolOp):
-            for v in filter(name, node.values):
-                hit(v, "boolop_operand")
-        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not) and name(node.operand):
-            hit(node.operand, "not_operand")
-    # a returned name is a flag only with another hint
-    sure = {n for _, p, n in hits if p != "return_name"}
-    return sorted(h for h in hits if h[2] in sure)
-
-
-def _site_type(node: ast.Name, parents: dict) -> str:
-    child, up = node, parents.get(node)
-    if isinstance(node.ctx, ast.Store):
-        return "assignment"
-    while up is not None:
-        match up:
-            case ast.While(test=t) if t is child:
-                return "loop_use"
-            case ast.For(iter=t) if t is child:
-                return "loop_use"
-            case ast.If(test=t) | ast.IfExp(test=t) if t is child:
-                return "conditional_use"
-            case ast.Return():
-                return "return_use"
-            case ast.Subscript():
-                return "indexing_use"
-            case ast.FunctionDef() | ast.AsyncFunctionDef():
-                return "conditional_use"
-        child, up = up, parents.get(up)
-    return "conditional_use"
+            case ast.If():
+                link = node
+                while link is not None:  # each elif counts again with every if before it
+                    tested("if_test", link.test)
+                    link = link.orelse[0] if len(link.orelse) == 1 and isinstance(link.orelse[0], ast.If) else None
+            case ast.While(test=test):
+                tested("while_test", test)
+            case ast.IfExp(test=test):
+                tested("if_exp_test", test)
+            case ast.AnnAssign(target=target, value=value) if value is not None and _literal(value):
+                bound("annassign_bool_literal", node, [target])
+            case ast.Assign(targets=targets, value=value) if _literal(value):
+                bound("assign_bool_literal", node, targets)
+            case ast.Assign(targets=targets, value=ast.BoolOp() as value):
+                bound("assign_boolop_lhs", node, targets)
+                # the sites of operands are looked for in the whole statement
+                hits.extend(Hit(n, node.lineno, "assign_boolop_rhs", node, _places(node, n, True)) for n in sorted(tested_names(value, ternary=False)))
+            case ast.Assign(targets=targets, value=ast.UnaryOp(op=ast.Not(), operand=ast.Name(id=inner))):
+                bound("assign_not_name", node, targets)
+                hits.append(Hit(inner, node.lineno, "assign_not_name_inner", node, _places(node, inner, True)))
+    return hits
 
 
-def python_occurrences(code: str) -> list[tuple]:
-    """Rows of OCCURRENCE: every place of every flag of the top-level functions; spans in characters."""
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
-    lines = code.split("\n")
-    starts = [0]
-    for line in lines:
-        starts.append(starts[-1] + len(line) + 1)
+def python_returns(function: ast.AST) -> list[Hit]:
+    """A hit for every place of a name that a returned expression reads as a truth value."""
     out = []
-    for f in tree.body:
-        if not isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            continue
-        flags: dict[str, str] = {}
-        for _, pattern, n in python_flags(f):
-            flags.setdefault(n, pattern)
-        parents = {c: p for p in ast.walk(f) for c in ast.iter_child_nodes(p)}
-        seen: set[str] = set()
-        for a in [*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs]:
-            if a.arg in flags:
-                out.append((f.name, a.arg, "definition", flags[a.arg], a.lineno, a.col_offset))
-                seen.add(a.arg)
-        for node in sorted((n for n in _own(f) if isinstance(n, ast.Name) and n.id in flags), key=lambda n: (n.lineno, n.col_offset)):
-            kind = _site_type(node, parents)
-            if kind == "assignment" and node.id not in seen:
-                kind = "definition"
-            seen.add(node.id)
-            out.append((f.name, node.id, kind, flags[node.id], node.lineno, node.col_offset))
+    for node in _own(function):
+        if isinstance(node, ast.Return) and node.value is not None:
+            for name in ast.walk(node.value):
+                if isinstance(name, ast.Name) and isinstance(name.ctx, ast.Load) and name.id in tested_names(node.value):
+                    out.append(Hit(name.id, name.lineno, "return_bool", name, [name]))
+    return out
+
+
+def parsed(code: str) -> tuple[ast.Module | None, str | None]:
+    """The syntax tree, or what is wrong."""
+    try:
+        return ast.parse(code), None
+    except SyntaxError as e:
+        return None, f"{e.msg} (line {e.lineno})"
+    except (ValueError, RecursionError, MemoryError) as e:
+        return None, str(e) or type(e).__name__
+
+
+def python_labels(code: str) -> tuple[list[dict], str | None]:
+    """A row for each flag of each top-level function, by its first hit (line, then pattern); or the error."""
+    tree, error = parsed(code)
+    if tree is None or not top_functions(tree):
+        return [], error or NO_FUNCTION
     rows = []
-    for f, v, kind, pattern, line, col in sorted(out, key=lambda r: (r[4], r[5], r[1])):
-        chars = len(lines[line - 1].encode()[:col].decode(errors="ignore"))  # the tree counts bytes
-        s = starts[line - 1] + chars
-        rows.append((f, v, kind, pattern, line, chars, s, s + len(v)))
-    return rows
+    for f in top_functions(tree):
+        first: dict[str, Hit] = {}
+        for h in sorted(python_hits(f), key=lambda h: (h.line, h.pattern)):
+            first.setdefault(h.variable, h)
+        for name, h in sorted(first.items()):
+            said = (ast.get_source_segment(code, h.node) or "").strip().splitlines()
+            rows.append({"function": f.name, "variable": name, "line": h.line, "code": said[0] if said else ""})
+    return rows, None
+
+
+class Lines:
+    """Character offsets of a text's lines; columns of syntax trees are bytes."""
+
+    def __init__(self, code: str):
+        self.lines = code.split("\n")
+        self.starts = [0]
+        for line in self.lines:
+            self.starts.append(self.starts[-1] + len(line) + 1)
+
+    def offset(self, line: int, column: int) -> int:
+        text = self.lines[line - 1] if line <= len(self.lines) else ""
+        return self.starts[line - 1] + (column if text.isascii() else len(text.encode("utf-8", "surrogatepass")[:column].decode("utf-8", "ignore")))
+
+
+def python_occurrences(code: str) -> list[tuple]:
+    """Rows of the sites of all hits of the top-level functions, by line, column and name; spans in characters."""
+    tree, _ = parsed(code)
+    rows, at = [], Lines(code)
+    for f in top_functions(tree) if tree else []:
+        parents = {c: p for p in ast.walk(f) for c in ast.iter_child_nodes(p)}
+        for h in [*python_hits(f), *python_returns(f)]:
+            for site in h.sites:
+                up = parents.get(site)
+                kind = "indexing_use" if isinstance(up, ast.Subscript) else MEANS.get(h.pattern, "assignment")
+                statement = up
+                while statement is not None and (not isinstance(statement, ast.stmt) or isinstance(statement, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))):
+                    statement = parents.get(statement)
+                s = at.offset(site.lineno, site.col_offset)
+                rows.append((f.name, f.lineno, h.variable, kind, h.pattern, site.lineno, s - at.starts[site.lineno - 1], s, s + len(site.id), type(up).__name__, type(statement).__name__ if statement else None))
+    return sorted(rows, key=lambda r: (r[5], r[6], r[2]))
 
 
 # --- other languages -------------------------------------------------------------------------------
@@ -144,114 +219,196 @@ def python_occurrences(code: str) -> list[tuple]:
 _FUNCTION = {
     "Java": r"\b(?:[\w<>\[\],]+\s+)+(\w+)\s*\([^;{}()]*\)\s*(?:throws\s+[\w,\s]+)?\{",
     "C++": r"\b(?:[\w:<>,*&]+\s+[*&]*)(\w+)\s*\([^;{}]*?\)\s*(?:const\s*)?\{",
-    "Javascript": r"\bfunction\s*\*?\s*(\w+)\s*\([^{}]*?\)\s*\{",
-    "PHP": r"(?i)\bfunction\s+&?(\w+)\s*\([^{}]*?\)\s*(?::\s*\??\w+\s*)?\{",
+    "Javascript": r"\b(?:async\s+)?function\s*\*?\s*(\w+)\s*\([^{}]*?\)\s*\{",
+    "PHP": r"(?i)\b(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(\w+)\s*\([^{}]*?\)\s*(?::\s*\??\w+\s*)?\{",
     "Go": r"\bfunc\s+(?:\([^)]*\)\s*)?(\w+)\s*\([^{}]*?\)[^{}\n]*\{",
     "Ruby": r"(?m)^[ \t]*def\s+(?:self\.)?(\w+[?!]?)",
 }
 _FUNCTION["C"] = _FUNCTION["C++"]
-#: Condition keywords and the occurrence they make; a for's middle part counts as a loop where the language has it.
-_CONDITION = {
-    "Java": {"if": "if_test", "while": "while_test"}, "C++": {"if": "if_test", "while": "while_test"}, "C": {"if": "if_test", "while": "while_test"},
-    "Javascript": {"if": "if_test", "while": "while_test", "for": "while_test"}, "PHP": {"if": "if_test", "while": "while_test"},
-    "Go": {"if": "if_test", "for": "while_test"}, "Ruby": {"if": "if_test", "unless": "if_test", "while": "while_test", "until": "while_test"},
-}
-_TERNARY = {"Java", "C++", "C"}
+LEXED = tuple(_FUNCTION)
 _WORDS = frozenset("if else for while do return true false null nil func function def end class struct new int bool boolean auto var let const public private static void string float double long char final unless until and or not in of switch case break continue self this".split())
+_RUBY_OPENS = re.compile(r"(?m)(?:^[ \t]*(?:if|unless|while|until|for|case|begin|def|class|module)\b|\bdo\b[ \t]*(?:\|[^|\n]*\|)?[ \t]*$)")
+
+
+def clear_text(code: str) -> str:
+    """The code with strings and comments blank, as long as it was."""
+    return "".join(c if is_code or c == "\n" else " " for c, (is_code, _) in zip(code, code_mask(code), strict=True))
+
 
+def _close(text: str, at: int, opens: str, closes: str) -> int:
+    """The place behind the bracket that closes the one at ``at``; the end if none does."""
+    depth = 0
+    for i in range(at, len(text)):
+        depth += (text[i] == opens) - (text[i] == closes)
+        if not depth:
+            return i + 1
+    return len(text)
 
-def _functions(code: str, clear: str, language: str):
-    """(name, start, end) of functions; strings and comments are blank in ``clear``."""
+
+def lexed_functions(clear: str, language: str) -> list[tuple[str, int, int, int]]:
+    """(name, start, start of the body, end) of the outermost functions, in characters."""
+    out, done = [], 0
     for m in re.finditer(_FUNCTION[language], clear):
-        if m[1] in _WORDS:
+        if m[1] in _WORDS or m.start() < done:
             continue
         if language == "Ruby":
-            e = re.search(r"(?m)^end\b", clear[m.end():]) if not m[0][0].isspace() else re.search(r"(?m)^[ \t]*end\b", clear[m.end():])
-            yield m[1], m.end(), m.end() + (e.start() if e else len(clear) - m.end())
-            continue
-        depth, i = 1, m.end()
-        while i < len(clear) and depth:
-            depth += {"{": 1, "}": -1}.get(clear[i], 0)
+            depth, done = 1, len(clear)
+            for t in re.finditer(rf"{_RUBY_OPENS.pattern}|\bend\b", clear[m.end() :]):
+                depth += -1 if t[0] == "end" else 1
+                if not depth:
+                    done = m.end() + t.end()
+                    break
+        else:
+            done = _close(clear, m.end() - 1, "{", "}")
+        out.append((m[1], m.start() + len(m[0]) - len(m[0].lstrip()), m.end(), done))
+    return out
+
+
+class _Lexer:
+    """Reads one function of a language without a tree."""
+
+    def __init__(self, clear: str, language: str):
+        self.text, self.language = clear, language
+        self.literal = r"(?i:true|false)" if language == "PHP" else r"(?:true|false)"
+        self.name = r"\$([A-Za-z_]\w*)" if language == "PHP" else r"([A-Za-z_]\w*)"
+        self.site = re.compile(rf"(?<![\w$.])(?<!->){self.name}\b")
+
+    def parts(self, s: int, e: int) -> list[tuple[int, int]]:
+        """[s, e) cut at the && and || outside of all brackets."""
+        out, depth, i = [], 0, s
+        while i < e:
+            c = self.text[i]
+            depth += (c in "([{") - (c in ")]}")
+            if depth == 0 and self.text[i : i + 2] in ("&&", "||"):
+                out.append((s, i))
+                s, i = i + 2, i + 1
             i += 1
-        yield m[1], m.end(), i - 1
+        return [*out, (s, e)]
+
+    def bare(self, s: int, e: int) -> tuple[int, int]:
+        """Without blanks and brackets around."""
+        while s < e and self.text[s].isspace():
+            s += 1
+        while e > s and self.text[e - 1].isspace():
+            e -= 1
+        return self.bare(s + 1, e - 1) if e > s and self.text[s] == "(" and _close(self.text[:e], s, "(", ")") == e else (s, e)
+
+    def tested(self, s: int, e: int) -> set[str]:
+        """Names that the expression [s, e) reads as truth values."""
+        s, e = self.bare(s, e)
+        parts = self.parts(s, e)
+        if len(parts) > 1:
+            return set().union(*(self.tested(*p) for p in parts))
+        text = self.text[s:e]
+        if text.startswith("!") and not text.startswith("!="):
+            return self.tested(s + 1, e)
+        if m := re.fullmatch(self.name, text):
+            return set() if m[1] in _WORDS else {m[1]}
+        if m := re.fullmatch(rf"{self.name}\s*[!=]==?\s*{self.literal}", text) or re.fullmatch(rf"{self.literal}\s*[!=]==?\s*{self.name}", text):
+            return {m[1]}
+        if self.language in ("Java", "C++", "C") and "?" in text:
+            return self.tested(s, s + text.index("?"))
+        return set()
+
+    def end_of(self, s: int, stops: str) -> int:
+        """Where an expression from ``s`` on ends: at one of ``stops`` outside of brackets, or at a bracket that closes."""
+        depth = 0
+        for i in range(s, len(self.text)):
+            c = self.text[i]
+            if depth == 0 and (c in stops or c in ")]}"):
+                return i
+            depth += (c in "([{") - (c in ")]}")
+        return len(self.text)
+
+    def conditions(self, s: int, e: int) -> Iterator[tuple[str, int, int]]:
+        """(pattern, start, end) of tests."""
+        lines = self.language in ("Go", "Ruby")
+        words = {"if": "if_test", "elsif": "if_test", "while": "while_test"} | ({"for": "while_test"} if self.language in ("Go", "Javascript") else {})
+        for m in re.finditer(rf"\b({'|'.join(words)})\b\s*", self.text[s:e]):
+            at, pattern = s + m.end(), words[m[1]]
+            if not lines and self.text[at : at + 1] != "(":
+                continue
+            inner, end = (at, self.end_of(at, "{\n" if self.language == "Go" else "\n")) if lines else (at + 1, _close(self.text, at, "(", ")") - 1)
+            if self.language == "Ruby":
+                end = inner + len(re.split(r"\bthen\b|;", self.text[inner:end])[0])
+            pieces = self.text[inner:end].split(";")
+            if m[1] == "for" and len(pieces) != 3 and not (lines and len(pieces) == 1):
+                continue
+            if m[1] == "for" and len(pieces) == 3:
+                inner += len(pieces[0]) + 1
+                end = inner + len(pieces[1])
+            elif lines and len(pieces) > 1:  # if short statement; test
+                inner += sum(len(p) + 1 for p in pieces[:-1])
+            yield pattern, inner, end
+        if self.language in ("Java", "C++", "C"):
+            for m in re.finditer(r"\?", self.text[s:e]):
+                at = s + m.start()
+                start = max((self.text.rfind(c, s, at) for c in "=;{}(,"), default=s)
+                start = max(start, self.text.rfind("return", s, at) + 5)
+                yield "if_exp_test", start + 1, at
+
+    def hits(self, s: int, e: int) -> Iterator[tuple[str, str, int, int]]:
+        """(pattern, name, start, end): each place of the name in [start, end) is a site."""
+        for pattern, a, b in self.conditions(s, e):
+            for name in sorted(self.tested(a, b)):
+                yield pattern, name, a, b
+        assign = r":?=" if self.language == "Go" else "="
+        for m in re.finditer(rf"(?<![\w$.>\])]){self.name}\s*{assign}(?![=~>])", self.text[s:e]):
+            if m[1] in _WORDS:
+                continue
+            at, a = s + m.start(), s + m.end()
+            b = self.end_of(a, ";,\n")
+            a, b = self.bare(a, b)
+            text = self.text[a:b]
+            if re.fullmatch(self.literal, text):
+                yield "assign_bool_literal", m[1], at, b
+            elif len(self.parts(a, b)) > 1:
+                yield "assign_boolop_lhs", m[1], at, b
+                for name in sorted(self.tested(a, b)):
+                    yield "assign_boolop_rhs", name, a, b
+            elif inner := re.fullmatch(rf"!\s*{self.name}", text):
+                yield "assign_not_name", m[1], at, b
+                yield "assign_not_name_inner", inner[1], a, b
+        for m in re.finditer(r"\breturn\b", self.text[s:e]):
+            a = s + m.end()
+            b = self.end_of(a, ";\n")
+            a, b = self.bare(a, b)
+            if self.language != "Ruby" or re.fullmatch(self.name, self.text[a:b]):
+                for name in sorted(self.tested(a, b)):
+                    yield "return_bool", name, a, b
 
 
 def lexed_occurrences(code: str, language: str) -> list[tuple]:
-    """Rows of OCCURRENCE for a language without a tree; spans in characters, PHP's with the sigil."""
+    """Rows as of :func:`python_occurrences` for a language without a tree; PHP's spans hold the sigil."""
     if language not in _FUNCTION:
         raise ValueError(f"occurrences are not supported for {language}")
-    mask = code_mask(code)
-    clear = "".join(c if m[0] or c == "\n" else " " for c, m in zip(code, mask, strict=True))
-    sigil = r"\$" if language == "PHP" else ""
-    name = rf"{sigil}([A-Za-z_]\w*)"
-    literal = r"(?i:true|false)" if language == "PHP" else r"(?:true|false)"
-    rows, done = [], 0
-    for function, start, end in _functions(code, clear, language):
-        if start < done:  # within another function
-            continue
-        done = end
-        body = clear[start:end]
-        flags: dict[str, tuple[int, str]] = {}
-
-        def flag(m, pattern, group=1, flags=flags):
-            n = m[group]
-            if n not in _WORDS and (n not in flags or m.start(group) < flags[n][0]):
-                flags[n] = (m.start(group), pattern)
-
-        for word, pattern in _CONDITION[language].items():
-            if language in ("Go", "Ruby"):
-                for m in re.finditer(rf"\b{word}\s+!?\s*{name}\s*(?=\{{|\n|&&|\|\||then\b)", body):
-                    flag(m, pattern)
-            elif word == "for":
-                for m in re.finditer(rf"\bfor\s*\([^;()]*;\s*!?\s*{name}\s*;", body):
-                    flag(m, pattern)
-            else:
-                for m in re.finditer(rf"\b{word}\s*\(\s*!?\s*{name}\s*\)", body):
-                    flag(m, pattern)
-        assign = ":?=" if language == "Go" else "="
-        for m in re.finditer(rf"(?<![=!<>+\-*/|&]){name}\s*{assign}\s*{literal}\b", body):
-            flag(m, "assign_bool")
-        for m in re.finditer(rf"(?<![=!<>+\-*/|&]){name}\s*{assign}(?!=)\s*[^;\n{{}}]*(?:&&|\|\|)", body):
-            flag(m, "assign_boolop")
-        for m in re.finditer(rf"(?<![=!<>+\-*/|&]){name}\s*{assign}\s*!\s*[A-Za-z_$(]", body):
-            flag(m, "assign_not")
-        for m in re.finditer(rf"{name}\s*[!=]==?\s*{literal}\b", body):
-            flag(m, "compare_bool")
-        for m in re.finditer(rf"(?:&&|\|\|)\s*!?\s*{name}\b(?!\s*[(.\[=<>!+*/%-])", body):
-            flag(m, "boolop_operand")
-        for m in re.finditer(rf"(?<![\w.)\]])!\s*{name}\b(?!\s*[(.\[])", body):
-            flag(m, "not_operand")
-        if language in _TERNARY:
-            for m in re.finditer(rf"[=(]\s*{name}\s*\?", body):
-                flag(m, "ternary_test")
-        if language != "PHP":
-            for m in re.finditer(rf"\breturn\s+{name}\s*(?=;|\n|$)", body):
-                flag(m, "return_bool")
-        for m in re.finditer(rf"(?<![\w.$]){name}\b", body):
-            n = m[1]
-            if n not in flags:
-                continue
-            at = start + m.start()
-            line_start = code.rfind("\n", 0, at) + 1
-            before, after = body[body.rfind("\n", 0, m.start()) + 1 : m.start()], body[m.end() : m.end() + 8]
-            if re.match(rf"\s*{assign}(?!=)", after):
-                kind = "assignment"
-            elif re.search(r"\b(?:while|for|until)\b[^{};]*$", before):
-                kind = "loop_use"
-            elif re.search(r"\breturn\b[^;]*$", before):
-                kind = "return_use"
-            elif re.match(r"\s*(?:\[|\.|->)", after):
-                kind = "indexing_use"
-            else:
-                kind = "conditional_use"
-            rows.append((function, n, kind, flags[n][1], code.count("\n", 0, at) + 1, at - line_start, at, start + m.end()))
-    return sorted(rows, key=lambda r: (r[4], r[5], r[1]))
-
-
-@F.pandas_udf(T.ArrayType(T.StructType().add("function", "string").add("variable", "string").add("occurrence_type", "string").add("detection_pattern", "string").add("line", "integer").add("col_offset", "integer").add("s", "integer").add("e", "integer")))
+    clear, lines = clear_text(code), Lines(code)
+    lexer, rows = _Lexer(clear, language), []
+    for function, start, body, end in lexed_functions(clear, language):
+        for pattern, name, a, b in lexer.hits(body, end):
+            for m in lexer.site.finditer(clear, a, b):
+                if m[1] != name:
+                    continue
+                member = re.match(r"\s*(?:\[|\.(?!\.)|->)", clear[m.end() : m.end() + 4])
+                line = code.count("\n", 0, m.start()) + 1
+                rows.append((function, code.count("\n", 0, start) + 1, name, "indexing_use" if member else MEANS.get(pattern, "assignment"), pattern, line, m.start() - lines.starts[line - 1], m.start(), m.end(), None, None))
+    return sorted(rows, key=lambda r: (r[5], r[6], r[2]))
+
+
+def occurrence_rows(code: str | None, language: str) -> list[dict]:
+    if not code:
+        return []
+    return [dict(zip(_FIELDS, r, strict=True)) for r in (python_occurrences(code) if language == "Python" else lexed_occurrences(code, language))]
+
+
+@F.pandas_udf(T.ArrayType(_struct(_COLUMNS)))
 def occurrences(code: pd.Series, language: pd.Series) -> pd.Series:
     """Occurrences of a program in its language; a language that is not supported raises."""
-    return pd.Series([
-        [dict(zip(_FIELDS, r, strict=True)) for r in (python_occurrences(c) if lang == "Python" else lexed_occurrences(c, lang))] if c else []
-        for c, lang in zip(code, language, strict=True)
-    ])
+    return pd.Series([occurrence_rows(c, lang) for c, lang in zip(code, language, strict=True)], dtype=object)
+
+
+@F.pandas_udf(_struct((("error", "string"), ("rows", T.ArrayType(_struct((("function", "string"), ("variable", "string"), ("line", "integer"), ("code", "string"))))))))
+def labels(code: pd.Series) -> pd.DataFrame:
+    """The flags of a Python program's top-level functions, or its error."""
+    both = [python_labels(c or "") for c in code]
+    return pd.DataFrame({"error": [e for _, e in both], "rows": [r for r, _ in both]})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,12 +15,12 @@ ROLES = ("index_key", "accumulator", "iterator", "boolean", "class_struct")
 PATTERN_LANGUAGES = ("Java", "C++", "C", "C#", "Javascript", "PHP")
 
 # Words that are never names, by language.
-_C_WORDS = "int long char short float double unsigned void size_t bool true false null NULL return if else for while break continue sizeof static const".split()
+_C_WORDS = "int long char short float double unsigned void size_t bool true false null NULL return if else for while break continue sizeof static const"
 KEYWORDS = {
-    "C": _C_WORDS,
-    "C++": _C_WORDS,
-    "Java": [*_C_WORDS, *"byte boolean String Integer Long Object new public private final class".split()],
-    "C#": [*_C_WORDS, *"byte string object var new public private using class".split()],
+    "C": _C_WORDS.split(),
+    "C++": _C_WORDS.split(),
+    "Java": f"{_C_WORDS} byte boolean String Integer Long Object new public private final class".split(),
+    "C#": f"{_C_WORDS} byte string object var new public private using class".split(),
     "Javascript": "undefined null true false NaN Infinity length prototype constructor var let const function new return if else for while of in typeof".split(),
     "PHP": "true false null function return if else for foreach while as echo array new".split(),
 }
@@ -53,42 +54,48 @@ def pattern_roles(code: Column, language: str) -> Column:
     return F.create_map(*(x for role in ROLES for x in (F.lit(role), found[role])))
 
 
+def brace_roles(code: str | None, language: str) -> dict[str, list[str]]:
+    """:func:`pattern_roles` for one program, in Python: for scopes that are cut out of programs."""
+    code = code or ""
+    if language == "PHP":
+        code = re.sub(r"\$\s*([a-zA-Z_]\w*)", r"\1", code)
+    loops = {"PHP": (FOR_INIT, PHP_EACH), "Javascript": (JS_FOR, FOR_INIT)}.get(language, (FOR_INIT, FOR_EACH))
+    by_role = {"index_key": (SUBSCRIPT,), "accumulator": ACCUMULATE, "iterator": loops, "boolean": (BOOLEAN,), "class_struct": (CLASS,)}
+    names = lambda patterns: {g for p in patterns for m in re.finditer(p, code) for g in m.groups() if g}
+    return {role: sorted(names(patterns) - set(KEYWORDS[language])) for role, patterns in by_role.items()}
+
+
 def python_roles(code: str | None) -> dict[str, list[str]]:
     """Roles of a Python program; one that does not parse has none.
 
-    Accumulators are augmented or fed through a collecting method inside a loop, and neither loop
-    variables nor subscripts.
+    A subscript counts where it is a name and nothing more. Accumulators are augmented, or fed by a statement that
+    calls a collecting method, inside a for or while loop, and are neither loop variables nor subscripts.
     """
-    found: dict[str, set[str]] = {r: set() for r in ROLES}
     try:
-        tree = ast.parse(code or "")
+        nodes = list(ast.walk(ast.parse(code or "")))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return {r: [] for r in ROLES}
+    found: dict[str, set[str]] = {r: set() for r in ROLES}
     fed: set[str] = set()
-
-    def targets(node) -> set[str]:
-        return {n.id for n in ast.walk(node) if isinstance(n, ast.Name)}
-
-    for node in ast.walk(tree):
+    for node in nodes:
         match node:
-            case ast.Subscript(slice=part):
-                found["index_key"] |= targets(part)
-            case ast.For(target=t) | ast.AsyncFor(target=t) | ast.comprehension(target=t) if not isinstance(node, ast.comprehension):
-                found["iterator"] |= targets(t) - {"_"}
+            case ast.Subscript(slice=ast.Name(id=name)):
+                found["index_key"].add(name)
             case ast.ClassDef(name=name):
                 found["class_struct"].add(name)
-            case ast.Assign(targets=ts, value=ast.Constant(value=bool())):
-                found["boolean"] |= {t.id for t in ts if isinstance(t, ast.Name)}
+            case ast.Assign(targets=targets, value=ast.Constant(value=bool())):
+                found["boolean"] |= {t.id for t in targets if isinstance(t, ast.Name)}
             case ast.AnnAssign(target=ast.Name(id=name), value=ast.Constant(value=bool())):
                 found["boolean"].add(name)
-        if isinstance(node, (ast.For, ast.While, ast.AsyncFor)):
+            case ast.For(target=target):
+                found["iterator"] |= {n.id for n in ast.walk(target) if isinstance(n, ast.Name)}
+        if isinstance(node, (ast.For, ast.While)):
             for inner in ast.walk(node):
                 match inner:
-                    case ast.AugAssign(target=ast.Name(id=name)):
-                        fed.add(name)
-                    case ast.Call(func=ast.Attribute(value=ast.Name(id=name), attr="append" | "extend" | "add" | "update")):
+                    case ast.AugAssign(target=ast.Name(id=name)) | ast.Expr(value=ast.Call(func=ast.Attribute(value=ast.Name(id=name), attr="append" | "extend" | "add" | "update"))):
                         fed.add(name)
     found["accumulator"] = fed - found["iterator"] - found["index_key"] - {"_"}
+    found["iterator"] -= {"_"}
     return {r: sorted(v) for r, v in found.items()}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,19 +27,33 @@ def join_tokens(tokens: Column) -> Column:
     return F.regexp_replace(F.array_join(F.aggregate(tokens, start, step, flushed), "\n"), r"^\s+|\s+$", "")
 
 
+# The steps of undoing a tokeniser's blanks, in order; the second list is for PHP and comes before SPACING's last four.
+JOINING = ((r" NEW_LINE ", "\n"), (r"NEW_LINE", "\n"), (r"(?<=\w)\s*\.\s*(?=\w)", "."), (r"-\s+>", "->"), (r"=\s+>", "=>"))
+PHP_JOINING = ((r"<\s*\?\s*php", "<?php"), (r"\?\s*>", "?>"), (r"\$\s+(?=\w)", r"\$"), (r"::\s+", "::"))
+SPACING = ((r"\s+([;,)\]}])", "$1"), (r"([(\[{])\s+", "$1"), (r"(\w)\s*\(", "$1("), (r"\s*(\+\+|--)", "$1"))
+
+
 def join_brace_tokens(tokens: Column, php: bool = False) -> Column:
-    """Source of a brace language's tokens: blanks around punctuation removed, lines broken at ; { and }."""
+    """Source of a brace language's tokens: blanks that a tokeniser put around punctuation removed."""
     text = F.array_join(tokens, " ")
-    for pattern, to in ((r"\s*([.;,)\]])", "$1"), (r"([(\[])\s*", "$1"), (r"\s*(\+\+|--)", "$1"), (r"([;{}])\s*", "$1\n"), (r"(?<=\w)\s+(?=\()", "")):
-        text = F.regexp_replace(text, pattern, to)
-    if php:
-        text = F.regexp_replace(F.regexp_replace(text, r"\$\s+(?=\w)", r"\$"), r"\s*(->|::)\s*", "$1")
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    for pattern, to in (*JOINING, *(PHP_JOINING if php else ()), *SPACING):
+        text = F.regexp_replace(text, f"(?U){pattern}", to)
+    return text
+
+
+#: Any white space of Unicode, as a class of both engines' expressions; what ends a line.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]"
+
+
+def single_blanks(text: Column) -> Column:
+    """Runs of white space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def problem_id(text: Column) -> Column:
     """First 16 hex digits of the sha1 of the lowered text with single blanks."""
-    return F.substring(F.sha1(F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ").cast("binary")), 1, 16)
+    return F.substring(F.sha1(single_blanks(F.lower(text)).cast("binary")), 1, 16)
 
 
 # --- predicates -------------------------------------------------------------------------------------
@@ -57,16 +73,21 @@ def span_holds(code: Column, s: Column, e: Column, name: Column) -> Column:
 
 def full_lines(code: Column) -> Column:
     """Lines that are not blank."""
-    return F.size(F.filter(F.split(code, "\n"), lambda x: F.trim(x) != "")).cast("long")
+    return F.size(F.filter(F.split(code, LINE_END), lambda x: x.rlike(SPACE.replace("[", "[^", 1)))).cast("long")
+
+
+# Marks of generated files and of notebooks.
+GENERATED = (r"auto[-_\s]?generated", r"do\s+not\s+(edit|modify)", r"this\s+file\s+was\s+generated", r"@generated\b", r"\bgenerated\s+by\b")
+NOTEBOOK_PATH, NOTEBOOK_CODE = "ipynb", ("get_ipython(", "IPython.")
 
 
 def generated(code: Column) -> Column:
     """Marks of generated files within the first 8,000 characters."""
-    return F.substring(code, 1, 8000).rlike(r"(?i)auto-?generated|generated by|do not edit|@generated|machine generated")
+    return F.substring(code, 1, 8000).rlike("(?i)" + "|".join(GENERATED))
 
 
 def notebook(path: Column, code: Column) -> Column:
-    return F.lower(path).contains("ipynb") | code.contains("get_ipython(") | code.contains("IPython.display")
+    return F.lower(path).contains(NOTEBOOK_PATH) | code.contains(NOTEBOOK_CODE[0]) | code.contains(NOTEBOOK_CODE[1])
 
 
 # --- places -------------------------------------------------------------------------------------------
@@ -153,33 +174,24 @@ def code_mask(code: str) -> list[tuple[bool, int]]:
             out += [(False, depth)] * len(opened)
             i += len(opened)
             continue
-        if c in ")]":
-            depth = max(0, depth - 1)
+        depth = max(0, depth + (c in "([") - (c in ")]"))
         out.append((True, depth))
-        if c in "([":
-            depth += 1
         i += 1
     return out
 
 
-def statement_bounds(code: str, at: int) -> tuple[int, int]:
-    """[s, e) of the statement around an offset: up to the next ; { } or newline in code at depth 0 on either side."""
-    mask = code_mask(code)
-    stop = lambda i: mask[i][0] and mask[i][1] == 0 and code[i] in ";{}\n"
-    at = min(max(at, 0), len(code))
-    s = at
-    while s > 0 and not stop(s - 1):
-        s -= 1
-    e = at
-    while e < len(code) and not stop(e):
-        e += 1
-    return s, e
+def statement_bounds(code: str, start: int, end: int) -> tuple[int, int]:
+    """[s, e) of the statement around [start, end): from behind the ; { } or newline before it to the next one, which
+    belongs to it; only those in code count, outside of round and square brackets."""
+    stops = [i + 1 for i, (is_code, depth) in enumerate(code_mask(code)) if is_code and depth == 0 and code[i] in ";{}\n"]
+    before, after = bisect_right(stops, min(start, len(code))), bisect_right(stops, max(end, 0))
+    return (stops[before - 1] if before else 0), (stops[after] if after < len(stops) else len(code))
 
 
 @F.pandas_udf(T.StructType().add("s", "integer").add("e", "integer"))
-def statement_span(code: pd.Series, at: pd.Series) -> pd.DataFrame:
-    """Column form of :func:`statement_bounds`; null code or offset gives [0, 0)."""
-    spans = [(0, 0) if c is None or p is None or p != p else statement_bounds(c, int(p)) for c, p in zip(code, at, strict=True)]
+def statement_span(code: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
+    """Column form of :func:`statement_bounds`; null code or offsets give [0, 0)."""
+    spans = [(0, 0) if c is None or pd.isna(a) or pd.isna(b) else statement_bounds(c, int(a), int(b)) for c, a, b in zip(code, start, end, strict=True)]
     return pd.DataFrame(spans, columns=["s", "e"])
 
 
@@ -198,10 +210,26 @@ def word_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.concat(*(grams(w, n) for n in range(low, high + 1)))))
 
 
+def word_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, w, c: each row's different words, lowered and padded by a blank on either side, and how often it has them."""
+    words = rows.select(key, F.explode(F.split(F.lower(text), r"\s+")).alias("w")).filter("w <> ''")
+    return words.groupBy(key, F.concat(F.lit(" "), "w", F.lit(" ")).alias("w")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def ngram_rows(rows: DataFrame, key: str, text: str, low: int = 2, high: int = 4) -> DataFrame:
+    """key, ngram, c: the n-grams of :func:`word_ngrams`, cut once from each different word of a row.
+
+    Rows are dealt by key first, so that words and n-grams are counted where they are.
+    """
+    words = word_rows(rows.repartition(F.col(key)), key, text)
+    cut = words.withColumn("n", F.explode(F.array(*(F.lit(n) for n in range(low, high + 1))))).filter((F.length("w") >= F.col("n")) | (F.col("n") == low))
+    cut = cut.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("w") - F.col("n") + 1))))
+    return cut.groupBy(key, F.substring(F.col("w"), F.col("i"), F.col("n")).alias("ngram")).agg(F.sum("c").alias("c"))
+
+
 def ngram_documents(rows: DataFrame, key: str, text: str, low: int = 2, high: int = 4, min_df: int = 2) -> DataFrame:
     """ngram, df (documents that hold it), tf over all, of n-grams in at least ``min_df`` documents."""
-    grams = rows.select(key, F.explode(word_ngrams(F.col(text), low, high)).alias("ngram")).groupBy(key, "ngram").agg(F.count(F.lit(1)).alias("n"))
-    return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf")).filter(F.col("df") >= min_df)
+    return ngram_rows(rows, key, text, low, high).groupBy("ngram").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("tf")).filter(F.col("df") >= min_df)
 
 
 def ablate(text: Column, chars: str) -> Column:
@@ -209,13 +237,29 @@ def ablate(text: Column, chars: str) -> Column:
     return F.translate(text, chars, " " * len(chars))
 
 
+# Classes of n-grams, the first that is found; the characters of each that can be blanked.
+NGRAM_CLASSES = (
+    ("terminator", r";"), ("brace", r"[{}]"), ("bracket", r"[\[\]]"), ("paren", r"[()]"), ("operator", r"[+\-*/%<>=!&|]"),
+    ("keyword", r"\b(for|while|in|range|let|var|const|foreach|do|if)\b"), ("alpha", r"^[A-Za-z_ ]+$"),
+)
+ABLATED = {"terminator": ";", "brace": "{}", "bracket": "[]", "paren": "()", "operator": "+-*/%<>=!&|"}
+
+
 def ngram_class(g: Column) -> Column:
     """Which syntax an n-gram shows; the first that fits."""
-    t = F.trim(g)
-    return (
-        F.when(t == "", "blank").when(t.rlike(r"^[A-Za-z_]+$"), "letters").when(t.rlike(r"^[0-9]+$"), "digits").when(t.rlike(r"[()\[\]{}]"), "bracket")
-        .when(t.rlike(r"[-=<>!+*/%&|]"), "operator").when(t.rlike(r"[;:,.]"), "separator").otherwise("mixed")
-    )
+    out = F.lit("other")
+    for name, pattern in reversed(NGRAM_CLASSES):
+        out = F.when(g.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def ablate_class(text: Column, name: str | None) -> Column:
+    """The characters of a class as blanks; 'none' or nothing leaves the text."""
+    if name in (None, "", "none"):
+        return text
+    if name not in ABLATED:
+        raise ValueError(f"cannot ablate {name}; known are {sorted(ABLATED)}")
+    return ablate(text, ABLATED[name])
 
 
 def model_slug(model: Column) -> Column:

@@ -101,3 +101,8 @@ def matched_random(seed: str, direction: list[float]) -> list[float]:
     for _ in range(2):
         r = r - d * (r @ d) / (n * n)
     return (r * (n / np.linalg.norm(r))).tolist()
+
+
+def chance_overlap(k: int, d: int) -> Column:
+    """Jaccard overlap to expect of two choices of ``k`` of ``d`` dimensions at random."""
+    return F.lit(k / (2 * d - k))
