@@ -7,6 +7,7 @@ table are resampled together, which is what paired deltas and contrasts need.
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 import pandas as pd
@@ -40,45 +41,60 @@ def percentile_interval(values: DataFrame, by: list[str], stat: Column, level: f
 
 def jackknife(cells: DataFrame, cluster: str, sums: list[str], by: list[str] | None = None) -> DataFrame:
     """Each cluster's totals without it: sums over all less its own."""
-    from pyspark.sql import Window as W
+    own = cells.groupBy(*(by or []), cluster).agg(*(F.sum(s).alias(s) for s in sums))
+    all_ = own.groupBy(*(by or [])).agg(*(F.sum(s).alias(f"__{s}") for s in sums))
+    both = own.join(all_, by) if by else own.crossJoin(F.broadcast(all_))  # one row of totals
+    return both.select(*(by or []), cluster, *((F.col(f"__{s}") - F.col(s)).alias(s) for s in sums))
 
-    w = W.partitionBy(*(by or [F.lit(0)]))
-    return cells.select(*(by or []), cluster, *((F.sum(s).over(w) - F.col(s)).alias(s) for s in sums))
 
-
-def bca_bounds(observed: float, boot: list[float], jack: list[float], level: float = 0.95) -> tuple[float, float]:
-    """Bias-corrected and accelerated bounds; the share below the observed is kept within 1/(2n) of 0 and 1."""
+def bca_bounds(observed: float, boot: list[float], accel: float, level: float = 0.95) -> tuple[float, float]:
+    """Bias-corrected and accelerated bounds; the share below the observed is kept within 1e-9 of 0 and 1, places within 0 and 1."""
+    boot = sorted(b for b in boot if math.isfinite(b))
     n = len(boot)
-    if n < 2 or len(jack) < 2:
+    if n < 2:
         return float("nan"), float("nan")
-    normal, ordered = NormalDist(), sorted(boot)
-    below = sum(b < observed for b in boot) / n
-    z0 = normal.inv_cdf(min(max(below, 1 / (2 * n)), 1 - 1 / (2 * n)))
-    mean = sum(jack) / len(jack)
-    cubes, squares = sum((mean - j) ** 3 for j in jack), sum((mean - j) ** 2 for j in jack)
-    accel = cubes / (6 * squares**1.5) if squares > 0 else 0.0
+    normal = NormalDist()
+    z0 = normal.inv_cdf(min(max(sum(b < observed for b in boot) / n, 1e-9), 1 - 1e-9))
 
     def at(q: float) -> float:
         z = z0 + normal.inv_cdf(q)
-        p = min(1.0, max(0.0, normal.cdf(z0 + z / (1 - accel * z))))
-        place = p * (n - 1)
+        place = min(1.0, max(0.0, normal.cdf(z0 + z / (1 - accel * z)))) * (n - 1)
         i = min(int(place), n - 2)
-        return ordered[i] + (ordered[i + 1] - ordered[i]) * (place - i)
+        return boot[i] + (boot[i + 1] - boot[i]) * (place - i)
 
     return at((1 - level) / 2), at((1 + level) / 2)
 
 
+def acceleration(jack: list[float]) -> float:
+    """From leave-one-out values: their skew over six times their spread to the power 3/2."""
+    mean = sum(jack) / len(jack)
+    squares = sum((mean - j) ** 2 for j in jack)
+    return sum((mean - j) ** 3 for j in jack) / (6 * squares**1.5) if squares > 0 else 0.0
+
+
+def accelerations(jack: DataFrame, by: list[str]) -> DataFrame:
+    """by, accel, n_clusters of leave-one-out values (by, stat), from two rounds of sums."""
+    mean = jack.groupBy(*by).agg(F.avg("stat").alias("__m"))
+    gap = F.col("__m") - F.col("stat")
+    both = jack.join(mean, by) if by else jack.crossJoin(F.broadcast(mean))
+    s = both.groupBy(*by).agg(F.sum(gap * gap * gap).alias("c"), F.sum(gap * gap).alias("q"), F.count(F.lit(1)).alias("n_clusters"))
+    return s.select(*by, F.when(F.col("q") > 0, F.col("c") / (6 * F.pow("q", F.lit(1.5)))).otherwise(0.0).alias("accel"), "n_clusters")
+
+
 def bca_interval(boot: DataFrame, jack: DataFrame, observed: DataFrame, by: list[str]) -> DataFrame:
-    """by, observed, lo, hi from (by, stat) of replicates, of leave-one-out clusters and of all rows; n_boot rows a group."""
-
-    def one(b: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
-        if b.empty or rest.empty:
-            return pd.DataFrame(columns=[*by, "observed", "lo", "hi"])
-        seen = float(rest.loc[rest["is_all"], "stat"].iloc[0])
-        lo, hi = bca_bounds(seen, b["stat"].tolist(), rest.loc[~rest["is_all"], "stat"].tolist())
-        return pd.DataFrame([{**{c: b[c].iloc[0] for c in by}, "observed": seen, "lo": lo, "hi": hi}])
-
-    rest = jack.select(*by, "stat", F.lit(False).alias("is_all")).unionByName(observed.select(*by, "stat", F.lit(True).alias("is_all")))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boot.select(*by).schema.fields) + ", observed double, lo double, hi double"
-    rest = rest.toDF(*rest.columns)  # fresh column ids: all three may come from one table
-    return boot.select(*by, "stat").toDF(*by, "stat").groupBy(*by).cogroup(rest.groupBy(*by)).applyInPandas(one, schema)
+    """by, observed, lo, hi from (by, stat) of replicates, of leave-one-out clusters and of all rows; NaN under two clusters.
+
+    Clusters are summed where they are; a group's replicates, whose number is chosen, meet in one task.
+    """
+
+    @F.pandas_udf("lo double, hi double")
+    def bounds(seen: pd.Series, values: pd.Series, accel: pd.Series, n: pd.Series) -> pd.DataFrame:
+        rows = [bca_bounds(s, list(v), a) if k >= 2 else (float("nan"), float("nan")) for s, v, a, k in zip(seen, values, accel, n, strict=True)]
+        return pd.DataFrame(rows, columns=["lo", "hi"])
+
+    name = lambda d, *cols: d.toDF(*(f"__{i}" if i < len(by) else c for i, c in enumerate([*by, *cols])))  # noqa: E731 - all may come from one table
+    values = boot.groupBy(*by).agg(F.collect_list("stat").alias("values"))
+    a, b, c = name(observed.select(*by, "stat"), "observed"), name(values.select(*by, "values"), "values"), name(accelerations(jack.select(*by, "stat"), by), "accel", "n_clusters")
+    keys = [f"__{i}" for i in range(len(by))]
+    both = a.join(b, keys).join(c, keys) if by else a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))
+    return both.withColumn("ci", bounds("observed", "values", "accel", "n_clusters")).select(*(F.col(k).alias(n) for k, n in zip(keys, by, strict=True)), "observed", "ci.lo", "ci.hi")

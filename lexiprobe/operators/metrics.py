@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -43,23 +42,32 @@ def macro_f1(rows: DataFrame, by: list[str], labels: list | None = None, y: str
     return each.filter(F.col("label").isin(labels)).groupBy(*by).agg((F.sum("f1") / F.lit(float(len(labels)))).alias("macro_f1"))
 
 
-def average_ranks(value: Column, within: list[str]) -> Column:
-    """Ranks from 1 with ties at their mean."""
-    part = [F.col(c) for c in within]
-    first = F.rank().over(W.partitionBy(*part).orderBy(value))
-    return first + (F.count(F.lit(1)).over(W.partitionBy(*part, value)) - 1) / 2.0
+def average_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the rank (from 1, ties at their mean) of ``value`` within ``by``; rows without a value go.
+
+    Values are counted first and their counts summed in order over range partitions, so no task holds a whole group.
+    """
+    from lexiprobe.operators.splits import running
+
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    before = running(counted, by, [F.col(value)], F.col("__c"), "__below")
+    keys = [*by, value]
+    ranks = before.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)), (F.col("__below") + (F.col("__c") + 1) / 2.0).alias(name))
+    return rows.join(ranks, [rows[c].eqNullSafe(ranks[f"__k{i}"]) for i, c in enumerate(keys)]).drop(*(f"__k{i}" for i in range(len(keys))))
 
 
 def auc(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Mann-Whitney AUC with ties counted half; null where a class is missing."""
-    r = rows.withColumn("__r", average_ranks(F.col(score), by))
+    r = average_ranks(rows, by, score, "__r")
     g = r.groupBy(*by).agg(F.sum(F.when(F.col(label) == 1, F.col("__r"))).alias("s"), F.count_if(F.col(label) == 1).alias("a"), F.count_if(F.col(label) == 0).alias("b"))
     return g.select(*by, F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("s") - F.col("a") * (F.col("a") + 1) / 2.0) / (F.col("a") * F.col("b"))).alias("auc"))
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    r = rows.withColumn("__x", average_ranks(F.col(x), by)).withColumn("__y", average_ranks(F.col(y), by))
-    return r.groupBy(*by).agg(F.corr("__x", "__y").alias("rho"))
+    """Rank correlation of rows that have both values."""
+    rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
+    r = average_ranks(average_ranks(rows, by, "x", "rx"), by, "y", "ry")
+    return r.groupBy(*by).agg(F.corr("rx", "ry").alias("rho"))
 
 
 def resolution(n_small: Column, n_big: Column) -> Column:
@@ -67,8 +75,8 @@ def resolution(n_small: Column, n_big: Column) -> Column:
     return 1.0 - ((2.0 * (n_small - 1)) / (2.0 * (n_small - 1) + 1.0) + (2.0 * n_big) / (2.0 * n_big + 1.0)) / 2.0
 
 
-def leave_one_out_mean(value: Column, group: list[str], own: list[str]) -> Column:
-    """Mean of a group without the rows that share ``own``: totals less own sums, no loops."""
-    all_, mine = W.partitionBy(*group), W.partitionBy(*group, *own)
-    n = F.count(value).over(all_) - F.count(value).over(mine)
-    return F.when(n > 0, (F.sum(value).over(all_) - F.sum(value).over(mine)) / n)
+def leave_one_out_means(rows: DataFrame, group: list[str], own: list[str], value: str) -> DataFrame:
+    """group, own, rest_mean: the mean of a group without the rows that share ``own``, from sums; null where nothing is left."""
+    parts = rows.groupBy(*group, *own).agg(F.sum(value).alias("v"), F.count(value).alias("n"))
+    all_ = parts.groupBy(*group).agg(F.sum("v").alias("all_v"), F.sum("n").alias("all_n"))
+    return parts.join(all_, group).select(*group, *own, F.when(F.col("all_n") > F.col("n"), (F.col("all_v") - F.col("v")) / (F.col("all_n") - F.col("n"))).alias("rest_mean"))

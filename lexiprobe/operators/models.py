@@ -1,20 +1,30 @@
-"""Linear probes and surface baselines on Spark ML, fitted on the train fold and chosen on validation."""
+"""Linear probes and surface baselines on Spark ML, fitted on the train fold and chosen on validation.
+
+A fitted probe is a row (layer, seed, weights, bias) for unscaled vectors: probes are kept, read again
+and applied to other tables by a join on the layer.
+"""
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiprobe.functions.text import ngram_documents, word_ngrams
-from lexiprobe.operators.joins import small_side
+from lexiprobe.functions.text import ABLATED, ablate_class, ngram_class, ngram_rows, single_blanks
+from lexiprobe.functions.vectors import margin
+from lexiprobe.operators.joins import Refused, matched, small_side
 from lexiprobe.operators.metrics import macro_f1
 from lexiprobe.operators.splits import hash_split
+from lexiprobe.operators.summaries import mass_by_class, strongest, surviving_mass, weighted_agreement
+
+PROBE = "layer int, seed int, weights array<double>, bias double"
 
 
 def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
@@ -31,10 +41,161 @@ def fit_logistic(train: DataFrame, features: str = "features", label: str = "y",
     return LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", regParam=1.0 / (c * max(1, n)), standardization=False, maxIter=max_iter, family="auto", predictionCol="y_pred").fit(rows)
 
 
+def population_scaler(train: DataFrame, raw: str = "raw"):
+    """(mean, deviation) of the train fold's components, the deviation that of a population and 1 where there is none."""
+    n = train.count()
+    model = StandardScaler(inputCol=raw, outputCol="features", withMean=True, withStd=True).fit(train)
+    shrink = math.sqrt((n - 1) / n) if n > 1 else 1.0
+    return model.mean.toArray().tolist(), [s * shrink or 1.0 for s in model.std.toArray().tolist()]
+
+
 def scaled(train: DataFrame, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides scaled by the train fold's mean and sample deviation."""
-    model = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
-    return model.transform(train), model.transform(rest)
+    """Both sides scaled by the train fold's mean and population deviation."""
+    n = train.count()
+    model = StandardScaler(inputCol="raw", outputCol="sample", withMean=True, withStd=True).fit(train)
+    grow = ElementwiseProduct(inputCol="sample", outputCol="features", scalingVec=Vectors.dense([math.sqrt(n / (n - 1)) if n > 1 else 1.0] * len(model.mean)))
+    both = [grow.transform(model.transform(x)).drop("sample") for x in (train, rest)]
+    return both[0], both[1]
+
+
+def fit_probe(train: DataFrame, c: float = 1.0, balanced: bool = True) -> tuple[list[float], float]:
+    """(weights, bias) for unscaled vectors of a binary probe fitted on scaled ones; ``train`` has raw and y (0 or 1)."""
+    mean, deviation = population_scaler(train)
+    model = fit_logistic(scaled(train, train.limit(0))[0], c=c, balanced=balanced)
+    weights = [w / d for w, d in zip(model.coefficients.toArray().tolist(), deviation, strict=True)]
+    bias = model.intercept - sum(w * m for w, m in zip(weights, mean, strict=True))
+    if not all(math.isfinite(x) for x in (*weights, bias)):
+        raise Refused("the probe's parameters are not finite")
+    return weights, float(bias)
+
+
+def apply_probes(rows: DataFrame, probes: DataFrame, vec: str = "vec") -> DataFrame:
+    """``rows`` (layer, ``vec``) with seed, margin and y_pred of every probe of their layer."""
+    own = rows.join(small_side(probes.select("layer", "seed", "weights", "bias")), "layer")
+    return own.withColumn("margin", margin(F.col("weights"), F.col("bias"), F.col(vec))).withColumn("y_pred", (F.col("margin") > 0).cast("int")).drop("weights", "bias")
+
+
+def layer_sweep(rows: DataFrame, group: str, label: str, vec: str, seeds: list[int], c: float = 1.0, balanced: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(probes, curves, chosen) over ``rows`` (layer, group, label 0 or 1, vec).
+
+    curves: seed, layer, fold, macro_f1, accuracy, n. chosen: of each seed the layer with the highest macro F1 on
+    validation (the lowest of several), with its validation and test figures. Seeds with an empty fold or one class in
+    train are left out; where all are, the sweep is refused.
+    """
+    spark = rows.sparkSession
+    base = rows.select("layer", F.col(group).alias("g"), F.col(label).cast("int").alias("y"), F.col(vec).cast("array<double>").alias("vec")).persist()
+    try:
+        layers = sorted(r["layer"] for r in base.select("layer").distinct().collect())
+        fitted = []
+        for seed in seeds:
+            folds = base.withColumn("fold", hash_split(F.col("g"), seed))
+            sizes = {(r["fold"], r["y"]) for r in folds.select("fold", "y").distinct().collect()}
+            if {f for f, _ in sizes} != {"train", "val", "test"} or len([1 for f, _ in sizes if f == "train"]) < 2:
+                continue
+            for layer in layers:
+                train = folds.filter((F.col("fold") == "train") & (F.col("layer") == layer)).select(array_to_vector("vec").alias("raw"), F.col("y").cast("double").alias("y"))
+                fitted.append((layer, seed, *fit_probe(train, c, balanced)))
+        if not fitted:
+            raise Refused("no seed has three folds and two classes to learn from")
+        probes = spark.createDataFrame(fitted, PROBE)
+        found = apply_probes(base, probes).withColumn("fold", hash_split(F.col("g"), F.col("seed")))
+        by = ["seed", "layer", "fold"]
+        plain = found.groupBy(*by).agg(F.avg((F.col("y") == F.col("y_pred")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+        curves = spark.createDataFrame(macro_f1(found, by, y="y").join(plain, by).collect(), "seed int, layer int, fold string, macro_f1 double, accuracy double, n long")
+    finally:
+        base.unpersist()
+    val, test = curves.filter("fold = 'val'"), curves.filter("fold = 'test'").select("seed", "layer", F.col("macro_f1").alias("test_f1"), F.col("accuracy").alias("test_accuracy"))
+    best = val.groupBy("seed").agg(F.max_by(F.struct("layer", "macro_f1"), F.struct("macro_f1", -F.col("layer"))).alias("b")).select("seed", "b.layer", F.col("b.macro_f1").alias("val_f1"))
+    return probes, curves, best.join(test, ["seed", "layer"])
+
+
+def sweep_summary(chosen: DataFrame) -> dict:
+    """Selected layers and their median, mean and population deviation of the test figures over seeds."""
+    rows = sorted(chosen.collect(), key=lambda r: r["seed"])
+    f1, layers = [r["test_f1"] for r in rows], sorted(r["layer"] for r in rows)
+    mean, k = sum(f1) / len(f1), len(layers)
+    return {
+        "selected_layers": [r["layer"] for r in rows], "selected_layer": int((layers[(k - 1) // 2] + layers[k // 2]) / 2), "test_f1_mean": mean,
+        "test_f1_std": math.sqrt(sum((x - mean) ** 2 for x in f1) / k), "test_accuracy_mean": sum(r["test_accuracy"] for r in rows) / k,
+    }
+
+
+def selectivity(rows: DataFrame, group: str, name: str, label: str, vec: str, seeds: list[int]) -> dict:
+    """Macro F1 of the sweep, of a sweep on labels dealt to names by hash, and the difference."""
+    from lexiprobe.operators.occurrences import label_by_name
+
+    control = label_by_name(rows, name, label, 1234).drop(label).withColumnRenamed("control_label", label)
+    real, other = (sweep_summary(layer_sweep(x, group, label, vec, seeds)[2])["test_f1_mean"] for x in (rows, control))
+    return {"macro_f1": real, "control_macro_f1": other, "selectivity": real - other}
+
+
+def evaluate_probes(rows: DataFrame, probes: DataFrame, label: str, vec: str = "vec", by: list[str] | None = None) -> DataFrame:
+    """by, layer, seed, accuracy, macro_f1 of probes fitted elsewhere; layers that one side lacks are left out."""
+    keys = [*(by or []), "layer", "seed"]
+    found = apply_probes(rows, probes, vec).withColumn("y", F.col(label).cast("int"))
+    return macro_f1(found, keys, y="y").join(found.groupBy(*keys).agg(F.avg((F.col("y") == F.col("y_pred")).cast("double")).alias("accuracy")), keys)
+
+
+def nearest_layers(a: DataFrame, b: DataFrame, layer: str = "layer") -> DataFrame:
+    """layer_a, layer_b: for each layer of ``a`` the one of ``b`` at the nearest share of its depth; ties to the lower."""
+    depth = lambda d, n: d.select(F.col(layer).alias(n)).distinct()
+    top = lambda d: max(1, d.agg(F.max(layer)).first()[0] or 0)
+    x, y = depth(a, "layer_a"), depth(b, "layer_b")
+    far = F.abs(F.col("layer_a") / F.lit(float(top(a))) - F.col("layer_b") / F.lit(float(top(b))))
+    # layers of one model: at most some hundreds
+    return x.crossJoin(F.broadcast(y)).groupBy("layer_a").agg(F.min_by("layer_b", F.struct(far, F.col("layer_b"))).alias("layer_b"))
+
+
+def cross_model_matrix(probes: dict[str, DataFrame], rows: dict[str, DataFrame], label: str, vec: str = "vec") -> list[dict]:
+    """source, target, macro_f1 (mean over aligned layers and seeds) for each pair of models with vectors of one length."""
+    out = []
+    for a, own in probes.items():
+        for b, table in rows.items():
+            aligned = own.join(nearest_layers(own, table).withColumnRenamed("layer_a", "layer"), "layer").drop("layer").withColumnRenamed("layer_b", "layer")
+            found = apply_probes(table, aligned.withColumn("seed", F.monotonically_increasing_id().cast("int")), vec).withColumn("y", F.col(label).cast("int"))
+            out.append({"source": a, "target": b, "macro_f1": macro_f1(found, ["layer", "seed"], y="y").agg(F.avg("macro_f1")).first()[0]})
+    return out
+
+
+def _checksum(probes: DataFrame) -> str:
+    line = F.to_json(F.struct("layer", "seed", "weights", "bias"))
+    # probes are rows of a small table: layers times seeds
+    return probes.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256)).first()[0]
+
+
+def write_probes(probes: DataFrame, path: str, metadata: dict) -> dict:
+    """Writes probes and, behind them, their metadata with a checksum."""
+    probes = probes.select("layer", "seed", "weights", "bias")
+    probes.coalesce(1).write.mode("overwrite").parquet(f"{path}/probes")
+    known = metadata | {"sha256": _checksum(probes), "rows": probes.count()}
+    probes.sparkSession.createDataFrame([(json.dumps(known, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    return known
+
+
+def read_probes(spark: SparkSession, path: str, expected: dict) -> DataFrame:
+    """Probes whose checksum holds and whose metadata have the expected values; others are refused."""
+    known = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    differ = [k for k, v in expected.items() if known.get(k) != v]
+    if differ:
+        raise Refused(f"the probes' metadata differ in {differ}")
+    probes = spark.read.schema(PROBE).parquet(f"{path}/probes")
+    if _checksum(probes) != known["sha256"]:
+        raise Refused("the probes are not those that were written")
+    return probes
+
+
+def fit_probe_link(rows: DataFrame, group: str, label: str, vec: str, seeds: list[int], c: float = 1.0, expected_splits: dict[int, int] | None = None) -> dict:
+    """Probes of one layer over several seeds, all of which must be usable: probes, test figures by seed and their means, and
+    a hash of each seed's test members, which must be those ``expected_splits`` names."""
+    one = rows.withColumn("layer", F.lit(0)) if "layer" not in rows.columns else rows
+    probes, curves, chosen = layer_sweep(one, group, label, vec, seeds, c)
+    if chosen.count() != len(seeds):
+        raise Refused("a seed has an empty fold or a single class to learn from")
+    each = rows.select(F.col(group).alias("g")).distinct().withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
+    members = {r["seed"]: r["h"] for r in each.filter(hash_split(F.col("g"), F.col("seed")) == "test").groupBy("seed").agg(F.bit_xor(F.xxhash64("g")).alias("h")).collect()}
+    if expected_splits is not None and members != expected_splits:
+        raise Refused("the test folds are not those that were recorded")
+    return {"probes": probes, "splits": members, **sweep_summary(chosen)}
 
 
 def probe(rows: DataFrame, vec: str, label: str, group: str, seeds: list[int], c: float = 1.0) -> DataFrame:
@@ -53,24 +214,89 @@ def probe(rows: DataFrame, vec: str, label: str, group: str, seeds: list[int], c
     return out if out is not None else rows.sparkSession.createDataFrame([], "seed int, fold string, macro_f1 double, n long")
 
 
+class Grams:
+    """Character n-gram weights: vocabulary and document frequencies of a train side, all on the executors."""
+
+    def __init__(self, train: DataFrame, key: str, text: str, low: int = 2, high: int = 4, min_df: int = 2, features: int = 60_000):
+        self.key, self.text, self.low, self.high = key, text, low, high
+        counted = self._counted(train)
+        self.counts = CountVectorizer(inputCol="grams", outputCol="counts", minDF=float(min_df), vocabSize=features)
+        try:
+            self.counts = self.counts.fit(counted)
+        except Exception as e:
+            raise ValueError("no n-gram reaches min_df") from e
+        idf = IDF(inputCol="counts", outputCol="w").fit(self.counts.transform(counted)).idf.toArray()
+        # ln((1 + n) / (1 + df)) + 1 as the weight of a count
+        self.weigh = ElementwiseProduct(inputCol="counts", outputCol="weighted", scalingVec=Vectors.dense(idf + 1))
+        self.vocabulary = self.counts.vocabulary
+
+    def _counted(self, rows: DataFrame) -> DataFrame:
+        grams = ngram_rows(rows.select(self.key, self.text), self.key, self.text, self.low, self.high)
+        return grams.groupBy(self.key).agg(F.flatten(F.collect_list(F.array_repeat("ngram", F.col("c").cast("int")))).alias("grams"))
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with features, of length 1; rows without n-grams keep the zero vector."""
+        cells = self._counted(rows).withColumnRenamed(self.key, "__key")
+        out = rows.join(cells, rows[self.key] == F.col("__key"), "left").drop("__key").withColumn("grams", F.coalesce("grams", F.array().cast("array<string>")))
+        return Normalizer(inputCol="weighted", outputCol="features").transform(self.weigh.transform(self.counts.transform(out))).drop("grams", "counts", "weighted")
+
+
 def tfidf(rows: DataFrame, key: str, text: str, train: DataFrame, low: int = 2, high: int = 4, min_df: int = 2, features: int = 60_000) -> DataFrame:
-    """key, features: L2-normalised counts times ln((1+n)/(1+df)) + 1; vocabulary and df from ``train`` alone, most frequent first."""
-    n = train.count()
-    terms = ngram_documents(train, key, text, low, high, min_df).orderBy(F.desc("tf"), "ngram").limit(features)
-    numbered = [(r["ngram"], i, math.log((1 + n) / (1 + r["df"])) + 1) for i, r in enumerate(terms.collect())]  # bounded by ``features``
-    if not numbered:
-        raise ValueError("no n-gram reaches min_df")
-    spark, size = rows.sparkSession, len(numbered)
-    vocabulary = F.broadcast(spark.createDataFrame(numbered, "ngram string, i int, idf double"))
-    grams = rows.select(key, F.explode(word_ngrams(F.col(text), low, high)).alias("ngram")).groupBy(key, "ngram").agg(F.count(F.lit(1)).alias("c"))
-    cells = grams.join(vocabulary, "ngram").withColumn("w", F.col("c") * F.col("idf"))
-    per = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    """``rows`` with features: L2-normalised counts times ln((1+n)/(1+df)) + 1; vocabulary and df from ``train`` alone, most frequent first."""
+    return Grams(train, key, text, low, high, min_df, features).transform(rows)
 
-    @F.udf(VectorUDT())
-    def vector(cells, norm):
-        return SparseVector(size, [c["i"] for c in cells or []], [c["w"] / norm for c in cells or []])
 
-    return rows.join(per, key, "left").withColumn("features", vector("cells", "norm")).drop("cells", "norm")
+def _indexed(rows: DataFrame, label: str) -> tuple[DataFrame, list]:
+    """Adds y, the label's number; and the labels."""
+    names = sorted(r[0] for r in rows.select(label).distinct().collect())
+    number = F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(float(i)))))
+    return rows.withColumn("y", number[F.col(label)]), names
+
+
+FAMILIES = ("name_only", "line_masked", "statement_masked", "window_masked")
+
+
+def surface_baselines(rows: DataFrame, key: str, label: str, group: str, seeds: list[int], covariates: list[str], texts: tuple[str, ...] = FAMILIES) -> tuple[DataFrame, DataFrame]:
+    """(figures, predictions): seed, family, macro_f1, accuracy of the majority, the covariates and of each text column's n-grams, and
+    the test predictions (key, seed, y_true, y_pred, cluster) of the strongest family by mean macro F1; ties to the last name.
+
+    Train and validation are one, as there is no layer to choose. A family without any n-gram in two rows has no figures.
+    """
+    if rows.select(key).distinct().count() != rows.filter(F.col(key).isNotNull()).count() or rows.filter(F.col(key).isNull()).limit(1).count():
+        raise Refused(f"predictions can be paired only if each row has its own {key}")
+    rows, names = _indexed(rows, label)
+    found = None
+    for seed in seeds:
+        folds = rows.withColumn("fold", F.when(hash_split(F.col(group), seed) == "test", "test").otherwise("train"))
+        train, test = folds.filter("fold = 'train'"), folds.filter("fold = 'test'")
+        order = train.groupBy("y").count().orderBy(F.desc("count"), "y").first()
+        if order is None or train.select("y").distinct().count() < 2:
+            continue
+        pick = lambda d, family, seed=seed: d.select(key, F.col(group).alias("cluster"), "y", "y_pred", F.lit(seed).alias("seed"), F.lit(family).alias("family"))
+        parts = [pick(test.withColumn("y_pred", F.lit(order["y"])), "majority")]
+        raw = lambda d: d.withColumn("raw", array_to_vector(F.array(*(F.col(c).cast("double") for c in covariates))))
+        if covariates:
+            a, b = scaled(raw(train), raw(test))
+            parts.append(pick(fit_logistic(a, balanced=False).transform(b), "covariates_only"))
+        for text in texts:
+            try:
+                grams = Grams(train, key, text)
+            except ValueError:
+                continue
+            model = fit_logistic(grams.transform(train), c=4.0, balanced=False)
+            parts.append(pick(model.transform(grams.transform(test)), text))
+        for part in parts:
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        raise Refused("no seed has two classes to learn from")
+    found = found.persist()
+    fixed = [float(i) for i in range(len(names))]
+    plain = found.groupBy("seed", "family").agg(F.avg((F.col("y") == F.col("y_pred")).cast("double")).alias("accuracy"))
+    figures = macro_f1(found, ["seed", "family"], fixed, y="y").join(plain, ["seed", "family"])
+    best = strongest(figures.groupBy("family").agg(F.avg("macro_f1").alias("macro_f1")), [], "family", "macro_f1").first()["family"]
+    said = F.element_at(F.array(*(F.lit(n) for n in names)), F.col("y_pred").cast("int") + 1)
+    true = F.element_at(F.array(*(F.lit(n) for n in names)), F.col("y").cast("int") + 1)
+    return figures, found.filter(F.col("family") == best).select(key, "seed", true.alias("y_true"), said.alias("y_pred"), "cluster", "family")
 
 
 def surface_baseline(rows: DataFrame, key: str, text: str, label: str, group: str, seed: int, c: float = 4.0) -> DataFrame:
@@ -84,9 +310,45 @@ def surface_baseline(rows: DataFrame, key: str, text: str, label: str, group: st
     return both
 
 
+def _transferred(a: DataFrame, b: DataFrame, key: str, text: str) -> tuple[Grams, object, float, DataFrame]:
+    """n-grams and model fitted on ``a`` (key, text, y 0 or 1), and the macro F1 on ``b``."""
+    grams = Grams(a, key, text)
+    model = fit_logistic(grams.transform(a).select("features", "y"), c=4.0, balanced=True)
+    x = grams.transform(b)
+    return grams, model, macro_f1(model.transform(x).withColumn("one", F.lit(1)), ["one"], [0.0, 1.0], y="y").first()["macro_f1"], x
+
+
+def mechanism(source: DataFrame, target: DataFrame, key: str, shared: str, role: str, label: str, texts: tuple[str, ...] = FAMILIES[1:], classes: tuple[str, ...] = tuple(ABLATED), same_blanks: bool = False) -> dict:
+    """What a surface model of ``source`` keeps in ``target``, on the masked text that transfers best over shared problems.
+
+    best (text column), macro_f1, surviving mass, agreement of the coefficients with those of a model fitted on the
+    target in the same features (weighted by the source's coefficients times the target's weights), the n-grams read most
+    oppositely, mass by class, and ablations: class, macro_f1, delta with the class's characters blank on both sides.
+    """
+    a, b = matched(source, target, shared)
+    clean = (lambda c: single_blanks(F.col(c))) if same_blanks else F.col
+    prep = lambda d, text, name=None: d.select(F.col(key), ablate_class(clean(text), name).alias("text"), (F.col(label) == role).cast("double").alias("y"))
+    scored = {text: _transferred(prep(a, text), prep(b, text), key, "text") for text in texts}
+    best = max(scored, key=lambda t: scored[t][2])
+    grams, model, f1, x = scored[best]
+    mean = lambda d: d.select(Summarizer.mean(F.col("features"))).first()[0].toArray().tolist()
+    other = fit_logistic(x.select("features", "y"), c=4.0, balanced=True)
+    rows = zip(grams.vocabulary, model.coefficients.toArray().tolist(), other.coefficients.toArray().tolist(), mean(grams.transform(prep(a, best))), mean(x), strict=True)
+    # at most as many rows as there are features
+    features = source.sparkSession.createDataFrame(list(rows), "ngram string, source_weight double, target_weight double, source_mean double, target_mean double").withColumn("w", F.abs("source_weight") * F.col("target_mean"))
+    flip = F.col("w") * F.greatest(F.lit(0.0), -F.col("source_weight") * F.col("target_weight"))
+    ablations = {c: _transferred(prep(a, best, c), prep(b, best, c), key, "text")[2] for c in classes}
+    return {
+        "best": best, "macro_f1": f1, **surviving_mass(features, "source_weight", "source_mean", "target_mean").first().asDict(),
+        **weighted_agreement(features, "source_weight", "target_weight", "w").first().asDict(),
+        "by_class": [r.asDict() for r in mass_by_class(features, ngram_class(F.col("ngram")), "source_weight", "source_mean", "target_mean").collect()],
+        "flipped": [r.asDict() for r in features.filter(flip > 0).orderBy(flip.desc(), "ngram").limit(25).select("ngram", "source_weight", "target_weight").collect()],
+        "ablations": [{"class": c, "macro_f1": v, "delta": v - f1} for c, v in ablations.items()],
+    }
+
+
 def transfer(source: DataFrame, target: DataFrame, vec: str, label: str, shared: str, least: int = 0) -> DataFrame:
     """macro_f1 on the target of a probe fitted on the source, with shuffled and majority controls; both restricted to shared keys."""
-    from lexiprobe.operators.joins import matched
     from lexiprobe.operators.occurrences import resampled_labels
 
     a, b = matched(source, target, shared, least)

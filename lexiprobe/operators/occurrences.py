@@ -61,11 +61,12 @@ def drop_reasons(rows: DataFrame, gates: list[tuple[str, Column]], duplicate_key
 
 
 def cost_ledger(rows: DataFrame, phase: str, elapsed: str, hourly: str, order: str, budget: float) -> DataFrame:
-    """Adds billed seconds (a minute at least, 15 % on top), cost, running total within the phase and whether it is over budget."""
-    billed = F.greatest(F.lit(60.0), F.col(elapsed)) * 1.15
-    rows = rows.withColumn("billed_s", billed).withColumn("usd", F.col("billed_s") / 3600.0 * F.col(hourly))
-    rows = rows.withColumn("running_usd", F.sum("usd").over(W.partitionBy(phase).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
-    return rows.withColumn("over_budget", F.col("running_usd") > budget)
+    """Adds billed seconds (a minute at least, 15 % on top), cost (12 decimals), running total within the phase and whether it is over budget."""
+    from lexiprobe.operators.splits import running
+
+    rows = rows.withColumn("billed_s", F.greatest(F.lit(60.0), F.col(elapsed)) * 1.15).withColumn("usd", (F.col("billed_s") / 3600.0 * F.col(hourly)).cast("decimal(28,12)"))
+    rows = running(rows, [phase], [F.col(order)], F.col("usd"), "__before").withColumn("running_usd", F.col("__before") + F.col("usd")).drop("__before")
+    return rows.withColumn("over_budget", F.col("running_usd") > F.lit(budget))
 
 
 def resampled_labels(rows: DataFrame, label: str, key: str, within: list[str], seed: int) -> DataFrame:
@@ -88,3 +89,86 @@ def label_by_name(rows: DataFrame, name: str, label: str, seed: int) -> DataFram
     names = rows.select(name).distinct().crossJoin(F.broadcast(steps)).withColumn("u", hash_unit(F.col(name), seed))
     names = names.select(name, F.coalesce(F.filter("steps", lambda s: s["upto"] >= F.col("u"))[0]["control_label"], F.element_at("steps", -1)["control_label"]).alias("control_label"))
     return rows.join(names, name)
+
+
+# --- programs ---------------------------------------------------------------------------------------
+
+
+def program_occurrences(programs: DataFrame, program: str = "problem_id") -> DataFrame:
+    """The flag occurrences of programs (program, language, code): spans that hold their name, one row a span whose rows agree, with ids."""
+    from lexiprobe.functions.flags import occurrences
+    from lexiprobe.functions.text import span_holds
+
+    rows = programs.select(program, "language", "code", F.posexplode(occurrences("code", "language")).alias("ord", "o")).select(program, "language", "code", "ord", "o.*")
+    rows = rows.filter(span_holds(F.col("code"), F.col("s"), F.col("e"), F.col("variable"))).drop("code")
+    rows = conflict_free(rows, [program, "function", "variable", "s", "e"], "occurrence_type", "ord")
+    keyed = rows.withColumn("__f", F.concat_ws(":", "function_line", "function")).withColumn("__o", F.struct("line", "col_offset", "ord"))
+    return occurrence_ids(keyed, program, F.col("language"), "__f", "variable", "__o").drop("__f", "__o", "ord")
+
+
+def role_occurrence_rows(programs: DataFrame, program: str = "problem_id") -> DataFrame:
+    """The places of all role names of programs, with ids: variables by first appearance within the program and role, running index."""
+    from lexiprobe.functions.sites import role_occurrences
+
+    rows = programs.select(program, "language", F.explode(role_occurrences("code", "language")).alias("o")).select(program, "language", "o.*")
+    one = W.partitionBy(program, "role", "variable")
+    rows = rows.withColumn("__first", F.min("s").over(one))
+    b = F.dense_rank().over(W.partitionBy(program, "role").orderBy("__first")) - 1
+    o = F.row_number().over(one.orderBy("s")) - 1
+    return rows.withColumn("occurrence_id", F.concat_ws(":", F.col(program).cast("string"), "language", F.lit("f0"), F.concat(F.lit("b"), b), F.concat(F.lit("o"), o))).drop("__first")
+
+
+# --- label cleaning and freezing ----------------------------------------------------------------------
+
+# What a label row must have, and the least lines and places of what it labels.
+LABEL_FIELDS, MIN_LINES, MIN_PLACES = ("repo", "path", "function", "variable"), 5, 2
+
+
+def _with_code(records: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Adds idx (source_row as a number) and code: by idx where a row names one, else the first of its (repo, path)."""
+    from lexiprobe.operators.joins import lookup_two_ways, wins
+
+    first = wins(canonical.select("repo", "path", "idx", "code"), ["repo", "path"], "idx", last=False).select("repo", "path", "code")
+    rows = records.withColumn("idx", F.expr("try_cast(source_row AS BIGINT)")).withColumn("__key", F.when(F.col("source_row").isNotNull(), F.coalesce("idx", F.lit(-1))))
+    return lookup_two_ways(rows, canonical.select(F.col("idx").alias("__key"), "code"), first, "__key", ["repo", "path"], "code").drop("__key")
+
+
+def _label_gates() -> list[tuple[str, Column]]:
+    missing = F.lit(False)
+    for c in LABEL_FIELDS:
+        missing = missing | F.coalesce(F.col(c) == "", F.lit(True))
+    return [("parse_error", F.coalesce(F.col("parse_error") != "", F.lit(False))), ("non_boolean", F.coalesce(F.col("role") != "boolean_flag", F.lit(True))), ("missing_fields", missing)]
+
+
+def clean_labels(records: DataFrame, canonical: DataFrame, order: str) -> DataFrame:
+    """Label rows with drop_reason: the first of twelve that holds, or null for those that stay.
+
+    ``canonical``: idx, repo, path, code. A row repeats another of its (source row or repository and path, function,
+    variable) only where that one has passed.
+    """
+    from lexiprobe.functions.sites import top_level_names, variable_places
+    from lexiprobe.functions.text import full_lines, generated, notebook
+
+    rows = _with_code(records, canonical).withColumn("__names", top_level_names("code")).withColumn("__places", variable_places("code", "function", "variable"))
+    gates = [
+        *_label_gates(), ("bad_source_row", F.col("source_row").isNotNull() & F.col("idx").isNull()), ("missing_canonical", F.col("code").isNull()), ("notebook_artifact", notebook(F.col("path"), F.col("code"))),
+        ("autogenerated", generated(F.col("code"))), ("malformed_canonical", F.col("__names").isNull()), ("no_matching_function", ~F.array_contains("__names", F.col("function"))),
+        ("short_function", full_lines(F.col("code")) < MIN_LINES), ("variable_few_occurrences", F.coalesce(F.size("__places"), F.lit(0)) < MIN_PLACES),
+    ]
+    key = F.when(F.col("idx").isNotNull(), F.struct(F.lit("").alias("repo"), F.lit("").alias("path"), "idx")).otherwise(F.struct("repo", "path", F.lit(-1).cast("long").alias("idx")))
+    return drop_reasons(rows.withColumn("__dk", key), gates, ["__dk", "function", "variable"], order).drop("__dk", "__names", "__places")
+
+
+def freeze_labels(records: DataFrame, canonical: DataFrame, splits: DataFrame) -> DataFrame:
+    """Label rows with their repository's split, the variable's places, and skip_reason: the first of eight that holds, or null. ``splits``: repo, split."""
+    from lexiprobe.functions.sites import top_level_names, variable_places
+
+    rows = _with_code(records, canonical).join(splits, "repo", "left").withColumn("__names", top_level_names("code"))
+    gates = [
+        *_label_gates(), ("repo_not_in_split", F.col("split").isNull()), ("bad_source_row", F.col("source_row").isNotNull() & F.col("idx").isNull()), ("missing_code", F.col("code").isNull()),
+        ("bad_code", F.col("__names").isNull()), ("no_function", ~F.array_contains("__names", F.col("function"))),
+    ]
+    reason = F.lit(None).cast("string")
+    for name, fails in reversed(gates):
+        reason = F.when(F.coalesce(fails, F.lit(False)), name).otherwise(reason)
+    return rows.withColumn("skip_reason", reason).withColumn("places", variable_places("code", "function", "variable")).drop("__names")

@@ -57,13 +57,40 @@ def global_rank(rows: DataFrame, order: list[Column], name: str = "rank") -> Dat
     return ranged.withColumn(name, (inner + place[F.col("__part")]).cast("long")).drop("__part")
 
 
+def running(rows: DataFrame, by: list[str], order: list[Column], weight: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``weight`` over the rows of their group that come before, in two passes over range partitions.
+
+    A group may span any number of partitions: what is summed is the whole order, and each group's own start is taken
+    off. The driver sees one number a partition. Weights must add exactly (integers or decimals).
+    """
+    from pyspark import StorageLevel
+
+    whole = [*(F.col(c) for c in by), *order]
+    ranged = rows.withColumn("__w", weight).repartitionByRange(*whole).sortWithinPartitions(*whole).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    at, starts = 0, {}
+    for r in sorted(ranged.groupBy("__part").agg(F.sum("__w").alias("w")).collect(), key=lambda r: r["__part"]):
+        starts[r["__part"]] = at
+        at += r["w"] or 0
+    kind = ranged.schema["__w"].dataType
+    kind = f"decimal(38,{kind.scale})" if kind.typeName() == "decimal" else "long"
+    if not starts:
+        return rows.withColumn(name, F.lit(None).cast(kind))
+    place = F.create_map(*(x for k, v in starts.items() for x in (F.lit(k), F.lit(v).cast(kind))))
+    inner = F.sum("__w").over(W.partitionBy("__part").orderBy(*whole).rowsBetween(W.unboundedPreceding, -1))
+    placed = ranged.withColumn("__acc", (F.coalesce(inner, F.lit(0)) + place[F.col("__part")]).cast(kind))
+    if not by:
+        return placed.withColumnRenamed("__acc", name).drop("__w", "__part")
+    first = placed.groupBy(*by).agg(F.min("__acc").alias("__start")).select(*(F.col(c).alias(f"__{c}") for c in by), "__start")
+    same = [placed[c].eqNullSafe(first[f"__{c}"]) for c in by]
+    return placed.join(first, same).withColumn(name, (F.col("__acc") - F.col("__start")).cast(kind)).drop("__acc", "__start", "__w", "__part", *(f"__{c}" for c in by))
+
+
 def cap_whole_groups(rows: DataFrame, group: list[str], seed: int, cap: int, per: list[str] | None = None) -> DataFrame:
     """Whole groups in hash order, as long as the rows of those before are fewer than ``cap`` (within each ``per``)."""
     sizes = rows.groupBy(*(per or []), *group).agg(F.count(F.lit(1)).alias("__n"))
-    key = F.concat_ws("|", *group)
-    before = F.sum("__n").over(W.partitionBy(*(per or [F.lit(0)])).orderBy(hash_unit(key, seed), *group).rowsBetween(W.unboundedPreceding, -1))
-    picked = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < cap).drop("__n", "__before")
-    return rows.join(picked, [*(per or []), *group], "left_semi")
+    sizes = sizes.withColumn("__u", hash_unit(F.concat_ws("|", *group), seed))
+    before = running(sizes, per or [], [F.col("__u"), *(F.col(c) for c in group)], F.col("__n"), "__earlier")
+    return rows.join(before.filter(F.col("__earlier") < cap).select(*(per or []), *group), [*(per or []), *group], "left_semi")
 
 
 def first_seen_cap(rows: DataFrame, key: str, order: str, cap: int) -> DataFrame:
@@ -74,9 +101,12 @@ def first_seen_cap(rows: DataFrame, key: str, order: str, cap: int) -> DataFrame
 
 def stratified_split(rows: DataFrame, label: str, key: str, seed: int, test: float = 0.2) -> DataFrame:
     """Adds split: within each label the first int(test * n) rows in hash order are test."""
-    w = W.partitionBy(label)
-    place = F.row_number().over(w.orderBy(hash_unit(F.col(key), seed), key))
-    return rows.withColumn("split", F.when(place <= F.floor(F.count(F.lit(1)).over(w) * test), "test").otherwise("train"))
+    from lexiprobe.operators.joins import small_side
+
+    n = rows.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
+    placed = running(rows.withColumn("__u", hash_unit(F.col(key), seed)), [label], [F.col("__u"), F.col(key)], F.lit(1), "__place")
+    both = placed.join(small_side(n), placed[label].eqNullSafe(F.col("__label")))
+    return both.withColumn("split", F.when(F.col("__place") < F.floor(F.col("__n") * test), "test").otherwise("train")).drop("__label", "__n", "__u", "__place")
 
 
 def class_policy(rows: DataFrame, label: str, least: int, drop: bool = True) -> DataFrame:

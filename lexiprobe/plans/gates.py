@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiprobe.operators.bootstrap import bca_bounds
+from lexiprobe.operators.bootstrap import draws
 from lexiprobe.operators.joins import Refused, exact_pairs
 
 # The protocol's thresholds.
@@ -17,27 +17,26 @@ def identity_tolerance(max_drift: float, dtype: str = "float16") -> float:
     return max(TAU_FLOOR[dtype], 10 * max_drift)
 
 
-def clustered_interval(rows: DataFrame, value: Column, cluster: str, n_boot: int = 2000, over: Column | None = None) -> dict:
+def clustered_interval(rows: DataFrame, value: Column, cluster: str, n_boot: int = 2000, over: Column | None = None, drawn: DataFrame | None = None) -> dict:
     """Point, BCa bounds and clusters of a mean (or of a ratio of means with ``over``), whole clusters resampled.
 
-    Only a sum and a count of each cluster reach the driver; under two clusters the bounds are NaN.
+    Clusters are drawn and summed by Spark; the ``n_boot`` values of the replicates come to the driver. Intervals on the
+    same ``drawn`` table are paired. Under two clusters the bounds are NaN.
     """
-    import hashlib
+    from lexiprobe.operators import bootstrap as B
 
     den = F.lit(1.0) if over is None else over
-    cells = [(r["a"], r["b"]) for r in rows.groupBy(cluster).agg(F.sum(value.cast("double")).alias("a"), F.sum(den).alias("b")).orderBy(cluster).collect()]
-    a, b = sum(c[0] for c in cells), sum(c[1] for c in cells)
-    point = a / b if b else float("nan")
-    if len(cells) < 2:
-        return {"point": point, "ci_low": float("nan"), "ci_high": float("nan"), "n_clusters": len(cells)}
-    import numpy as np
-
-    sums = np.array(cells)
-    rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{len(cells)}:{n_boot}".encode()).digest()[:8], "little"))
-    drawn = sums[rng.integers(0, len(cells), (n_boot, len(cells)))].sum(1)
-    rest = sums.sum(0) - sums
-    lo, hi = bca_bounds(point, (drawn[:, 0] / drawn[:, 1]).tolist(), (rest[:, 0] / rest[:, 1]).tolist())
-    return {"point": point, "ci_low": lo, "ci_high": hi, "n_clusters": len(cells)}
+    cells = rows.groupBy(cluster).agg(F.sum(value.cast("double")).alias("a"), F.sum(den).alias("b"))
+    all_ = cells.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    point = all_["a"] / all_["b"] if all_["b"] else float("nan")
+    if all_["n"] < 2:
+        return {"point": point, "ci_low": float("nan"), "ci_high": float("nan"), "n_clusters": all_["n"]}
+    drawn = B.draws(cells, cluster, n_boot) if drawn is None else drawn
+    stat = F.when(F.col("b") != 0, F.col("a") / F.col("b"))
+    boot = [r[0] for r in B.replicates(cells, drawn, cluster, ["a", "b"], []).select(stat).collect() if r[0] is not None]
+    accel = B.accelerations(B.jackknife(cells, cluster, ["a", "b"]).select(stat.alias("stat")), []).first()["accel"]
+    lo, hi = B.bca_bounds(point, boot, accel)
+    return {"point": point, "ci_low": lo, "ci_high": hi, "n_clusters": all_["n"]}
 
 
 def verdict(checks: dict[str, bool], **more) -> dict:
@@ -83,7 +82,8 @@ def smoke_gate(rows: DataFrame, probe: int, tau: float | None = None, pairs: int
 
 def behavior_gate(rows: DataFrame, cluster: str = "cluster_id") -> dict:
     """Six checks on (d_class, d_function): signs, gap and their cluster intervals."""
-    ci = lambda c: clustered_interval(rows, c.cast("double"), cluster)
+    drawn = draws(rows, cluster, 2000)
+    ci = lambda c: clustered_interval(rows, c.cast("double"), cluster, drawn=drawn)
     acc, value, above, gap = ci(F.col("d_class") > 0), ci(F.col("d_class")), ci(F.col("d_class") > F.col("d_function")), ci(F.col("d_class") - F.col("d_function"))
     checks = {
         "class_accuracy": acc["point"] >= MIN_ACCURACY, "class_accuracy_ci": acc["ci_low"] > CHANCE, "class_D_ci": value["ci_low"] > 0,
@@ -96,11 +96,12 @@ def causal_gate(rows: DataFrame, tau: float, cluster: str = "cluster_id") -> dic
     """Ten checks on paired effects: denoise, noise and their placebo and random controls, and gap."""
     least = max(0.10, 5 * tau)
     ci, checks = {}, {}
+    drawn = draws(rows, cluster, 2000)
     for d in ("denoise", "noise"):
-        ci[d] = clustered_interval(rows, F.col(d), cluster)
+        ci[d] = clustered_interval(rows, F.col(d), cluster, drawn=drawn)
         checks |= {f"{d}_threshold": ci[d]["point"] >= least, f"{d}_ci": ci[d]["ci_low"] > 0}
         for c in ("placebo", "random"):
-            ci[f"{d}_minus_{c}"] = clustered_interval(rows, F.col(d) - F.col(f"{d}_{c}"), cluster)
+            ci[f"{d}_minus_{c}"] = clustered_interval(rows, F.col(d) - F.col(f"{d}_{c}"), cluster, drawn=drawn)
             checks[f"{d}_{c}_ci"] = ci[f"{d}_minus_{c}"]["ci_low"] > 0
         share = rows.agg(F.avg(d) / F.avg("gap")).first()[0]
         ci[f"recovery_{d}"] = share
