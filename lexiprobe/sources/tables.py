@@ -22,8 +22,12 @@ def read_json_or_lines(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 
 def with_file_order(rows: DataFrame, name: str = "file_ord") -> DataFrame:
-    """Adds the row's place within its files' order: file, then place in the file (read once, in order)."""
-    return rows.withColumn(name, F.monotonically_increasing_id())
+    """Adds the row's place in its files' order: by file path, then by place in the file.
+
+    Line-based files are cut into pieces that are numbered in order, so a piece's number and the place in it order a file's rows.
+    """
+    place = F.struct(F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("piece"), F.monotonically_increasing_id().alias("at"))
+    return rows.withColumn(name, place)
 
 
 def with_source_row(rows: DataFrame, order: str = "file_ord") -> DataFrame:
@@ -44,7 +48,7 @@ def load_programs(spark: SparkSession, root: str, language: str, split: str, lim
 
 def project_repository(rows: DataFrame, body: bool = False, docstring: bool = False) -> DataFrame:
     """repo, path, code[, docstring], language of hub rows under either of their field names."""
-    pick = lambda *names: F.coalesce(*(F.col(n) for n in names if n in rows.columns))
+    pick = lambda *names: F.coalesce(*(F.col(n) for n in names if n in rows.columns), F.lit(None).cast("string"))
     code = pick("func_code_string", "code") if body else pick("whole_func_string", "original_string", "code")
     return rows.select(pick("repository_name", "repo").alias("repo"), pick("func_path_in_repository", "path").alias("path"), code.alias("code"), *([pick("func_documentation_string", "docstring").alias("docstring")] if docstring else []), F.col("language"))
 
@@ -93,3 +97,33 @@ def guarded_write(rows: DataFrame, old: DataFrame | None, path: str, key: list[s
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     """path, length, sha256 of files."""
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def read_synthetic(spark: SparkSession, path: str) -> DataFrame:
+    """example_id and code of a CSV in the order of its ids as numbers (0 where one is none); rows without code are left out."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = rows.withColumn("example_id", F.coalesce(F.expr("try_cast(example_id AS BIGINT)"), F.lit(0).cast("bigint")))
+    return rows.filter(F.coalesce(F.col("code"), F.lit("")) != "").select("example_id", "code").orderBy("example_id")
+
+
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def manifest_records(manifest: DataFrame, tensors: DataFrame, span: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(records, stats): manifest rows (activation_path, occurrence_type, ``span`` columns) with the vector of the tensor (name, vec) of their file.
+
+    Rows without a path or type are not usable. Of rows with one span the first stays, or none where their types differ;
+    rows whose file is missing are counted. occurrence_id is the file's name without its ending.
+    """
+    from lexiprobe.operators.occurrences import conflict_free
+
+    full = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    usable = manifest.filter(full("activation_path") & full("occurrence_type"))
+    groups = usable.groupBy(*span).agg(F.count(F.lit(1)).alias("k"), F.count_distinct("occurrence_type").alias("types"))
+    # null is a value of a span as any other: it is replaced for grouping only
+    kept = conflict_free(usable.withColumn("__span", F.to_json(F.struct(*span), {"ignoreNullFields": "false"})), ["__span"], "occurrence_type", order).drop("__span")
+    both = kept.withColumn("__name", base_name(F.col("activation_path"))).join(tensors.select(F.col("name").alias("__name"), "vec"), "__name", "left")
+    records = both.filter("vec IS NOT NULL").withColumn("occurrence_id", F.regexp_replace("__name", r"\.[^.]*$", "")).drop("__name")
+    n = groups.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("usable"), F.coalesce(F.sum(F.when(F.col("types") == 1, F.col("k") - 1)), F.lit(0)).alias("duplicates"), F.coalesce(F.sum(F.when(F.col("types") > 1, F.col("k"))), F.lit(0)).alias("conflicts"))
+    return records, n.crossJoin(both.agg(F.count_if(F.col("vec").isNull()).alias("missing"), F.count_if(F.col("vec").isNotNull()).alias("records")))
