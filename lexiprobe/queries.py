@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiprobe.functions import roles as R
 from lexiprobe.functions import text as X
 from lexiprobe.functions import vectors as V
 from lexiprobe.operators import bootstrap as B
@@ -38,10 +37,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from lexiprobe import result_queries  # noqa: F401 - adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -162,11 +164,11 @@ def contrast_near_far(spark, d):
 
 @query()
 def bca_interval(spark, d):
-    """Macro F1 by language group with a BCa interval over sources (tested against a plain version)."""
+    """Macro F1 by language group with a BCa interval over 10,000 draws of sources (tested against a plain version)."""
     p = predictions(spark, d).withColumn("near", F.col("lang").isin("en", "de"))
     sums = ["tn", "fp", "fn", "tp"]
     cells = M.confusion_by(p, ["cluster", "near"]).persist()
-    boot = B.replicates(cells, B.draws(cells, "cluster", 500), "cluster", sums, ["near"]).select("near", _f1().alias("stat"))
+    boot = B.replicates(cells, B.draws(cells, "cluster", 10_000), "cluster", sums, ["near"]).select("near", _f1().alias("stat"))
     jack = B.jackknife(cells, "cluster", sums, ["near"]).select("near", _f1().alias("stat"))
     whole = cells.groupBy("near").agg(*(F.sum(x).alias(x) for x in sums)).select("near", _f1().alias("stat"))
     return B.bca_interval(boot, jack, whole, ["near"])
@@ -190,10 +192,8 @@ def auc_rank(spark, d):
 FROM (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS v, count(*) AS n FROM lineitem GROUP BY 1, 2) QUALIFY count(*) OVER (PARTITION BY l_returnflag) > 1""")
 def leave_one_out(spark, d):
     """Mean quantity of a flag's lines without one status."""
-    rows = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("v"), F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("l_returnflag")
-    mean = (F.sum("v").over(w) - F.col("v")) / (F.sum("n").over(w) - F.col("n"))
-    return rows.select("l_returnflag", "l_linestatus", F.round(mean, 6).alias("rest_mean"), F.count(F.lit(1)).over(w).alias("k")).filter("k > 1").drop("k")
+    out = M.leave_one_out_means(table(spark, d, "lineitem"), ["l_returnflag"], ["l_linestatus"], "l_quantity")
+    return out.filter("rest_mean IS NOT NULL").withColumn("rest_mean", F.round("rest_mean", 6))
 
 
 @query("""WITH g AS (SELECT event_type, user_id, sum(value) AS s, count(*) AS n FROM events GROUP BY 1, 2)
@@ -313,8 +313,8 @@ def case_builder(spark, d):
     return O.cases(rows, ["conv_id"], "name", "function", "s")
 
 
-@query("""WITH r AS (SELECT doc_id, text, CASE WHEN text IS NULL OR text = '' THEN 'missing_code' WHEN lower(source) LIKE '%ipynb%' THEN 'notebook' WHEN regexp_matches(substr(text, 1, 8000), '(?i)auto-?generated|generated by|do not edit|@generated|machine generated') THEN 'generated'
- WHEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) < 2 THEN 'short' WHEN n_chars < 200 THEN 'few' END AS reason FROM documents),
+@query(r"""WITH r AS (SELECT doc_id, text, CASE WHEN text IS NULL OR text = '' THEN 'missing_code' WHEN lower(source) LIKE '%ipynb%' THEN 'notebook' WHEN regexp_matches(substr(text, 1, 8000), '(?i)auto[-_\s]?generated|do\s+not\s+(edit|modify)|this\s+file\s+was\s+generated|@generated\b|\bgenerated\s+by\b') THEN 'generated'
+ WHEN len(list_filter(regexp_split_to_array(text, '\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_matches(x, '[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]'))) < 2 THEN 'short' WHEN n_chars < 200 THEN 'few' END AS reason FROM documents),
 f AS (SELECT *, min(CASE WHEN reason IS NULL THEN doc_id END) OVER (PARTITION BY text) AS first FROM r)
 SELECT coalesce(CASE WHEN reason IS NULL AND doc_id > first THEN 'duplicate' ELSE reason END, 'kept') AS drop_reason, count(*) AS n FROM f GROUP BY 1""")
 def drop_reason_cascade(spark, d):
@@ -381,13 +381,13 @@ def exact_pair_pivot(spark, d):
     return J.pair_counts(table(spark, d, "events"), "user_id", "event_type", ["view", "click"])
 
 
-@query("""WITH e AS (SELECT o_orderkey, l FROM orders, (SELECT unnest([1, 2, 3]) AS l)), h AS (SELECT l_orderkey AS o_orderkey, l_linenumber AS l, count(*) AS n FROM lineitem GROUP BY 1, 2),
-b AS (SELECT e.o_orderkey AS w, h.n FROM e FULL JOIN h ON e.o_orderkey = h.o_orderkey AND e.l = h.l)
-SELECT count(w) AS expected, count(n) AS present, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (w IS NULL) AS extra, count(*) FILTER (n > 1) AS duplicates, 0::BIGINT AS non_finite FROM b""")
+@query("""WITH e AS (SELECT o_orderkey, l FROM orders, (SELECT unnest([1, 2, 3]) AS l)), h AS (SELECT l_orderkey AS o_orderkey, l_linenumber AS l, count(*) AS n, bool_or(l_quantity = 13 OR l_tax IS NULL) AS bad FROM lineitem GROUP BY 1, 2),
+b AS (SELECT e.o_orderkey AS w, h.n, h.bad FROM e FULL JOIN h ON e.o_orderkey = h.o_orderkey AND e.l = h.l)
+SELECT count(w) AS expected, count(n) AS present, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (w IS NULL) AS extra, count(*) FILTER (n > 1) AS duplicates, count(*) FILTER (bad) AS non_finite FROM b""")
 def completeness_report(spark, d):
-    """Lines 1 to 3 of every order against the lines there are."""
+    """Lines 1 to 3 of every order against the lines there are; the tax of a quantity of 13 stands for a value that is not finite."""
     want = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.explode(F.array(*(F.lit(i) for i in (1, 2, 3)))).alias("l"))
-    have = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"), F.col("l_tax").alias("x"))
+    have = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"), F.when(F.col("l_quantity") == 13, float("nan")).otherwise(F.col("l_tax")).alias("x"))
     return J.completeness(want, have, ["k", "l"], ["x"])
 
 
@@ -439,7 +439,10 @@ def overlap_coverage(spark, d):
 # --- text ----------------------------------------------------------------------------------------------
 
 
-@query(r"SELECT doc_id, substr(sha1(regexp_replace(trim(lower(text), ' '), '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 16) AS problem_id FROM documents")
+_BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(f"SELECT doc_id, substr(sha1(trim(regexp_replace(lower(text), '{_BLANKS}', ' ', 'g'), ' ')), 1, 16) AS problem_id FROM documents")
 def problem_id_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", X.problem_id(F.col("text")).alias("problem_id"))
 
@@ -460,11 +463,12 @@ def ablate_chars(spark, d):
     return table(spark, d, "documents").select("doc_id", X.ablate(t, ".,;:").alias("ablated"), F.length(t).cast("long").alias("n"))
 
 
-@query(r"""WITH g AS (SELECT unnest(regexp_extract_all(html, '[^a-zA-Z]{2}')) AS g FROM pages), t AS (SELECT g, trim(g, ' ') AS t FROM g)
-SELECT CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^[A-Za-z_]+$') THEN 'letters' WHEN regexp_matches(t, '^[0-9]+$') THEN 'digits' WHEN regexp_matches(t, '[()\[\]{}]') THEN 'bracket'
- WHEN regexp_matches(t, '[-=<>!+*/%&|]') THEN 'operator' WHEN regexp_matches(t, '[;:,.]') THEN 'separator' ELSE 'mixed' END AS class, count(*) AS n FROM t GROUP BY 1""")
+@query(r"""WITH g AS (SELECT unnest(regexp_extract_all(html, '[^a-zA-Z]{2}')) AS g FROM pages UNION ALL SELECT unnest(regexp_extract_all(html, '[a-z ]{4}')) FROM pages)
+SELECT CASE WHEN contains(g, ';') THEN 'terminator' WHEN regexp_matches(g, '[{}]') THEN 'brace' WHEN regexp_matches(g, '[\[\]]') THEN 'bracket' WHEN regexp_matches(g, '[()]') THEN 'paren' WHEN regexp_matches(g, '[+\-*/%<>=!&|]') THEN 'operator'
+ WHEN regexp_matches(g, '\b(for|while|in|range|let|var|const|foreach|do|if)\b') THEN 'keyword' WHEN regexp_full_match(g, '[A-Za-z_ ]+') THEN 'alpha' ELSE 'other' END AS class, count(*) AS n FROM g GROUP BY 1""")
 def ngram_class_counts(spark, d):
-    g = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("[^a-zA-Z]{2}"), F.lit(0))).alias("g"))
+    cut = lambda p: table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(p), F.lit(0))).alias("g"))
+    g = cut("[^a-zA-Z]{2}").unionByName(cut("[a-z ]{4}"))
     return g.groupBy(X.ngram_class(F.col("g")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -484,35 +488,6 @@ def regex_declarations(spark, d):
     return table(spark, d, "pages").select("page_id", names(r"\bvar\s+([A-Za-z_]\w*)\s*=").alias("vars"), names(r"([A-Za-z_]\w*)\(").alias("calls"))
 
 
-PROGRAMS = (
-    (1, "for (int i = 0; i < n; i++) { total += a[i]; ok = true; }"),
-    (2, "class Box { int[] slots; void put(int k, int v) { slots[k] = v; done = false; count++; items.add(v); } }"),
-    (3, "struct Node { int next; }; for (auto x : xs) { sum -= x; best[x] = sum; }"),
-    (4, "while (run) { run = false; flags |= mask[j]; list.push(j); --j; }"),
-    (5, ""),
-)
-
-
-def _programs_sql() -> str:
-    return "p(id, code) AS (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in PROGRAMS) + ")"
-
-
-_KW = "[" + ", ".join(f"'{w}'" for w in R.KEYWORDS["C++"]) + "]"
-
-
-def _names_sql(*patterns: str) -> str:
-    found = ", ".join(f"regexp_extract_all(code, '{p}', 1)" for p in patterns)
-    return f"list_sort(list_filter(list_distinct(flatten([{found}])), lambda x: x <> '' AND NOT list_contains({_KW}, x)))"
-
-
-@query(f"""WITH {_programs_sql()} SELECT id, {_names_sql(R.SUBSCRIPT)} AS index_key, {_names_sql(*R.ACCUMULATE)} AS accumulator, {_names_sql(R.FOR_INIT, R.FOR_EACH)} AS iterator,
- {_names_sql(R.BOOLEAN)} AS boolean, {_names_sql(R.CLASS)} AS class_struct FROM p""")
-def regex_roles(spark, d):
-    """Roles of small brace-language programs; both engines work them out."""
-    rows = spark.createDataFrame(list(PROGRAMS), "id int, code string").withColumn("r", R.pattern_roles(F.col("code"), "C++"))
-    return rows.select("id", *(F.col("r")[role].alias(role) for role in R.ROLES))
-
-
 @query(r"""WITH w AS (SELECT doc_id, ' ' || w || ' ' AS w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+')) AS w FROM documents) WHERE w <> ''),
 g AS (SELECT doc_id, substr(w, i::BIGINT, n::BIGINT) AS ngram FROM w, range(2, 5) a(n), range(1, greatest(2, length(w) - n + 2)) b(i) WHERE length(w) >= n OR n = 2)
 SELECT ngram, count(DISTINCT doc_id) AS df, count(*) AS tf FROM g GROUP BY ngram HAVING count(DISTINCT doc_id) >= 2""")
@@ -611,12 +586,12 @@ def strongest_layers(spark, d):
 # --- runs, stores --------------------------------------------------------------------------------------
 
 
-@query("""WITH b AS (SELECT event_type, event_id, greatest(60.0::DOUBLE, value) * 1.15::DOUBLE AS billed_s FROM events), u AS (SELECT *, billed_s / 3600.0::DOUBLE * 2.5::DOUBLE AS usd FROM b)
-SELECT event_type, event_id, round(billed_s, 4) AS billed_s, round(sum(usd) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) + 1e-7, 4) AS running_usd,
- sum(usd) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) > 50 AS over_budget FROM u""")
+@query("""WITH b AS (SELECT event_type, event_id, greatest(60.0::DOUBLE, value) * 1.15::DOUBLE AS billed_s FROM events), u AS (SELECT *, (billed_s / 3600.0::DOUBLE * 2.5::DOUBLE)::DECIMAL(28, 12) AS usd FROM b),
+r AS (SELECT event_type, event_id, billed_s, sum(usd) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS running FROM u)
+SELECT event_type, event_id, round(billed_s, 4) AS billed_s, round(running::DOUBLE, 6) AS running_usd, running > 50 AS over_budget FROM r""")
 def ledger_running_cost(spark, d):
     rows = O.cost_ledger(table(spark, d, "events").withColumn("rate", F.lit(2.5)), "event_type", "value", "rate", "event_id", 50.0)
-    return rows.select("event_type", "event_id", F.round("billed_s", 4).alias("billed_s"), F.round(F.col("running_usd") + 1e-7, 4).alias("running_usd"), "over_budget")
+    return rows.select("event_type", "event_id", F.round("billed_s", 4).alias("billed_s"), F.round(F.col("running_usd").cast("double"), 6).alias("running_usd"), "over_budget")
 
 
 @query("""WITH b AS (SELECT user_id, max(epoch(ts)) AS last_beat, arg_max(event_type = 'signup', (epoch(ts), event_id)) AS rel FROM events GROUP BY 1), n AS (SELECT max(last_beat) AS now FROM b)
@@ -647,49 +622,7 @@ def stream_append_dedup(spark, d):
     return spark.read.parquet(f"{base}/out")
 
 
-# --- programs and models (no SQL says them; tests hold them against plain versions) -----------------
-
-
-SNIPPETS = (
-    (1, "Python", "def scan(rows, done=False):\n    seen = []\n    ok = True\n    for row in rows:\n        if ok and not done:\n            seen.append(row)\n            ok = False\n    return ok\n"),
-    (2, "Python", "class Bag:\n    pass\n\ndef total(xs):\n    acc = 0\n    for i in xs:\n        acc += xs[i]\n    return acc\n"),
-    (3, "Java", "class A { boolean run(int n) { boolean go = true; while (go) { if (n > 3 && go) { go = false; } } return go; } }"),
-    (4, "Go", "func f(n int) bool {\n ok := true\n for ok {\n  ok = false\n }\n return ok\n}\n"),
-    (5, "Python", "def broken(:\n"),
-)
-
-
-def snippets(spark) -> DataFrame:
-    return spark.createDataFrame(list(SNIPPETS), "id int, language string, code string")
-
-
-@query()
-def ast_roles(spark, d):
-    rows = snippets(spark).filter("language = 'Python'").withColumn("r", R.python_roles_column("code"))
-    return rows.select("id", *(F.col("r")[role].alias(role) for role in R.ROLES))
-
-
-@query()
-def boolean_occurrences(spark, d):
-    from lexiprobe.functions.flags import occurrences
-
-    rows = snippets(spark).withColumn("o", F.explode(occurrences("code", "language"))).select("id", "code", "o.*")
-    return rows.filter(X.span_holds(F.col("code"), F.col("s"), F.col("e"), F.col("variable"))).drop("code")
-
-
-@query()
-def rename_programs(spark, d):
-    from lexiprobe.functions.rename import STRATEGIES, renamed
-
-    rows = snippets(spark).filter("language = 'Python'").crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in STRATEGIES], "strategy string")))
-    return rows.select("id", "strategy", renamed("code", "strategy", F.col("id"), F.col("language")).alias("code"))
-
-
-@query()
-def code_mask_statements(spark, d):
-    rows = table(spark, d, "pages").select("page_id", "html", F.expr("locate('var', html) - 1").alias("at")).filter("at >= 0")
-    rows = rows.withColumn("b", X.statement_span("html", "at"))
-    return rows.select("page_id", F.expr("substring(html, b.s + 1, b.e - b.s)").alias("statement"))
+# --- models (no SQL says them; tests hold them against plain versions) ------------------------------
 
 
 @query()
