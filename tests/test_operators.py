@@ -6,7 +6,7 @@ from statistics import mean
 import pytest
 from pyspark.sql import functions as F
 
-from lexiprobe.functions import flags, rename, roles
+from lexiprobe.functions import flags, rename, roles, sites
 from lexiprobe.functions import text as X
 from lexiprobe.functions import vectors as V
 from lexiprobe.operators import bootstrap as B
@@ -30,22 +30,47 @@ def one(spark, **cols):
 
 def test_tokens_to_source(spark):
     tokens = ["def", "f", "(", "x", ")", ":", "NEW_LINE", "INDENT", "return", "x", "NEW_LINE", "DEDENT", "DEDENT", "y", "=", "1"]
-    got = one(spark, a=X.join_tokens(F.array(*(F.lit(t) for t in tokens))), b=X.join_brace_tokens(F.array(*(F.lit(t) for t in "int f ( int x ) { x ++ ; }".split()))))
+    brace = lambda text, **k: X.join_brace_tokens(F.array(*(F.lit(t) for t in text.split(" "))), **k)
+    got = one(
+        spark, a=X.join_tokens(F.array(*(F.lit(t) for t in tokens))), b=brace("int f ( int x ) { x ++ ; a . b . c = 1 . 5 ; }"), c=brace("p - > q ; ( x ) = > y ; one NEW_LINE two"),
+        d=brace("< ? php $ a = A :: b ( $ c ) ; ? >", php=True),
+    )
     assert got["a"] == "def f ( x ) :\n    return x\ny = 1"
-    assert got["b"] == "int f(int x) {\nx++;\n}"
+    assert (got["b"], got["c"], got["d"]) == ("int f(int x) {x++; a.b.c = 1.5;}", "p -> q; (x) => y; one\ntwo", "<?php $a = A ::b($c); ?>")
+
+
+Q3 = '"' * 3
+# the reference's golden cases: code, target, the statement without blanks around
+BOUNDS = [
+    (f"def f():\n    msg = {Q3}say \\{Q3} and; more {{x}}{Q3}\n    ok = True\n", "ok = True", "ok = True"),
+    (f'def f():\n    msg = {Q3}say \\"{Q3}\n    ok = True\n', "ok = True", "ok = True"),
+    (f"def f():\n    m = {Q3}path C:\\\\{Q3}\n    ok = True\n", "ok = True", "ok = True"),
+    (f'def f():\n    m = {Q3}say "hi; there{Q3}\n    ok = True\n', "ok = True", "ok = True"),
+    (f"def f():\n    {Q3}Doc; with {{braces}}\n    more.{Q3}\n    ok = True\n", "ok = True", "ok = True"),
+    (f"class A{{void f(){{String s = {Q3}\n a; b {{c}}\n {Q3}; flag = true;}}}}", "flag = true", "flag = true;"),
+    ('x=1; s="a\\";b"; flag=true;', "flag", "flag=true;"),
+    ("int f(){for(int i=0;i<n;i++){t+=a[i];}}", "i<n", "for(int i=0;i<n;i++){"),
+    ("int f(){\n g(\n  a,\n  flag\n );\n}", "flag", "g(\n  a,\n  flag\n );"),
+    ("def f(x):\n    ok = True\n    return x\n", "ok = True", "ok = True"),
+    ("int f(){for(int i=0;i<n;i++){t+=a[i];}}", "t+=a[i]", "t+=a[i];"),
+    ("x = 1 // a; b\ny = 2", "1", "x = 1 // a; b"), ("plain", "plain", "plain"), ("q = `a;${b}`; r", "b", "q = `a;${b}`;"),
+]
 
 
-@pytest.mark.parametrize(
-    ("code", "target", "want"),
-    [
-        ('x = "a\\";b"; y = 1;', "a", ' x = "a\\";b"'.strip()), ("a = 1; b = f(x, y); c", "y", " b = f(x, y)"), ("for (int i = 0; i < n; i++) { go(); }", "i < n", "for (int i = 0; i < n; i++) "),
-        ("s = '''one\ntwo;'''\nt = 2", "two", "s = '''one\ntwo;'''"), ("f(a,\n  b)\nc", "b", "f(a,\n  b)"), ("x = 1 // a; b\ny = 2", "1", "x = 1 // a; b"), ("if (a) { b = 2; }", "b", " b = 2"),
-        ("plain", "plain", "plain"), ("q = `a;${b}`; r", "b", "q = `a;${b}`"),
-    ],
-)
+@pytest.mark.parametrize(("code", "target", "want"), BOUNDS)
 def test_statement_bounds(code, target, want):
-    s, e = X.statement_bounds(code, code.index(target))
-    assert code[s:e] == want
+    i = code.index(target)
+    s, e = X.statement_bounds(code, i, i + len(target))
+    assert code[s:e].strip() == want
+
+
+def test_marks_of_files(spark):
+    yes = ("# Auto Generated", "// do not modify", "THIS FILE WAS GENERATED", "auto_generated", "x @generated y", "code generated by hand")
+    no = ("machine generated", "regenerated bystander", "degenerated by", "x" * 8000 + "autogenerated")
+    rows = spark.createDataFrame([(t, t in yes) for t in yes + no], "t string, want boolean")
+    assert rows.filter(X.generated(F.col("t")) != F.col("want")).count() == 0
+    got = one(spark, a=X.notebook(F.lit("a/B.IPYNB"), F.lit("")), b=X.notebook(F.lit("a.py"), F.lit("IPython.core")), c=X.notebook(F.lit("a.py"), F.lit("import IPython")), n=X.full_lines(F.lit("a\r\n\t\n \u3000\nb\x0bc\n")), p=X.problem_id(F.lit("\n\tA\u00a0 b\n")), q=X.problem_id(F.lit("a b")))
+    assert (got["a"], got["b"], got["c"], got["n"]) == (True, True, False, 3) and got["p"] == got["q"]
 
 
 def test_masks_and_places(spark):
@@ -67,8 +92,17 @@ def test_word_ngrams_are_blind_to_blanks(spark):
 
 
 def test_slugs(spark):
-    got = one(spark, a=X.model_slug(F.lit("Org/Some-Model_1.5B")), b=X.language_slug(F.lit("C++")), c=X.language_slug(F.lit("C#")), d=X.safe_component(F.lit("a/b c")), e=X.ngram_class(F.lit(" (x")))
-    assert tuple(got) == ("somemodel15b", "cpp", "csharp", "a--b--c", "bracket")
+    got = one(spark, a=X.model_slug(F.lit("Org/Some-Model_1.5B")), b=X.language_slug(F.lit("C++")), c=X.language_slug(F.lit("C#")), d=X.safe_component(F.lit("a/b c")), e=X.ngram_class(F.lit(" (x")), f=X.ngram_class(F.lit("a=;")), g=X.ngram_class(F.lit(" for")), h=X.ngram_class(F.lit("9.1")), i=X.ablate_class(F.lit("a{(b)};"), "paren"))
+    assert tuple(got) == ("somemodel15b", "cpp", "csharp", "a--b--c", "paren", "terminator", "keyword", "other", "a{ b };")
+    with pytest.raises(ValueError):
+        X.ablate_class(F.lit("x"), "digits")
+
+
+def test_word_ngrams_by_different_words(spark):
+    rows = spark.createDataFrame([(1, "ab ab c"), (2, "ab"), (3, None), (4, "")], "k int, t string")
+    got = {(r["k"], r["ngram"]): r["c"] for r in X.ngram_rows(rows, "k", "t").collect()}
+    want = {(r["k"], r["g"]): r["count"] for r in rows.select("k", F.explode(X.word_ngrams(F.col("t"))).alias("g")).groupBy("k", "g").count().collect()}
+    assert got == want and got[1, " ab "] == 2
 
 
 # --- programs ------------------------------------------------------------------------------------
@@ -79,6 +113,15 @@ def test_python_roles():
     got = roles.python_roles(code)
     assert got == {"index_key": ["i"], "accumulator": ["n", "out"], "iterator": ["i"], "boolean": ["done"], "class_struct": ["K"]}
     assert not any(roles.python_roles("def (").values())
+    # a subscript is a name and nothing more; a nested or computed one is none
+    got = roles.python_roles("async def f():\n    async for z in y:\n        w += a[i + 1]\n    for v in b:\n        c += x[g(j)]\n        d[k] = e[0]\n        h = q.append(v)\n")
+    assert got == {"index_key": ["k"], "accumulator": ["c"], "iterator": ["v"], "boolean": [], "class_struct": []}
+
+
+@pytest.mark.parametrize("language", roles.PATTERN_LANGUAGES)
+def test_pattern_roles_alike_in_both_forms(spark, language):
+    code = "struct P { }; class Q {} for (int i = 0; i < n; ++i) { s += a[ i ]; v.push(x); ok = true; } for (const k of z) {} foreach ($rows as $x => $y) { $ t--; } for (auto w : u) { m[w]++; }"
+    assert one(spark, r=roles.pattern_roles(F.lit(code), language))["r"] == roles.brace_roles(code, language)
 
 
 def test_pattern_roles(spark):
@@ -89,30 +132,77 @@ def test_pattern_roles(spark):
     assert php["iterator"] == ["k", "v"] and php["accumulator"] == ["t"] and php["index_key"] == ["k"]
 
 
+# every hit's own sites: (name, line, occurrence, pattern)
 FLAG_CASES = [
-    ("Python", "def f(x):\n    ok = True\n    n = 1\n    if ok:\n        return ok\n", {("ok", "definition"), ("ok", "conditional_use"), ("ok", "return_use")}),
-    ("Python", "def f(a, b):\n    while not a:\n        a = b or a\n    return 1\n", {("a", "definition"), ("a", "loop_use"), ("a", "assignment"), ("a", "conditional_use"), ("b", "definition"), ("b", "conditional_use")}),
-    ("Python", "def f():\n    n = 0\n    return n\n", set()),
-    ("Java", "class A { void f() { boolean b = true; if (b) { g(); } String s = \"b = true\"; } }", {("b", "assignment"), ("b", "conditional_use")}),
-    ("Go", "func f() {\n ok := true\n for ok {\n  ok = false\n }\n}", {("ok", "assignment"), ("ok", "loop_use")}),
-    ("PHP", "<?php function f($x) { $on = TRUE; return 1; }", {("on", "assignment")}),
-    ("Javascript", "function f() { let n = 1; let on = false; while (on) { on = true; } }", {("on", "assignment"), ("on", "loop_use")}),
-    ("C++", "int f(int a) { bool t = false; return t ? a : 0; }", {("t", "assignment"), ("t", "return_use")}),
-    ("Ruby", "def f\n  on = true\n  if on\n    return on\n  end\nend\n", {("on", "assignment"), ("on", "conditional_use"), ("on", "return_use")}),
+    ("Python", "def f(x):\n    ok = True\n    n = 1\n    if ok:\n        return ok\n    return n\n", [("ok", 2, "assignment", "assign_bool_literal"), ("ok", 4, "conditional_use", "if_test"), ("ok", 5, "return_use", "return_bool"), ("n", 6, "return_use", "return_bool")]),
+    ("Python", "def f(a, b):\n    while not a:\n        a = b or a\n    return 1\n", [("a", 2, "loop_use", "while_test"), ("a", 3, "assignment", "assign_boolop_lhs"), ("a", 3, "conditional_use", "assign_boolop_rhs"), ("b", 3, "conditional_use", "assign_boolop_rhs")]),
+    ("Python", "def f(n):\n    i = 0\n    if n == 0:\n        i = 1\n    x = 0.0\n", []),
+    ("Python", "def f(ok, a):\n    if True is ok:\n        pass\n    elif a[ok]:\n        pass\n    c: bool = False\n    d = not c\n    return 1 if d else 2\n", [("ok", 2, "conditional_use", "if_test"), ("c", 6, "definition", "annassign_bool_literal"), ("c", 7, "conditional_use", "assign_not_name_inner"), ("d", 7, "assignment", "assign_not_name"), ("d", 8, "conditional_use", "if_exp_test"), ("d", 8, "return_use", "return_bool")]),
+    ("Python", "def f():\n    def g():\n        inner = True\n    x, y = a = False, 1\n    (p, *q) = r = True\n", [("p", 5, "assignment", "assign_bool_literal"), ("q", 5, "assignment", "assign_bool_literal"), ("r", 5, "assignment", "assign_bool_literal")]),
+    ("Java", 'class A { void f() {\n boolean b = true;\n if (b) { g(); }\n String s = "b = true";\n if (b[0] && c.d) {}\n} }', [("b", 2, "assignment", "assign_bool_literal"), ("b", 3, "conditional_use", "if_test")]),
+    ("Go", "func f() {\n ok := true\n for ok {\n  ok = false\n }\n if x := g(); !ok {\n }\n}", [("ok", 2, "assignment", "assign_bool_literal"), ("ok", 3, "loop_use", "while_test"), ("ok", 4, "assignment", "assign_bool_literal"), ("ok", 6, "conditional_use", "if_test")]),
+    ("PHP", "<?php function f($x) {\n $on = TRUE;\n if ($on == false || $x) { return 1; }\n}", [("on", 2, "assignment", "assign_bool_literal"), ("on", 3, "conditional_use", "if_test"), ("x", 3, "conditional_use", "if_test")]),
+    ("Javascript", "function f() { let n = 1;\n let on = false;\n while (on) { on = true; }\n}", [("on", 2, "assignment", "assign_bool_literal"), ("on", 3, "loop_use", "while_test"), ("on", 3, "assignment", "assign_bool_literal")]),
+    ("C++", "int f(int a) {\n bool t = false; t += 1;\n return t ? a : 0;\n}", [("t", 2, "assignment", "assign_bool_literal"), ("t", 3, "conditional_use", "if_exp_test"), ("t", 3, "return_use", "return_bool")]),
+    ("Ruby", "def f\n  on = true\n  if on\n    return on\n  end\n  return on + 1\nend\n", [("on", 2, "assignment", "assign_bool_literal"), ("on", 3, "conditional_use", "if_test"), ("on", 4, "return_use", "return_bool")]),
 ]
 
 
 @pytest.mark.parametrize(("language", "code", "want"), FLAG_CASES)
 def test_flag_occurrences(language, code, want):
-    rows = flags.python_occurrences(code) if language == "Python" else flags.lexed_occurrences(code, language)
-    assert {(r[1], r[2]) for r in rows} == want
-    assert all(code[r[6] : r[7]].lstrip("$") == r[1] for r in rows)
+    rows = flags.occurrence_rows(code, language)
+    assert sorted((r["variable"], r["line"], r["occurrence_type"], r["detection_pattern"]) for r in rows) == sorted(want)
+    assert all(code[r["s"] : r["e"]].lstrip("$") == r["variable"] for r in rows)
+
+
+# the reference's cases of what a boolean literal is: names found, returns aside
+LITERALS = [
+    ("def f():\n    ok = True\n    return ok\n", {"ok"}), ("def f():\n    ok = False\n    return ok\n", {"ok"}), ("def f():\n    i = 0\n    return i\n", set()), ("def f():\n    x = 0.0\n    return x\n", set()),
+    ("def f(a, b):\n    c = a and b\n    return c\n", {"a", "b", "c"}), ("def f(a):\n    c = not a\n    return c\n", {"a", "c"}), ("def f(ok):\n    if ok == True:\n        return 1\n    return 0\n", {"ok"}),
+    ("def f(n):\n    if n == 0:\n        return 1\n    return 0\n", set()), ("def f(n):\n    if n == 1:\n        return 1\n    return 0\n", set()),
+]
+
+
+@pytest.mark.parametrize(("code", "want"), LITERALS)
+def test_only_true_and_false_are_literals(code, want):
+    assert {r["variable"] for r in flags.occurrence_rows(code, "Python") if r["detection_pattern"] != "return_bool"} == want
+
+
+def test_flag_labels_and_errors():
+    rows, error = flags.python_labels("def f(b):\n    x = 1\n    if b:\n        a = True\n    a = not b\n")
+    assert error is None and [tuple(r.values()) for r in rows] == [("f", "a", 4, "a = True"), ("f", "b", 3, "b")]
+    assert flags.python_labels("x = 1")[1] == flags.NO_FUNCTION and "line 1" in flags.python_labels("def (")[1]
 
 
 def test_spans_are_characters():
     code = "def f(é):\n    é = True\n    return é\n"
-    rows = flags.python_occurrences(code)
-    assert rows and all(code[r[6] : r[7]] == "é" for r in rows)
+    rows = flags.occurrence_rows(code, "Python")
+    assert rows and all(code[r["s"] : r["e"]] == "é" for r in rows)
+
+
+def test_role_sites_by_scope():
+    code = "def f(a):\n    for i in a:\n        s += i\n    x[k] = i\n\ndef g(i):\n    i = True\n    k = 's i'  # i\n"
+    got = [(r["role"], r["variable"], r["line"], r["function"]) for r in sites.role_sites(code, "Python")]
+    assert got == [("iterator", "i", 2, "f"), ("accumulator", "s", 3, "f"), ("iterator", "i", 3, "f"), ("index_key", "k", 4, "f"), ("iterator", "i", 4, "f"), ("boolean", "i", 6, "g"), ("boolean", "i", 7, "g")]
+    twice = "class A {\n void f() { for (int i = 0; i < 3; i++) { t += 1; } for (int i = 0; i < 4; i++) {} }\n void g() { for (int j : xs) { t += j; } }\n}"
+    assert {(r["variable"], r["function"]) for r in sites.role_sites(twice, "Java")} == {("A", None), ("t", "f"), ("t", "g"), ("j", "g")}
+    several = "for x in y:\n    x += 1\n    z[x] = True\n"
+    assert sites.role_sites(several, "Python") == [] and {r["role"] for r in sites.role_sites(several, "Python", drop_shared=False)} == {"iterator", "index_key"}
+    assert sites.role_sites(None, "Java") == [] and sites.role_sites("def f(", "Python") == []
+
+
+def test_function_records_and_places():
+    code = "def f(a):\n    a += 1\n    while a:\n        b: int = a if a else 0\n    return a[0]\n\nasync def g():\n    async for q in w:\n        pass\n"
+    (f, g), error = sites.function_records(code)
+    assert error is None and [n["kind"] for n in f["nodes"]] == ["function_def", "aug_assign", "while_loop", "ann_assign", "if_exp", "return", "subscript"]
+    assert [(a["kind"], a["op"], a["targets"]) for a in f["assignments"]] == [("aug_assign", "Add", ["a"]), ("ann_assign", None, ["b"])] and [x["kind"] for x in g["loops"]] == ["async_for"]
+    places = sites.places_in_function(code, "f", "a")
+    assert (places[0], len(places)) == ({"line": 1, "col": 6, "ctx": "arg"}, 6) and sites.places_in_function(code, "h", "a") is None and sites.places_in_function("(", "f", "a") is None
+
+
+def test_constants_follow_branches():
+    code = "ok = True\nif ok:\n    ok = False\n    print(ok)\nelse:\n    print(ok)\nprint(ok)\ndef f():\n    print(ok)\n"
+    assert [(code.count("\n", 0, s) + 1, v) for s, _, v in sites.constant_uses(code)] == [(2, 1), (4, 0), (6, 1), (7, 1)]
 
 
 def test_unsupported_languages():
@@ -230,9 +320,31 @@ def test_bca_bounds():
     x = [rng.gauss(1, 1) for _ in range(60)]
     boot = [mean(rng.choices(x, k=60)) for _ in range(1500)]
     jack = [(sum(x) - v) / 59 for v in x]
-    lo, hi = B.bca_bounds(mean(x), boot, jack)
+    lo, hi = B.bca_bounds(mean(x), boot, B.acceleration(jack))
     assert lo < mean(x) < hi and 0.3 < hi - lo < 0.8
-    assert B.bca_bounds(1.0, [1.0], [1.0])[0] != B.bca_bounds(1.0, [1.0], [1.0])[0]
+    assert B.bca_bounds(1.0, [1.0], 0.0)[0] != B.bca_bounds(1.0, [1.0], 0.0)[0]
+    assert B.bca_bounds(9.0, [1.0, 2.0, 3.0], 0.0) == (3.0, 3.0)  # all below: both places are clipped to the end
+
+
+def test_bca_interval_against_a_plain_version(spark):
+    """Cells of sums, draws and leave-one-out values in plain Python, to the same bounds."""
+    rng = random.Random(2)
+    cells = [(g, f"c{i:02d}", rng.randint(1, 9), rng.randint(1, 9)) for g in ("x", "y") for i in range(12)] + [("z", "c00", 1, 2)]
+    df = spark.createDataFrame(cells, "g string, cluster string, a long, b long")
+    drawn = B.draws(df, "cluster", 300)
+    stat = F.try_divide(F.col("a").cast("double"), F.col("b").cast("double")).alias("stat")
+    whole = df.groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("g", stat)
+    out = {r["g"]: r for r in B.bca_interval(B.replicates(df, drawn, "cluster", ["a", "b"], ["g"]).select("g", stat), B.jackknife(df, "cluster", ["a", "b"], ["g"]).select("g", stat), whole, ["g"]).collect()}
+    times = {}
+    for r in drawn.collect():
+        times.setdefault(r["replicate"], {})[r["cluster"]] = r["times"]
+    for g in ("x", "y"):
+        own = [(c, a, b) for k, c, a, b in cells if k == g]
+        ratio = lambda rows: sum(a for _, a, _ in rows) / sum(b for _, _, b in rows)
+        boot = [ratio([(c, a * t[c], b * t[c]) for c, a, b in own if c in t]) for t in times.values()]
+        want = B.bca_bounds(ratio(own), boot, B.acceleration([ratio([r for r in own if r[0] != c]) for c, _, _ in own]))
+        assert (out[g]["lo"], out[g]["hi"]) == pytest.approx(want) and out[g]["observed"] == pytest.approx(ratio(own))
+    assert out["z"]["lo"] != out["z"]["lo"]
 
 
 def test_vectors(spark):
@@ -248,6 +360,22 @@ def test_auc_counts_ties_half(spark):
     assert M.auc(rows, ["g"], "s", "y").first()["auc"] == pytest.approx(3.5 / 4)
 
 
+def test_running_sums_and_ranks(spark):
+    """Groups over several range partitions, null groups, and decimals, against plain Python."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None, "c"]), i, rng.randint(0, 5), round(rng.random(), 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, i int, v int, x double").repartition(7)
+    got = {r["i"]: (r["n"], r["m"]) for r in S.running(S.running(df, ["g"], [F.col("i")], F.lit(1), "n"), ["g"], [F.col("i")], F.col("x").cast("decimal(20,3)"), "m").collect()}
+    for g, i, _, _ in rows:
+        before = [r for r in rows if r[0] == g and r[1] < i]
+        assert got[i][0] == len(before) and abs(float(got[i][1]) - sum(r[3] for r in before)) < 1e-9
+    ranks = {r["i"]: r["r"] for r in M.average_ranks(df, ["g"], "v", "r").collect()}
+    for g, i, v, _ in rows:
+        own = [r[2] for r in rows if r[0] == g]
+        assert ranks[i] == sum(x < v for x in own) + (own.count(v) + 1) / 2
+    assert S.running(df.limit(0), ["g"], [F.col("i")], F.lit(1), "n").count() == 0
+
+
 # --- plans, stores, sources ------------------------------------------------------------------------
 
 
@@ -329,7 +457,8 @@ def test_sources(spark, tmp_path):
     acts = spark.createDataFrame([("o", "p", "l", "v", "f", i, [1.0]) for i in range(3)], T.ACTIVATION)
     T.write_activations(acts, str(tmp_path / "acts"))
     assert T.read_activations(spark, str(tmp_path / "acts"), [1]).count() == 1
-    assert T.with_source_row(T.with_file_order(acts)).agg(F.max("source_row")).first()[0] == 3
+    ordered = T.with_source_row(T.with_file_order(spark.read.schema("x int").json([str(tmp_path / "b.json"), str(tmp_path / "c.json")]) if (tmp_path / "c.json").write_text('{"x": 9}\n{"x": 8}\n') else None))
+    assert [r["x"] for r in ordered.orderBy("source_row").collect()] == [1, 2, 3, 9, 8]
     assert len(T.file_checksums(spark, str(tmp_path / "*.json")).first()["sha256"]) == 64
 
 
