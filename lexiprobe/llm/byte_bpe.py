@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiprobe.llm import kernels as K
-from lexiprobe.llm.shared import deal, text_bytes
+from lexiprobe.llm.shared import deal, small_batches, text_bytes
 
 _MOVED = "to long, kind int, blk long, payload binary"
 
@@ -126,6 +126,7 @@ def _split_words(pattern: str, buckets: int, block_chars: int):
                         ids, docs, chars, nth = [], [], 0, nth + 1
                         number.clear()
                         chunks.clear()
+                        K.release()
         if ids:
             yield from flush()
 
@@ -196,6 +197,8 @@ def _assemble(table: pa.Table) -> pa.Table:
         tokens = flat[_spread(at[own], many[own])] if n else np.zeros(0, np.uint32)
         out.append(tokens.astype("<u4").tobytes())
         n_tokens.append(len(tokens))
+    seq = flat = at = many = None
+    K.release()
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(out, pa.binary())})
 
 
@@ -209,6 +212,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str | None = N
     default_path, default_pattern = default_vocabulary() if path is None or pattern is None else (path, pattern)
     path, pattern = path or default_path, pattern or default_pattern
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     each, n = (0, 0) if block_chars and buckets else deal(text_bytes(docs))
     moved = docs.mapInArrow(_split_words(pattern, buckets or n, block_chars or each), _MOVED).repartition("to").sortWithinPartitions("to")
     back = moved.mapInArrow(_encode_words(path, pattern), _MOVED)

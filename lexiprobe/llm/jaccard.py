@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexiprobe.llm import kernels as K
 from lexiprobe.llm.components import connected_components
-from lexiprobe.llm.shared import cut, deal, spread_join, text_bytes
+from lexiprobe.llm.shared import cut, deal, small_batches, spread_join, text_bytes
 
 #: Sets of a trie, and classes of either side of a chunk of a group.
 CHUNK, MEMBERS = 512, 512
@@ -85,6 +85,7 @@ def _entries(k: int, buckets: int):
             if e > s:
                 to.append(b)
                 payload.append(K.pack_all(K.pack(np.diff(shingles[s:e] >> _FOLD, prepend=np.uint64(0))), K.pack(counts[s:e])))
+        K.release()
         return pa.table({"to": pa.array(to, pa.int64()), "blk": pa.array([blk] * len(to), pa.int64()), "payload": pa.array(payload, pa.binary())})
 
     return run
@@ -133,6 +134,7 @@ def _ordered(k: int, percent: int):
             if once < n - (-(-percent * n // 100)) + 1:
                 first[-1] = once
                 grams[-1] = s[np.lexsort((s, c))].astype("<u8").tobytes()
+        K.release()
         return pa.table({
             "doc_id": rows.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int32()), "digest": pa.array(digests, pa.binary()),
             "first": pa.array(first, pa.int32()), "grams": pa.array(grams, pa.binary()),
@@ -398,6 +400,7 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
 def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, blocks: int | None, buckets: int | None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, digest, ...) and the sets of the classes that may link (key, n, first, grams)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     dealt = deal(text_bytes(docs))[1] if not (blocks and buckets) else 0
     n_blocks, n_buckets = blocks or dealt, buckets or dealt
     rows = docs.withColumn("blk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)))

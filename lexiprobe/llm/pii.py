@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiprobe.llm import kernels as K
-from lexiprobe.llm.shared import cut
+from lexiprobe.llm.shared import cut, small_batches
 
 #: Kinds in the order in which spans of one start are listed. Fixed values of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -188,6 +188,7 @@ def find_pii(
     ignored whatever their names. Equal entities in many documents count once as seeds.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     rows = cut(docs.mapInArrow(_scan, _SCHEMA))
     seen = rows.select("rid", F.explode("seen").alias("s")).select("rid", "s.*").filter("pattern IS NOT NULL")  # not within a token
     edges = seen.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))

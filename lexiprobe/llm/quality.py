@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from lexiprobe.llm import kernels as K
 from lexiprobe.llm.labelled import held_out, labelled_sample
-from lexiprobe.llm.shared import cut
+from lexiprobe.llm.shared import cut, small_batches
 
 #: Labelled rows of each class that are learned from, at most.
 PER_CLASS = 8_000
@@ -182,6 +182,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host, path, label: str = "
     look like; null or repeated ids are judged alone; an empty table gives no rows; clashing column
     names do no harm, as inputs are wrapped before anything is added.
     """
+    small_batches(docs.sparkSession)
     row = docs.select(F.struct("*").alias("__row"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = fit_quality(row.select("doc_id", "text"), labels, label, per_class)
     evidence = evidence_of(model)

@@ -12,6 +12,8 @@ WHITE = r"[\x20\x09-\x0D]+"
 #: Text of a block and of a bucket: UNIT bytes, and more where a block's row to a bucket would stand for less
 #: than ROW_BYTES of text, up to TOP (about 2 GB of a Python worker's memory).
 UNIT, TOP, ROW_BYTES = 8 << 20, 256 << 20, 32 << 10
+#: Bytes of a batch of rows between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
 #: A key of more than a HOT-th of all rows is hot, so that there are fewer than HOT of them.
 HOT = 10_000
 
@@ -39,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers BATCH_BYTES at a time, however long their texts are; a size that the session names itself stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") in ("67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """The bytes of a column's texts, and a few for each row, counted."""
     return int(df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16)).first()[0] or 0)

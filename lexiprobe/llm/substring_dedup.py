@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiprobe.llm import kernels as K
-from lexiprobe.llm.shared import WHITE, cut, deal, spread_join, text_bytes
+from lexiprobe.llm.shared import WHITE, cut, deal, small_batches, spread_join, text_bytes
 
 #: Bytes of text that a window stands for, about, in the size of a block.
 WINDOW_BYTES = 6
@@ -117,6 +117,7 @@ def _edges(k: int, buckets: int, block_windows: int, bits: int):
                 if held >= block_windows:
                     yield from flush()
                     parts.clear()
+                    K.release()
                     nth, held = nth + 1, 0
         if parts:
             yield from flush()
@@ -154,6 +155,8 @@ def _firsts(table: pa.Table) -> pa.Table:
                 x, y = x[z := np.lexsort((start[x], doc[x]))], y[z]
                 out_blk.append(blks[i])
                 out_payload.append(_pack_found(doc[x], start[x], doc[y], start[y]))
+    blks = edge = doc = start = of = order = first = a = b = None
+    K.release()
     return pa.table({"blk": pa.array(out_blk, pa.int64()), "payload": pa.array(out_payload, pa.binary())})
 
 
@@ -185,6 +188,7 @@ def repeated_paths(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_co
     count; fewer than 64 make collisions likely.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     each, n = (0, 0) if block_windows and buckets else deal(text_bytes(docs))
     found = docs.mapInArrow(_edges(k, buckets or n, block_windows or each // WINDOW_BYTES, bits), _MOVED).groupBy("to").applyInArrow(_firsts, "blk long, payload binary")
     paths = found.groupBy("blk").applyInArrow(_compact, _PATHS)

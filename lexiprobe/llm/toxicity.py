@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiprobe.llm.labelled import held_out, labelled_sample
+from lexiprobe.llm.shared import small_batches
 
 #: Labelled rows of each class that are learned from, at most.
 PER_CLASS = 8_000
@@ -353,6 +354,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
     whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     model = fit_toxicity(docs, labels, label, per_class)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     out = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>")
