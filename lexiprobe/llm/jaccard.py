@@ -33,7 +33,7 @@ from lexiprobe.llm.components import connected_components
 from lexiprobe.llm.shared import cut, deal, small_batches, spread_join, text_bytes
 
 #: Sets of a trie, and classes of either side of a chunk of a group.
-CHUNK, MEMBERS = 512, 512
+CHUNK, MEMBERS = 512, 2_048
 #: Bits of a set's parities: about twice its size, within these bounds.
 LEAST_BITS, MOST_BITS = 256, 4_096
 _FOLD = np.uint64(24)  # occurrences are counted by a hash's upper 40 bits: any function of the shingle gives a valid order
@@ -252,7 +252,7 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
-_MEET = ["token", "x", "y", "side", "key", "label", "main", "n", "pos", "sig"]
+_MEET = ["token", "x", "y", "side", "key", "label", "inner", "n", "pos", "sig"]
 
 
 def _pairs_of(part: dict, percent: int, one: bool) -> tuple[list, list]:
@@ -261,9 +261,9 @@ def _pairs_of(part: dict, percent: int, one: bool) -> tuple[list, list]:
     label = {}
     labels = np.array([label.setdefault(x, len(label)) for x in part["label"]])
     side, n, pos = np.array(part["side"]), np.array(part["n"]), np.array(part["pos"])
-    main = label.get(part["main"][0], -1)
+    inner = np.array(part["inner"])  # of the group's main component
     left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if (side == 1).any() else left[labels[left] != main]
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left[~inner[left]]
     widths = np.array([len(s) for s in part["sig"]])
     packed: dict = {}
     place = np.zeros(len(widths), np.int64)
@@ -281,7 +281,7 @@ def _pairs_of(part: dict, percent: int, one: bool) -> tuple[list, list]:
         # the pair's first shared shingle must leave room for the overlap needed; a pair of two outside the main component is met once
         room = np.minimum((n - pos)[y][:, None], (n - pos)[left])
         ok = (labels[y][:, None] != labels[left]) & ((100 + percent) * room >= percent * (n[y][:, None] + n[left]))
-        ok &= (labels[left] == main) | (rank[y][:, None] > rank[left])
+        ok &= inner[left] | (rank[y][:, None] > rank[left])
         i, j = np.nonzero(ok)
         i, j = y[i], left[j]
         bound = np.zeros(len(i), np.int64)
@@ -346,10 +346,11 @@ def _candidates(members: DataFrame, sigs: DataFrame, labels: DataFrame | None, p
     # without components nothing may be left out of the right side
     main = F.lit(b"") if labels is None else F.col("main")
     sizes = groups.select("token", main.alias("main"), "nx", F.ceil(F.col("nx") / MEMBERS).cast("int").alias("cx"), F.ceil((F.col("nx") if labels is None else F.col("nx") - F.col("nm")) / MEMBERS).cast("int").alias("cy"))
-    rows = cut(spread_join(rows, cut(sizes), "token", "nx", total)).join(sigs, "key")
+    rows = spread_join(rows, cut(sizes), "token", "nx", total).select("token", "key", "n", "pos", "label", (F.col("label") == F.col("main")).alias("inner"), "cx", "cy")
+    rows = cut(rows).join(sigs, "key")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     x = rows.withColumn("x", F.pmod(F.xxhash64("key"), F.col("cx")).cast("int")).withColumn("y", every("cy")).withColumn("side", F.lit(0)).select(*_MEET)
-    y = rows.filter((F.col("label") != F.col("main")) & (F.col("cx") > 1))
+    y = rows.filter(~F.col("inner") & (F.col("cx") > 1))
     y = y.withColumn("y", F.pmod(F.xxhash64("key", F.lit(1)), F.col("cy")).cast("int")).withColumn("x", every("cx")).withColumn("side", F.lit(1)).select(*_MEET)
     return x.unionByName(y).repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_meet(percent, one), "a binary, b binary")
 
