@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexiprobe.llm import kernels as K
 from lexiprobe.llm.components import connected_components
-from lexiprobe.llm.shared import cut, deal, small_batches, spread_join, text_bytes
+from lexiprobe.llm.shared import cut, deal, fewer, small_batches, spread_join, text_bytes
 
 #: Sets of a trie, and classes of either side of a chunk of a group.
 CHUNK, MEMBERS = 512, 2_048
@@ -220,8 +220,10 @@ def _walk(percent: int):
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) among ``pairs`` (a, b) of keys of ``sets`` (key, n, grams)."""
     pairs = cut(pairs.distinct())
+    n = pairs.count()
+    pairs = fewer(pairs, n)
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int"))
-    pairs = spread_join(pairs, sizes, "a", "c", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b")
+    pairs = spread_join(pairs, sizes, "a", "c", n).select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b")
     rows = pairs.join(sets.select(F.col("key").alias("b"), "grams"), "b").select("a", "chunk", "b", "grams")
     probes = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("binary").alias("b"))
     probes = probes.join(sets.select(F.col("key").alias("a"), "grams"), "a").select("a", "chunk", "b", "grams")

@@ -41,6 +41,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fewer(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df``, which has about ``rows`` rows, in no more partitions than one for ``each`` of them: small rounds leave few files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Rows go to Python workers BATCH_BYTES at a time, however long their texts are; a size that the session names itself stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
