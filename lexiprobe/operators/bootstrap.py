@@ -82,7 +82,7 @@ def accelerations(jack: DataFrame, by: list[str]) -> DataFrame:
 
 
 def bca_interval(boot: DataFrame, jack: DataFrame, observed: DataFrame, by: list[str]) -> DataFrame:
-    """by, observed, lo, hi from (by, stat) of replicates, of leave-one-out clusters and of all rows; NaN under two clusters.
+    """by, observed, lo, hi from (by, stat) of replicates, of leave-one-out clusters and of all rows; null bounds under two clusters.
 
     Clusters are summed where they are; a group's replicates, whose number is chosen, meet in one task.
     """

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiprobe.operators import bootstrap as B
-from lexiprobe.operators.joins import Refused
+from lexiprobe.operators.joins import Refused, small_side
 from lexiprobe.operators.metrics import macro_f1_binary, spearman
 
 SUMS = ["tn", "fp", "fn", "tp"]
@@ -136,14 +136,24 @@ CONTRASTS = {
 }
 
 
-def contrasts(cells: DataFrame, drawn: DataFrame, cluster: str, condition: str, group: str, cell: list[str], estimands: dict = CONTRASTS) -> DataFrame:
-    """estimand, estimate, lo, hi, n_boot: signed sums of group means of the cells' macro F1, all cells on the same draws."""
+def contrasts(cells: DataFrame, drawn: DataFrame, cluster: str, condition: str, group: str, cell: list[str], estimands: dict = CONTRASTS, absent_is_zero: bool = True) -> DataFrame:
+    """estimand, estimate, lo, hi, n_boot: signed sums of group means of the cells' macro F1, all cells on the same draws.
+
+    A cell of which a replicate has drawn nothing has a macro F1 of 0 there; or, with ``absent_is_zero`` off, no part in
+    the mean, and replicates that lack a whole group are left out.
+    """
     keys = [condition, group, *cell]
     boot = B.replicates(cells, drawn, cluster, SUMS, keys)
     all_ = cells.groupBy(*keys).agg(*(F.sum(x).alias(x) for x in SUMS)).withColumn("replicate", F.lit(-1).cast("long"))
-    each = boot.unionByName(all_).withColumn("f", _f1()).groupBy("replicate", condition, group).agg(F.avg("f").alias("f"))
+    each = boot.unionByName(all_).withColumn("f", _f1()).groupBy("replicate", condition, group)
+    if absent_is_zero:
+        # a row a condition and group
+        many = all_.groupBy(F.col(condition).alias("__c"), F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+        each = each.agg(F.sum("f").alias("f")).join(small_side(many), (F.col(condition) == F.col("__c")) & (F.col(group) == F.col("__g"))).withColumn("f", F.col("f") / F.col("__n"))
+    else:
+        each = each.agg(F.avg("f").alias("f"))
     need = sorted({(c, g) for terms in estimands.values() for c, g, _ in terms})
-    wide = each.groupBy("replicate").agg(*(F.max(F.when((F.col(condition) == c) & (F.col(group) == g), F.col("f"))).alias(f"{c}/{g}") for c, g in need))
+    wide = each.groupBy("replicate").agg(*(F.coalesce(F.max(F.when((F.col(condition) == c) & (F.col(group) == g), F.col("f"))), F.lit(0.0 if absent_is_zero else None).cast("double")).alias(f"{c}/{g}") for c, g in need))
     value = {name: reduce(lambda a, b: a + b, (F.col(f"`{c}/{g}`") * float(sign) for c, g, sign in terms)) for name, terms in estimands.items()}
     long = wide.select("replicate", F.explode(F.array(*(F.struct(F.lit(n).alias("estimand"), v.alias("v")) for n, v in value.items()))).alias("e")).select("replicate", "e.*")
     resampled = F.when(F.col("replicate") >= 0, F.col("v"))

@@ -510,7 +510,8 @@ _TERMS = " UNION ALL ".join(f"SELECT '{name}' AS estimand, '{c}' AS condition, '
 
 
 @query(f"""WITH {_PRED}, {_CONDITIONS}, {_draws_sql("p", 100)}, terms AS ({_TERMS}),
-r AS (SELECT b, condition, side, avg({_F1}) AS f FROM (SELECT b, condition, side, lang, {_WEIGHTED} FROM c JOIN k USING (cluster) JOIN w USING (k) GROUP BY ALL) GROUP BY ALL),
+nc AS (SELECT condition, side, count(DISTINCT lang) AS nc FROM c GROUP BY ALL),
+r AS (SELECT b, condition, side, sum({_F1}) / any_value(nc) AS f FROM (SELECT b, condition, side, lang, {_WEIGHTED} FROM c JOIN k USING (cluster) JOIN w USING (k) GROUP BY ALL) JOIN nc USING (condition, side) GROUP BY b, condition, side),
 o AS (SELECT condition, side, avg({_F1}) AS f FROM (SELECT condition, side, lang, {_SUMMED} FROM c GROUP BY ALL) GROUP BY ALL),
 e AS (SELECT estimand, b, sum(sign * f) AS v FROM r JOIN terms USING (condition, side) GROUP BY ALL), x AS (SELECT estimand, sum(sign * f) AS v FROM o JOIN terms USING (condition, side) GROUP BY ALL)
 SELECT e.estimand, round(any_value(x.v), 9) AS estimate, round(quantile_cont(e.v, 0.025), 9) AS lo, round(quantile_cont(e.v, 0.975), 9) AS hi, count(*) AS n_boot FROM e JOIN x USING (estimand) GROUP BY 1""")
@@ -523,12 +524,12 @@ def boundary_contrasts(spark, d):
 
 @query(f"""WITH {_PRED}, {_CONDITIONS}, {_draws_sql("p", 100)}, r AS (SELECT b, avg(f) FILTER (side = 'far') - avg(f) FILTER (side = 'near') AS v FROM (SELECT b, side, {_F1} AS f FROM (SELECT b, side, lang, condition, {_WEIGHTED} FROM c JOIN k USING (cluster) JOIN w USING (k) GROUP BY ALL)) GROUP BY b),
 o AS (SELECT avg(f) FILTER (side = 'far') - avg(f) FILTER (side = 'near') AS v FROM (SELECT side, {_F1} AS f FROM (SELECT side, lang, condition, {_SUMMED} FROM c GROUP BY ALL)))
-SELECT 'boundary' AS estimand, round((SELECT v FROM o), 9) AS estimate, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi, count(*) AS n_boot FROM r""")
+SELECT 'boundary' AS estimand, round((SELECT v FROM o), 9) AS estimate, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi, count(v) AS n_boot FROM r""")
 def boundary_effect(spark, d):
     """Far cells less near ones, every condition and language a cell."""
     cells = _condition_cells(spark, d).withColumn("all", F.lit("all"))
     one = {"boundary": (("all", "far", 1), ("all", "near", -1))}
-    out = U.contrasts(cells, B.draws(cells, "cluster", 100), "cluster", "all", "side", ["lang", "condition"], one)
+    out = U.contrasts(cells, B.draws(cells, "cluster", 100), "cluster", "all", "side", ["lang", "condition"], one, absent_is_zero=False)
     return out.select("estimand", *(F.round(c, 9).alias(c) for c in ("estimate", "lo", "hi")), "n_boot")
 
 
