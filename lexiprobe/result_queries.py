@@ -513,7 +513,7 @@ _TERMS = " UNION ALL ".join(f"SELECT '{name}' AS estimand, '{c}' AS condition, '
 nc AS (SELECT condition, side, count(DISTINCT lang) AS nc FROM c GROUP BY ALL),
 r AS (SELECT b, condition, side, sum({_F1}) / any_value(nc) AS f FROM (SELECT b, condition, side, lang, {_WEIGHTED} FROM c JOIN k USING (cluster) JOIN w USING (k) GROUP BY ALL) JOIN nc USING (condition, side) GROUP BY b, condition, side),
 o AS (SELECT condition, side, avg({_F1}) AS f FROM (SELECT condition, side, lang, {_SUMMED} FROM c GROUP BY ALL) GROUP BY ALL),
-e AS (SELECT estimand, b, sum(sign * f) AS v FROM r JOIN terms USING (condition, side) GROUP BY ALL), x AS (SELECT estimand, sum(sign * f) AS v FROM o JOIN terms USING (condition, side) GROUP BY ALL)
+e AS (SELECT estimand, g.b, sum(sign * coalesce(f, 0)) AS v FROM (SELECT unnest(range(100)) AS b) g CROSS JOIN terms LEFT JOIN r ON r.b = g.b AND r.condition = terms.condition AND r.side = terms.side GROUP BY ALL), x AS (SELECT estimand, sum(sign * f) AS v FROM o JOIN terms USING (condition, side) GROUP BY ALL)
 SELECT e.estimand, round(any_value(x.v), 9) AS estimate, round(quantile_cont(e.v, 0.025), 9) AS lo, round(quantile_cont(e.v, 0.975), 9) AS hi, count(*) AS n_boot FROM e JOIN x USING (estimand) GROUP BY 1""")
 def boundary_contrasts(spark, d):
     """The seven estimands on shared draws of sources."""
