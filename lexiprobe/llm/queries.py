@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiprobe.llm import ann, byte_bpe, exact_dedup, jaccard, line_dedup, mixing, pii, quality, substring_dedup, toxicity
+from lexiprobe.llm import ann, byte_bpe, exact_dedup, fill_middle, jaccard, line_dedup, mixing, pii, quality, substring_dedup, token_files, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8,
         "op9_pii": pii.op9,
         "op10_byte_bpe": byte_bpe.op10,
+        "op11_fill_middle": fill_middle.op11,
+        "op12_whitening": whitening.op12,
+        "op13_token_files": token_files.op13,
     }
 
 
@@ -27,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": substring_dedup.OP4_SQL,
         "op6_jaccard": jaccard.OP6_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
+        "op11_fill_middle": fill_middle.OP11_SQL,
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,15 +21,22 @@ HOT = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir; a temporary one only where it is unset and Spark runs on this machine alone."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
+    """The folder all machines share: spark.checkpoint.dir, else the context's checkpoint folder; a temporary one, removed at
+    the end of the process, only where both are unset and Spark runs on this machine alone."""
+    context = spark.sparkContext
+    place = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    known = context._jsc.sc().getCheckpointDir()
+    if place and known.isEmpty():
+        context.setCheckpointDir(place)
+    elif not place and known.isDefined():
+        place = known.get()
+    elif not place:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        place = "file://" + tempfile.mkdtemp(prefix="lexiprobe-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(place)
+        folder = tempfile.mkdtemp(prefix="lexiprobe-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        place = f"file://{folder}"
+        context.setCheckpointDir(place)
     return place
 
 
