@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lexiprobe.llm.shared import fresh_path, small_batches
 
-#: Distinct pieces that a task remembers; all are forgotten beyond (they are encoded again, alike).
-REMEMBERED = 400_000
+#: Distinct pieces that a worker remembers from task to task (about 200 bytes each); all are forgotten beyond (they are encoded again, alike).
+REMEMBERED = 800_000
 #: Pieces of more characters are not remembered.
 LONG = 48
 #: Parts up to this many have their offsets broadcast (16 bytes each); beyond they are joined by shuffle.
@@ -35,6 +35,10 @@ _SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 # is cut only at single spaces between ASCII letters or digits.
 _PIECE = re.compile(r"\s*\S+|\s+")
 _UNLIKE = re.compile("[\x1c-\x1f\x85\u180e]")
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+# A piece is also cut between Latin letters or digits and ASCII punctuation other than the apostrophe.
+_PART = re.compile(rf"\s*[{_LATIN}0-9]+(?![^!-&(-/:-@\[-`{{-~\s])|\s*\S+|\s+")
+_PRE_TOKEN = re.compile(rf" ?[{_LATIN}]+")
 _PLAIN_CUT = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])")
 
 
@@ -73,23 +77,38 @@ class Encoder:
         self.tokenizer, self.alone = _tokenizer(path), splits_alone(path)
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
     def pieces(self, text: str) -> list[str]:
         if not self.alone:
             return [text]
         return _PLAIN_CUT.split(text) if _UNLIKE.search(text) else _PIECE.findall(text)
 
+    def _part(self, part: str) -> bytes:
+        """A piece without a cut: a single pre-token goes to the merges at once, others through the whole tokenizer."""
+        if self.alone and _PRE_TOKEN.fullmatch(part):
+            letters = part.encode("utf-8").decode("latin-1").translate(_letters())
+            return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _new(self, piece: str) -> bytes:
+        known, out = self.known, []
+        parts = _PART.findall(piece) if self.alone and "<|" not in piece else [piece]
+        for p in parts:
+            ids = known.get(p)
+            if ids is None:
+                ids = self._part(p)
+                if len(p) <= LONG and len(parts) > 1:
+                    known[p] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def __call__(self, text: str) -> bytes:
         known, pieces = self.known, self.pieces(text)
         new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + 2 * len(new) > REMEMBERED:
             known.clear()
             new = list(dict.fromkeys(pieces))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            known.update(zip(some, self._encode(some), strict=True))
+        for p in new:
+            known[p] = self._new(p)
         out = b"".join(map(known.__getitem__, pieces))
         for p in new:
             if len(p) > LONG:
@@ -97,6 +116,19 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder, which later tasks find with what it knows."""
+    return Encoder(path)
+
+
+@lru_cache(maxsize=1)
+def _letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
 def _rows(names: list[str], ids: list, part: int, at: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
     counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -109,7 +141,7 @@ def _encode_sorted(path: str, end_id: int | None):
 
     def run(batches):
         names = ["doc_id", "part", "at", "n_tokens", "ids"]
-        part, encode = TaskContext.get().partitionId(), Encoder(path)
+        part, encode = TaskContext.get().partitionId(), _encoder(path)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         done, held = 0, 0
         ids, at, tokens = [], [], []

@@ -158,14 +158,14 @@ def plain_tokens(rows, end_id=2):
 
 def spaced(seed):
     rng = random.Random(seed)
-    parts = [" ", "  ", "\n", "\n\n", "\t", "\x1c", "\x85", "　", "᠎", "'s", "'ll", "ab", "Été", "12", "!?", "<|endoftext|>", "日本", "\U0001d4b3", "a b", "\xa0"]
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\x1c", "\x85", "　", "᠎", "'s", "'ll", "ab", "Été", "12", "!?", "<|endoftext|>", "word,", "naïve.", "ÿ×", "a1b2", "é", "don't", "x'S", "_y", "ǅa", "ª", "日本", "\U0001d4b3", "a b", "\xa0"]
     return "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))
 
 
 def test_pieces_encode_as_the_whole():
     encode = token_files.Encoder(token_files.default_tokenizer())
     assert encode.alone
-    texts = [spaced(s) for s in range(3000)]
+    texts = [spaced(s) for s in range(6000)]
     for t, (_, want) in zip(texts, plain_tokens(enumerate(texts), None), strict=True):
         assert np.frombuffer(encode(t), "<u4").tolist() == want, repr(t)
 
