@@ -1,8 +1,7 @@
 """Boolean flags of functions, the rows that label them and the places where they occur.
 
-Python is read from its syntax tree. The other languages are read by a lexer with bracket matching
-(there is no parser for them here), which finds conditions, literal assignments, logical operands,
-comparisons with literals and returns; it is coarser than a grammar where syntax is unusual.
+All languages are read from syntax trees, Python's own or those of :mod:`lexiprobe.functions.trees`: tests, literal
+assignments, logical operands, comparisons with literals and returns.
 
 A hit is a place where a name is used as a flag; a flag's occurrences are the sites of its hits, not
 every place of the name. One name may make several hits on one site.
@@ -11,7 +10,7 @@ every place of the name. One name may make several hits on one site.
 from __future__ import annotations
 
 import ast
-import re
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +19,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiprobe.functions.text import code_mask
+from lexiprobe.functions.trees import Node, outer_functions, own_nodes, parse
 
 # What a hit's pattern makes its sites; other patterns assign.
 MEANS = {
@@ -191,6 +190,10 @@ class Lines:
         for line in self.lines:
             self.starts.append(self.starts[-1] + len(line) + 1)
 
+    def line_of(self, offset: int) -> int:
+        """The line, from 1, that holds an offset."""
+        return bisect_right(self.starts, offset, 0, len(self.lines))
+
     def offset(self, line: int, column: int) -> int:
         text = self.lines[line - 1] if line <= len(self.lines) else ""
         return self.starts[line - 1] + (column if text.isascii() else len(text.encode("utf-8", "surrogatepass")[:column].decode("utf-8", "ignore")))
@@ -216,189 +219,111 @@ def python_occurrences(code: str) -> list[tuple]:
 
 # --- other languages -------------------------------------------------------------------------------
 
-_FUNCTION = {
-    "Java": r"\b(?:[\w<>\[\],]+\s+)+(\w+)\s*\([^;{}()]*\)\s*(?:throws\s+[\w,\s]+)?\{",
-    "C++": r"\b(?:[\w:<>,*&]+\s+[*&]*)(\w+)\s*\([^;{}]*?\)\s*(?:const\s*)?\{",
-    "Javascript": r"\b(?:async\s+)?function\s*\*?\s*(\w+)\s*\([^{}]*?\)\s*\{",
-    "PHP": r"(?i)\b(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(\w+)\s*\([^{}]*?\)\s*(?::\s*\??\w+\s*)?\{",
-    "Go": r"\bfunc\s+(?:\([^)]*\)\s*)?(\w+)\s*\([^{}]*?\)[^{}\n]*\{",
-    "Ruby": r"(?m)^[ \t]*def\s+(?:self\.)?(\w+[?!]?)",
-}
-_FUNCTION["C"] = _FUNCTION["C++"]
-LEXED = tuple(_FUNCTION)
-_WORDS = frozenset("if else for while do return true false null nil func function def end class struct new int bool boolean auto var let const public private static void string float double long char final unless until and or not in of switch case break continue self this".split())
-_RUBY_OPENS = re.compile(r"(?m)(?:^[ \t]*(?:if|unless|while|until|for|case|begin|def|class|module)\b|\bdo\b[ \t]*(?:\|[^|\n]*\|)?[ \t]*$)")
-
-
-def clear_text(code: str) -> str:
-    """The code with strings and comments blank, as long as it was."""
-    return "".join(c if is_code or c == "\n" else " " for c, (is_code, _) in zip(code, code_mask(code), strict=True))
-
-
-def _close(text: str, at: int, opens: str, closes: str) -> int:
-    """The place behind the bracket that closes the one at ``at``; the end if none does."""
-    depth = 0
-    for i in range(at, len(text)):
-        depth += (text[i] == opens) - (text[i] == closes)
-        if not depth:
-            return i + 1
-    return len(text)
-
-
-def lexed_functions(clear: str, language: str) -> list[tuple[str, int, int, int]]:
-    """(name, start, start of the body, end) of the outermost functions, in characters."""
-    out, done = [], 0
-    for m in re.finditer(_FUNCTION[language], clear):
-        if m[1] in _WORDS or m.start() < done:
-            continue
-        if language == "Ruby":
-            depth, done = 1, len(clear)
-            for t in re.finditer(rf"{_RUBY_OPENS.pattern}|\bend\b", clear[m.end() :]):
-                depth += -1 if t[0] == "end" else 1
-                if not depth:
-                    done = m.end() + t.end()
-                    break
-        else:
-            done = _close(clear, m.end() - 1, "{", "}")
-        out.append((m[1], m.start() + len(m[0]) - len(m[0].lstrip()), m.end(), done))
-    return out
+#: Languages in which a ternary's condition is a test; in which a for loop's condition is one, as that of a while loop.
+TERNARY_TESTS, FOR_TESTS = ("Java", "C++", "C"), ("Javascript", "Go")
+#: Languages whose assigned values are looked at through brackets; in which x op= y counts as an assignment of y.
+OPEN_VALUES, COMPOUND = ("Javascript", "PHP"), ("Java", "Go")
+#: Kinds of nodes whose names stand for the thing that is indexed, its index, or the owner of a member.
+INDEXING = {"Ruby": ("call", "index")}
+_STATEMENTS = ("if", "while", "for", "foreach", "return", "declaration", "assign", "do", "switch", "case", "try", "jump", "until", "unless", "if_modifier", "unless_modifier")
 
 
-class _Lexer:
-    """Reads one function of a language without a tree."""
-
-    def __init__(self, clear: str, language: str):
-        self.text, self.language = clear, language
-        self.literal = r"(?i:true|false)" if language == "PHP" else r"(?:true|false)"
-        self.name = r"\$([A-Za-z_]\w*)" if language == "PHP" else r"([A-Za-z_]\w*)"
-        self.site = re.compile(rf"(?<![\w$.])(?<!->){self.name}\b")
-
-    def parts(self, s: int, e: int) -> list[tuple[int, int]]:
-        """[s, e) cut at the && and || outside of all brackets."""
-        out, depth, i = [], 0, s
-        while i < e:
-            c = self.text[i]
-            depth += (c in "([{") - (c in ")]}")
-            if depth == 0 and self.text[i : i + 2] in ("&&", "||"):
-                out.append((s, i))
-                s, i = i + 2, i + 1
-            i += 1
-        return [*out, (s, e)]
-
-    def bare(self, s: int, e: int) -> tuple[int, int]:
-        """Without blanks and brackets around."""
-        while s < e and self.text[s].isspace():
-            s += 1
-        while e > s and self.text[e - 1].isspace():
-            e -= 1
-        return self.bare(s + 1, e - 1) if e > s and self.text[s] == "(" and _close(self.text[:e], s, "(", ")") == e else (s, e)
-
-    def tested(self, s: int, e: int) -> set[str]:
-        """Names that the expression [s, e) reads as truth values."""
-        s, e = self.bare(s, e)
-        parts = self.parts(s, e)
-        if len(parts) > 1:
-            return set().union(*(self.tested(*p) for p in parts))
-        text = self.text[s:e]
-        if text.startswith("!") and not text.startswith("!="):
-            return self.tested(s + 1, e)
-        if m := re.fullmatch(self.name, text):
-            return set() if m[1] in _WORDS else {m[1]}
-        if m := re.fullmatch(rf"{self.name}\s*[!=]==?\s*{self.literal}", text) or re.fullmatch(rf"{self.literal}\s*[!=]==?\s*{self.name}", text):
-            return {m[1]}
-        if self.language in ("Java", "C++", "C") and "?" in text:
-            return self.tested(s, s + text.index("?"))
-        return set()
+def _bare(node: Node | None) -> Node | None:
+    """Without brackets around."""
+    while node is not None and node.kind == "paren" and len(node.kids) == 1:
+        node = node.kids[0]
+    return node
 
-    def end_of(self, s: int, stops: str) -> int:
-        """Where an expression from ``s`` on ends: at one of ``stops`` outside of brackets, or at a bracket that closes."""
-        depth = 0
-        for i in range(s, len(self.text)):
-            c = self.text[i]
-            if depth == 0 and (c in stops or c in ")]}"):
-                return i
-            depth += (c in "([{") - (c in ")]}")
-        return len(self.text)
-
-    def conditions(self, s: int, e: int) -> Iterator[tuple[str, int, int]]:
-        """(pattern, start, end) of tests."""
-        lines = self.language in ("Go", "Ruby")
-        words = {"if": "if_test", "elsif": "if_test", "while": "while_test"} | ({"for": "while_test"} if self.language in ("Go", "Javascript") else {})
-        for m in re.finditer(rf"\b({'|'.join(words)})\b\s*", self.text[s:e]):
-            at, pattern = s + m.end(), words[m[1]]
-            if not lines and self.text[at : at + 1] != "(":
-                continue
-            inner, end = (at, self.end_of(at, "{\n" if self.language == "Go" else "\n")) if lines else (at + 1, _close(self.text, at, "(", ")") - 1)
-            if self.language == "Ruby":
-                end = inner + len(re.split(r"\bthen\b|;", self.text[inner:end])[0])
-            pieces = self.text[inner:end].split(";")
-            if m[1] == "for" and len(pieces) != 3 and not (lines and len(pieces) == 1):
-                continue
-            if m[1] == "for" and len(pieces) == 3:
-                inner += len(pieces[0]) + 1
-                end = inner + len(pieces[1])
-            elif lines and len(pieces) > 1:  # if short statement; test
-                inner += sum(len(p) + 1 for p in pieces[:-1])
-            yield pattern, inner, end
-        if self.language in ("Java", "C++", "C"):
-            for m in re.finditer(r"\?", self.text[s:e]):
-                at = s + m.start()
-                start = max((self.text.rfind(c, s, at) for c in "=;{}(,"), default=s)
-                start = max(start, self.text.rfind("return", s, at) + 5)
-                yield "if_exp_test", start + 1, at
-
-    def hits(self, s: int, e: int) -> Iterator[tuple[str, str, int, int]]:
-        """(pattern, name, start, end): each place of the name in [start, end) is a site."""
-        for pattern, a, b in self.conditions(s, e):
-            for name in sorted(self.tested(a, b)):
-                yield pattern, name, a, b
-        assign = r":?=" if self.language == "Go" else "="
-        for m in re.finditer(rf"(?<![\w$.>\])]){self.name}\s*{assign}(?![=~>])", self.text[s:e]):
-            if m[1] in _WORDS:
-                continue
-            at, a = s + m.start(), s + m.end()
-            b = self.end_of(a, ";,\n")
-            a, b = self.bare(a, b)
-            text = self.text[a:b]
-            if re.fullmatch(self.literal, text):
-                yield "assign_bool_literal", m[1], at, b
-            elif len(self.parts(a, b)) > 1:
-                yield "assign_boolop_lhs", m[1], at, b
-                for name in sorted(self.tested(a, b)):
-                    yield "assign_boolop_rhs", name, a, b
-            elif inner := re.fullmatch(rf"!\s*{self.name}", text):
-                yield "assign_not_name", m[1], at, b
-                yield "assign_not_name_inner", inner[1], a, b
-        for m in re.finditer(r"\breturn\b", self.text[s:e]):
-            a = s + m.end()
-            b = self.end_of(a, ";\n")
-            a, b = self.bare(a, b)
-            if self.language != "Ruby" or re.fullmatch(self.name, self.text[a:b]):
-                for name in sorted(self.tested(a, b)):
-                    yield "return_bool", name, a, b
-
-
-def lexed_occurrences(code: str, language: str) -> list[tuple]:
-    """Rows as of :func:`python_occurrences` for a language without a tree; PHP's spans hold the sigil."""
-    if language not in _FUNCTION:
-        raise ValueError(f"occurrences are not supported for {language}")
-    clear, lines = clear_text(code), Lines(code)
-    lexer, rows = _Lexer(clear, language), []
-    for function, start, body, end in lexed_functions(clear, language):
-        for pattern, name, a, b in lexer.hits(body, end):
-            for m in lexer.site.finditer(clear, a, b):
-                if m[1] != name:
+
+def truth_names(node: Node | None, language: str, ternary: bool = True) -> set[str]:
+    """Names that an expression reads as truth values: through brackets, !, && and ||, comparisons with true or false, and a ternary's test."""
+    node = _bare(node)
+    if node is None:
+        return set()
+    if node.kind == "name":
+        return {node.text}
+    if node.kind == "not":
+        return truth_names(node.value, language, ternary)
+    if node.kind == "logic":
+        return set().union(*(truth_names(k, language, ternary) for k in node.kids))
+    if node.kind == "compare":
+        sides = [_bare(k) if language == "Javascript" else k for k in node.kids]
+        return {a.text for a in sides if a.kind == "name" and any(b.kind == "boolean" for b in sides)}
+    return truth_names(node.test, language) if node.kind == "ternary" and ternary and language in TERNARY_TESTS else set()
+
+
+def _tests(node: Node, language: str) -> Iterator[tuple[str, Node]]:
+    """(pattern, expression) of what a statement tests."""
+    pattern = {"if": "if_test", "while": "while_test"}.get(node.kind)
+    if node.kind == "for" and language in FOR_TESTS:
+        pattern = "while_test"
+    if node.kind == "ternary" and language in TERNARY_TESTS:
+        pattern = "if_exp_test"
+    if pattern and node.test is not None:
+        yield pattern, node.test
+
+
+def _bound(node: Node, parent: Node, language: str) -> list[str] | None:
+    """Names that a declaration or an assignment gives a value to; None for what is neither. Fields of classes are not looked at."""
+    if node.kind == "declare" and parent.kind == "declaration":
+        return [node.text] if node.text else []
+    if node.kind != "assign" or node.text == "range" or (node.text not in ("=", ":=") and language not in COMPOUND):
+        return None
+    return [k.text for k in node.kids if k is not node.value and k.kind == "name"]
+
+
+def tree_hits(function: Node, language: str) -> Iterator[tuple[str, str, Node]]:
+    """(pattern, name, node): each place of the name in the node is a site."""
+    for node, parent in own_nodes(function, language):
+        for pattern, test in _tests(node, language):
+            for name in sorted(truth_names(test, language)):
+                yield pattern, name, test
+        if node.kind == "return" and node.value is not None:
+            allowed = truth_names(node.value, language) if language != "Ruby" or node.value.kind == "name" else set()
+            for place in node.value.walk():
+                if place.kind == "name" and place.text in allowed:
+                    yield "return_bool", place.text, place
+        targets = _bound(node, parent, language)
+        if targets is None or node.value is None:
+            continue
+        value = _bare(node.value) if language in OPEN_VALUES else node.value
+        if value.kind == "boolean":
+            yield from (("assign_bool_literal", t, node) for t in targets)
+        elif value.kind == "logic":
+            yield from (("assign_boolop_lhs", t, node) for t in targets)
+            yield from (("assign_boolop_rhs", n, value) for n in sorted(truth_names(value, language, ternary=False)))
+        elif value.kind == "not":
+            inner = _bare(value.value) if language == "Javascript" else value.value
+            if inner is not None and inner.kind == "name":
+                yield from (("assign_not_name", t, node) for t in targets)
+                yield "assign_not_name_inner", inner.text, value
+
+
+def tree_occurrences(code: str, language: str) -> list[tuple]:
+    """Rows as of :func:`python_occurrences` from a tree of :mod:`trees`, with its kinds of nodes; PHP's spans hold the sigil."""
+    rows, lines = [], Lines(code)
+    indexing = INDEXING.get(language, ("index", "member"))
+    for function in outer_functions(parse(code, language), language):
+        parents = {id(k): n for n in function.walk() for k in n.kids}
+        first = lines.line_of(function.s)
+        for pattern, name, node in tree_hits(function, language):
+            for site in node.walk():
+                if site.kind != "name" or site.text != name:
                     continue
-                member = re.match(r"\s*(?:\[|\.(?!\.)|->)", clear[m.end() : m.end() + 4])
-                line = code.count("\n", 0, m.start()) + 1
-                rows.append((function, code.count("\n", 0, start) + 1, name, "indexing_use" if member else MEANS.get(pattern, "assignment"), pattern, line, m.start() - lines.starts[line - 1], m.start(), m.end(), None, None))
+                up = parents[id(site)]
+                statement = up
+                while statement.kind not in _STATEMENTS and statement is not function:
+                    statement = parents[id(statement)]
+                kind = "indexing_use" if up.kind in indexing else MEANS.get(pattern, "assignment")
+                line = lines.line_of(site.s)
+                rows.append((function.text, first, name, kind, pattern, line, site.s - lines.starts[line - 1], site.s, site.e, up.kind, statement.kind if statement is not function else None))
     return sorted(rows, key=lambda r: (r[5], r[6], r[2]))
 
 
 def occurrence_rows(code: str | None, language: str) -> list[dict]:
     if not code:
         return []
-    return [dict(zip(_FIELDS, r, strict=True)) for r in (python_occurrences(code) if language == "Python" else lexed_occurrences(code, language))]
+    return [dict(zip(_FIELDS, r, strict=True)) for r in (python_occurrences(code) if language == "Python" else tree_occurrences(code, language))]
 
 
 @F.pandas_udf(T.ArrayType(_struct(_COLUMNS)))

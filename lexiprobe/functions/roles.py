@@ -54,15 +54,10 @@ def pattern_roles(code: Column, language: str) -> Column:
     return F.create_map(*(x for role in ROLES for x in (F.lit(role), found[role])))
 
 
-def brace_roles(code: str | None, language: str) -> dict[str, list[str]]:
-    """:func:`pattern_roles` for one program, in Python: for scopes that are cut out of programs."""
-    code = code or ""
-    if language == "PHP":
-        code = re.sub(r"\$\s*([a-zA-Z_]\w*)", r"\1", code)
+def patterns_of(language: str) -> dict[str, tuple[str, ...]]:
+    """The patterns of each role; every group is a name."""
     loops = {"PHP": (FOR_INIT, PHP_EACH), "Javascript": (JS_FOR, FOR_INIT)}.get(language, (FOR_INIT, FOR_EACH))
-    by_role = {"index_key": (SUBSCRIPT,), "accumulator": ACCUMULATE, "iterator": loops, "boolean": (BOOLEAN,), "class_struct": (CLASS,)}
-    names = lambda patterns: {g for p in patterns for m in re.finditer(p, code) for g in m.groups() if g}
-    return {role: sorted(names(patterns) - set(KEYWORDS[language])) for role, patterns in by_role.items()}
+    return {"index_key": (SUBSCRIPT,), "accumulator": ACCUMULATE, "iterator": loops, "boolean": (BOOLEAN,), "class_struct": (CLASS,)}
 
 
 def python_roles(code: str | None) -> dict[str, list[str]]:

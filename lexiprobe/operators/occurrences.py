@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiprobe.functions.roles import ROLES
+
 
 def occurrence_ids(rows: DataFrame, program: str, language: Column, function: str, variable: str, order: str) -> DataFrame:
     """Adds occurrence_id program:lang:f<i>:b<j>:o<k>: functions by first row, variables by first appearance in theirs, running index."""
@@ -106,11 +108,33 @@ def program_occurrences(programs: DataFrame, program: str = "problem_id") -> Dat
     return occurrence_ids(keyed, program, F.col("language"), "__f", "variable", "__o").drop("__f", "__o", "ord")
 
 
+def role_site_rows(programs: DataFrame, program: str = "problem_id", roles: tuple[str, ...] = ROLES, drop_shared: bool = True) -> DataFrame:
+    """Every place in code of every name that has one of ``roles`` in the scope of the place: program, language, role, variable, scope, function, span.
+
+    A scope is the innermost function around; its roles follow from what its own text does with the name, the
+    module's from all of the program. Names with several roles in a scope are dropped (unless ``drop_shared`` is off),
+    and so are names that blocks, loop headers and parameters of a scope bind more than once: several variables of one
+    spelling. Programs are read once; facts and places meet in one shuffle by program, scope and name.
+    """
+    from lexiprobe.functions.sites import scope_facts
+
+    rows = programs.select(program, "language", F.explode(scope_facts("code", "language")).alias("o")).select(program, "language", "o.*")
+    one = W.partitionBy(program, "scope", "variable")
+    rows = rows.withColumn("__f", F.collect_set("fact").over(one)).withColumn("__n", F.sum((F.col("fact") == "declared").cast("int")).over(one)).filter("s IS NOT NULL")
+    has = lambda f: F.array_contains("__f", f)
+    ignored = (F.col("language") == "Python") & (F.col("variable") == "_")
+    fed = has("accumulator") | (has("fed") & ~has("iterator") & ~has("index_key"))
+    holds = {"index_key": has("index_key"), "accumulator": fed & ~ignored, "iterator": has("iterator") & ~ignored, "boolean": has("boolean"), "class_struct": has("class_struct")}
+    rows = rows.withColumn("__r", F.array_compact(F.array(*(F.when(holds[r], r) for r in ROLES)))).filter(F.coalesce("__n", F.lit(0)) <= 1)
+    if drop_shared:
+        rows = rows.filter(F.size("__r") == 1)
+    rows = rows.select(program, "language", F.explode("__r").alias("role"), "variable", F.col("span").alias("scope"), "function", "scope_known", "s", "e", "line", "col_offset", "end_col_offset")
+    return rows.filter(F.col("role").isin(*roles))
+
+
 def role_occurrence_rows(programs: DataFrame, program: str = "problem_id") -> DataFrame:
     """The places of all role names of programs, with ids: variables by first appearance within the program and role, running index."""
-    from lexiprobe.functions.sites import role_occurrences
-
-    rows = programs.select(program, "language", F.explode(role_occurrences("code", "language")).alias("o")).select(program, "language", "o.*")
+    rows = role_site_rows(programs, program)
     one = W.partitionBy(program, "role", "variable")
     rows = rows.withColumn("__first", F.min("s").over(one))
     b = F.dense_rank().over(W.partitionBy(program, "role").orderBy("__first")) - 1

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiprobe.functions import flags, rename, roles, sites
+from lexiprobe.functions import flags, rename, roles, sites, trees
 from lexiprobe.functions import text as X
 from lexiprobe.functions import vectors as V
 from lexiprobe.operators import bootstrap as B
 from lexiprobe.operators import joins as J
 from lexiprobe.operators import metrics as M
 from lexiprobe.operators import occurrences as O
+from lexiprobe.operators import renaming as N
 from lexiprobe.operators import splits as S
 from lexiprobe.operators import summaries as U
 from lexiprobe.plans import prompts as P
@@ -19,6 +20,7 @@ from lexiprobe.programs import (
     CONSTANT_ANSWERS, FLAG_ANSWERS, LABEL_ANSWERS, LABEL_ERRORS, PROGRAMS_SQL, RECORD_ANSWERS, ROLE_ANSWERS, SITE_ANSWERS, named_sql, offset_sql, programs, values_sql,
 )
 from lexiprobe.queries import _BLANKS, _F1, _PRED, _UNIT, predictions, query, table
+from lexiprobe.shapes import SHAPES, SHAPES_SQL, shaped_programs
 from lexiprobe.sources import reports as R
 from lexiprobe.sources import tables as T
 
@@ -67,6 +69,50 @@ def flag_occurrences(spark, d):
     return rows.select("problem_id", "function", "variable", "occurrence_type", "detection_pattern", "line", "s", "e", "occurrence_id")
 
 
+@query(SHAPES_SQL)
+def flag_shapes(spark, d):
+    """The flags of programs with nested functions, methods, lambdas, comments and strings, behind whole texts as comments."""
+    rows = shaped_programs(spark, d).withColumn("o", F.explode(flags.occurrences("code", "language")))
+    held = F.expr("ltrim('$', substring(code, o.s + 1, o.e - o.s)) = o.variable")
+    return rows.select("problem_id", "o.variable", "o.line", "o.occurrence_type", "o.detection_pattern", held.alias("held"))
+
+
+@query(f"""WITH {values_sql("sh", "shape, language, body", [(i, s[0], s[1]) for i, s in enumerate(SHAPES)])}, tx AS (SELECT (doc_id % {len(SHAPES)})::INT AS shape FROM documents)
+SELECT sh.language, sum(len(regexp_extract_all(sh.body, '\\breturn\\b')))::BIGINT AS returns, count(*) AS programs FROM tx JOIN sh USING (shape) GROUP BY 1""")
+def tree_returns(spark, d):
+    """Return statements in the trees of all programs, by language; comments and strings have none."""
+    rows = trees.program_nodes(shaped_programs(spark, d))
+    return rows.groupBy("language").agg(F.count_if(F.col("kind") == "return").alias("returns"), F.count_if(F.col("parent").isNull()).alias("programs"))
+
+
+_RENAMED = (
+    (0, "def {a}(v1, v2=False):\n    v3 = True\n    v4 = 0\n    for v5 in v1:\n        if v3 and not v2:\n            v4 += v1[v5]\n            v3 = False\n    return v3\n"),
+    (1, "class {a}:\n    pass\n\ndef {b}(v1):\n    v2 = []\n    for v3 in v1:\n        v2.append(v3)\n    return v2\n"),
+)
+_NEW_NAMES = ((0, "{b}", "v2"), (0, "{c}", "v3"), (1, "{c}", "v2"))
+
+
+def _renamed(spark, d):
+    rows = programs(spark, d).filter("language = 'Python'")
+    return N.renaming_flow(rows, O.program_occurrences(rows), "numbered", O.program_occurrences)
+
+
+@query(f"""WITH {PROGRAMS_SQL}, {values_sql("rn", "template, body", _RENAMED)} SELECT g.problem_id, {named_sql("rn.body")} AS new_code, NULL::VARCHAR AS dropped FROM g JOIN rn USING (template)""")
+def scope_renamed_programs(spark, d):
+    """Python programs with occurrences, their locals numbered; none is dropped."""
+    return _renamed(spark, d)[0].select("problem_id", "new_code", "dropped")
+
+
+@query(f"""WITH {_FLAGS_SQL}, {values_sql("rn", "template, body", _RENAMED)}, {values_sql("nn", "template, old, new", _NEW_NAMES)},
+ids AS (SELECT problem_id, function, variable, line, ord, problem_id || ':' || language || ':f0:b' || (dense_rank() OVER (PARTITION BY problem_id ORDER BY seen) - 1) || ':o' || (row_number() OVER (PARTITION BY problem_id, variable ORDER BY ord) - 1) AS occurrence_id FROM fv),
+rw AS (SELECT g.*, string_split({named_sql("rn.body")}, chr(10)) AS nl FROM g JOIN rn USING (template))
+SELECT ids.problem_id, ids.occurrence_id, ids.variable AS original_variable, nn.new AS variable, (CASE WHEN line > 1 THEN length(array_to_string(list_slice(rw.nl, 1, line - 1), chr(10))) + 1 ELSE 0 END + strpos(rw.nl[line], nn.new) - 1)::INT AS s
+FROM ids JOIN rw USING (problem_id) JOIN nn ON nn.template = rw.template AND {named_sql("nn.old", "rw")} = ids.variable""")
+def carried_occurrences(spark, d):
+    """Where the flags of renamed programs stand, under the ids they had; all are found again."""
+    return _renamed(spark, d)[1].select("problem_id", "occurrence_id", "original_variable", "variable", "s")
+
+
 @query(f"""WITH {PROGRAMS_SQL}, {values_sql("la", "template, func, name, line, said", LABEL_ANSWERS)}
 SELECT g.problem_id, false AS failed, {named_sql("la.func")} AS function, {named_sql("la.name")} AS variable, la.line::INT AS line, {named_sql("la.said")} AS code FROM g JOIN la USING (template)
 UNION ALL SELECT problem_id, true, NULL, NULL, NULL, NULL FROM g WHERE template IN {LABEL_ERRORS}""")
