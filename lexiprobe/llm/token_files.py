@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -37,8 +39,8 @@ _PIECE = re.compile(r"\s*\S+|\s+")
 _UNLIKE = re.compile("[\x1c-\x1f\x85\u180e]")
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 # A piece is also cut between Latin letters or digits and ASCII punctuation other than the apostrophe.
-_PART = re.compile(rf"\s*[{_LATIN}0-9]+(?![^!-&(-/:-@\[-`{{-~\s])|\s*\S+|\s+")
-_PRE_TOKEN = re.compile(rf" ?[{_LATIN}]+")
+_PART = re.compile(rf"\s*[{_LATIN}0-9]+(?![^!-&(-/:-@\[-`{{-~\s])|\s*\S+|\s+").findall
+_PRE_TOKEN = re.compile(rf" ?[{_LATIN}]+").fullmatch
 _PLAIN_CUT = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])")
 
 
@@ -70,50 +72,40 @@ def splits_alone(path: str) -> bool:
     return bool(byte_level and t.get("normalizer") is None and not t.get("truncation") and not t.get("padding") and not added)
 
 
+class Pieces(dict):
+    """Ids of pieces as little-endian 32-bit integers, made when they are first asked for."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.tokenizer, self.alone = _tokenizer(path), splits_alone(path)
+        self.merges = self.tokenizer.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.alone and _PRE_TOKEN(piece):  # a single pre-token goes to the merges at once
+            letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(_letters())
+            ids = [t.id for t in self.merges("\u0120" + letters[1:] if piece[0] == " " else letters)]
+            out = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+        else:
+            parts = _PART(piece) if self.alone and "<|" not in piece else ()
+            out = b"".join([self[p] for p in parts]) if len(parts) > 1 else np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(piece) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = out
+        return out
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit integers; pieces that recur are encoded once."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.alone = _tokenizer(path), splits_alone(path)
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if not self.alone:
-            return [text]
-        return _PLAIN_CUT.split(text) if _UNLIKE.search(text) else _PIECE.findall(text)
-
-    def _part(self, part: str) -> bytes:
-        """A piece without a cut: a single pre-token goes to the merges at once, others through the whole tokenizer."""
-        if self.alone and _PRE_TOKEN.fullmatch(part):
-            letters = part.encode("utf-8").decode("latin-1").translate(_letters())
-            return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _new(self, piece: str) -> bytes:
-        known, out = self.known, []
-        parts = _PART.findall(piece) if self.alone and "<|" not in piece else [piece]
-        for p in parts:
-            ids = known.get(p)
-            if ids is None:
-                ids = self._part(p)
-                if len(p) <= LONG and len(parts) > 1:
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        self.known = Pieces(path)
 
     def __call__(self, text: str) -> bytes:
-        known, pieces = self.known, self.pieces(text)
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(known) + 2 * len(new) > REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(pieces))
-        for p in new:
-            known[p] = self._new(p)
-        out = b"".join(map(known.__getitem__, pieces))
-        for p in new:
-            if len(p) > LONG:
-                del known[p]
-        return out
+        if not self.known.alone:
+            return self.known[text]
+        pieces = _PLAIN_CUT.split(text) if _UNLIKE.search(text) else _PIECE.findall(text)
+        return b"".join(map(self.known.__getitem__, pieces))
 
 
 @lru_cache(maxsize=2)
