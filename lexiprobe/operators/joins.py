@@ -63,19 +63,51 @@ def pair_counts(rows: DataFrame, key: str, group: str, groups: list[str]) -> Dat
     return wide.withColumn("exact", reduce(lambda x, y: x & y, (F.col(f"n_{g}") == 1 for g in groups)))
 
 
+#: Widths of the bins that intervals are laid out in: BIN characters, and GROW times as many from level to level.
+BIN, GROW, LEVELS = 64, 8, 16
+
+
+def _levelled(rows: DataFrame, s: Column, e: Column) -> DataFrame:
+    """``rows`` with __lvl: the first level whose bins are as wide as the interval [s, e), so that it touches two of them at most."""
+    level = F.lit(0)
+    for k in range(LEVELS - 1):
+        level = level + (e - s > BIN * GROW**k).cast("int")
+    return rows.withColumn("__lvl", level)
+
+
+def _binned(rows: DataFrame, s: Column, e: Column, top: int) -> DataFrame:
+    """A row for each bin that an interval touches on its own level and on all above up to ``top``."""
+    rows = rows.withColumn("__at", F.explode(F.sequence(F.col("__lvl"), F.greatest(F.col("__lvl"), F.lit(top)))))
+    width = F.pow(F.lit(float(GROW)), F.col("__at")).cast("long") * BIN
+    return rows.withColumn("__bin", F.explode(F.sequence(F.floor(s / width), F.floor(F.greatest(s, e - 1) / width))))
+
+
+def _meeting(t: DataFrame, s: DataFrame, key: str, start: str, end: Column | None = None) -> DataFrame:
+    """Pairs of alias t and alias s, of one key, whose intervals meet; each pair is found in one bin, on the wider one's level.
+
+    Both sides are laid out in bins as wide as themselves and wider ones, so a pair is looked for only among intervals near by.
+    """
+    te = F.col("e") if end is None else end
+    t, s = _levelled(t, F.col(start), te), _levelled(s, F.col("s"), F.col("e"))
+    tops = [d.agg(F.max("__lvl")).first()[0] or 0 for d in (t, s)]
+    t, s = _binned(t, F.col(start), te, tops[1]).alias("t"), _binned(s, F.col("s"), F.col("e"), tops[0]).alias("s")
+    ts, t_end = F.col(f"t.{start}"), F.col("t.e") if end is None else F.col(f"t.{start}") + 1
+    width = F.pow(F.lit(float(GROW)), F.col("t.__at")).cast("long") * BIN
+    once = (F.col("t.__at") == F.greatest("t.__lvl", "s.__lvl")) & (F.floor(F.greatest(ts, F.col("s.s")) / width) == F.col("t.__bin"))
+    return t.join(s, (F.col(f"t.{key}") == F.col(f"s.{key}")) & (F.col("t.__at") == F.col("s.__at")) & (F.col("t.__bin") == F.col("s.__bin")) & once & (ts < F.col("s.e")) & (F.col("s.s") < t_end))
+
+
 def overlapping(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Token x span of one key with token.s < span.e and span.s < token.e."""
-    t, s = tokens.alias("t"), spans.alias("s")
-    return t.join(s, (F.col(f"t.{key}") == F.col(f"s.{key}")) & (F.col("t.s") < F.col("s.e")) & (F.col("s.s") < F.col("t.e")))
+    """Token x span of one key with token.s < span.e and span.s < token.e, as aliases t and s; null offsets meet nothing."""
+    return _meeting(tokens, spans, key, "s")
 
 
 def innermost(points: DataFrame, scopes: DataFrame, key: str, pos: str, point_id: str) -> DataFrame:
     """The narrowest scope (scope, s, e) that holds each point; points outside of all keep null."""
-    p, s = points.alias("p"), scopes.alias("s")
-    both = p.join(s, (F.col(f"p.{key}") == F.col(f"s.{key}")) & (F.col("s.s") <= F.col(f"p.{pos}")) & (F.col(f"p.{pos}") < F.col("s.e")), "left")
-    return both.groupBy(F.col(f"p.{key}").alias(key), F.col(f"p.{point_id}").alias(point_id)).agg(
-        F.min_by("s.scope", F.struct(F.col("s.e") - F.col("s.s"), F.col("s.scope"))).alias("scope")
-    )
+    found = _meeting(points, scopes, key, pos, F.col(pos) + 1)
+    best = found.groupBy(F.col(f"t.{key}").alias("__k"), F.col(f"t.{point_id}").alias("__p")).agg(F.min_by("s.scope", F.struct(F.col("s.e") - F.col("s.s"), F.col("s.scope"))).alias("scope"))
+    each = points.select(key, point_id).distinct()
+    return each.join(best, each[key].eqNullSafe(best["__k"]) & each[point_id].eqNullSafe(best["__p"]), "left").select(each[key], each[point_id], "scope")
 
 
 def shift_spans(s: Column, e: Column, edits: Column) -> Column:

@@ -52,9 +52,16 @@ def global_rank(rows: DataFrame, order: list[Column], name: str = "rank") -> Dat
         at += r["count"]
     if not starts:
         return rows.withColumn(name, F.lit(0).cast("long"))
-    place = F.create_map(*(F.lit(x) for k, v in starts.items() for x in (k, v)))
-    inner = F.row_number().over(W.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn(name, (inner + place[F.col("__part")]).cast("long")).drop("__part")
+    # the rows of a partition stand in order, and their ids count them from the partition's number shifted by 33 bits
+    placed = ranged.withColumn("__id", F.monotonically_increasing_id())
+    inner = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return _with_starts(placed, starts, "long").withColumn(name, (inner + F.col("__start")).cast("long")).drop("__part", "__id", "__start")
+
+
+def _with_starts(rows: DataFrame, starts: dict, kind: str) -> DataFrame:
+    """``rows`` with __start of their __part: a small table of one row a partition, met by hash."""
+    small = rows.sparkSession.createDataFrame([(k, str(v)) for k, v in starts.items()], "__part int, v string").select("__part", F.col("v").cast(kind).alias("__start"))
+    return rows.join(F.broadcast(small), "__part")
 
 
 def running(rows: DataFrame, by: list[str], order: list[Column], weight: Column, name: str) -> DataFrame:
@@ -75,9 +82,8 @@ def running(rows: DataFrame, by: list[str], order: list[Column], weight: Column,
     kind = f"decimal(38,{kind.scale})" if kind.typeName() == "decimal" else "long"
     if not starts:
         return rows.withColumn(name, F.lit(None).cast(kind))
-    place = F.create_map(*(x for k, v in starts.items() for x in (F.lit(k), F.lit(v).cast(kind))))
     inner = F.sum("__w").over(W.partitionBy("__part").orderBy(*whole).rowsBetween(W.unboundedPreceding, -1))
-    placed = ranged.withColumn("__acc", (F.coalesce(inner, F.lit(0)) + place[F.col("__part")]).cast(kind))
+    placed = _with_starts(ranged.withColumn("__in", F.coalesce(inner, F.lit(0))), starts, kind).withColumn("__acc", (F.col("__in") + F.col("__start")).cast(kind)).drop("__in", "__start")
     if not by:
         return placed.withColumnRenamed("__acc", name).drop("__w", "__part")
     first = placed.groupBy(*by).agg(F.min("__acc").alias("__start")).select(*(F.col(c).alias(f"__{c}") for c in by), "__start")
@@ -112,10 +118,9 @@ def stratified_split(rows: DataFrame, label: str, key: str, seed: int, test: flo
 def class_policy(rows: DataFrame, label: str, least: int, drop: bool = True) -> DataFrame:
     """Drops rows of classes under ``least`` rows, or raises on the first such row."""
     n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    small = F.broadcast(n.filter(F.col("__n") < least).limit(100_000))
     if drop:
         return rows.join(n.filter(F.col("__n") >= least), label, "left_semi")
-    bad = [r[label] for r in small.select(label).limit(10).collect()]
+    bad = [r[label] for r in n.filter(F.col("__n") < least).select(label).limit(10).collect()]
     if bad:
         raise ValueError(f"classes under {least} rows: {bad}")
     return rows

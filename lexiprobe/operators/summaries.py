@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -170,13 +172,63 @@ def ratio_interval(rows: DataFrame, effect: str, gap: str, cluster: str, n_boot:
     return seen.crossJoin(F.broadcast(ci)).select("point", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "n_clusters", (F.col("n_clusters") < 30).alias("few_clusters"), "denominator_crosses_zero")
 
 
+#: Cells of a rank correlation that every task may hold (24 bytes each); beyond, replicates are ranked by a shuffle.
+CELLS = 2_000_000
+
+
+def weighted_rho(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Rank correlation of cells (codes of sorted distinct values) that stand ``w`` times each: ranks come from cumulated multiplicities."""
+    ranks = []
+    for codes in (x, y):
+        n = np.bincount(codes, w)
+        ranks.append((np.cumsum(n) - n + (n + 1) / 2)[codes])
+    total = w.sum()
+    if total < 2:
+        return float("nan")
+    a, b = (r - (w * r).sum() / total for r in ranks)
+    spread = (w * a * a).sum() * (w * b * b).sum()
+    return float((w * a * b).sum() / np.sqrt(spread)) if spread > 0 else float("nan")
+
+
+def _resampled_rhos(cells: DataFrame, drawn: DataFrame) -> DataFrame:
+    """replicate, rho from at most CELLS cells (__own, x, y, __c), which go to every task; a replicate is one row of its clusters."""
+    table = cells.toPandas()
+    number = {k: i for i, k in enumerate(dict.fromkeys(table["__own"]))}
+    own = table["__own"].map(number).to_numpy(np.int64)
+    codes = [np.unique(table[c].to_numpy(), return_inverse=True)[1] for c in ("x", "y")]
+    held = cells.sparkSession.sparkContext.broadcast((number, own, *codes, table["__c"].to_numpy(np.float64)))
+
+    def run(batches):
+        number, own, x, y, c = held.value
+        for batch in batches:
+            out = []
+            for taken in batch["drawn"]:
+                times = np.zeros(max(1, len(number)))
+                for d in taken:
+                    if d["__own"] in number:
+                        times[number[d["__own"]]] = d["times"]
+                out.append(weighted_rho(x, y, times[own] * c) if len(own) else float("nan"))
+            yield pd.DataFrame({"replicate": batch["replicate"], "rho": out})
+
+    rows = drawn.groupBy("replicate").agg(F.collect_list(F.struct("__own", "times")).alias("drawn"))
+    return rows.mapInPandas(run, "replicate long, rho double")
+
+
 def spearman_interval(rows: DataFrame, x: str, y: str, cluster: str, n_boot: int) -> DataFrame:
-    """One row: rank correlation and its percentile bounds; each replicate ranks its own rows anew."""
-    rows = rows.select(cluster, F.col(x).alias("x"), F.col(y).alias("y"))
-    drawn = B.draws(rows, cluster, n_boot)
-    taken = rows.join(drawn, cluster).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("replicate", "x", "y")
-    taken = taken.unionByName(rows.select(F.lit(-1).cast("long").alias("replicate"), "x", "y"))
-    rho = spearman(taken, ["replicate"], "x", "y")
+    """One row: rank correlation and its percentile bounds; each replicate ranks its own rows anew.
+
+    Equal rows of a cluster are one cell, and a replicate's ranks follow from how often it takes each cell: no row is
+    copied. More than CELLS cells are ranked through a shuffle of the replicates' cells instead.
+    """
+    rows = rows.select(F.col(cluster).alias("__own"), F.col(x).alias("x"), F.col(y).alias("y"))
+    drawn = B.draws(rows, "__own", n_boot)
+    cells = rows.filter("x IS NOT NULL AND y IS NOT NULL AND __own IS NOT NULL").groupBy("__own", "x", "y").agg(F.count(F.lit(1)).alias("__c"))
+    if cells.limit(CELLS + 1).count() <= CELLS:
+        rho = _resampled_rhos(cells, drawn)
+    else:
+        taken = rows.join(drawn, "__own").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("replicate", "x", "y")
+        rho = spearman(taken, ["replicate"], "x", "y")
+    rho = rho.unionByName(spearman(rows.withColumn("replicate", F.lit(-1).cast("long")), ["replicate"], "x", "y"))
     resampled = F.when(F.col("replicate") >= 0, finite(F.col("rho")))
     out = rho.agg(F.max(F.when(F.col("replicate") < 0, F.col("rho"))).alias("point"), F.percentile(resampled, F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(resampled).alias("n_boot"))
     return out.select("point", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "n_boot")

@@ -20,6 +20,7 @@ from lexiprobe.operators import occurrences as O
 from lexiprobe.operators import splits as S
 from lexiprobe.plans import prompts as P
 from lexiprobe.plans import schedules as Q
+from lexiprobe.session import shared_path
 from lexiprobe.streaming import store as I
 
 _QUERIES: dict = {}
@@ -609,12 +610,7 @@ def lease_staleness(spark, d):
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def stream_append_dedup(spark, d):
     """The events appended twice by an availableNow stream: each once."""
-    import tempfile
-
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexiprobe-")
-    import uuid
-
-    base = f"{place.rstrip('/')}/append-{uuid.uuid4().hex}"
+    base = shared_path(spark, "append")
     rows = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     rows.write.parquet(f"{base}/in")
     for run in (1, 2):  # the second run reads everything again and must add nothing

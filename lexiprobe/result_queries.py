@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiprobe.functions import flags, rename, roles, sites, trees
+from lexiprobe.functions import flags, rename, roles, sites, sql, trees
 from lexiprobe.functions import text as X
 from lexiprobe.functions import vectors as V
 from lexiprobe.operators import bootstrap as B
@@ -13,6 +13,7 @@ from lexiprobe.operators import metrics as M
 from lexiprobe.operators import occurrences as O
 from lexiprobe.operators import renaming as N
 from lexiprobe.operators import splits as S
+from lexiprobe.operators import subspaces as K
 from lexiprobe.operators import summaries as U
 from lexiprobe.plans import prompts as P
 from lexiprobe.plans import schedules as Q
@@ -21,7 +22,9 @@ from lexiprobe.programs import (
 )
 from lexiprobe.queries import _BLANKS, _F1, _PRED, _UNIT, predictions, query, table
 from lexiprobe.shapes import SHAPES, SHAPES_SQL, shaped_programs
+from lexiprobe.session import shared_path
 from lexiprobe.sources import reports as R
+from lexiprobe.sources import shards
 from lexiprobe.sources import tables as T
 
 SUMS = ["tn", "fp", "fn", "tp"]
@@ -85,6 +88,22 @@ def tree_returns(spark, d):
     return rows.groupBy("language").agg(F.count_if(F.col("kind") == "return").alias("returns"), F.count_if(F.col("parent").isNull()).alias("programs"))
 
 
+@query(SHAPES_SQL.replace(", true AS held", ""))
+def flag_shapes_in_sql(spark, d):
+    """The same flags by a table function in SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT problem_id, o.variable, o.line, o.occurrence_type, o.detection_pattern FROM {p}, LATERAL flag_occurrences(code, language) o", p=shaped_programs(spark, d))
+
+
+@query(f"""WITH {PROGRAMS_SQL}, n AS (SELECT DISTINCT repo, problem_id, unnest(regexp_extract_all(code, '[A-Za-z_]\\w*')) AS name FROM g)
+SELECT repo AS problem_id, name, count(*)::INT AS programs, (SELECT count(*) FROM g WHERE g.repo = n.repo)::INT AS "of" FROM n GROUP BY repo, name""")
+def names_of_sources(spark, d):
+    """How many of a source's programs have each identifier, by a table function over partitions of a table."""
+    sql.register(spark)
+    rows = programs(spark, d).select(F.col("repo").alias("problem_id"), "code")
+    return spark.sql("SELECT * FROM program_names(TABLE(SELECT * FROM {p}) PARTITION BY problem_id)", p=rows)
+
+
 _RENAMED = (
     (0, "def {a}(v1, v2=False):\n    v3 = True\n    v4 = 0\n    for v5 in v1:\n        if v3 and not v2:\n            v4 += v1[v5]\n            v3 = False\n    return v3\n"),
     (1, "class {a}:\n    pass\n\ndef {b}(v1):\n    v2 = []\n    for v3 in v1:\n        v2.append(v3)\n    return v2\n"),
@@ -608,6 +627,37 @@ def selectivity(spark, d):
     return score("y_pred", "a").join(score("y_other", "b"), "lang").select("lang", F.round(F.col("a") - F.col("b"), 9).alias("selectivity"))
 
 
+# --- shards and subspaces --------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT vec_id % 4 AS layer, label, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS t, len(embedding) AS d FROM embeddings)
+SELECT layer::INT AS layer, label::VARCHAR AS label, count(*) AS n, sum(d)::BIGINT AS entries, round(sum(t), 4) AS total FROM e WHERE layer IN (1, 3) GROUP BY 1, 2""")
+def activation_shards(spark, d):
+    """The vectors written as shards of four layers and two of them read again, by layer and label."""
+    path = shared_path(spark, "shards")
+    i = F.col("vec_id")
+    rows = table(spark, d, "embeddings").select(i.cast("string").alias("occurrence_id"), (i % 7).cast("string").alias("problem_id"), F.col("label").cast("string").alias("label"), F.lit(None).cast("string").alias("variable"), F.lit(None).cast("string").alias("function"), (i % 4).cast("int").alias("layer"), F.col("embedding").alias("vec"))
+    shards.write_shards(rows, path, {"model_id": "embeddings"}, store_rows=512)
+    back = shards.read_shards(spark, path, [1, 3])
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return back.groupBy("layer", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vec")).alias("entries"), F.round(F.sum(total), 4).alias("total"))
+
+
+@query("""WITH e AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), m AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS c, covar_samp(x, y) AS b FROM e GROUP BY label)
+SELECT label, n, round(mx, 7) AS x, round(my, 7) AS y, round(4 * sqrt((a + c) / 2 + sqrt(((a - c) / 2) ^ 2 + b * b)), 7) AS width, round(4 * sqrt((a + c) / 2 - sqrt(((a - c) / 2) ^ 2 + b * b)), 7) AS height, round(degrees(atan2(2 * b, a - c) / 2), 5) AS degrees FROM m""")
+def class_ellipses(spark, d):
+    """The two-sigma ellipse of each label's vectors in their first two dimensions."""
+    rows = table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    out = K.covariance_ellipses(rows, "x", "y", ["label"])
+    return out.select("label", "n", *(F.round(c, 7).alias(c) for c in ("x", "y", "width", "height")), F.round("degrees", 5).alias("degrees"))
+
+
+@query()
+def class_subspace_angles(spark, d):
+    """Angles between the principal subspaces of label 0 and those of the others (tests hold them against SVDs)."""
+    return K.subspace_angles(table(spark, d, "embeddings"), "embedding", "label", 0, [1, 5, 10])
+
+
 # --- scopes and published tables ------------------------------------------------------------------------
 
 

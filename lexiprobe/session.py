@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +28,15 @@ def local_session(cpus: int | None = None, memory: str = "8g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all machines share: spark.checkpoint.dir; a temporary one, removed at the end, only where it is unset and Spark runs on this machine alone."""
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="lexiprobe-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        place = f"file://{folder}"
+    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
