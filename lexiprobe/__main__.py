@@ -67,13 +67,14 @@ def split(spark, a) -> None:
 
 
 def delta(spark, a) -> None:
-    """Paired difference of macro F1 of two prediction files, with its interval over clusters."""
+    """Paired difference of macro F1 of two prediction files, with its interval over clusters; refused where they are not of one data set."""
     from lexiprobe.operators import bootstrap as B
     from lexiprobe.operators import metrics as M
-    from lexiprobe.operators.summaries import paired_seed
+    from lexiprobe.operators.joins import paired_predictions
 
     schema = "occurrence_id string, seed int, y_true int, y_pred int, cluster string"
-    both = paired_seed(spark.read.schema(schema).json(a.first), spark.read.schema(schema).json(a.second), "occurrence_id", a.seed)
+    read = lambda path: spark.read.schema(schema).json(path).filter(F.col("seed") == a.seed)
+    both = paired_predictions(read(a.first), read(a.second), "occurrence_id", partial=a.allow_partial)
     sums = ["tn", "fp", "fn", "tp"]
     cells = M.confusion_by(both, ["cluster"], p="pred_a").withColumn("m", F.lit("a")).unionByName(M.confusion_by(both, ["cluster"], p="pred_b").withColumn("m", F.lit("b")))
     f = M.macro_f1_binary(*(F.col(x) for x in ("tp", "fp", "fn", "tn")))
@@ -116,6 +117,7 @@ def main(argv: list[str] | None = None) -> None:
             c.add_argument("second")
             c.add_argument("--seed", type=int, default=0)
             c.add_argument("--n-boot", type=int, default=2000)
+            c.add_argument("--allow-partial", action="store_true", help="pair what little is shared, too")
     a = parser.parse_args(argv)
     a.run(local_session(), a)
 

@@ -145,6 +145,32 @@ def coverage(a: DataFrame, b: DataFrame, key: list[str], by: str) -> DataFrame:
     return both.withColumn("coverage", F.col("n_shared") / F.least("n_a", "n_b"))
 
 
+def paired_predictions(a: DataFrame, b: DataFrame, key: str, by: str = "seed", least: float = 0.9, partial: bool = False) -> DataFrame:
+    """key, ``by``, y_true, cluster (of ``b``), pred_a and pred_b of what both sides have, by key and ``by``; rows without a key are left out.
+
+    Refused where a side has a key twice, where the sides share fewer than ``least`` of the smaller one's keys (unless
+    ``partial``), and where they disagree on y_true: then they are not two predictions of one data set.
+    """
+    left = a.filter(F.col(key).isNotNull()).select(key, by, "y_true", F.col("y_pred").alias("pred_a"))
+    right = b.filter(F.col(key).isNotNull()).select(key, by, F.col("y_true").alias("__y"), "cluster", F.col("y_pred").alias("pred_b"))
+    for side in (left, right):
+        twice = side.groupBy(key, by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(3).collect()
+        if twice:
+            raise Refused(f"predicted twice: {[tuple(r)[:2] for r in twice]}")
+    both = left.join(right, [key, by])
+    sizes = left.groupBy(by).agg(F.count(F.lit(1)).alias("na")).join(right.groupBy(by).agg(F.count(F.lit(1)).alias("nb")), by)
+    shared = both.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("y_true").eqNullSafe(F.col("__y"))).alias("differ"))
+    found = sizes.join(shared, by, "left").na.fill(0, ["n", "differ"]).orderBy(by).collect()  # one row a seed
+    for r in found:
+        if r["differ"]:
+            raise Refused(f"{by} {r[by]}: y_true differs for {r['differ']} of {r['n']} shared keys")
+        if r["n"] < least * min(r["na"], r["nb"]) and not partial:
+            raise Refused(f"{by} {r[by]}: {r['n']} keys are shared of {min(r['na'], r['nb'])}")
+    if not found and not partial:
+        raise Refused(f"no {by} is on both sides")
+    return both.drop("__y")
+
+
 def require(rows: DataFrame, condition: Column, message: str) -> DataFrame:
     """``rows``, failing at the first one where ``condition`` does not hold."""
     return rows.filter(F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexiprobe.functions.text import ABLATED, ablate_class, ngram_class, ngram_rows, single_blanks
 from lexiprobe.functions.vectors import margin
+from lexiprobe.operators.batched_fits import fit_probes
 from lexiprobe.operators.joins import Refused, matched, small_side
 from lexiprobe.operators.metrics import macro_f1
 from lexiprobe.operators.splits import hash_split
@@ -85,16 +86,20 @@ def layer_sweep(rows: DataFrame, group: str, label: str, vec: str, seeds: list[i
     spark = rows.sparkSession
     base = rows.select("layer", F.col(group).alias("g"), F.col(label).cast("int").alias("y"), F.col(vec).cast("array<double>").alias("vec")).persist()
     try:
-        layers = sorted(r["layer"] for r in base.select("layer").distinct().collect())
+        folds = base.select("*", *(hash_split(F.col("g"), s).alias(f"__{i}") for i, s in enumerate(seeds)))
+        sizes = folds.agg(*(F.collect_set(F.struct(F.col(f"__{i}").alias("fold"), "y")).alias(f"s{i}") for i in range(len(seeds)))).first()
+        usable = [i for i in range(len(seeds)) if {p["fold"] for p in sizes[f"s{i}"]} == {"train", "val", "test"} and len([1 for p in sizes[f"s{i}"] if p["fold"] == "train"]) >= 2]
         fitted = []
-        for seed in seeds:
-            folds = base.withColumn("fold", hash_split(F.col("g"), seed))
-            sizes = {(r["fold"], r["y"]) for r in folds.select("fold", "y").distinct().collect()}
-            if {f for f, _ in sizes} != {"train", "val", "test"} or len([1 for f, _ in sizes if f == "train"]) < 2:
-                continue
-            for layer in layers:
-                train = folds.filter((F.col("fold") == "train") & (F.col("layer") == layer)).select(array_to_vector("vec").alias("raw"), F.col("y").cast("double").alias("y"))
-                fitted.append((layer, seed, *fit_probe(train, c, balanced)))
+        if usable:
+            use = F.array(*(F.col(f"__{i}") == "train" for i in usable)).alias("use")
+            found = fit_probes(folds.select("layer", "vec", "y", use), c, balanced)
+            layers = {r["layer"] for r in base.select("layer").distinct().collect()}
+            missing = sorted(layers - {k[0] for k in found})
+            if missing:
+                raise Refused(f"layers {missing[:3]} have a single class to learn from")
+            fitted = [(layer, seeds[usable[k]], *p) for (layer, k), p in sorted(found.items())]
+            if not all(math.isfinite(x) for _, _, w, b in fitted for x in (*w, b)):
+                raise Refused("a probe's parameters are not finite")
         if not fitted:
             raise Refused("no seed has three folds and two classes to learn from")
         probes = spark.createDataFrame(fitted, PROBE)
@@ -152,7 +157,7 @@ def cross_model_matrix(probes: dict[str, DataFrame], rows: dict[str, DataFrame],
     for a, own in probes.items():
         for b, table in rows.items():
             aligned = own.join(nearest_layers(own, table).withColumnRenamed("layer_a", "layer"), "layer").drop("layer").withColumnRenamed("layer_b", "layer")
-            found = apply_probes(table, aligned.withColumn("seed", F.monotonically_increasing_id().cast("int")), vec).withColumn("y", F.col(label).cast("int"))
+            found = apply_probes(table, aligned.withColumn("seed", F.monotonically_increasing_id()), vec).withColumn("y", F.col(label).cast("int"))
             out.append({"source": a, "target": b, "macro_f1": macro_f1(found, ["layer", "seed"], y="y").agg(F.avg("macro_f1")).first()[0]})
     return out
 
@@ -354,7 +359,7 @@ def transfer(source: DataFrame, target: DataFrame, vec: str, label: str, shared:
     a, b = matched(source, target, shared, least)
     prep = lambda d: d.select(F.col(shared).alias("k"), array_to_vector(F.col(vec).cast("array<double>")).alias("raw"), F.col(label).cast("double").alias("y"))
     train, test = scaled(prep(a), prep(b))
-    mixed = resampled_labels(train.withColumn("one", F.lit(1)), "y", "k", ["one"], 0).withColumn("y", F.col("control_label"))
+    mixed = resampled_labels(train, "y", "k", [], 0).withColumn("y", F.col("control_label"))
     major = train.groupBy("y").count().orderBy(F.desc("count"), "y").first()["y"]
     found = fit_logistic(train).transform(test).select("y", "y_pred").withColumn("model", F.lit("transfer"))
     found = found.unionByName(fit_logistic(mixed.select("features", "y")).transform(test).select("y", "y_pred").withColumn("model", F.lit("shuffled")))

@@ -72,11 +72,15 @@ def cost_ledger(rows: DataFrame, phase: str, elapsed: str, hourly: str, order: s
 
 
 def resampled_labels(rows: DataFrame, label: str, key: str, within: list[str], seed: int) -> DataFrame:
-    """A control: labels of each group dealt anew among its rows, in hash order."""
-    from lexiprobe.operators.splits import hash_unit
+    """A control: labels of each group (of all rows, if ``within`` is empty) dealt anew among its rows, in hash order; ``key`` is unique.
+
+    Rows are numbered over range partitions, so no group fills a task.
+    """
+    from lexiprobe.operators.splits import hash_unit, running
 
-    a = rows.withColumn("__n", F.row_number().over(W.partitionBy(*within).orderBy(key)))
-    b = rows.select(*within, F.col(label).alias("control_label"), F.row_number().over(W.partitionBy(*within).orderBy(hash_unit(F.col(key), seed), key)).alias("__n"))
+    a = running(rows, within, [F.col(key)], F.lit(1), "__n")
+    dealt = rows.select(*within, F.col(key).alias("__key"), F.col(label).alias("control_label"), hash_unit(F.col(key), seed).alias("__u"))
+    b = running(dealt, within, [F.col("__u"), F.col("__key")], F.lit(1), "__n").drop("__u", "__key")
     return a.join(b, [*within, "__n"]).drop("__n")
 
 

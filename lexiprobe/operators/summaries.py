@@ -297,8 +297,12 @@ def with_baselines(cells: DataFrame, baselines: DataFrame, key: list[str], condi
 
 def delta_to_baseline(rows: DataFrame, by: list[str], condition: str, value: str, baseline: str = "baseline") -> DataFrame:
     """Adds delta: a row's value less that of the baseline of its group; null for the baseline itself."""
-    base = F.max(F.when(F.col(condition) == baseline, F.col(value))).over(W.partitionBy(*by) if by else W.partitionBy())
-    return rows.withColumn("delta", F.when(F.col(condition) != baseline, F.col(value) - base))
+    base = rows.filter(F.col(condition) == baseline).groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.max(value).alias("__base"))
+    if by:  # sums first, so that no group fills a task
+        both = rows.join(base, [rows[c].eqNullSafe(base[f"__{c}"]) for c in by], "left")
+    else:
+        both = rows.crossJoin(F.broadcast(base))  # one row
+    return both.withColumn("delta", F.when(F.col(condition) != baseline, F.col(value) - F.col("__base"))).select(*rows.columns, "delta")
 
 
 def strongest(rows: DataFrame, by: list[str], key: str, score: str) -> DataFrame:

@@ -48,9 +48,11 @@ def _cell(layer: int, span: str, direction: str, control: str) -> Column:
 
 
 def smoke_gate(rows: DataFrame, probe: int, tau: float | None = None, pairs: int = 8) -> dict:
-    """Twelve checks over the smoke pairs' cells."""
-    drift = rows.agg(F.coalesce(F.max(F.abs("baseline_drift")), F.lit(0.0))).first()[0]
-    tau = identity_tolerance(drift) if tau is None else tau
+    """Twelve checks over the smoke pairs' cells; the tolerance is that of the rows' dtype (float16 where they do not say one)."""
+    kinds = F.collect_set(F.lower("dtype")) if "dtype" in rows.columns else F.array().cast("array<string>")
+    drift, kinds = rows.agg(F.coalesce(F.max(F.abs("baseline_drift")), F.lit(0.0)), kinds).first()
+    dtype = "float32" if len(kinds) == 1 and kinds[0] not in ("float16", "fp16") else "float16"
+    tau = identity_tolerance(drift, dtype) if tau is None else tau
     groups = {"class": _cell(-1, "baseline_class", "none", "unpatched"), "function": _cell(-1, "baseline_function", "none", "unpatched")}
     for d in ("denoise", "noise"):
         groups |= {f"{d}_target": _cell(probe, "query_name", d, "target"), f"{d}_placebo": _cell(probe, "placebo", d, "target"), f"{d}_random": _cell(probe, "query_name", d, "random"), f"{d}_same": _cell(probe, "query_name", d, "same_source"), f"{d}_layer0": _cell(0, "query_name", d, "target")}

@@ -40,6 +40,13 @@ def prompt_pairs(spark: SparkSession) -> DataFrame:
     return rows.select(pair.alias("pair_id"), "*", *spans("class", "clean_prompt"), *spans("def", "corrupt_prompt"))
 
 
+def decoded_cluster(cluster_id: Column) -> Column:
+    """prefix_id, body_id and gap_id of a cluster's number, which counts gaps first, then bodies, then prefixes; null outside of its range."""
+    bodies, gaps = len(BODIES), len(GAPS)
+    parts = F.struct((F.floor(cluster_id / (bodies * gaps))).cast("int").alias("prefix_id"), F.pmod(F.floor(cluster_id / gaps), F.lit(bodies)).cast("int").alias("body_id"), F.pmod(cluster_id, F.lit(gaps)).cast("int").alias("gap_id"))
+    return F.when((cluster_id >= 0) & (cluster_id < len(PREFIXES) * bodies * gaps), parts)
+
+
 def balance(rows: DataFrame, factors: list[str]) -> DataFrame:
     """factor, level, n in one GROUPING SETS pass."""
     sets = ", ".join(f"({f})" for f in factors)

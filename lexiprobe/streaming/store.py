@@ -47,6 +47,19 @@ def stream_append(spark: SparkSession, source: str, schema, target: str, checkpo
     reader.parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def stream_append_keyed(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: list[str], max_files: int | None = None) -> None:
+    """Appends all files of ``source`` not yet taken to ``target`` (parquet), each key once, the keys that were seen kept as state.
+
+    A batch costs what its rows do, however large the target has become; state and target belong to the checkpoint, so
+    a target has one writer. Safe to run again.
+    """
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    rows = reader.parquet(source).dropDuplicates(key)
+    rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def same_manifest(old: DataFrame, new: DataFrame) -> None:
     """A manifest may be written again only as it is."""
     if old.exceptAll(new).limit(1).count() or new.exceptAll(old).limit(1).count():
@@ -157,7 +170,8 @@ class ChunkStore:
         good |= {f for f, s in folders.items() if not s}
         if strict and set(folders) - good:
             raise Refused(f"blocks are missing or corrupt: {sorted(set(folders) - good)[:3]}")
-        rows = rows.filter(F.col("__folder").isin(sorted(good)))
+        confirmed = self.spark.createDataFrame([(f,) for f in sorted(good)], "__folder string")
+        rows = rows.join(small_entries(confirmed), "__folder", "left_semi")
         twice = rows.groupBy(*self.key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(3).collect()
         if twice:
             raise Refused(f"keys in several blocks: {[tuple(r)[: len(self.key)] for r in twice]}")
