@@ -36,6 +36,8 @@ from lexiprobe.llm.shared import cut, deal, fewer, small_batches, spread_join, t
 CHUNK, MEMBERS = 512, 2_048
 #: Bits of a set's parities: about twice its size, within these bounds.
 LEAST_BITS, MOST_BITS = 256, 4_096
+#: Bytes of parities, and pairs of a chunk, that are compared at once.
+PARITY_BYTES, PAIRS = 8 << 20, 1 << 17
 _FOLD = np.uint64(24)  # occurrences are counted by a hash's upper 40 bits: any function of the shingle gives a valid order
 
 
@@ -103,6 +105,8 @@ def _count(table: pa.Table) -> pa.Table:
     for f in folds:
         out.append(K.pack(classes[which[done : done + len(f)]]))
         done += len(f)
+    parts = folds = which = total = classes = None
+    K.release()
     return pa.table({"to": table.column("to"), "blk": table.column("blk"), "codes": pa.array(out, pa.binary())})
 
 
@@ -213,6 +217,8 @@ def _walk(percent: int):
                 else:
                     held.append((b, np.frombuffer(raw, "<u8")))
         yield from links()
+        probe, held = None, []
+        K.release()
 
     return run
 
@@ -277,7 +283,7 @@ def _pairs_of(part: dict, percent: int, one: bool) -> tuple[list, list]:
     rank = np.empty(len(key), np.int64)
     rank[sorted(range(len(key)), key=key.__getitem__)] = np.arange(len(key))
     u, v = [], []
-    step = max(1, (1 << 18) // max(1, len(left)))
+    step = max(1, PAIRS // max(1, len(left)))
     for s in range(0, len(right), step):
         y = right[s : s + step]
         # the pair's first shared shingle must leave room for the overlap needed; a pair of two outside the main component is met once
@@ -289,8 +295,10 @@ def _pairs_of(part: dict, percent: int, one: bool) -> tuple[list, list]:
         bound = np.zeros(len(i), np.int64)
         for wi in packed:
             for wj in packed:
-                at = np.flatnonzero((widths[i] == wi) & (widths[j] == wj))
-                if len(at):
+                every = np.flatnonzero((widths[i] == wi) & (widths[j] == wj))
+                each = max(1, PARITY_BYTES // max(wi, wj))
+                for k in range(0, len(every), each):
+                    at = every[k : k + each]
                     bound[at] = (n[i[at]] + n[j[at]] - _differ(packed[wi][place[i[at]]], packed[wj][place[j[at]]])) // 2
         fit = (100 + percent) * bound >= percent * (n[i] + n[j])
         i, j, bound = i[fit], j[fit], bound[fit]
@@ -333,6 +341,8 @@ def _meet(percent: int, one: bool):
                 s = e
         if at is not None:
             yield from flush()
+        part = None
+        K.release()
 
     return run
 

@@ -19,6 +19,8 @@ PART_MEAN = 16.0
 TERMS = 96
 #: Up to so many sources the table of rates (under 1 kB a source) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
+#: Parts over which the rows of one key are dealt.
+SALTS = 4096
 
 
 def poisson_cdf(mean: Column) -> Column:
@@ -53,14 +55,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, rows:
     ``weights`` (default: all sources alike) need not sum to 1; a source without a weight gets no
     rows. ``rows`` defaults to the number of input rows. All columns of ``docs`` return, with
     ``copy`` (from 1) and ``mix_key`` (the hash that orders the mixture); input columns of these
-    two names are replaced. A null source is a source of its own (its weight is that of ''); null
-    ids all draw the same number, as do rows repeated with one id. Text is not looked at, so null,
-    empty and very long ones are carried as they are. An empty table gives no rows.
+    two names are replaced. A null source is a source of its own (its weight is that of ''). Rows
+    repeated with one id draw the same number and are still dealt to all partitions; rows without
+    an id draw each their own, by their place in the input. Text is not looked at, so null, empty
+    and very long ones are carried as they are. An empty table gives no rows.
     """
     rates, sources = source_rates(docs, weights, rows, source_col)
     if sources <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    row = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__doc"), F.col(source_col).cast("string").alias("__of"))
+    row = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("string").alias("__doc"), F.col(source_col).cast("string").alias("__of"), F.monotonically_increasing_id().alias("__place"))
+    row = row.withColumn("__doc", F.coalesce("__doc", F.concat(F.lit("null:"), "__place")))
     row = row.join(rates, F.col("__of").eqNullSafe(F.col("__source")))
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("__parts")),
@@ -68,9 +72,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, rows:
         lambda n, part: n + F.size(F.filter(F.col("__cdf"), lambda c: c <= uniform("copies", seed, F.col("__doc"), part))),
     )
     row = row.withColumn("__copies", count).filter("__copies > 0")
-    row = row.select("__row", "__doc", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
-    key = F.substring(F.sha2(F.concat_ws(":", F.lit("order"), F.lit(str(seed)), F.coalesce(F.col("__doc").cast("string"), F.lit("null")), F.col("copy").cast("string")), 256), 1, 16)
-    row = row.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key", "copy")
+    row = row.select("__row", "__doc", F.pmod(F.xxhash64("__place"), F.lit(SALTS)).alias("__salt"), F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
+    key = F.substring(F.sha2(F.concat_ws(":", F.lit("order"), F.lit(str(seed)), F.col("__doc"), F.col("copy").cast("string")), 256), 1, 16)
+    row = row.withColumn("mix_key", key).repartition("mix_key", "__salt").sortWithinPartitions("mix_key", "copy")
     kept = [F.col("__row").getField(c).alias(c) for c in docs.columns if c not in ("copy", "mix_key")]
     return row.select(*kept, "copy", "mix_key")
 
