@@ -62,3 +62,19 @@ def test_node_table_of_programs(spark):
     assert got == [(1, "program", ""), (1, "function", "f"), (1, "block", ""), (1, "assign", ":="), (1, "name", "x"), (1, "call", ""), (1, "name", "g"), (1, "arguments", ""), (1, "literal", "1"), (3, "program", "")]
     parents = rows.alias("a").join(rows.alias("b"), (F.col("a.problem_id") == F.col("b.problem_id")) & (F.col("a.parent") == F.col("b.id"))).filter("a.text = 'x'")
     assert parents.first()["kind"] is not None
+
+
+def test_programs_that_are_none_are_read_to_their_end():
+    """Tokens of all languages in any order, and shapes with tokens lost: no program stops the parser, and nodes stay within it."""
+    import random
+
+    words = sorted({t.text for language, code, _ in SHAPES for t in trees.tokens(code, language)})
+    rng = random.Random(11)
+    for n in range(600):
+        language, code, _ = SHAPES[n % len(SHAPES)]
+        own = [t.text for t in trees.tokens(code, language)]
+        soup = [rng.choice(words) for _ in range(rng.randint(1, 50))] if n % 2 else [w for w in own if rng.random() > 0.1]
+        text = " ".join(soup)
+        rows = trees.node_rows(text, language)
+        assert all(r["s"] <= r["e"] <= len(text) for r in rows)
+        flags.occurrence_rows(text, language)
