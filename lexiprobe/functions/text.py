@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -227,9 +228,116 @@ def ngram_rows(rows: DataFrame, key: str, text: str, low: int = 2, high: int = 4
     return cut.groupBy(key, F.substring(F.col("w"), F.col("i"), F.col("n")).alias("ngram")).agg(F.sum("c").alias("c"))
 
 
+#: Characters of texts whose n-grams a task counts at once (about 60 bytes each); sums over all come from Spark.
+BLOCK_CHARS = 1 << 20
+#: Codes up to this are numbered by a table, greater ones by sorting.
+TABLE = 1 << 22
+
+
+def _numbered(codes: np.ndarray, space: int) -> tuple[np.ndarray, int]:
+    """Different codes (below ``space``) as 0, 1, ..., and how many there are."""
+    if space > TABLE:
+        known, number = np.unique(codes, return_inverse=True)
+        return number.astype(np.int32), len(known)
+    held = np.zeros(space, np.bool_)
+    held[codes] = True
+    number = np.cumsum(held, dtype=np.int32) - 1
+    return number[codes], int(number[-1]) + 1 if space else 0
+
+
+def ngram_numbers(texts: list[bytes], low: int = 2, high: int = 4) -> tuple[list[str], list[np.ndarray]]:
+    """The different n-grams of lowered texts in UTF-8, as :func:`word_ngrams` cuts them, and for each text the places of its own among them, repeats too."""
+    padded = [f" {b' '.join(t.split()).decode('utf-8', 'replace')} " for t in texts]  # bytes split at \t to \r and the blank, as the expressions do
+    whole = "".join(padded)
+    starts = np.cumsum([0, *map(len, padded)])
+    chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    word = chars != 32
+    letter, letters = _numbered(chars, 0x110000)
+    at, number, many = np.arange(len(chars)), letter, letters
+    names: list[str] = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for n in range(2, high + 1):  # an n-gram is one of n - 1 and a character; blanks stand at its ends only
+        fits = at < len(chars) - n + 1
+        at, number = at[fits], number[fits]
+        fits = word[at] | word[at + 1] if n == 2 else word[at + n - 2]
+        at, number = at[fits], number[fits]
+        number, many = _numbered(number.astype(np.int64) * letters + letter[at + n - 1], many * letters)
+        short = slice(None) if n >= low else ~word[at] & ~word[at + n - 1] & (n > 2)  # whole words shorter than the least n
+        where, own = at[short], number[short]
+        if n < low:
+            own, found = _numbered(own, many)
+        else:
+            found = many
+        place = np.zeros(found, np.int64)
+        place[own] = where
+        parts.append((own + len(names), np.searchsorted(where, starts)))
+        names += [whole[i : i + n] for i in place.tolist()]
+    return names, [np.concatenate([own[cut[i] : cut[i + 1]] for own, cut in parts]) for i in range(len(texts))]
+
+
+def text_blocks(batches):
+    """Arrow batches (key, text as bytes) to lists of (key, text) of about BLOCK_CHARS bytes; of a longer text, some words at a time follow each other."""
+    block, size = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            for k, text in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256).to_pylist(), strict=True):
+                text = text or b""
+                words = text.split() if len(text) > BLOCK_CHARS else ()
+                for part in [b" ".join(words[i : i + BLOCK_CHARS // 16]) for i in range(0, len(words), BLOCK_CHARS // 16)] if words else (text,):
+                    block.append((k, part))
+                    size += len(part)
+                    if size >= BLOCK_CHARS:
+                        yield block
+                        block, size = [], 0
+    if block:
+        yield block
+
+
+def _counted_ngrams(low: int, high: int):
+    """mapInArrow: (key, text as lowered bytes) to ngram, df, tf over some of the rows; a run of rows with one key is one document, rows without are none."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, held = None, set()  # the document that may go on, and its n-grams
+
+        def rows(names, df, tf):
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(df, pa.int64()), pa.array(tf, pa.int64())], ["ngram", "df", "tf"])
+
+        for block in text_blocks(batches):
+            names, texts = ngram_numbers([t for _, t in block], low, high)
+            df, last = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+            tf = np.bincount(np.concatenate(texts), minlength=len(names))
+            for i, (own, (k, _)) in enumerate(zip(texts, block, strict=True)):
+                order = np.arange(len(own))
+                last[own] = order
+                once = own[last[own] == order]
+                if k is not None and (k == key or i == len(block) - 1 or block[i + 1][0] == k):  # a document of several rows or blocks
+                    if k != key:
+                        yield rows(list(held), [1] * len(held), [0] * len(held))
+                        key, held = k, set()
+                    held.update(map(names.__getitem__, once.tolist()))
+                elif k is not None:
+                    df[once] += 1
+            yield rows(names, df, tf)
+        yield rows(list(held), [1] * len(held), [0] * len(held))
+
+    return run
+
+
 def ngram_documents(rows: DataFrame, key: str, text: str, low: int = 2, high: int = 4, min_df: int = 2) -> DataFrame:
-    """ngram, df (documents that hold it), tf over all, of n-grams in at least ``min_df`` documents."""
-    return ngram_rows(rows, key, text, low, high).groupBy("ngram").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("tf")).filter(F.col("df") >= min_df)
+    """ngram, df (documents that hold it), tf over all, of n-grams in at least ``min_df`` documents.
+
+    Tasks count their rows' n-grams and send each of them on once, so what is shuffled grows with the different n-grams
+    of a task and not with those of each row. Rows of one key are one document; only where keys repeat are rows dealt
+    and sorted by key first. Rows without a key add to tf alone.
+    """
+    k = F.col(key)
+    if rows.filter(k.isNotNull()).groupBy(k).count().filter("count > 1").limit(1).count():
+        rows = rows.repartition(k, F.when(k.isNull(), F.xxhash64(text))).sortWithinPartitions(k)
+    lowered = rows.select(k, F.lower(F.col(text)).cast("binary"))
+    counted = lowered.mapInArrow(_counted_ngrams(low, high), "ngram string, df long, tf long")
+    return counted.groupBy("ngram").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).filter(F.col("df") >= min_df)
 
 
 def ablate(text: Column, chars: str) -> Column:
