@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -378,10 +379,34 @@ def binary_target(label: Column, role: str) -> Column:
     return F.when(label == role, "target").otherwise("other")
 
 
-def offset_gate(tokens: DataFrame, by: list[str], source: str, s: str, e: str, piece: str) -> DataFrame:
-    """by, bad, total, ok: whether each token's offsets cut its piece out of the source."""
-    holds = F.coalesce(F.substring(F.col(source), F.col(s) + 1, F.col(e) - F.col(s)) == F.col(piece), F.lit(False))
-    out = tokens.groupBy(*by).agg(F.count_if(~holds).alias("bad"), F.count(F.lit(1)).alias("total"))
+#: Characters of a piece of text in which a place is looked up.
+STEP = 256
+
+
+def offset_cuts(source: Column, spans: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use(span, text)`` of each of ``spans`` (structs with s and e) and what it cuts out of the text ``source``.
+
+    The text is cut once into pieces of STEP characters; a span looks only into those that it touches, so that
+    the work grows with the text and its spans and not with their product.
+    """
+    pieces = F.regexp_extract_all(source, F.lit(f"(?s).{{1,{STEP}}}"), F.lit(0))
+
+    def cut(text: Column, x: Column) -> Column:
+        s, e = x["s"].cast("int"), x["e"].cast("int")
+        first = F.floor(s / STEP).cast("int")
+        inside = F.substring(F.array_join(F.slice(text, first + 1, F.floor((e - 1) / STEP).cast("int") - first + 1), ""), s - first * STEP + 1, e - s)
+        return F.when((s >= 0) & (e > s), inside).otherwise(F.substring(source, s + 1, e - s))
+
+    # the pieces are bound to a name, so that they are not cut again for each span
+    return F.transform(F.array(pieces), lambda text: F.transform(spans, lambda x: use(x, cut(text, x))))[0]
+
+
+def offset_gate(rows: DataFrame, by: list[str], source: str, tokens: str) -> DataFrame:
+    """by, bad, total, ok: whether the offsets of each of a row's tokens (an array of structs s, e, piece) cut its piece out of the source."""
+    wrong = offset_cuts(F.col(source), F.col(tokens), lambda x, found: ~F.coalesce(found == x["piece"], F.lit(False)))
+    per = rows.select(*by, wrong.alias("wrong"))
+    size = lambda c: F.coalesce(F.sum(F.greatest(F.lit(0), F.size(c))), F.lit(0)).cast("long")
+    out = per.groupBy(*by).agg(size(F.filter("wrong", lambda x: x)).alias("bad"), size(F.col("wrong")).alias("total")).filter("total > 0")
     return out.withColumn("ok", F.col("bad") == 0)
 
 
