@@ -49,10 +49,13 @@ def renaming_flow(programs: DataFrame, occurrences: DataFrame, condition: str, e
     """(programs with new_code and dropped, carried occurrences, counts of programs by outcome).
 
     ``extract`` is what made ``occurrences``; ids travel with the spans. A program whose new code does not show every
-    carried occurrence with its label is dropped as ``identity``. Outcomes: kept, or why dropped.
+    carried occurrence with its label is dropped as ``identity``. Outcomes: kept, or why dropped. What several results read is
+    kept (in memory, else on disk), so that each program is read, renamed and read again once.
     """
-    renamed = rename_scopes(programs, occurrences, condition, program)
-    carried = carry_occurrences(renamed, occurrences, program)
+    programs = programs.persist()
+    occurrences = occurrences.persist()
+    renamed = rename_scopes(programs, occurrences, condition, program).persist()
+    carried = carry_occurrences(renamed, occurrences, program).persist()
     kept = identity_gate(carried, extract, label, program)
     whole = kept.select(program).distinct().withColumn("__kept", F.lit(True))
     renamed = renamed.join(whole, program, "left").withColumn("dropped", F.coalesce("dropped", F.when(F.col("__kept").isNull(), "identity"))).drop("__kept")
