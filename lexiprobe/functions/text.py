@@ -325,15 +325,15 @@ def _counted_ngrams(low: int, high: int):
     return run
 
 
-def ngram_documents(rows: DataFrame, key: str, text: str, low: int = 2, high: int = 4, min_df: int = 2) -> DataFrame:
+def ngram_documents(rows: DataFrame, key: str | None, text: str, low: int = 2, high: int = 4, min_df: int = 2) -> DataFrame:
     """ngram, df (documents that hold it), tf over all, of n-grams in at least ``min_df`` documents.
 
     Tasks count their rows' n-grams and send each of them on once, so what is shuffled grows with the different n-grams
     of a task and not with those of each row. Rows of one key are one document; only where keys repeat are rows dealt
-    and sorted by key first. Rows without a key add to tf alone.
+    and sorted by key first. Rows without a key add to tf alone. With no ``key``, each row is a document.
     """
-    k = F.col(key)
-    if rows.filter(k.isNotNull()).groupBy(k).count().filter("count > 1").limit(1).count():
+    k = F.monotonically_increasing_id() if key is None else F.col(key)
+    if key is not None and rows.filter(k.isNotNull()).groupBy(k).count().filter("count > 1").limit(1).count():
         rows = rows.repartition(k, F.when(k.isNull(), F.xxhash64(text))).sortWithinPartitions(k)
     lowered = rows.select(k, F.lower(F.col(text)).cast("binary"))
     counted = lowered.mapInArrow(_counted_ngrams(low, high), "ngram string, df long, tf long")

@@ -9,15 +9,17 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler
+from pyspark.ml.feature import PCA, ElementwiseProduct, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiprobe.functions.text import ABLATED, ablate_class, ngram_class, ngram_rows, single_blanks
+from lexiprobe.functions.text import ABLATED, BLOCK_CHARS, ablate_class, ngram_class, ngram_documents, ngram_numbers, single_blanks
 from lexiprobe.functions.vectors import margin
 from lexiprobe.operators.batched_fits import fit_probes
 from lexiprobe.operators.joins import Refused, matched, small_side
@@ -219,31 +221,54 @@ def probe(rows: DataFrame, vec: str, label: str, group: str, seeds: list[int], c
     return out if out is not None else rows.sparkSession.createDataFrame([], "seed int, fold string, macro_f1 double, n long")
 
 
+def _gram_counts(vocabulary: list[str], low: int, high: int):
+    """Lowered texts in UTF-8 to sparse vectors of how often they have each n-gram of the vocabulary."""
+
+    @F.arrow_udf(VectorUDT())
+    def counts(texts: pa.Array) -> pa.Array:
+        known = {g: i for i, g in enumerate(vocabulary)}
+        rows = [t or b"" for t in texts.to_pylist()]
+        indices, values, at = [], [], 0
+        while at < len(rows):
+            end, size = at, 0
+            while end < len(rows) and (end == at or size + len(rows[end]) <= BLOCK_CHARS):
+                size, end = size + len(rows[end]), end + 1
+            names, texts_ = ngram_numbers(rows[at:end], low, high)
+            place = np.array([known.get(g, -1) for g in names], np.int64)
+            for own in texts_:
+                held, n = np.unique(place[own], return_counts=True)
+                indices.append(held[held >= 0].astype(np.int32))
+                values.append(n[held >= 0].astype(np.float64))
+            at = end
+        cuts = pa.array(np.cumsum([0, *map(len, indices)]), pa.int32())
+        flat = lambda parts, dtype: pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype))
+        lists = [pa.ListArray.from_arrays(cuts, flat(indices, np.int32)), pa.ListArray.from_arrays(cuts, flat(values, np.float64))]
+        return pa.StructArray.from_arrays([pa.array([0] * len(rows), pa.int8()), pa.array([len(vocabulary)] * len(rows), pa.int32()), *lists], ["type", "size", "indices", "values"])
+
+    return counts
+
+
 class Grams:
-    """Character n-gram weights: vocabulary and document frequencies of a train side, all on the executors."""
+    """Character n-gram weights: vocabulary (most frequent first, ties in order of the n-grams) and document frequencies of a train side.
+
+    Each row is a document of its own, and its features are counted where it is.
+    """
 
     def __init__(self, train: DataFrame, key: str, text: str, low: int = 2, high: int = 4, min_df: int = 2, features: int = 60_000):
         self.key, self.text, self.low, self.high = key, text, low, high
-        counted = self._counted(train)
-        self.counts = CountVectorizer(inputCol="grams", outputCol="counts", minDF=float(min_df), vocabSize=features)
-        try:
-            self.counts = self.counts.fit(counted)
-        except Exception as e:
-            raise ValueError("no n-gram reaches min_df") from e
-        idf = IDF(inputCol="counts", outputCol="w").fit(self.counts.transform(counted)).idf.toArray()
+        found = ngram_documents(train, None, text, low, high, min_df).orderBy(F.desc("tf"), "ngram").limit(features).collect()
+        if not found:
+            raise ValueError("no n-gram reaches min_df")
+        n = train.filter(F.col(text).rlike(r"\S")).count()
+        self.vocabulary = [r["ngram"] for r in found]
         # ln((1 + n) / (1 + df)) + 1 as the weight of a count
-        self.weigh = ElementwiseProduct(inputCol="counts", outputCol="weighted", scalingVec=Vectors.dense(idf + 1))
-        self.vocabulary = self.counts.vocabulary
-
-    def _counted(self, rows: DataFrame) -> DataFrame:
-        grams = ngram_rows(rows.select(self.key, self.text), self.key, self.text, self.low, self.high)
-        return grams.groupBy(self.key).agg(F.flatten(F.collect_list(F.array_repeat("ngram", F.col("c").cast("int")))).alias("grams"))
+        self.weigh = ElementwiseProduct(inputCol="counts", outputCol="weighted", scalingVec=Vectors.dense([math.log((1 + n) / (1 + r["df"])) + 1 for r in found]))
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """``rows`` with features, of length 1; rows without n-grams keep the zero vector."""
-        cells = self._counted(rows).withColumnRenamed(self.key, "__key")
-        out = rows.join(cells, rows[self.key] == F.col("__key"), "left").drop("__key").withColumn("grams", F.coalesce("grams", F.array().cast("array<string>")))
-        return Normalizer(inputCol="weighted", outputCol="features").transform(self.weigh.transform(self.counts.transform(out))).drop("grams", "counts", "weighted")
+        counts = _gram_counts(self.vocabulary, self.low, self.high)
+        out = rows.withColumn("counts", counts(F.lower(F.col(self.text)).cast("binary")))
+        return Normalizer(inputCol="weighted", outputCol="features").transform(self.weigh.transform(out)).drop("counts", "weighted")
 
 
 def tfidf(rows: DataFrame, key: str, text: str, train: DataFrame, low: int = 2, high: int = 4, min_df: int = 2, features: int = 60_000) -> DataFrame:
@@ -308,7 +333,7 @@ def surface_baseline(rows: DataFrame, key: str, text: str, label: str, group: st
     """fold, macro_f1 of a character n-gram baseline and of the majority class."""
     folds = rows.select(key, text, F.col(label).cast("double").alias("y"), hash_split(F.col(group), seed).alias("fold"))
     train = folds.filter("fold = 'train'")
-    x = tfidf(folds, key, text, train).persist()
+    x = tfidf(folds, key, text, train).select("fold", "y", "features").persist()
     found = fit_logistic(x.filter("fold = 'train'"), c=c).transform(x.filter("fold <> 'train'"))
     major = train.groupBy("y").count().orderBy(F.desc("count"), "y").first()["y"]
     both = macro_f1(found, ["fold"], y="y").withColumnRenamed("macro_f1", "ngram_f1").join(macro_f1(found.withColumn("y_pred", F.lit(major)), ["fold"], y="y").withColumnRenamed("macro_f1", "majority_f1"), "fold")
