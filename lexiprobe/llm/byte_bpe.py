@@ -74,10 +74,11 @@ def _split_words(pattern: str, buckets: int, block_chars: int):
         findall, crosses = regex.compile(pattern).findall, regex.compile(r" \s|\s ").search
         apart = pattern == _public_pattern()
         part, nth = TaskContext.get().partitionId(), 0
+        K.release()
         ids: list = []
         docs: list[np.ndarray] = []
         number: dict[str, int] = {}
-        chunks: dict[str, list[int]] = {}
+        chunks: dict[str, int | list[int]] = {}  # a number alone where a part is one pre-token, as most are
         chars = 0
 
         def numbers(text: str) -> list[int]:
@@ -85,6 +86,8 @@ def _split_words(pattern: str, buckets: int, block_chars: int):
 
         def flush():
             blk = (part << 32) | nth
+            chunks.clear()  # before a block is packed, and what earlier tasks of the worker left
+            K.release()
             seq = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
             order = np.argsort(-np.bincount(seq, minlength=len(number)), kind="stable")  # frequent words get small numbers
             rank = np.empty(len(order), np.uint32)
@@ -92,7 +95,10 @@ def _split_words(pattern: str, buckets: int, block_chars: int):
             lens = np.fromiter(map(len, docs), np.int64, len(docs))
             yield _row(blk % 1_000_003, 0, blk, K.pack_all(K.pack_ids(ids), K.pack(lens), K.pack_ranks(rank[seq]), len(number).to_bytes(8, "little")))
             texts = list(number)
+            number.clear()
             raw = [texts[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
+            del texts, seq, rank
+            docs.clear()
             bucket = np.fromiter((zlib.crc32(w) for w in raw), np.int64, len(raw)) % buckets
             by = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
@@ -116,8 +122,12 @@ def _split_words(pattern: str, buckets: int, block_chars: int):
                         for c in rest:
                             known = chunks.get(c)
                             if known is None:
-                                known = chunks[c] = numbers(" " + c)
-                            seq += known
+                                known = numbers(" " + c)
+                                known = chunks[c] = known[0] if len(known) == 1 else known
+                            if type(known) is int:
+                                seq.append(known)
+                            else:
+                                seq += known
                     ids.append(i)
                     docs.append(np.array(seq, np.uint32))
                     chars += len(text)
