@@ -8,18 +8,20 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, ElementwiseProduct, Normalizer, StandardScaler
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiprobe.functions.text import ABLATED, BLOCK_CHARS, ablate_class, ngram_class, ngram_documents, ngram_numbers, single_blanks
+from lexiprobe.functions.text import ABLATED, ablate_class, ngram_class, ngram_documents, ngram_numbers, single_blanks, text_blocks
 from lexiprobe.functions.vectors import margin
 from lexiprobe.operators.batched_fits import fit_probes
 from lexiprobe.operators.joins import Refused, matched, small_side
@@ -27,6 +29,9 @@ from lexiprobe.operators.metrics import macro_f1
 from lexiprobe.operators.splits import hash_split
 from lexiprobe.operators.summaries import mass_by_class, strongest, surviving_mass, weighted_agreement
 
+#: Partitions of a fit's rows for each core.
+PARTS_PER_CORE = 4
+
 PROBE = "layer int, seed int, weights array<double>, bias double"
 
 
@@ -38,9 +43,13 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
 
 
 def fit_logistic(train: DataFrame, features: str = "features", label: str = "y", c: float = 1.0, balanced: bool = True, max_iter: int = 200):
-    """L2 logistic regression whose penalty 1/(C n) equals a summed loss with C; no inner scaling."""
+    """L2 logistic regression whose penalty 1/(C n) equals a summed loss with C; no inner scaling.
+
+    Each partition shuffles a vector as wide as the features in every step, so their number is bounded by the cores.
+    """
     rows = balanced_weights(train, label) if balanced else train.withColumn("weight", F.lit(1.0))
     n = rows.count()
+    rows = rows.select(features, label, "weight").coalesce(PARTS_PER_CORE * train.sparkSession.sparkContext.defaultParallelism)
     return LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", regParam=1.0 / (c * max(1, n)), standardization=False, maxIter=max_iter, family="auto", predictionCol="y_pred").fit(rows)
 
 
@@ -221,31 +230,57 @@ def probe(rows: DataFrame, vec: str, label: str, group: str, seeds: list[int], c
     return out if out is not None else rows.sparkSession.createDataFrame([], "seed int, fold string, macro_f1 double, n long")
 
 
-def _gram_counts(vocabulary: list[str], low: int, high: int):
-    """Lowered texts in UTF-8 to sparse vectors of how often they have each n-gram of the vocabulary."""
+def _gram_features(vocabulary: list[str], weights: list[float], low: int, high: int):
+    """Lowered texts in UTF-8 to sparse vectors, of length 1, of their counts of the vocabulary's n-grams times the weights.
+
+    Vectors take several times the memory of their texts: they are given back for each block of texts, not for each Arrow
+    batch. A text longer than a block is counted in parts.
+    """
 
     @F.arrow_udf(VectorUDT())
-    def counts(texts: pa.Array) -> pa.Array:
-        known = {g: i for i, g in enumerate(vocabulary)}
-        rows = [t or b"" for t in texts.to_pylist()]
-        indices, values, at = [], [], 0
-        while at < len(rows):
-            end, size = at, 0
-            while end < len(rows) and (end == at or size + len(rows[end]) <= BLOCK_CHARS):
-                size, end = size + len(rows[end]), end + 1
-            names, texts_ = ngram_numbers(rows[at:end], low, high)
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known, weight = {g: i for i, g in enumerate(vocabulary)}, np.array(weights)
+
+        def vectors(rows):
+            parts = []
+            for held, n in rows:
+                x = n * weight[held]
+                parts.append((held, x / (np.sqrt((x * x).sum()) or 1.0)))
+            cuts = pa.array(np.cumsum([0, *(len(held) for held, _ in parts)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([p[i] for p in parts]), t)) for i, t in enumerate((pa.int32(), pa.float64()))]
+            return pa.StructArray.from_arrays([pa.array([0] * len(parts), pa.int8()), pa.array([len(weight)] * len(parts), pa.int32()), *lists], ["type", "size", "indices", "values"])
+
+        def numbered():
+            seen = 0
+            for texts in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(range(seen, seen + len(texts)), pa.int64()), texts], ["row", "text"])
+                seen += len(texts)
+
+        last, open_ = None, []  # the row that may go on in the next block, and its counts
+        for block in text_blocks(numbered()):
+            names, texts = ngram_numbers([t for _, t in block], low, high)
             place = np.array([known.get(g, -1) for g in names], np.int64)
-            for own in texts_:
-                held, n = np.unique(place[own], return_counts=True)
-                indices.append(held[held >= 0].astype(np.int32))
-                values.append(n[held >= 0].astype(np.float64))
-            at = end
-        cuts = pa.array(np.cumsum([0, *map(len, indices)]), pa.int32())
-        flat = lambda parts, dtype: pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype))
-        lists = [pa.ListArray.from_arrays(cuts, flat(indices, np.int32)), pa.ListArray.from_arrays(cuts, flat(values, np.float64))]
-        return pa.StructArray.from_arrays([pa.array([0] * len(rows), pa.int8()), pa.array([len(vocabulary)] * len(rows), pa.int32()), *lists], ["type", "size", "indices", "values"])
-
-    return counts
+            own = np.argsort(place)[np.count_nonzero(place < 0) :]  # the block's n-grams of the vocabulary, in its order
+            slot = np.full(len(names), len(own))
+            slot[own] = np.arange(len(own))
+            rows = open_
+            for (row, _), grams in zip(block, texts, strict=True):
+                n = np.bincount(slot[grams], minlength=len(own) + 1)[: len(own)]
+                at = np.flatnonzero(n)
+                held, n = place[own[at]].astype(np.int32), n[at].astype(np.float64)
+                if row == last:
+                    held, which = np.unique(np.concatenate([rows[-1][0], held]), return_inverse=True)
+                    rows[-1] = held, np.bincount(which, np.concatenate([rows[-1][1], n]))
+                else:
+                    rows.append((held, n))
+                last = row
+            open_ = [rows.pop()]
+            if rows:
+                yield vectors(rows)
+        if open_:
+            yield vectors(open_)
+
+    return features
 
 
 class Grams:
@@ -262,13 +297,12 @@ class Grams:
         n = train.filter(F.col(text).rlike(r"\S")).count()
         self.vocabulary = [r["ngram"] for r in found]
         # ln((1 + n) / (1 + df)) + 1 as the weight of a count
-        self.weigh = ElementwiseProduct(inputCol="counts", outputCol="weighted", scalingVec=Vectors.dense([math.log((1 + n) / (1 + r["df"])) + 1 for r in found]))
+        self.weights = [math.log((1 + n) / (1 + r["df"])) + 1 for r in found]
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """``rows`` with features, of length 1; rows without n-grams keep the zero vector."""
-        counts = _gram_counts(self.vocabulary, self.low, self.high)
-        out = rows.withColumn("counts", counts(F.lower(F.col(self.text)).cast("binary")))
-        return Normalizer(inputCol="weighted", outputCol="features").transform(self.weigh.transform(out)).drop("counts", "weighted")
+        features = _gram_features(self.vocabulary, self.weights, self.low, self.high)
+        return rows.withColumn("features", features(F.lower(F.col(self.text)).cast("binary")))
 
 
 def tfidf(rows: DataFrame, key: str, text: str, train: DataFrame, low: int = 2, high: int = 4, min_df: int = 2, features: int = 60_000) -> DataFrame:
@@ -331,11 +365,18 @@ def surface_baselines(rows: DataFrame, key: str, label: str, group: str, seeds:
 
 def surface_baseline(rows: DataFrame, key: str, text: str, label: str, group: str, seed: int, c: float = 4.0) -> DataFrame:
     """fold, macro_f1 of a character n-gram baseline and of the majority class."""
-    folds = rows.select(key, text, F.col(label).cast("double").alias("y"), hash_split(F.col(group), seed).alias("fold"))
-    train = folds.filter("fold = 'train'")
-    x = tfidf(folds, key, text, train).select("fold", "y", "features").persist()
-    found = fit_logistic(x.filter("fold = 'train'"), c=c).transform(x.filter("fold <> 'train'"))
-    major = train.groupBy("y").count().orderBy(F.desc("count"), "y").first()["y"]
+    split = hash_split(F.col(group), seed).alias("fold")
+    # the texts are put together once, on disk; features, several times as large, are made anew where they are needed
+    folds = rows.select(key, text, F.col(label).cast("double").alias("y"), split).persist(StorageLevel.DISK_ONLY)
+    try:
+        train = folds.filter("fold = 'train'")
+        grams = Grams(train, key, text)
+        model = fit_logistic(grams.transform(train), c=c)
+        found = model.transform(grams.transform(folds.filter("fold <> 'train'"))).select("fold", "y", "y_pred").persist()
+        found.count()
+        major = train.groupBy("y").count().orderBy(F.desc("count"), "y").first()["y"]
+    finally:
+        folds.unpersist()
     both = macro_f1(found, ["fold"], y="y").withColumnRenamed("macro_f1", "ngram_f1").join(macro_f1(found.withColumn("y_pred", F.lit(major)), ["fold"], y="y").withColumnRenamed("macro_f1", "majority_f1"), "fold")
     return both
 
